@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import bpe, digest_index, pii
+from threadlens.llm import bpe, digest_index, imatch, langid, line_dedup, mixing, pii, sharding
 from threadlens.llm.common import documents
 
 
@@ -19,6 +19,17 @@ def _joined(items: Column, form: Callable[[Column], Column], by: str) -> Column:
     return F.array_join(F.transform(items, form), by)
 
 
+def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_by_bytes(documents(spark, sf_dir), shards=24)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(documents(spark, sf_dir)).taken()
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(documents(spark, sf_dir))
     return coded.select(
@@ -29,6 +40,21 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprint_neighbours(documents(spark, sf_dir))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.LineDecisions(documents(spark, sf_dir)).texts()
+    return cut.select(
+        "doc_id",
+        F.col("_n_lines").alias("n_lines"),
+        F.col("_n_exact").alias("n_exact"),
+        F.col("_n_near").alias("n_near"),
+        _sha256(F.coalesce("text", F.lit(""))).alias("kept_sha256"),
+    )
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = digest_index.exact_dedup(documents(spark, sf_dir))
     return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -44,10 +70,22 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    profiles = langid.fit(docs.where(~langid.held_out()))
+    said = langid.predict(docs, profiles)
+    return said.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_shard": op1_shard,
+    "op2_mix": op2_mix,
     "op5_bpe": op5_bpe,
+    "op6_imatch": op6_imatch,
+    "op7_line_dedup": op7_line_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_pii": op9_pii,
+    "op10_langid": op10_langid,
 }
 
 ORACLES: dict[str, str] = {
