@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import bpe, digest_index, imatch, langid, line_dedup, mixing, pii, sharding
+from threadlens.llm import bpe, digest_index, imatch, langid, line_dedup, mixing, pii, probminhash, sharding
 from threadlens.llm.common import documents
 
 
@@ -30,6 +30,10 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(documents(spark, sf_dir)).taken()
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.NearDuplicates(documents(spark, sf_dir)).result()
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(documents(spark, sf_dir))
     return coded.select(
@@ -80,6 +84,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard": op1_shard,
     "op2_mix": op2_mix,
+    "op3_near_dedup": op3_near_dedup,
     "op5_bpe": op5_bpe,
     "op6_imatch": op6_imatch,
     "op7_line_dedup": op7_line_dedup,
