@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import bpe, digest_index, imatch, langid, line_dedup, mixing, pii, probminhash, sharding
+from threadlens.llm import anchors, bpe, digest_index, imatch, langid, line_dedup, mixing, pii, probminhash, sharding
 from threadlens.llm.common import documents
 
 
@@ -34,6 +34,11 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.NearDuplicates(documents(spark, sf_dir)).result()
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = anchors.remove_repeats(documents(spark, sf_dir))
+    return cut.select("doc_id", "n_words", "n_removed", _sha256(F.col("kept")).alias("kept_sha256"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(documents(spark, sf_dir))
     return coded.select(
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard": op1_shard,
     "op2_mix": op2_mix,
     "op3_near_dedup": op3_near_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_bpe": op5_bpe,
     "op6_imatch": op6_imatch,
     "op7_line_dedup": op7_line_dedup,
