@@ -113,19 +113,19 @@ def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_co
     read. The model is broadcast: a few hundred n-grams for each language.
     """
     model = docs.sparkSession.sparkContext.broadcast(profiles)
+    sent = docs.select(id_col, *keep, F.col(text_col).cast("string").alias("_text")) if text_col not in keep else docs.select(id_col, *keep)
+    at = sent.columns.index(text_col if text_col in keep else "_text")
     kept = docs.select(id_col, *keep).schema
     names = [*kept.names, "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            said = [model.value.predict(t) for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())],
-                names,
-            )
+            said = [model.value.predict(t) for t in b.column(at).to_pylist()]
+            said_columns = [pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names) - 2], *said_columns], names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double"
-    return docs.select(id_col, *keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    return sent.mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
