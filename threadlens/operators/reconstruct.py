@@ -175,6 +175,7 @@ class Fold:
         out: list[dict] = []
         # moved comments: removed here and found in an addition
         free = list(additions)
+        deletions = [op for op in ops if op.name == "delete"]
         moved: list[tuple[int, int, int]] = []
         for k in removed:
             text = old[p.comments[k].start : p.end(k)]
@@ -194,7 +195,8 @@ class Fold:
             if not text.strip():
                 continue
             reply = self._reply(p.comments, k, c.indent)
-            out.append(self._action("DELETION", text, f"{rev['rev_id']}.{c.start}.{c.start}", rev, c.id, reply, c.indent))
+            place = next((op.b1 for op in deletions if op.a1 < p.end(k) and op.a2 > c.start), 0)
+            out.append(self._action("DELETION", text, f"{rev['rev_id']}.{place}.{c.start}", rev, c.id, reply, c.indent))
             if REMEMBER[0] < len(text) < REMEMBER[1]:
                 p.deleted[text] = (c.id, c.indent)
         for x, y, k in moved:
@@ -215,18 +217,22 @@ class Fold:
                 if new[x:y].strip() or n == 0:
                     pieces.append((x, y, "kept" if n == 0 else "split", k, k in touched and n == 0))
         known = {**p.older_deleted, **p.deleted}
-        for x, y, _ in free:
+        places: dict[int, int] = {}  # new start of an inserted piece: where in the old text it came
+        for x, y, old_place in free:
             rest = [(x, y)]
             for text in sorted((t for t in known if t in new[x:y]), key=lambda t: (-len(t), t)):
                 for n, (s, e) in enumerate(rest):
                     found = new.find(text, s, e)
                     if found >= 0:
                         pieces.append((found, found + len(text), "restored", None, False))
+                        places[found] = old_place
                         rest[n : n + 1] = [z for z in ((s, found), (found + len(text), e)) if z[1] > z[0]]
                         break
             for s, e in rest:
                 if new[s:e].strip():
-                    pieces += [(s + at, s + at + len(part), "added", None, False) for at, part in cut_comments(new[s:e])]
+                    parts = [(s + at, s + at + len(part), "added", None, False) for at, part in cut_comments(new[s:e])]
+                    places.update({q[0]: old_place for q in parts})
+                    pieces += parts
         pieces.sort(key=lambda q: (q[0], q[1]))
         comments: list[Comment] = []
         for x, y, kind, k, changed in pieces:
@@ -245,14 +251,14 @@ class Fold:
             elif kind == "restored":
                 parent, indent = known[text]
                 comments.append(Comment(start, "", indent))
-                action_id = f"{rev['rev_id']}.{x}.{x}"
+                action_id = f"{rev['rev_id']}.{x}.{places.get(x, x)}"
                 action = self._action("RESTORATION", text, action_id, rev, parent, self._reply(comments, len(comments) - 1, indent), indent)
                 p.deleted.pop(text, None)
                 p.older_deleted.pop(text, None)
             else:
                 indent = indentation(text)
                 comments.append(Comment(start, "", indent))
-                action_id = f"{rev['rev_id']}.{x}.{x}"
+                action_id = f"{rev['rev_id']}.{x}.{places.get(x, x)}"
                 action = self._action("CREATION" if indent == -1 else "ADDITION", text, action_id, rev, None, self._reply(comments, len(comments) - 1, indent), indent)
             comments[-1].id = action_id
             out.append(action)
