@@ -99,7 +99,52 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_langid": op10_langid,
 }
 
+_WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
 ORACLES: dict[str, str] = {
+    "op3_near_dedup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents),
+        t AS (SELECT doc_id, array_to_string(w, ' ') AS t, w FROM w WHERE len(w) > 0),
+        rep AS (SELECT t, min(doc_id) AS rep, count(*) AS copies, any_value(w) AS w FROM t GROUP BY 1),
+        s AS (SELECT rep, unnest(list_distinct(CASE WHEN len(w) < 5 THEN [t] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM rep),
+        n AS (SELECT rep, count(*) AS n FROM s GROUP BY 1),
+        common AS (SELECT s FROM s GROUP BY 1 HAVING count(*) > 1),
+        c AS (SELECT s, rep FROM s JOIN common USING (s)),
+        p AS (SELECT a.rep AS a, b.rep AS b, count(*) AS shared FROM c a JOIN c b ON a.s = b.s AND a.rep < b.rep GROUP BY 1, 2),
+        links AS (SELECT a, b FROM p JOIN n x ON x.rep = a JOIN n y ON y.rep = b WHERE shared / (x.n + y.n - shared) >= 0.8),
+        e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT rep AS node, rep AS seen FROM rep WHERE rep IN (SELECT a FROM e) UNION SELECT r.node, e.b FROM reach r JOIN e ON e.a = r.seen),
+        class AS (SELECT node, min(seen) AS class_id FROM reach GROUP BY 1),
+        named AS (SELECT t, copies, coalesce(class_id, rep) AS class_id FROM rep LEFT JOIN class ON node = rep),
+        size AS (SELECT class_id, CAST(sum(copies) AS BIGINT) AS class_size FROM named GROUP BY 1)
+        SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(class_size, 1) AS class_size, coalesce(class_id, d.doc_id) = d.doc_id AS kept
+        FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN named USING (t) LEFT JOIN size USING (class_id)
+    """,
+    "op4_substring_dedup": rf"""
+        WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+        s AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 34], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM w WHERE len(w) >= 35)),
+        d AS (SELECT k FROM s GROUP BY 1 HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS i FROM s JOIN d USING (k)),
+        each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM each e ANTI JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i GROUP BY 1)
+        SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(w.w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+    """,
+    "op7_line_dedup": rf"""
+        WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents WHERE text IS NOT NULL),
+        l AS (SELECT doc_id, no, line, {_WORDS.format("line")} AS w FROM raw),
+        k AS (SELECT *, array_to_string(w, ' ') AS key, len(w) AS n FROM l),
+        f AS (SELECT key, min((doc_id, no)) AS first, any_value(w) AS w, any_value(n) AS n FROM k WHERE n >= 5 GROUP BY 1),
+        v AS (SELECT first, i, array_to_string(w[:i - 1] || w[i + 1:], ' ') AS v FROM (SELECT first, w, unnest(range(1, n + 1)) AS i FROM f WHERE n >= 10)),
+        hub AS (SELECT v, i, min(first) AS hub FROM v GROUP BY 1, 2),
+        cross_ AS (SELECT f.first AS whole, v.first AS longer FROM v JOIN f ON f.key = v.v WHERE f.n >= 10),
+        near AS (SELECT first FROM v JOIN hub USING (v, i) WHERE hub < first UNION SELECT longer FROM cross_ WHERE whole < longer UNION SELECT whole FROM cross_ WHERE longer < whole),
+        decided AS (SELECT k.*, coalesce(k.n >= 5 AND f.first <> (k.doc_id, k.no), false) AS exact, near.first IS NOT NULL AS is_near
+            FROM k LEFT JOIN f ON f.key = k.key AND k.n >= 5 LEFT JOIN near ON near.first = f.first),
+        per AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (exact) AS n_exact, count(*) FILTER (is_near AND NOT exact) AS n_near,
+            string_agg(line, chr(10) ORDER BY no) FILTER (NOT exact AND NOT is_near) AS kept FROM decided GROUP BY 1)
+        SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM documents d LEFT JOIN per USING (doc_id)
+    """,
     "op8_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
              g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)
