@@ -28,7 +28,7 @@ WINDOW = 35
 #: Longest block such that each window holds one that starts at a multiple of it.
 BLOCK = (WINDOW + 1) // 2
 #: Characters of text for each part that hashes are dealt to, and bytes of text that a slice holds.
-PART_CHARS, SLICE = 12_000_000, 1 << 22
+PART_CHARS, SLICE = 8_000_000, 1 << 21
 #: Bytes sent of each hash besides its part: anchors are verified later, windows are not.
 ANCHOR_BYTES, WINDOW_BYTES = 5, 8
 
@@ -208,7 +208,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = max(3, math.ceil(math.log2(max(1, chars / PART_CHARS))))
     anchors = _exchange(rows, _send_blocks(bits, block, window), id_type, ANCHOR_BYTES, "anchors")
-    hit = rows.join(anchors.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id"))).select("id", "text", "places")
+    # merge joins at every size: places grow with the texts, so a plan that broadcasts them would not last
+    hit = rows.join(anchors.withColumnRenamed("id", "_id").hint("merge"), F.col("id").eqNullSafe(F.col("_id"))).select("id", "text", "places")
     repeats = _exchange(hit, _send_windows(bits, block, window), id_type, WINDOW_BYTES, "windows")
-    cut = rows.join(repeats.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id")), "left").select("id", "text", "places")
+    cut = rows.join(repeats.withColumnRenamed("id", "_id").hint("merge"), F.col("id").eqNullSafe(F.col("_id")), "left").select("id", "text", "places")
     return cut.mapInArrow(_cut(window, id_col), f"`{id_col}` {id_type}, n_words long, n_removed long, kept string")
