@@ -48,7 +48,7 @@ def save(df: DataFrame, label: str) -> DataFrame:
     before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)

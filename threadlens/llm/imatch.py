@@ -131,7 +131,7 @@ class Fingerprints:
         if i in self.bare:
             return f"w:{self.bare[i]:016x}"
         low = int(self.low[i])
-        return f"{low}:" + (self.hashes[i, :, low : low + SHOWN] >> U(32)).astype(">u4").tobytes().hex()
+        return f"{low}:" + (self.hashes[i, :, low : low + SHOWN] >> U(48)).astype(">u2").tobytes().hex()
 
     def likeness(self, a: int, b: int) -> float:
         """Of the subsets at levels that both fingerprints show and that hold a term of either, the share with equal hashes."""
@@ -171,7 +171,8 @@ def fit_lexicon(docs: DataFrame, text_col: str = "text", least: float = LEAST_SH
     """The lexicon over all rows of ``docs``."""
     n = docs.count()
     df = document_frequencies(docs.select(F.lower(F.coalesce(F.col(text_col), F.lit("")))))
-    terms = df.where((F.col("df") >= max(2, least * n)) & (F.col("df") <= max(2, most * n))).select("term").toPandas()["term"].to_numpy()
+    band = save(df.where((F.col("df") >= max(2, least * n)) & (F.col("df") <= max(2, most * n))).select("term"), "lexicon")
+    terms = band.toPandas()["term"].to_numpy()
     return Lexicon(terms)
 
 
