@@ -64,3 +64,24 @@ def at_thresholds(scored: DataFrame, score: str, truth: Column, thresholds: list
     out = one.select("positives", rows.alias("r")).select("positives", "r.*")
     share = lambda a, b: F.round(F.col(a) / F.when(F.col(b) != 0, F.col(b)), 6)
     return out.select("threshold", "predicted", "hits", share("hits", "predicted").alias("precision"), share("hits", "positives").alias("recall"))
+
+
+def break_even(scored: DataFrame, score: str, truth: Column) -> DataFrame:
+    """One row (threshold, precision, recall): where precision and recall are closest, from running counts over distinct scores."""
+    per = scored.groupBy(F.col(score).alias("threshold")).agg(F.count(F.when(truth, 1)).alias("hits"), F.count(F.lit(1)).alias("n"))
+    down = Window.orderBy(F.desc("threshold"))  # over distinct scores
+    run = per.select("threshold", F.sum("hits").over(down).alias("hits"), F.sum("n").over(down).alias("n"), F.sum("hits").over(Window.partitionBy()).alias("all"))
+    rates = run.select("threshold", (F.col("hits") / F.col("n")).alias("precision"), (F.col("hits") / F.when(F.col("all") > 0, F.col("all"))).alias("recall"))
+    return rates.orderBy(F.abs(F.col("precision") - F.col("recall")), F.desc("threshold")).limit(1)
+
+
+def cross_counts(rows: DataFrame, a: Column, b: Column) -> DataFrame:
+    """One row (a, b, both, only_a) of counts."""
+    count = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    return rows.agg(count(a, "a"), count(b, "b"), count(a & b, "both"), count(a & ~b, "only_a"))
+
+
+def subsample(labels: DataFrame, unit: str, key: str, n: int = 5, seed: str = "0") -> DataFrame:
+    """``n`` labels of each unit that has more, all of the others; drawn by a digest."""
+    order = Window.partitionBy(unit).orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(seed))), key)
+    return labels.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")

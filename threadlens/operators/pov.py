@@ -61,3 +61,10 @@ def fuzzy_revisions(rejected: DataFrame, improved: DataFrame, key: str = "rev_id
     """Rejected and improved sentences of one revision that match."""
     a, b = rejected.select(key, F.col(column).alias("old")), improved.select(key, F.col(column).alias("new"))
     return a.join(b, key).where(fuzzy_match(F.col("old"), F.col("new")))
+
+
+def author_overlap(first: DataFrame, second: DataFrame, author: str, least: int = 20) -> DataFrame:
+    """One row (first, second, both): authors with ``least`` revisions or more in each table, and in both."""
+    often = lambda df: df.groupBy(author).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select(author)
+    a, b = often(first).withColumn("a", F.lit(1)), often(second).withColumn("b", F.lit(1))
+    return a.join(b, author, "full").agg(F.count("a").alias("first"), F.count("b").alias("second"), F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).alias("both"))

@@ -465,3 +465,74 @@ def reconstruct_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     return scoring.score(rows, "text", scoring.WordScorer({"toxicity": {"the", "and"}})).select("conv_id", "turn", F.round("toxicity", 6).alias("toxicity"))
+
+
+# --- further functions ---
+
+_any = lambda p, of="lower(text)": f"len(list_filter({SENTENCES.format(of)}, lambda x: regexp_matches(x, '{sql_q(p)}'))) > 0"
+NAMED = ("please", "gratitude", "apology", "hedge", "subjunctive", "direct_start")
+POSITIVE, NEGATIVE = ["of", "to", "and", "est", "le"], ["the", "in", "der", "de"]
+
+
+@query(f"SELECT conv_id, turn, {', '.join(f'{_any(t.POLITE[n])} AS {n}' for n in NAMED)} FROM conversations WHERE regexp_full_match(text, '[ -~\\n]*')")
+def politeness_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = t.politeness(F.col("text"))
+    return table(spark, sf_dir, "conversations").where(F.col("text").rlike(r"^[ -~\n]*$")).select("conv_id", "turn", *[found[n].alias(n) for n in NAMED])
+
+
+@query(f"SELECT conv_id, turn, contains(text, '?') OR {_any('^(' + '|'.join(t.POLAR) + ') ')} AS is_request FROM conversations")
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", t.is_request(F.col("text")).alias("is_request"))
+
+
+@query(f"""WITH {DOCS}, w AS (SELECT doc_id, unnest({TOKENS.format('text')}) AS w FROM d), s AS (SELECT doc_id, sum(CASE WHEN w IN ({', '.join(f"'{x}'" for x in POSITIVE)}) THEN 1
+    WHEN w IN ({', '.join(f"'{x}'" for x in NEGATIVE)}) THEN -1 ELSE 0 END) AS t FROM w GROUP BY 1) SELECT doc_id, round(coalesce(t, 0) / sqrt(coalesce(t, 0) * coalesce(t, 0) + 15), 6) AS sentiment FROM d LEFT JOIN s USING (doc_id)
+    WHERE NOT regexp_matches(lower(text), '(^|[^a-z0-9''])(not|no)([^a-z0-9'']|$)')""")
+def sentiment_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = _docs(spark, sf_dir).where(~F.lower("text").rlike("(^|[^a-z0-9'])(not|no)([^a-z0-9']|$)"))
+    return plain.select("doc_id", F.round(t.sentiment(F.col("text"), POSITIVE, NEGATIVE), 6).alias("sentiment"))
+
+
+@query("SELECT event_id, json_keys(props)[1] AS first_key FROM events")
+def json_first_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", t.first_key(F.col("props")).alias("first_key"))
+
+
+@query("""SELECT event_id, CAST(epoch(strptime(strftime(ts, '%Y%m%d%H%M%S'), '%Y%m%d%H%M%S')) AS BIGINT) AS seconds,
+    CAST(epoch(date_trunc('second', ts)) AS BIGINT) - 7200 AS shifted, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) - 7200 AS hour_start FROM events""")
+def time_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from threadlens.functions import time
+
+    ts = F.col("ts").cast("timestamp")
+    return table(spark, sf_dir, "events").select(
+        "event_id", F.unix_timestamp(time.from_compact(F.date_format(ts, "yyyyMMddHHmmss"))).alias("seconds"),
+        time.with_offset(F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit("+02"))).alias("shifted"), F.unix_timestamp(time.hour_before(ts)[0]).alias("hour_start"),
+    )
+
+
+@query("""WITH s AS (SELECT (d.n_chars % 1000) / 1000 AS score, toxic = 1 AS truth FROM labels JOIN documents d USING (doc_id)),
+    p AS (SELECT score, count(*) FILTER (truth) AS h, count(*) AS n FROM s GROUP BY 1),
+    r AS (SELECT score, sum(h) OVER (ORDER BY score DESC) AS h, sum(n) OVER (ORDER BY score DESC) AS n, sum(h) OVER () AS a FROM p)
+    SELECT score AS threshold, round(h / n, 6) AS precision, round(h / nullif(a, 0), 6) AS recall FROM r ORDER BY abs(h / n - h / nullif(a, 0)), score DESC LIMIT 1""")
+def precision_recall_break_even(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "(n_chars % 1000) / 1000 AS score")
+    best = agreement.break_even(table(spark, sf_dir, "labels").join(docs, "doc_id"), "score", F.col("toxic") == 1)
+    return best.select("threshold", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query("SELECT count(*) FILTER (toxic = 1) AS a, count(*) FILTER (quality = 1) AS b, count(*) FILTER (toxic = 1 AND quality = 1) AS both, count(*) FILTER (toxic = 1 AND quality <> 1) AS only_a FROM labels".replace("AS both", 'AS "both"'))
+def boolean_cross_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agreement.cross_counts(table(spark, sf_dir, "labels"), F.col("toxic") == 1, F.col("quality") == 1)
+
+
+@query("""SELECT unit, doc_id FROM (SELECT doc_id % 37 AS unit, doc_id, row_number() OVER (PARTITION BY doc_id % 37 ORDER BY md5(doc_id || ':0'), doc_id) AS n FROM labels) WHERE n <= 5""")
+def label_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").selectExpr("doc_id % 37 AS unit", "doc_id")
+    return agreement.subsample(labels, "unit", "doc_id")
+
+
+@query("""WITH a AS (SELECT user_id FROM events WHERE event_type = 'click' GROUP BY 1 HAVING count(*) >= 20), b AS (SELECT user_id FROM events WHERE event_type = 'view' GROUP BY 1 HAVING count(*) >= 20)
+    SELECT (SELECT count(*) FROM a) AS first, (SELECT count(*) FROM b) AS second, (SELECT count(*) FROM a JOIN b USING (user_id)) AS "both" """)
+def frequent_author_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return pov.author_overlap(e.where("event_type = 'click'"), e.where("event_type = 'view'"), "user_id")
