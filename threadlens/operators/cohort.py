@@ -77,21 +77,25 @@ def prefixes(good: DataFrame) -> DataFrame:
     One row for each (conversation, time): (conversation_id, end_time, start_time, page_id, users,
     length, before_max, users_before, length_before, after_max).
     """
-    conv = Window.partitionBy("conversation_id").orderBy("ts")
-    upto = conv.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    after = conv.rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    by_time = good.groupBy("conversation_id", "ts").agg(
-        F.min("page_id").alias("page_id"), F.collect_set("user_text").alias("names"), F.collect_set("id").alias("ids"), F.max("toxicity").alias("most")
+    def is_new(column: str) -> Column:
+        first = F.row_number().over(Window.partitionBy("conversation_id", column).orderBy("ts", "id")) == 1
+        return (first & F.col(column).isNotNull()).cast("int")
+
+    marked = good.withColumn("new_user", is_new("user_text")).withColumn("new_id", is_new("id"))
+    by_time = marked.groupBy("conversation_id", "ts").agg(
+        F.min("page_id").alias("page_id"), F.sum("new_user").alias("new_users"), F.sum("new_id").alias("new_ids"), F.max("toxicity").alias("most")
     )
-    earlier = conv.rowsBetween(Window.unboundedPreceding, -1)  # one row a time by now
-    names = lambda w: F.size(F.array_distinct(F.flatten(F.collect_list("names").over(w))))
-    ids = lambda w: F.size(F.array_distinct(F.flatten(F.collect_list("ids").over(w))))
+    conv = Window.partitionBy("conversation_id").orderBy("ts")  # one row a time by now
+    upto = conv.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = conv.rowsBetween(Window.unboundedPreceding, -1)
+    after = conv.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    count = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
     return by_time.select(
         "conversation_id", F.col("ts").alias("end_time"),
         F.min("ts").over(upto).alias("start_time"), F.min("page_id").over(upto).alias("page_id"),
-        names(upto).cast("long").alias("users"), ids(upto).cast("long").alias("length"),
+        count("new_users", upto).alias("users"), count("new_ids", upto).alias("length"),
         F.max("most").over(earlier).alias("before_max"),
-        F.greatest(names(earlier), F.lit(0)).cast("long").alias("users_before"), F.greatest(ids(earlier), F.lit(0)).cast("long").alias("length_before"),
+        count("new_users", earlier).alias("users_before"), count("new_ids", earlier).alias("length_before"),
         F.max("most").over(after).alias("after_max"),
     )
 
