@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlens.llm.common import SPACE_CLASS, save
+from threadlens.llm.common import WORD_CLASS, save
 
 #: Shorter lines are never removed.
 LEAST_WORDS = 5
@@ -22,7 +22,7 @@ EDIT_WORDS = 10
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, f"{SPACE_CLASS}+"), lambda w: w != "")
+    return F.regexp_extract_all(line, F.lit(f"({WORD_CLASS}+)"), F.lit(1))
 
 
 def _half_keys(words: Column, n: Column) -> Column:
@@ -138,13 +138,9 @@ class LineDecisions:
 
     def per_document(self) -> DataFrame:
         """(id, th, n_lines, n_exact, n_near, gone: numbers of the lines that go) of documents with lines."""
-        count = lambda c: F.sum(c.cast("long"))
-        return self.lines.groupBy("id", "th").agg(
-            F.countDistinct("line_no").alias("n_lines"),
-            count(F.col("exact")).alias("n_exact"),
-            count(F.col("near")).alias("n_near"),
-            F.collect_set(F.when(F.col("exact") | F.col("near"), F.col("line_no"))).alias("gone"),
-        )
+        numbers = lambda c: F.collect_set(F.when(c, F.col("line_no")))
+        sets = self.lines.groupBy("id", "th").agg((F.max("line_no") + 1).cast("long").alias("n_lines"), numbers(F.col("exact")).alias("e"), numbers(F.col("near")).alias("m"))
+        return sets.select("id", "th", "n_lines", F.size("e").cast("long").alias("n_exact"), F.size("m").cast("long").alias("n_near"), F.concat("e", "m").alias("gone"))
 
     def texts(self) -> DataFrame:
         """``docs`` with each text cut to the lines that stay, joined by line feeds, and the columns
