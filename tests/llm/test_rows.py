@@ -371,3 +371,30 @@ def test_language_ngrams():
     assert sorted(one) == sorted(map(ord, "abc"))
     assert len(codes) == 3 + 5 + 3  # " a" "ab" "b " " c" "c "; " ab" "ab " " c "
     assert math.isclose(langid.Profiles({"x": list(langid.top_ngrams("ab c", 400))}).predict("AB C")[1], 1.0)
+
+
+def test_repeated_rows(docs):
+    """Repeated rows are answered alike by every operator that answers by row."""
+    twice = docs.unionByName(docs.where("doc_id % 3 = 0"))
+    n = twice.count()
+    answers = {
+        "shards": sharding.shard_by_bytes(twice, shards=4).drop("slot", "shard"),
+        "mix": mixing.Mix(twice, block=16).taken().drop("taken"),
+        "near": probminhash.NearDuplicates(twice).result(),
+        "repeats": anchors.remove_repeats(twice),
+        "bpe": bpe.encode_decode(twice),
+        "lines": line_dedup.LineDecisions(twice).texts().select("doc_id", "text", "_n_lines", "_n_exact", "_n_near"),
+        "digests": digest_index.exact_dedup(twice),
+        "pii": pii.find_pii(twice),
+        "languages": langid.predict(twice, langid.fit(twice)),
+    }
+    for name, df in answers.items():
+        got = df.collect()
+        assert len(got) == n, name
+        by_id = collections.defaultdict(set)
+        for r in got:
+            by_id[r.doc_id].add(str(r))
+        assert all(len(v) == 1 for v in by_id.values()), name
+    assert imatch.fingerprint_neighbours(twice).count() == n
+    alone = {r.doc_id: (r.text, r._n_exact, r._n_near) for r in line_dedup.LineDecisions(docs).texts().collect()}
+    assert {r.doc_id: (r.text, r._n_exact, r._n_near) for r in answers["lines"].collect()} == alone
