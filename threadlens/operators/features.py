@@ -8,28 +8,30 @@ from pyspark.sql import functions as F
 from threadlens.functions import text as t
 from threadlens.operators.conversations import drop_last_time, own_previous, reply_pairs
 
-# Frequent function words.
+#: A short default; callers with a fuller list pass it.
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that", "the", "this", "to", "was", "were", "will", "with")
 
 
-def per_comment(actions: DataFrame, lexicons: dict[str, list[str]] | None = None) -> DataFrame:
+def per_comment(actions: DataFrame, lexicons: dict[str, list[str]] | None = None, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
     """``actions`` with token lists, cues and counts of each lexicon."""
     c = F.col("content")
     words = t.tokens(c)
-    stop = F.array(*map(F.lit, STOPWORDS))
+    stop = F.array(*map(F.lit, stopwords))
     out = actions.withColumns({"tokens": words, "stop_tokens": F.array_intersect(words, stop), "content_tokens": F.array_except(words, stop), "length": F.size(words), **t.cues(c)})
     out = out.withColumns({"agrees": t.agrees(c), "disagrees": t.disagrees(c)})
     return out.withColumns({f"lexicon_{k}": t.lexicon_count(c, v) for k, v in (lexicons or {}).items()})
 
 
-def conversation_features(actions: DataFrame, lexicons: dict[str, list[str]] | None = None, compat: bool = False) -> DataFrame:
+def conversation_features(
+    actions: DataFrame, lexicons: dict[str, list[str]] | None = None, compat: bool = False, stopwords: tuple[str, ...] = STOPWORDS
+) -> DataFrame:
     """One row a conversation, over its comments before the last time.
 
     Lengths, greatest score, score entropy, any-comment cues, repetition against the own previous
     comment, adoption against the answered one, score rises. ``compat`` gives min_len as the last
     comment's length, as published figures have it.
     """
-    rows = per_comment(drop_last_time(actions), lexicons)
+    rows = per_comment(drop_last_time(actions), lexicons, stopwords)
     conv = Window.partitionBy("conversation_id")
     p = F.col("toxicity") / F.sum("toxicity").over(conv)
     n = F.count(F.lit(1)).over(conv)

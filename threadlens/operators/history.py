@@ -48,7 +48,15 @@ def account_age_months(registered: F.Column, now: F.Column) -> F.Column:
 
 
 # User groups of each status level.
-LEVELS = {4: ("founder", "steward", "sysop", "bureaucrat", "checkuser", "oversight"), 3: ("reviewer", "rollbacker", "patroller", "filemover", "templateeditor"), 2: ("autoreviewer", "extendedconfirmed", "confirmed")}
+LEVELS = {
+    4: ["founder", "sysop"],
+    3: ["accountcreator", "bureaucrat", "checkuser"],
+    2: [
+        "abusefilter", "abusefilter-helper", "autoreviewer", "extendedmover", "filemover", "import", "oversight", "patroller", "reviewer", "rollbacker",
+        "templateeditor", "epadmin", "epcampus", "epcoordinator", "epinstructor", "eponline",
+    ],
+    1: ["massmessage-sender", "ipblock-exempt", "extendedconfirmed", "autoconfirmed", "researcher", "user"],
+}
 
 
 def status(groups: F.Column) -> F.Column:

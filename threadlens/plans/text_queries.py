@@ -49,7 +49,15 @@ def _re(pattern: str, of: str, by: str = "") -> str:
 
 
 _strip = lambda x: _re("==+", _re("'''?", _re(r"\[[a-z]+://[^\]]*\]", _re(r"\[[a-z]+://[^ \]]* ([^\]]*)\]", _re(r"\[\[([^\[\]]*)\]\]", _re(r"\[\[[^\[\]|]*\|([^\[\]]*)\]\]", _re(r"\{\{[^{}]*\}\}", _re(r"\{\{[^{}]*\}\}", x)), r"\1"), r"\1"), r"\1"))))
-_comment = lambda x: _re("—Preceding .* comment added by   •", _re(" :", _re("--", _re("<[^>]*>", _strip(_re(t.BLOCKED, _re(t.LINKS, _re(t.DATE, x)), "[BLOCKING_ACTION]")))), " "))
+
+
+def _all(rules: list[tuple[str, str]], of: str) -> str:
+    for pattern, by in rules:
+        of = _re(pattern, of, by)
+    return of
+
+
+_comment = lambda x: _all(t.AFTER_STRIP, _re("<[^>]*>", _strip(_all(t.BEFORE_STRIP, _re(t.DATE, x)))))
 
 
 @query(f"SELECT conv_id, turn, {_comment(WIKI)} AS clean FROM conversations")
@@ -105,7 +113,7 @@ def pii_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.flagged(_docs(spark, sf_dir).join(labels, "doc_id", "left"), "text", F.col("score")).select("doc_id", "pii", "toxic")
 
 
-@query(f"SELECT conv_id, turn, regexp_matches(lower(text), '{sql_q(t.AGREE)}') AS agrees, regexp_matches(lower(text), '{sql_q(t.DISAGREE)}') AS disagrees FROM conversations")
+@query(f"SELECT conv_id, turn, ((starts_with(lower(text), 'sure ') OR starts_with(lower(text), 'true ')) AND NOT contains(text, '?')) OR regexp_matches(lower(text), '{sql_q(t.whole(t.AGREE))}') AS agrees, regexp_matches(lower(text), '{sql_q(t.whole(t.DISAGREE))}') AS disagrees FROM conversations")
 def agreement_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", t.agrees(F.col("text")).alias("agrees"), t.disagrees(F.col("text")).alias("disagrees"))
 
