@@ -7,6 +7,8 @@ bucket by bucket and is never shuffled.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.spark, self.path, self.buckets = spark, path, buckets
-        self.table = "digest_index_" + "".join(c if c.isalnum() else "_" for c in path.rsplit("/", 1)[-1])
+        self.table = f"digest_index_{hashlib.sha1(path.encode()).hexdigest()[:16]}"
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id BIGINT) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
