@@ -1,8 +1,8 @@
 """Character differences of two texts as ordered operations, cut at natural places.
 
-Common ends are trimmed first, so an edit of a long page costs what its changed middle costs. The
-middle is cut by lines, then each changed run by words, then by characters; short equalities between
-larger changes are absorbed, so that the operations are those a reader would name.
+Common lines at both ends are trimmed first, so an edit of a long page costs what its changed middle
+costs. The middle is compared by lines, then each replaced run of lines by words; short equalities
+between larger changes are absorbed, so that the operations are those a reader would name.
 """
 
 from __future__ import annotations
@@ -12,8 +12,6 @@ from difflib import SequenceMatcher
 from typing import NamedTuple
 
 _WORD = re.compile(r"\w+|\s|[^\w\s]")
-#: Changed runs longer than this are compared by lines before words.
-_LONG = 2000
 
 
 class Op(NamedTuple):
@@ -45,10 +43,6 @@ def _common_ends(a: str, b: str) -> tuple[int, int]:
     return start, lo
 
 
-def _units(text: str) -> list[str]:
-    return text.splitlines(keepends=True) if len(text) > _LONG else _WORD.findall(text)
-
-
 def _blocks(a: str, b: str, a0: int, b0: int, fine: bool) -> list[Op]:
     """Operations of two texts whose first characters stand at a0 and b0."""
     if not a and not b:
@@ -57,7 +51,9 @@ def _blocks(a: str, b: str, a0: int, b0: int, fine: bool) -> list[Op]:
         return [Op("insert", a0, a0, b0, b0 + len(b))]
     if not b:
         return [Op("delete", a0, a0 + len(a), b0, b0)]
-    ua, ub = (_WORD.findall(a), _WORD.findall(b)) if fine else (_units(a), _units(b))
+    ua, ub = (_WORD.findall(a), _WORD.findall(b)) if fine else (a.split("\n"), b.split("\n"))
+    if not fine:  # each line with its line feed
+        ua, ub = ([x + "\n" for x in u[:-1]] + ([u[-1]] if u[-1] else []) for u in (ua, ub))
     pa, pb = [0], [0]
     for x in ua:
         pa.append(pa[-1] + len(x))
@@ -68,7 +64,7 @@ def _blocks(a: str, b: str, a0: int, b0: int, fine: bool) -> list[Op]:
         a1, a2, b1, b2 = a0 + pa[i1], a0 + pa[i2], b0 + pb[j1], b0 + pb[j2]
         if tag == "equal":
             out.append(Op("equal", a1, a2, b1, b2))
-        elif tag == "replace" and not fine and max(len(a), len(b)) > _LONG:
+        elif tag == "replace" and not fine:
             out += _blocks(a[pa[i1] : pa[i2]], b[pb[j1] : pb[j2]], a1, b1, True)
         else:
             if a2 > a1:
@@ -126,6 +122,9 @@ def diff(a: str, b: str) -> list[Op]:
     if a == b:
         return [Op("equal", 0, len(a), 0, len(b))] if a else []
     start, end = _common_ends(a, b)
+    start = a.rfind("\n", 0, start) + 1  # whole lines
+    feed = a.find("\n", len(a) - end) if end else -1
+    end = 0 if feed < 0 else len(a) - feed - 1
     ops = [Op("equal", 0, start, 0, start)] if start else []
     ops += _blocks(a[start : len(a) - end], b[start : len(b) - end], start, start, False)
     if end:
