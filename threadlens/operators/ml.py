@@ -8,10 +8,17 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import CountVectorizer, MaxAbsScaler, RegexTokenizer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _bare(model: PipelineModel) -> PipelineModel:
+    """The model without its training summary: that holds the training table, which tasks neither need nor can always be sent."""
+    last = model.stages[-1]._java_obj
+    last.setSummary(SparkSession.getActiveSession()._jvm.scala.Option.empty())
+    return model
+
+
 def leave_pairs_out(rows: DataFrame, features: list[str], label: str, pair: str, folds: int = 5, c: float = 0.02) -> tuple[float, float]:
     """(accuracy, standard error) of a linear SVM; both conversations of a pair are in one fold, chosen by a hash of the pair."""
     fold = F.pmod(F.xxhash64(pair), F.lit(folds))
@@ -21,7 +28,7 @@ def leave_pairs_out(rows: DataFrame, features: list[str], label: str, pair: str,
         train, test = data.where(F.col("_fold") != k), data.where(F.col("_fold") == k)
         if test.isEmpty() or train.select(label).distinct().count() < 2:
             continue
-        svm = Pipeline(stages=[MaxAbsScaler(inputCol="raw", outputCol="features"), LinearSVC(labelCol=label, regParam=c)]).fit(train)
+        svm = _bare(Pipeline(stages=[MaxAbsScaler(inputCol="raw", outputCol="features"), LinearSVC(labelCol=label, regParam=c)]).fit(train))
         hit = svm.transform(test).agg(F.count(F.when(F.col("prediction") == F.col(label), 1)), F.count(F.lit(1))).first()
         right, n = right + hit[0], n + hit[1]
     data.unpersist()
@@ -36,7 +43,7 @@ def text_classifier(train: DataFrame, text: str, label: str, vocabulary: int = 2
         CountVectorizer(inputCol="_tokens", outputCol="features", vocabSize=vocabulary, minDF=least_df, binary=True),
         LogisticRegression(labelCol=label, maxIter=30, regParam=0.01),
     ]
-    return Pipeline(stages=stages).fit(train)
+    return _bare(Pipeline(stages=stages).fit(train))
 
 
 def quality(model: PipelineModel, rows: DataFrame, label: str) -> dict[str, float]:
