@@ -143,7 +143,7 @@ class Mix:
             "id", "th", "sid", "start", "size",
             F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))).alias("block"),
         )
-        joined = spread.join(drawn, ["sid", "block"])
+        joined = spread.join(drawn.hint("merge"), ["sid", "block"])  # the planner takes generated slots for a few rows
         lo, hi, begin = F.greatest("start", F.col("block") * b), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b), F.col("block") * b
         return joined.select("id", "th", "sid", "start", "size", lo.alias("lo"), hi.alias("hi"), "whole", F.least(hi, F.greatest(lo, begin + F.col("part"))).alias("part_hi"))
 
@@ -151,7 +151,7 @@ class Mix:
         """One row per input row: id, size, source_size, target (of its source), taken."""
         words = F.col("whole") * (F.col("hi") - F.col("lo")) + F.col("part_hi") - F.col("lo")
         sums = self.pieces().groupBy("sid", "start", "size").agg(F.sum(words).alias("taken"))  # a start is one document's, if it has words
-        return self.packed.join(sums, ["sid", "start", "size"], "left").select(
+        return self.packed.join(sums.hint("merge"), ["sid", "start", "size"], "left").select(
             F.col("id").alias(self.id_col), "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken")
         )
 
