@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.llm.common import save
-from threadlens.llm.textarrays import U, Words, rolling, slices, space_table, text_buffers, window_starts
+from threadlens.llm.textarrays import U, Words, mix64, rolling, slices, space_table, text_buffers, window_starts
 
 WINDOW = 35
 #: Longest block such that each window holds one that starts at a multiple of it.
@@ -55,7 +55,7 @@ NAMES = ["part", "decided", "others", "hashes", "ids", "places"]
 
 def _sent(h: np.ndarray, asks: np.ndarray, text: np.ndarray, place: np.ndarray, ids: pa.Array, bits: int, width: int) -> Iterator[pa.RecordBatch]:
     """The rows that a slice sends: for each part, hashes that ask (with their places) and others that
-    only count; and one row of places that are decided already, their hashes occurring twice here."""
+    only count; and one row of places that are decided already, their hashes occurring twice here (to any one part)."""
     if not len(h):
         return
     order = np.argsort(h, kind="stable")
@@ -82,7 +82,7 @@ def _sent(h: np.ndarray, asks: np.ndarray, text: np.ndarray, place: np.ndarray,
         there = pa.array([0, int(decided.sum())], pa.int32())
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([int(own[decided][0])], pa.int32()), pa.array([True]), pa.array([b""], pa.binary()), pa.array([b""], pa.binary()),
+                pa.array([int(mix64(s[decided][:1])[0] & U(n - 1))], pa.int32()), pa.array([True]), pa.array([b""], pa.binary()), pa.array([b""], pa.binary()),
                 pa.ListArray.from_arrays(there, ids.take(pa.array(text[decided]))), pa.ListArray.from_arrays(there, pa.array(place[decided], pa.int32())),
             ],
             NAMES,
