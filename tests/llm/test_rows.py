@@ -165,6 +165,21 @@ def test_near_duplicates(docs, empty):
     assert probminhash.NearDuplicates(empty).result().count() == 0
 
 
+def test_near_duplicates_in_crowded_buckets(spark):
+    """The last two texts are alike, but in all their buckets other texts have more company."""
+    rnd = random.Random(4)
+    words = lambda k: ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(k)]
+    template, texts = words(400), []
+    for _ in range(4):
+        family = template + words(60)
+        texts += [family + words(10) for _ in range(30)]
+    texts = [" ".join(t) for t in [*texts, template + words(40), template + words(40)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = classes({i: shingle_set(t) for i, t in enumerate(texts)})
+    assert want[121] == 120
+    assert {i: r.class_id for i, r in rows(probminhash.NearDuplicates(df).result()).items()} == want
+
+
 def test_signatures_estimate_probability_jaccard():
     import numpy as np
 

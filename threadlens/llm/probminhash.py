@@ -26,6 +26,8 @@ SHINGLE, SIMILAR = 5, 0.8
 COMPONENTS, BAND = 128, 5
 #: Hubs of a bucket that its texts are held against in each round after the first.
 HUBS = 6
+#: Rounds go on while one pair in so many is a link; the exact join is cheaper for the rest.
+FEW = 100
 #: Share of agreeing components from which a pair is verified.
 LIKELY = 0.67
 _GOLDEN = U(0x9E3779B97F4A7C15)
@@ -117,6 +119,17 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], ["id", "shingles"])
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, n, s): a row for each of a text's n shingles."""
+    for batch in batches:
+        for a in range(0, len(batch), 512):
+            part = batch.slice(a, 512)
+            sets = [np.frombuffer(v.as_buffer(), dtype=np.int64) for v in part.column(1)]
+            n = np.array([len(x) for x in sets], dtype=np.int32)
+            of = np.repeat(np.arange(len(sets)), n)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array(n[of]), pa.array(np.concatenate(sets))], ["id", "n", "s"])
+
+
 def _likely(least: float):
     """Keeps pairs whose one-byte signatures agree in at least the share ``least`` of components."""
 
@@ -150,9 +163,10 @@ class NearDuplicates:
     Equal word sequences are one text, of which the smallest id takes part. In every band bucket each
     text is held against the bucket's most central text, the one with most company over all its
     buckets; the texts that stay apart are then held against the next most central ones, round after
-    round, until a whole round finds no link. No group is paired up. A null or wordless text is a class
-    of its own; repeated rows get one class; an empty table gives an empty result; other columns are
-    ignored. Ids should be unique: of rows that share an id, one text takes part in comparisons.
+    round, while a round finds more than a few links. The texts of buckets that still hold several classes then get
+    an exact join over their rarest shingles, so no link within a bucket is given up. A null or wordless
+    text is a class of its own; repeated rows get one class; an empty table gives an empty result; other
+    columns are ignored. Ids should be unique: of rows that share an id, one text takes part in comparisons.
     """
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR):
@@ -187,6 +201,41 @@ class NearDuplicates:
         verified = self._sides(likely, self.sets, "shingles").mapInArrow(_verify, f"a {self.id_type}, b {self.id_type}, jaccard double")
         return save(verified.where(F.col("jaccard") >= self.similar), "links")
 
+    def _rare_keys(self, texts: DataFrame) -> DataFrame:
+        """(id, class, n, s, df, place): the rarest shingles of each of ``texts`` (id, class), so many that two texts
+        with ``similar`` or more in common share one, with their places in the text's order of rarity.
+
+        Rarity is counted among these texts. A shingle of one text takes its place but makes no key.
+        """
+        spread = self.sets.join(texts.select("id"), "id", "left_semi").mapInArrow(_spread, f"id {self.id_type}, n int, s long")
+        spread = save(spread, "open-shingles")
+        df = save(spread.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "open-df")
+        shared = save(spread.join(df, "s").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("x")), "open-keys")
+        alone = F.col("n") - F.size("x")  # these come first
+        size = F.col("n") - F.ceil(F.col("n") * F.lit(self.similar) - F.lit(1e-9)) + 1 - alone
+        first = shared.select("id", "n", alone.alias("alone"), F.posexplode(F.slice("x", F.lit(1), F.greatest(size, F.lit(0)).cast("int"))).alias("i", "x"))
+        return first.select("id", "n", F.col("x.s").alias("s"), (F.col("alone") + F.col("i") + 1).alias("place")).join(texts, "id")
+
+    def _rest(self, open_rows: DataFrame) -> DataFrame:
+        """The links between classes among the texts of ``open_rows`` (id, key, class), by a prefix join.
+
+        At the first key that two texts share, no more than what follows it in both can be shared, which
+        bounds the pairs. A bucket's largest class is held against the others only, never against itself.
+        """
+        keys = save(self._rare_keys(save(open_rows.select("id", "class").distinct(), "open-texts")), "rare-keys")
+        sizes = save(keys.groupBy("s", "class").agg(F.count(F.lit(1)).alias("c")), "key-classes")
+        largest = sizes.groupBy("s").agg(F.max(F.struct("c", "class"))["class"].alias("largest"), F.count(F.lit(1)).alias("classes"))
+        largest = save(largest.where("classes > 1").select("s", "largest"), "mixed-keys")
+        met = save(keys.join(largest, "s"), "mixed-rows")
+        x = met.select("s", *[F.col(c).alias(f"x_{c}") for c in ("id", "class", "n", "place", "largest")])
+        y = met.where("class <> largest").select("s", *[F.col(c).alias(f"y_{c}") for c in ("id", "class", "n", "place")])
+        most = 1 + F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
+        able = most >= (F.col("x_n") + F.col("y_n")) * F.lit(self.similar / (1 + self.similar)) - F.lit(1e-6)
+        once = (F.col("x_class") == F.col("x_largest")) | (F.col("x_id") < F.col("y_id"))
+        pairs = x.join(y, "s").where((F.col("x_class") != F.col("y_class")) & once & able)
+        pairs = pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
+        return self._links(save(pairs.distinct(), "rest-pairs"))
+
     def _classes(self) -> DataFrame:
         """(id, class) of the distinct texts that have a link."""
         open_rows = self.bands.withColumn("class", F.col("id"))
@@ -214,6 +263,13 @@ class NearDuplicates:
             labelled = save(labelled, "labelled")
             mixed = save(labelled.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key"), "mixed")
             open_rows = save(labelled.join(mixed, "key", "left_semi"), "open-rows")
+            if open_rows.isEmpty() or found.count() * FEW < pairs.count():
+                break
+        if not open_rows.isEmpty():
+            found = self._rest(open_rows)
+            if not found.isEmpty():
+                links = found if links is None else links.unionByName(found)
+                classes = components(links.select("a", "b"))
         self.links = links
         if classes is None:
             return self.texts.select(F.col("rep").alias("id"), F.col("rep").alias("class")).limit(0)
