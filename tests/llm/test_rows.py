@@ -180,6 +180,18 @@ def test_near_duplicates_in_crowded_buckets(spark):
     assert {i: r.class_id for i, r in rows(probminhash.NearDuplicates(df).result()).items()} == want
 
 
+def test_near_duplicates_with_other_repeats(spark):
+    """Copies that repeat a passage more or less often have nearly equal shingle sets."""
+    rnd = random.Random(6)
+    words = lambda k: ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(k)]
+    texts = []
+    for _ in range(25):
+        passage, rest = words(90), words(210)
+        texts += [" ".join(passage + rest), " ".join(passage * 20 + rest)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {i: r.class_id for i, r in rows(probminhash.NearDuplicates(df).result()).items()} == {i: i - i % 2 for i in range(50)}
+
+
 def test_signatures_estimate_probability_jaccard():
     import numpy as np
 
