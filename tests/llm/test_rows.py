@@ -366,6 +366,13 @@ def test_personal_data(spark, empty):
     assert pii.find_pii(empty).count() == 0
 
 
+@pytest.mark.parametrize("number", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO9386011117947"])
+@pytest.mark.parametrize("after", [" BIC COBADEFFXXX", " I am", " 12 A", "", ".", " GB82 WEST 1234 5698 7654 32"])
+def test_iban_before_other_words(number, after):
+    found = [(a, b) for k, a, b, _ in pii.spans(f"IBAN {number}{after}") if k == "iban"]
+    assert (5, 5 + len(number)) in found and len(found) == 1 + ("WEST" in after)
+
+
 def test_iban_and_context():
     good, bad = "GB82 WEST 1234 5698 7654 32", "GB83 WEST 1234 5698 7654 32"
     assert [(k, t) for k, a, b, _ in pii.spans(f"é {good}.") for t in [f"é {good}."[a:b]] if k == "iban"] == [("iban", good)]

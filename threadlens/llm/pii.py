@@ -23,7 +23,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", re.ASCII)
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++", re.ASCII)
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]", re.ASCII)
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", re.ASCII)
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?: ?[A-Z0-9]){11,30}))", re.ASCII)
+_ALNUM = re.compile(r"[A-Za-z0-9]", re.ASCII)
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
 #: Words near a span that speak for or against it, and what they add to its score.
@@ -86,9 +87,18 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    done = 0
     for m in _IBAN.finditer(text):
-        if 15 <= len(m[0].replace(" ", "")) <= 34 and mod97(m[0]):
-            yield m.span()
+        # what follows a number may look like more of it: the longest that ends a run and that mod-97 confirms
+        for end in range(m.end(1), m.start(), -1) if m.start() >= done else ():
+            found = text[m.start() : end]
+            size = len(found.replace(" ", ""))
+            if size < 15:
+                break
+            if size <= 34 and found[-1] != " " and not _ALNUM.match(text, end) and mod97(found):
+                yield m.start(), end
+                done = end
+                break
 
 
 FINDERS = {"email": _emails, "ip": _ips, "card": _cards, "phone": _phones, "iban": _ibans}
