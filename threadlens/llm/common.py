@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word rule ``[^\x20\x09-\x0D]+``, as a Java and RE2 character class.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 
+#: Holds while tables are saved: the shuffle files of a writing job go as soon as it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock = threading.Lock()
+_saving = {"now": 0, "before": "false"}
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -35,6 +43,23 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """Cleanup of shuffle files, on from the first of several concurrent saves to the end of the last."""
+    with _lock:
+        if _saving["now"] == 0:
+            _saving["before"] = spark.conf.get(_CLEANUP, "false")
+            spark.conf.set(_CLEANUP, "true")
+        _saving["now"] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _saving["now"] -= 1
+            if _saving["now"] == 0:
+                spark.conf.set(_CLEANUP, _saving["before"])
+
+
 def save(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -44,15 +69,16 @@ def save(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
+    with _cleaning(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bigint_sum(column) -> F.Column:
-    return F.sum(column).cast("long")
+def boxed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """Whole rows in one column ``row`` beside ``keys``, so that no column of ``docs`` clashes with an operator's."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *[k.alias(name) for name, k in keys.items()])
+
+
+def unboxed(df: DataFrame, columns: list[str], **replaced: Column) -> list[Column]:
+    """The columns of the rows that ``boxed`` packed, some of them replaced."""
+    return [(replaced[c] if c in replaced else df["row"].getField(c)).alias(c) for c in columns]

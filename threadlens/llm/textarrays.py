@@ -85,6 +85,13 @@ def slices(off: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         row = end
 
 
+def pieces(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES // 2) -> Iterator[pa.RecordBatch]:
+    """A batch in row ranges of about ``limit`` bytes of one text column, so that what is made of them stays small."""
+    _, off = text_buffers(batch.column(column))
+    for a, b in slices(off, limit):
+        yield batch.slice(a, b - a)
+
+
 class Words:
     """The words of consecutive texts: byte spans, 64-bit hashes, and the words of each text."""
 
