@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.llm.common import save
+from threadlens.llm.common import boxed, save, unboxed
 from threadlens.llm.components import components
 from threadlens.llm.textarrays import U, Words, alnum_table, mix64, rolling, slices, text_buffers, window_starts
 
@@ -92,8 +93,9 @@ def band_keys(signature: np.ndarray, width: int = BAND) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(number, id, th, digest, has_words, bands, short) from (number, id, th, text)."""
     for batch in batches:
-        data, off = text_buffers(batch.column(1))
+        data, off = text_buffers(batch.column(3))
         for a, b in slices(off, 1 << 20):
             for c in range(a, b, 4096):
                 d = min(c + 4096, b)
@@ -104,8 +106,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel().view(np.int64)), keys.shape[1]).cast(pa.list_(pa.int64()))
                 short = pa.FixedSizeBinaryArray.from_buffers(pa.binary(COMPONENTS), d - c, [None, pa.py_buffer(np.ascontiguousarray(mix64(signature).astype(np.uint8)))])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(c, d - c), pa.array(digest.view(np.int64)), pa.array(has), rows, short.cast(pa.binary())],
-                    ["id", "digest", "has_words", "bands", "short"],
+                    [*(x.slice(c, d - c) for x in batch.columns[:3]), pa.array(digest.view(np.int64)), pa.array(has), rows, short.cast(pa.binary())],
+                    ["number", "id", "th", "digest", "has_words", "bands", "short"],
                 )
 
 
@@ -120,11 +122,17 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], ["id", "shingles"])
 
 
+def _by_size(batch: pa.RecordBatch, *columns: int, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """A batch in row ranges whose cells of some binary columns hold about ``limit`` bytes, so that long texts are few at a time."""
+    size = sum(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False) for c in columns)
+    for a, b in slices(np.concatenate([[0], np.cumsum(size)]).astype(np.int64), limit):
+        yield batch.slice(a, b - a)
+
+
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, n, s): a row for each of a text's n shingles."""
     for batch in batches:
-        for a in range(0, len(batch), 512):
-            part = batch.slice(a, 512)
+        for part in _by_size(batch, 1):
             sets = [np.frombuffer(v.as_buffer(), dtype=np.int64) for v in part.column(1)]
             n = np.array([len(x) for x in sets], dtype=np.int32)
             of = np.repeat(np.arange(len(sets)), n)
@@ -136,9 +144,9 @@ def _likely(least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                x, y = (np.frombuffer(b"".join(v.as_buffer() for v in batch.column(c)), dtype=np.uint8).reshape(-1, COMPONENTS) for c in (2, 3))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= least))
+            for part in _by_size(batch, 2, 3):
+                x, y = (np.frombuffer(b"".join(v.as_buffer() for v in part.column(c)), dtype=np.uint8).reshape(-1, COMPONENTS) for c in (2, 3))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= least))
 
     return run
 
@@ -147,7 +155,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         jaccard = np.zeros(len(batch))
         for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-            a, b = np.frombuffer(x.as_py(), dtype=U), np.frombuffer(y.as_py(), dtype=U)
+            a, b = np.frombuffer(x.as_buffer(), dtype=U), np.frombuffer(y.as_buffer(), dtype=U)
             if len(a) > len(b):
                 a, b = b, a
             at = np.searchsorted(b, a)
@@ -161,35 +169,49 @@ class NearDuplicates:
     """Classes of near-duplicate documents: connected by links of Jaccard similarity ``similar`` or more
     over distinct shingles of five words (lower case, runs of letters and digits).
 
-    Equal word sequences are one text, of which the smallest id takes part. In every band bucket each
+    Equal word sequences are one text, named by a 64-bit digest of them, and take part once. In every band bucket each
     text is held against the bucket's most central text, the one with most company over all its
     buckets; the texts that stay apart are then held against the next most central ones, round after
     round, while a round finds more than a few links. The texts of buckets that still hold several classes then get
-    an exact join over their rarest shingles, so no link within a bucket is given up. A null or wordless
-    text is a class of its own; repeated rows get one class; an empty table gives an empty result; other
-    columns are ignored. Ids should be unique: of rows that share an id, one text takes part in comparisons.
+    an exact join over their rarest shingles, so no link within a bucket is given up.
+
+    Ids may be null, shared or of any type that sorts: texts are compared, not ids. A null or wordless text
+    is a class of its own; repeated rows are in one class, of which one row stays; texts as central as each
+    other take turns by a hash; a very long text is one set of shingles, held by one task at a time; an
+    empty table gives an empty result; other columns are ignored, whatever their names.
     """
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR):
-        self.id_col, self.similar = id_col, similar
+        self.docs, self.id_col, self.text_col, self.similar = docs, id_col, text_col, similar
         self.id_type = docs.schema[id_col].dataType.simpleString()
-        self.rows = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"))
-        sketched = self.rows.mapInArrow(_sketch, f"id {self.id_type}, digest long, has_words boolean, bands array<long>, short binary")
+        text = self._text(F.col(text_col))
+        rows = docs.select(F.monotonically_increasing_id().alias("number"), F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+        sketched = rows.mapInArrow(_sketch, f"number long, id {self.id_type}, th long, digest long, has_words boolean, bands array<long>, short binary")
         self.sketches = save(sketched, "sketches")
-        worded = self.sketches.where("has_words AND id IS NOT NULL")
+        worded = self.sketches.where("has_words")
+        # of equal word sequences, the row with the least id (null last), then the least text hash; (id, th) numbers but repeated rows
+        first = F.struct(F.col("id").isNull().alias("none"), "id", "th", "number")
         #: one row for each distinct word sequence
-        self.texts = save(worded.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "texts")
-        firsts = self.texts.select("digest", F.col("rep").alias("id"))
-        bands = save(worded.join(firsts, ["digest", "id"], "left_semi").select("id", F.explode("bands").alias("key")), "bands")
+        self.texts = save(worded.groupBy("digest").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("copies")), "texts")
+        firsts = self.texts.select(F.col("first.number").alias("number"))
+        distinct = worded.join(firsts, "number", "left_semi").select(F.col("digest").alias("node"), "id", "th", "bands", "short")
+        distinct = save(distinct, "distinct-texts")
+        bands = distinct.select(F.col("node").alias("id"), F.explode("bands").alias("key"))
         crowded = save(bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "crowded")
         met = save(bands.join(crowded, "key"), "crowded-bands")
-        ids = save(met.groupBy("id").agg(F.sum("n").alias("company")), "candidates")
-        self.bands = met.select("id", "key").join(ids, "id")
-        found = self.sketches.select("id", "short").join(ids, "id", "left_semi")
-        self.short = save(found.dropDuplicates(["id"]), "signatures")
-        self.sets = save(self.rows.where("id IS NOT NULL").join(ids, "id", "left_semi").mapInArrow(_shingle_sets, f"id {self.id_type}, shingles binary").dropDuplicates(["id"]), "shingle-sets")
+        # from here on, ``id`` is the digest of a distinct text
+        company = save(met.groupBy("id").agg(F.sum("n").alias("company")), "candidates")
+        self.bands = met.select("id", "key").join(company, "id")
+        found = save(distinct.join(company.select(F.col("id").alias("node")), "node", "left_semi").select("node", F.col("id").alias("_id"), F.col("th").alias("_th"), "short"), "candidate-rows")
+        self.short = found.select(F.col("node").alias("id"), "short")
+        named = rows.join(found.drop("short"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
+        self.sets = save(named.select("node", "text").mapInArrow(_shingle_sets, "id long, shingles binary").dropDuplicates(["id"]), "shingle-sets")
         self.classes = self._classes()
 
+    @staticmethod
+    def _text(column: Column) -> Column:
+        return F.lower(F.coalesce(column.cast("string"), F.lit("")))
+
     def _sides(self, pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
         x = table.select(F.col("id").alias("a"), F.col(column).alias("x"))
         y = table.select(F.col("id").alias("b"), F.col(column).alias("y"))
@@ -197,8 +219,8 @@ class NearDuplicates:
 
     def _links(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose shingle sets are similar. Signatures rule out most of the others first."""
-        likely = save(self._sides(pairs, self.short, "short").mapInArrow(_likely(LIKELY), f"a {self.id_type}, b {self.id_type}"), "likely")
-        verified = self._sides(likely, self.sets, "shingles").mapInArrow(_verify, f"a {self.id_type}, b {self.id_type}, jaccard double")
+        likely = save(self._sides(pairs, self.short, "short").mapInArrow(_likely(LIKELY), "a long, b long"), "likely")
+        verified = self._sides(likely, self.sets, "shingles").mapInArrow(_verify, "a long, b long, jaccard double")
         return save(verified.where(F.col("jaccard") >= self.similar), "links")
 
     def _rare_keys(self, texts: DataFrame) -> DataFrame:
@@ -207,7 +229,7 @@ class NearDuplicates:
 
         Rarity is counted among these texts. A shingle of one text takes its place but makes no key.
         """
-        spread = self.sets.join(texts.select("id"), "id", "left_semi").mapInArrow(_spread, f"id {self.id_type}, n int, s long")
+        spread = self.sets.join(texts.select("id"), "id", "left_semi").mapInArrow(_spread, "id long, n int, s long")
         spread = save(spread, "open-shingles")
         df = save(spread.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "open-df")
         shared = save(spread.join(df, "s").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("x")), "open-keys")
@@ -272,18 +294,37 @@ class NearDuplicates:
                 classes = components(links.select("a", "b"))
         self.links = links
         if classes is None:
-            return self.texts.select(F.col("rep").alias("id"), F.col("rep").alias("class")).limit(0)
+            return self.texts.select(F.col("digest").alias("id"), F.col("digest").alias("class")).limit(0)
         return classes.select(F.col("node").alias("id"), F.col("component").alias("class"))
 
+    def decisions(self) -> DataFrame:
+        """One row per input row: id, th (hash of its lower-case text), class_id (the smallest id of its class),
+        class_size and kept: is it the class's first row, by id (null last), text hash and number."""
+        named = self.texts.join(self.classes, self.texts["digest"] == self.classes["id"], "left").select("digest", F.coalesce("class", "digest").alias("class"), "first", "copies")
+        named = save(named, "named")
+        sizes = save(named.groupBy("class").agg(F.sum("copies").alias("size"), F.min("first").alias("first")).where("size > 1"), "class-sizes")
+        named = save(named.select("digest", "class").join(sizes, "class").select("digest", F.col("first.id").alias("least"), F.col("first.number").alias("stays"), "size"), "sized")
+        slim = self.sketches.select("number", "id", "th", "digest", "has_words")
+        grouped = F.col("has_words") & F.col("size").isNotNull()
+        return slim.join(named, "digest", "left").select(
+            "id", "th",
+            F.when(grouped, F.col("least")).otherwise(F.col("id")).alias("class_id"),
+            F.when(grouped, F.col("size")).otherwise(1).cast("long").alias("class_size"),
+            (~grouped | (F.col("stays") == F.col("number"))).alias("kept"),
+        )
+
     def result(self) -> DataFrame:
-        """One row per input row: id_col, class_id (the smallest id of its class), class_size and kept (is it that row)."""
-        named = self.texts.join(self.classes, self.texts["rep"] == self.classes["id"], "left").select("digest", F.coalesce("class", "rep").alias("class_id"), "copies")
-        sizes = save(named.groupBy("class_id").agg(F.sum("copies").alias("class_size")), "class-sizes")
-        named = save(save(named, "named").join(sizes, "class_id").drop("copies"), "sized").where("class_size > 1")
-        slim = self.sketches.select("id", "digest", "has_words")
-        out = slim.join(named, "digest", "left").select(
-            F.col("id").alias(self.id_col),
-            F.when(F.col("has_words") & F.col("id").isNotNull(), F.coalesce("class_id", "id")).otherwise(F.col("id")).alias("class_id"),
-            F.when(F.col("has_words") & F.col("id").isNotNull(), F.coalesce("class_size", F.lit(1))).otherwise(1).cast("long").alias("class_size"),
-        )
-        return out.withColumn("kept", F.col("class_id").eqNullSafe(F.col(self.id_col)))
+        """One row per input row: id_col, class_id, class_size and kept."""
+        return self.decisions().select(F.col("id").alias(self.id_col), "class_id", "class_size", "kept")
+
+    def kept_rows(self) -> DataFrame:
+        """The rows of ``docs``, whole, one of each class. Of repeated rows (same id and text) of a class, one stays."""
+        per_row = self.decisions().groupBy("id", "th").agg(F.max("kept").alias("kept"), F.max("class_size").alias("class_size"), F.count(F.lit(1)).alias("n"))
+        cut = save(per_row.where("NOT kept OR (n > 1 AND class_size > 1)").select(F.col("id").alias("_id"), F.col("th").alias("_th"), "kept"), "near-copies")
+        rows = boxed(self.docs, id=F.col(self.id_col), th=F.xxhash64(self._text(F.col(self.text_col))))
+        same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))
+        alone = rows.join(cut, same, "left_anti")
+        repeated = cut.where("kept")
+        if not repeated.isEmpty():  # none, where ids are unique
+            alone = alone.unionByName(rows.join(repeated, same, "left_semi").dropDuplicates(["id", "th"]))
+        return alone.select(*unboxed(alone, self.docs.columns))
