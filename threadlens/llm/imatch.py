@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.llm.common import save
-from threadlens.llm.textarrays import SLICE_BYTES, U, Words, alnum_table, mix64, slices, text_buffers
+from threadlens.llm.textarrays import SLICE_BYTES, U, Words, alnum_table, mix64, pieces, slices, text_buffers
 
 #: Terms of the lexicon occur in at least and at most these shares of all documents (idf from 2.3 to 6.9).
 #: A corpus with d distinct terms a document on average has d / LEAST_SHARE such terms at most, whatever its size.
@@ -26,8 +26,8 @@ LEAST_SHARE, MOST_SHARE = 0.001, 0.1
 SUBSETS = 16
 LEVELS = 20
 SHOWN = 3
-#: Characters for each range that neighbours are looked for in.
-RANGE_CHARS = 8_000_000
+#: Characters for each range that neighbours are looked for in, and the most ranges, which is what the driver holds a number of.
+RANGE_CHARS, MOST_RANGES = 8_000_000, 20_000
 
 
 def _distinct_terms(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,20 +127,38 @@ class Fingerprints:
         for i in np.flatnonzero(self.n == 0):  # no term within the band: all its distinct words count
             self.bare[int(i)] = int(mix64(np.array([np.add.reduce(np.unique(hashes[words.first[i] : words.first[i + 1]]), dtype=U)], dtype=U))[0])
 
+        #: 16 bits of each hash, 0 for an empty intersection only
+        self.short = np.where(self.hashes == 0, 0, np.maximum(self.hashes >> U(48), U(1))).astype(np.uint16)
+
     def shown(self, i: int) -> str:
+        """The fingerprint: the first level shown, then the hashes of ``SHOWN`` levels of each subset family."""
         if i in self.bare:
             return f"w:{self.bare[i]:016x}"
         low = int(self.low[i])
-        return f"{low}:" + (self.hashes[i, :, low : low + SHOWN] >> U(48)).astype(">u2").tobytes().hex()
+        return f"{low}:" + self.short[i, :, low : low + SHOWN].astype(">u2").tobytes().hex()
 
     def likeness(self, a: int, b: int) -> float:
-        """Of the subsets at levels that both fingerprints show and that hold a term of either, the share with equal hashes."""
+        """``likeness`` of the two fingerprints."""
         if a in self.bare or b in self.bare:
             return float(self.bare.get(a, -1) == self.bare.get(b, -2))
         low, high = max(self.low[a], self.low[b]), min(self.low[a], self.low[b]) + SHOWN
-        x, y = self.hashes[a, :, low:high], self.hashes[b, :, low:high]
-        either = int(((x | y) != 0).sum())
-        return float((x[x != 0] == y[x != 0]).sum() / either) if either else 0.0
+        return _alike(self.short[a, :, low:high], self.short[b, :, low:high])
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> float:
+    either = int(((x | y) != 0).sum())
+    return float((x[x != 0] == y[x != 0]).sum() / either) if either else 0.0
+
+
+def likeness(a: str, b: str) -> float:
+    """Likeness of two fingerprints as shown, 0 to 1: of the subsets at levels that both show and that hold a
+    term of either text, the share with equal hashes; of texts without a lexicon term, whether they are equal."""
+    (first, x), (second, y) = a.split(":"), b.split(":")
+    if "w" in (first, second):
+        return float(a == b)
+    low, high = max(int(first), int(second)), min(int(first), int(second)) + SHOWN
+    cells = [np.frombuffer(bytes.fromhex(z), dtype=">u2").reshape(-1, SHOWN) for z in (x, y)]
+    return _alike(*(c[:, low - int(at) : max(high, low) - int(at)] for c, at in zip(cells, (first, second), strict=True)))
 
 
 def edited(text: str, after: str) -> str:
@@ -170,7 +188,7 @@ def _parts(sizes: list[int]) -> Iterator[tuple[int, int]]:
 def fit_lexicon(docs: DataFrame, text_col: str = "text", least: float = LEAST_SHARE, most: float = MOST_SHARE) -> Lexicon:
     """The lexicon over all rows of ``docs``."""
     n = docs.count()
-    df = document_frequencies(docs.select(F.lower(F.coalesce(F.col(text_col), F.lit("")))))
+    df = document_frequencies(docs.select(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
     band = save(df.where((F.col("df") >= max(2, least * n)) & (F.col("df") <= max(2, most * n))).select("term"), "lexicon")
     terms = band.toPandas()["term"].to_numpy()
     return Lexicon(terms)
@@ -179,11 +197,14 @@ def fit_lexicon(docs: DataFrame, text_col: str = "text", least: float = LEAST_SH
 def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lexicon: Lexicon | None = None) -> DataFrame:
     """One row per input row, with its fingerprint, that of its edited text, and their likenesses.
 
-    Returns id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Null counts as the empty text; equal texts have equal
-    fingerprints; a text without a lexicon term gets a hash of all its distinct words; repeated rows
-    stand next to each other; an empty table gives an empty result; other columns are ignored.
+    Returns id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next; the
+    likenesses are those of the fingerprints returned. Documents follow each other by id, null ids first, rows that share an id by a hash of their
+    texts; the first follows the last. Null counts as the empty text; equal texts have equal fingerprints; a text
+    without a lexicon term gets a hash of all its distinct words; repeated rows stand next to each other; a
+    very long text is fingerprinted whole with the text after it; an empty table gives an empty result; other
+    columns are ignored, whatever their names.
 
-    Rows are range-partitioned by id once and compared while they stream past in order. The first and
+    Rows are range-partitioned by id and text hash once and compared while they stream past in order, a slice at a time. The first and
     last row of each range are kept aside and meet their neighbours by a join on the range's number.
     """
     spark = docs.sparkSession
@@ -192,7 +213,7 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    ranges = max(1, math.ceil(chars / RANGE_CHARS))
+    ranges = min(MOST_RANGES, max(1, math.ceil(chars / RANGE_CHARS)))
     names = ["range", "part", "id", "text", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def record(range_no: int, part: str, ids: list, texts: list, results: list[tuple], kind) -> pa.RecordBatch:
@@ -206,11 +227,9 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         range_no, carried = TaskContext.get().partitionId(), None
         kind = None
-        for batch in batches:
+        for batch in (p for whole in batches for p in pieces(whole, 1)):
             kind = batch.column(0).type
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            if not ids:
-                continue
             if carried is None:
                 yield record(range_no, "first", ids[:1], texts[:1], [], kind)
             else:
@@ -230,7 +249,8 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
                 yield record(0, "row", [i], [None], _compare([text], [after], shared.value), batch.column(0).type)
 
     schema = f"range int, part string, id {id_type}, text string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    seen = save(rows.repartitionByRange(ranges, "id").sortWithinPartitions("id", "text").mapInArrow(run, schema), "fingerprints")
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
+    seen = save(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(run, schema), "fingerprints")
     first, last = seen.where("part = 'first'"), seen.where("part = 'last'")
     numbers = sorted(r[0] for r in first.select("range").collect())  # one for each range
     after = spark.createDataFrame(list(zip(numbers, numbers[1:] + numbers[:1], strict=True)), "range int, after int")
