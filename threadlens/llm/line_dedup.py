@@ -1,6 +1,7 @@
 """Near-duplicate line removal by a deletion-neighbourhood join, with DataFrame operations only.
 
-A line is its words; the edit bound is one word inserted, deleted or replaced. Each line emits the
+A line is its words. The edit bound is one word inserted, deleted or replaced, which is a likeness of 0.8
+or more from five words on; of shorter lines it would be more than a fifth, so they must be equal. Each line emits the
 hashed keys of itself and of itself without each one of its words; lines that share a key are
 candidates, an exact comparison of their words verifies the edit, and the earliest line stays.
 
@@ -13,12 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlens.llm.common import WORD_CLASS, save
+from threadlens.llm.common import WORD_CLASS, boxed, save, unboxed
 
-#: Shorter lines are never removed.
-LEAST_WORDS = 5
-#: Lines of at least so many words may differ from an earlier one in one word; shorter ones must be equal.
-EDIT_WORDS = 10
+#: Least likeness of lines, as the share of words that an edit leaves; both must have the words for it.
+SIMILAR = 0.8
+#: Lines of at least so many words may differ from an earlier one in one word: 1 / (1 - SIMILAR).
+EDIT_WORDS = 5
 
 
 def _words(line: Column) -> Column:
@@ -49,12 +50,13 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 class LineDecisions:
     """Which lines of ``docs`` go. ``lines``: one row per line (id, th, line_no, n, exact, near).
 
-    Lines are cut at line feeds and ordered by (id, line number). A line of LEAST_WORDS words or more
-    goes as ``exact`` if an equal one is earlier, and a line of EDIT_WORDS words or more goes as
-    ``near`` if one within one edited word is earlier, whether or not that one stays. Null texts have no
-    lines, empty lines stay; repeated rows (same id and text) have equal lines at equal places, none of
+    Lines are cut at line feeds and ordered by (id, line number). A line goes as ``exact`` if one of equal
+    words is earlier, and a line of EDIT_WORDS words or more goes as ``near`` if one within one edited word,
+    of as many words at least, is earlier, whether or not that one stays. Null texts have no lines; lines without a word
+    stay; a very long text is cut into lines by one task, which hold its words one line at a time; null ids
+    come first, and of rows that share an id the least text hash; repeated rows (same id and text) have equal lines at equal places, none of
     which is earlier than the other, so they fare alike; an empty table gives no rows; other columns
-    are ignored. Hot lines are counted in each task before rows move and meet their decision in a join
+    are ignored, whatever their names. Hot lines are counted in each task before rows move and meet their decision in a join
     whose skew adaptive execution splits; nothing pairs up the lines of a group, each is held against
     the group's earliest.
     """
@@ -68,20 +70,20 @@ class LineDecisions:
             raw.select("id", "th", "line_no", n.alias("n"), F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), halves.alias("halves")), "lines"
         )
         first = F.struct("id", "line_no", "th", "n", "halves")
-        distinct = self.slim.where(F.col("n") >= LEAST_WORDS).groupBy("h1", "h2").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("copies"))
+        distinct = self.slim.where("n > 0").groupBy("h1", "h2").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("copies"))
         self.distinct = save(distinct.select("h1", "h2", "copies", "first.*"), "distinct-lines")
         near = save(self._near(), "near-lines")
         flagged = (
-            self.distinct.select("h1", "h2", "copies", F.col("id").alias("first_id"), F.col("line_no").alias("first_no"))
+            self.distinct.select("h1", "h2", "copies", F.col("id").alias("first_id"), F.col("th").alias("first_th"), F.col("line_no").alias("first_no"))
             .join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
             .where("copies > 1 OR near")
         )
         flagged = save(flagged, "flagged-lines")
         here, there = self.slim.drop("halves"), flagged.drop("copies")
-        is_first = F.col("first_id").eqNullSafe(F.col("id")) & (F.col("first_no") == F.col("line_no"))
+        is_first = F.col("first_id").eqNullSafe(F.col("id")) & (F.col("first_th") == F.col("th")) & (F.col("first_no") == F.col("line_no"))
         self.lines = (
             here.join(there, ["h1", "h2"], "left")
-            .withColumn("exact", (F.col("n") >= LEAST_WORDS) & F.col("first_no").isNotNull() & ~is_first)
+            .withColumn("exact", (F.col("n") > 0) & F.col("first_no").isNotNull() & ~is_first)
             .select("id", "th", "line_no", "n", "exact", (F.coalesce("near", F.lit(False)) & ~F.col("exact")).alias("near"))
         )
 
@@ -97,7 +99,7 @@ class LineDecisions:
         found = texts.join(keep, texts["id"].eqNullSafe(keep["_id"]) & (texts["th"] == keep["_th"]) & (texts["line_no"] == keep["_no"]))
         found = save(found.select("h1", "h2", "id", "line_no", _words(F.col("line")).alias("words")).dropDuplicates(["h1", "h2"]), "suspect-words")
 
-        at = lambda place: F.pmod(F.xxhash64("word", place), F.lit(1 << 40))
+        at = lambda place: F.xxhash64("word", place)
         spread = found.select("h1", "h2", "id", "line_no", F.posexplode("words").alias("i", "word"))
         spread = spread.select("h1", "h2", "id", "line_no", F.col("i") + 1, at(F.col("i")).alias("stay"), at(F.col("i") - 1).alias("moved")).toDF(
             "h1", "h2", "id", "line_no", "place", "stay", "moved"
@@ -105,11 +107,13 @@ class LineDecisions:
         line = Window.partitionBy("h1", "h2").orderBy("place")
         upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         whole = Window.partitionBy("h1", "h2")
-        # the words before the deleted one keep their places, those after it move up by one
+        # a key is the sum, bit by bit, of 64-bit hashes of words with their places: the words before the
+        # deleted one keep their places, those after it move up by one
+        bits = lambda c, over: F.bit_xor(c).over(over)
         variants = spread.select(
             "h1", "h2", "id", "line_no", "place",
-            (F.sum("stay").over(upto) - F.col("stay") + F.sum("moved").over(whole) - F.sum("moved").over(upto)).alias("key"),
-            F.sum("stay").over(whole).alias("full"),
+            bits("stay", upto).bitwiseXOR(F.col("stay")).bitwiseXOR(bits("moved", whole)).bitwiseXOR(bits("moved", upto)).alias("key"),
+            bits("stay", whole).alias("full"),
         )
         variants = save(variants, "variants")
         me = F.struct("id", "line_no", "h1", "h2")
@@ -144,13 +148,22 @@ class LineDecisions:
 
     def texts(self) -> DataFrame:
         """``docs`` with each text cut to the lines that stay, joined by line feeds, and the columns
-        _n_lines, _n_exact and _n_near. A text whose every line goes becomes empty; null stays null."""
-        decided = save(self.per_document(), "line-decisions").select(
-            F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("n_lines").alias("_n_lines"), F.col("n_exact").alias("_n_exact"), F.col("n_near").alias("_n_near"), F.col("gone").alias("_gone")
-        )
-        docs = self.docs.withColumn("_th2", F.xxhash64(F.col(self.text_col).cast("string")))
-        joined = docs.join(decided, docs[self.id_col].eqNullSafe(decided["_id"]) & (docs["_th2"] == decided["_th"]), "left")
-        kept = F.filter(F.split(self.text_col, "\n"), lambda x, i: ~F.array_contains("_gone", i))
-        text = F.when(F.size("_gone") > 0, F.array_join(kept, "\n")).otherwise(F.col(self.text_col))
+        _n_lines, _n_exact and _n_near, which take the place of any of these names. A text whose every line
+        goes becomes empty; null stays null."""
+        cut, counts = self.cut(), ("n_lines", "n_exact", "n_near")
+        text = F.when(F.col("changed"), F.col("kept")).otherwise(F.col("row").getField(self.text_col))
+        rows = unboxed(cut, [c for c in self.docs.columns if c.lower() not in {f"_{n}" for n in counts}], **{self.text_col: text})
+        return cut.select(*rows, *[F.col(c).alias(f"_{c}") for c in counts])
+
+    def cut(self) -> DataFrame:
+        """(row, kept, changed, n_lines, n_exact, n_near): whole rows with what is left of their texts."""
+        decided = save(self.per_document(), "line-decisions").withColumnsRenamed({"id": "_id", "th": "_th"})
+        docs = boxed(self.docs, id=F.col(self.id_col), th=F.xxhash64(F.col(self.text_col).cast("string")))
+        joined = docs.join(decided, docs["id"].eqNullSafe(decided["_id"]) & (docs["th"] == decided["_th"]), "left")
+        # places that stay, by one pass over a set of those that go; a text is split once
+        stays = F.array_except(F.sequence(F.lit(0), (F.col("n_lines") - 1).cast("int")), F.col("gone"))
+        pick = lambda lines: F.array_join(F.transform(stays, lambda i: F.get(lines, i)), "\n")
+        lines = F.split(F.col("row").getField(self.text_col).cast("string"), "\n")
+        kept = F.when(F.size("gone") > 0, F.transform(F.array(lines), pick)[0])
         zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-        return joined.select(*[text.alias(c) if c == self.text_col else self.docs[c] for c in self.docs.columns], zero("_n_lines"), zero("_n_exact"), zero("_n_near"))
+        return joined.select("row", kept.alias("kept"), F.coalesce(F.size("gone") > 0, F.lit(False)).alias("changed"), zero("n_lines"), zero("n_exact"), zero("n_near"))

@@ -54,14 +54,9 @@ def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = line_dedup.LineDecisions(documents(spark, sf_dir)).texts()
-    return cut.select(
-        "doc_id",
-        F.col("_n_lines").alias("n_lines"),
-        F.col("_n_exact").alias("n_exact"),
-        F.col("_n_near").alias("n_near"),
-        _sha256(F.coalesce("text", F.lit(""))).alias("kept_sha256"),
-    )
+    cut = line_dedup.LineDecisions(documents(spark, sf_dir)).cut()
+    text = F.when(F.col("changed"), F.col("kept")).otherwise(F.coalesce(F.col("row.text"), F.lit("")))
+    return cut.select("row.doc_id", "n_lines", "n_exact", "n_near", _sha256(text).alias("kept_sha256"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,13 +128,13 @@ ORACLES: dict[str, str] = {
         WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents WHERE text IS NOT NULL),
         l AS (SELECT doc_id, no, line, {_WORDS.format("line")} AS w FROM raw),
         k AS (SELECT *, array_to_string(w, ' ') AS key, len(w) AS n FROM l),
-        f AS (SELECT key, min((doc_id, no)) AS first, any_value(w) AS w, any_value(n) AS n FROM k WHERE n >= 5 GROUP BY 1),
-        v AS (SELECT first, i, array_to_string(w[:i - 1] || w[i + 1:], ' ') AS v FROM (SELECT first, w, unnest(range(1, n + 1)) AS i FROM f WHERE n >= 10)),
+        f AS (SELECT key, min((doc_id, no)) AS first, any_value(w) AS w, any_value(n) AS n FROM k WHERE n > 0 GROUP BY 1),
+        v AS (SELECT first, i, array_to_string(w[:i - 1] || w[i + 1:], ' ') AS v FROM (SELECT first, w, unnest(range(1, n + 1)) AS i FROM f WHERE n >= 5)),
         hub AS (SELECT v, i, min(first) AS hub FROM v GROUP BY 1, 2),
-        cross_ AS (SELECT f.first AS whole, v.first AS longer FROM v JOIN f ON f.key = v.v WHERE f.n >= 10),
+        cross_ AS (SELECT f.first AS whole, v.first AS longer FROM v JOIN f ON f.key = v.v WHERE f.n >= 5),
         near AS (SELECT first FROM v JOIN hub USING (v, i) WHERE hub < first UNION SELECT longer FROM cross_ WHERE whole < longer UNION SELECT whole FROM cross_ WHERE longer < whole),
-        decided AS (SELECT k.*, coalesce(k.n >= 5 AND f.first <> (k.doc_id, k.no), false) AS exact, near.first IS NOT NULL AS is_near
-            FROM k LEFT JOIN f ON f.key = k.key AND k.n >= 5 LEFT JOIN near ON near.first = f.first),
+        decided AS (SELECT k.*, coalesce(k.n > 0 AND f.first <> (k.doc_id, k.no), false) AS exact, near.first IS NOT NULL AS is_near
+            FROM k LEFT JOIN f ON f.key = k.key AND k.n > 0 LEFT JOIN near ON near.first = f.first),
         per AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (exact) AS n_exact, count(*) FILTER (is_near AND NOT exact) AS n_near,
             string_agg(line, chr(10) ORDER BY no) FILTER (NOT exact AND NOT is_near) AS kept FROM decided GROUP BY 1)
         SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near, sha256(coalesce(kept, '')) AS kept_sha256
