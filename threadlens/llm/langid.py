@@ -11,10 +11,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlens.llm.common import save
+from threadlens.llm.textarrays import pieces
 
 UNKNOWN = "und"
 #: n-grams of a profile.
@@ -79,53 +80,78 @@ class Profiles:
         return self.languages[best], float(1 - apart[best] / (len(top) * self.size))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS, size: int = PROFILE) -> Profiles:
-    """Profiles from about ``rows`` labelled documents of each language (all, where it has fewer),
-    chosen by a hash of the id. Rows without label or text teach nothing."""
+def chosen_rows(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS) -> DataFrame:
+    """(lang, text): about ``rows`` labelled documents of each language (all, where it has fewer), chosen by a
+    hash of the id, or of the text where the id is null."""
     labelled = labelled.where(F.col(lang_col).isNotNull())
     n = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}  # a row for each language
-    if not n:
-        return Profiles({}, size)
-    share = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(1.0, rows / v))])
-    u = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(11)), F.lit(1 << 40)) / float(1 << 40)
-    chosen = labelled.where(u < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    share = F.create_map(*[F.lit(x) for k, v in (n or {"": 1}).items() for x in (k, min(1.0, rows / v))])
+    text = F.col(text_col).cast("string")
+    u = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), text), F.lit(11)), F.lit(1 << 40)) / float(1 << 40)
+    return labelled.where(u < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), text.alias("text"))
+
+
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS, size: int = PROFILE) -> Profiles:
+    """Profiles from about ``rows`` labelled documents of each language (``FIT_ROWS`` is the bound of the sample).
+
+    Rows without label or text teach nothing; n-grams as frequent as each other rank by code; repeated rows
+    count each; an empty table gives a model without languages; other columns are ignored.
+    """
+    chosen = chosen_rows(labelled, id_col, text_col, lang_col, rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            langs, texts = np.array(b.column(0).to_pylist(), dtype=object), b.column(1).to_pylist()
-            for lang in sorted(set(langs)):
-                parts = [ngram_codes(texts[i]) for i in np.flatnonzero(langs == lang) if texts[i]]
-                codes, counts = np.unique(np.concatenate([*parts, np.zeros(0, np.int64)]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(counts.astype(np.int64))], ["lang", "code", "n"])
+        for batch in batches:
+            for b in pieces(batch, 1):
+                langs, texts = np.array(b.column(0).to_pylist(), dtype=object), b.column(1).to_pylist()
+                for lang in sorted(set(langs)):
+                    parts = [ngram_codes(texts[i]) for i in np.flatnonzero(langs == lang) if texts[i]]
+                    codes, counts = np.unique(np.concatenate([*parts, np.zeros(0, np.int64)]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(counts.astype(np.int64))], ["lang", "code", "n"])
 
     counted = save(chosen.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "ngrams")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
+    top = counted.withColumn("rank", rank).where(F.col("rank") <= size).select("lang", "rank", "code").collect()  # ``size`` rows a language
     ranked: dict[str, list[int]] = {}
-    for lang in sorted(n):
-        top = counted.where(F.col("lang") == lang).orderBy(F.desc("n"), "code").limit(size)
-        ranked[lang] = [r.code for r in top.select("code").collect()]
+    for r in sorted(top):
+        ranked.setdefault(r.lang, []).append(r.code)
     return Profiles(ranked, size)
 
 
-def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: the ``keep`` columns, lang_pred and score, from the text alone.
+def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id_col, lang_pred and score, from the text alone.
 
-    Null, empty or letterless texts give ``und``; repeated rows get equal answers; whole texts are
-    read. The model is broadcast: a few hundred n-grams for each language.
+    Null, empty or letterless texts give ``und`` and score 0; languages equally far go to the first by
+    name; repeated rows get equal answers; whole texts are read, a slice of rows at a time; an empty table
+    gives an empty result; other columns are ignored. The model is broadcast: a few hundred n-grams for
+    each language.
     """
     model = docs.sparkSession.sparkContext.broadcast(profiles)
-    sent = docs.select(id_col, *keep, F.col(text_col).cast("string").alias("_text")) if text_col not in keep else docs.select(id_col, *keep)
-    at = sent.columns.index(text_col if text_col in keep else "_text")
-    kept = docs.select(id_col, *keep).schema
-    names = [*kept.names, "lang_pred", "score"]
+    sent = docs.select(F.col(id_col), F.col(text_col).cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in pieces(batch, 1):
+                said = [model.value.predict(t) for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())], [id_col, "lang_pred", "score"])
+
+    return sent.mapInArrow(run, f"`{id_col}` {sent.schema[0].dataType.simpleString()}, lang_pred string, score double")
+
+
+def in_known_language(docs: DataFrame, profiles: Profiles, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, whose text is in a language of the model with a score of ``least`` or more.
+
+    Null, empty and letterless texts go, as do texts far from every profile; nothing is added to a row,
+    so that no column can clash; repeated rows fare alike; an empty table gives an empty result.
+    """
+    model, at = docs.sparkSession.sparkContext.broadcast(profiles), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            said = [model.value.predict(t) for t in b.column(at).to_pylist()]
-            said_columns = [pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names) - 2], *said_columns], names)
+        for batch in batches:
+            for b in pieces(batch, at):
+                said = (model.value.predict(t) for t in b.column(at).to_pylist())
+                yield b.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in said], pa.bool_()))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double"
-    return sent.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
