@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 COLUMNS = {
     "op1": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
-    "op2": ["doc_id", "size", "source_size", "target", "taken"],
+    "op2": ["doc_id", "size", "source_size", "target", "taken", "shard", "position"],
     "op4": ["doc_id", "n_words", "n_removed", "kept_sha256"],
     "op5": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op6": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
@@ -63,9 +63,9 @@ def test_pipeline(spark):
     lines = [(r.doc_id, n, WORDS.findall(x)) for r in sorted(before, key=lambda r: r.doc_id) if r.text is not None for n, x in enumerate(r.text.split("\n"))]
     gone, by_size, seen = set(), collections.defaultdict(list), set()
     for i, n, w in lines:
-        if (len(w) >= 5 and tuple(w) in seen) or (len(w) >= 10 and any(within_one_word(w, v) for k in (-1, 0, 1) for v in by_size[len(w) + k])):
+        if (w and tuple(w) in seen) or (len(w) >= 5 and any(within_one_word(w, v) for k in (-1, 0, 1) for v in by_size[len(w) + k])):
             gone.add((i, n))
-        if len(w) >= 10:
+        if len(w) >= 5:
             by_size[len(w)].append(w)
         seen.add(tuple(w))
     cut = {r.doc_id: None if r.text is None else "\n".join(x for n, x in enumerate(r.text.split("\n")) if (r.doc_id, n) not in gone) for r in before}
@@ -89,3 +89,47 @@ def test_pipeline(spark):
     plain = sorted((r.doc_id, len(i), sha(" ".join(map(str, i))), sha(tokenizer.decode(i, skip_special_tokens=False))) for r, i in zip(before, ids, strict=True))
     assert sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in after) == plain
     assert sorted(map(tuple, p.run(spark, SF).collect())) == sorted(map(tuple, after))
+
+
+def test_language_stage_rejects_unknown_scripts(spark):
+    """Texts without an n-gram of any profile score 0 and go; a score between 0 and the bound is enough to go."""
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame(
+        [(i, f"some plain english words {i} of the kind that are written", "en", "s", 10) for i in range(40)]
+        + [(100, "нечто совсем другое", None, "s", 19), (101, "完全に違う文字", None, "s", 7), (102, "нечто совсем другое e нечто", None, "s", 27), (103, "12 !", "en", "s", 4), (104, None, "en", "s", 0)],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
+    from threadlens.llm import langid
+
+    scores = {r.doc_id: r.score for r in langid.predict(docs, langid.fit(docs.where(~langid.held_out()))).collect()}
+    assert scores[100] == scores[101] == 0 < scores[102] < p.LEAST_SCORE < min(scores[i] for i in range(40))
+    assert {r.doc_id for r in p.language_id(spark, docs, SF).collect()} == set(range(40))
+
+
+def test_stages_on_awkward_tables(spark):
+    """Nulls in every column, repeated rows, clashing names and empty tables in all stages."""
+    import corpus_pipeline as p
+    from test_rows import CLASHES, WORDS, corpus
+    from pyspark.sql import functions as F
+
+    data = corpus(7, 50) + [(None, "a line of words that is here\nand another of them", None, None, None), (None, None, None, None, None)]
+    data += [data[20], data[20], (5, data[30][1], "en", "s1", 3)]
+    plain = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    docs = plain.withColumns({k: F.lit(v) for k, v in CLASHES.items()})
+    n, left = docs.count(), {}
+    for name, stage in p.STAGES:
+        out = stage(spark, docs, SF)
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+        if name == "bpe":
+            assert out.count() == docs.count()
+            continue
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        left[name] = out.collect()
+        assert all(r.score == 1 and r.lang_pred == 1 and r._gone == 1 and r._th2 == 1 and r.ids == 1 and r.row == 1 for r in left[name]), name
+    assert {r.text for r in left["language_id"]} <= {t for _, t, *_ in data if t and any(c.isalpha() for c in t)}
+    assert len(left["line_dedup"]) < n and all(r.n_chars == (None if r.text is None else len(r.text)) for r in left["line_dedup"])
+    texts = [r.text for r in left["near_dedup"]]
+    assert texts.count(data[20][1]) == 1 and texts.count(None) == sum(t is None for _, t, *_ in data)
+    assert all(r.text and WORDS.findall(r.text) and r.n_chars == len(r.text) for r in left["mix_sources"])
+    assert any(r.source is None for r in left["mix_sources"])

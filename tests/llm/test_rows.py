@@ -14,7 +14,11 @@ import pytest
 
 from threadlens.llm import anchors, bpe, components, digest_index, imatch, langid, line_dedup, mixing, pii, probminhash, sharding
 
-CLASHES = {c: 1 for c in ("id", "h", "size", "th", "digest", "n", "key", "range", "place", "places", "class", "start", "turn", "part", "ids", "spans", "edited", "shard")}
+CLASHES = dict.fromkeys(
+    "id h size th digest n key range place places class start turn part ids spans edited shard score lang_pred decoded row number kept changed first least node "
+    "n_lines n_exact n_near _n_lines _id _th _th2 _gone gone line_no words bands short copies sid block position slot salt crc key_id number_ keep_id old".split(),
+    1,
+)
 
 
 def corpus(seed: int = 1, n: int = 80) -> list[tuple]:
@@ -82,6 +86,34 @@ def test_shards(docs, empty):
     assert sharding.shard_by_bytes(empty).count() == 0
 
 
+def test_written_shards(docs, empty, spark, tmp_path):
+    rows_in = docs.drop("shard").unionByName(docs.drop("shard").where("doc_id % 4 = 0").withColumn("doc_id", docs["doc_id"] * 0 + 3))
+    sharding.write_shards(rows_in, str(tmp_path / "shards"), shards=5)
+    out = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted(map(str, out.drop("shard").collect())) == sorted(map(str, rows_in.collect()))
+    sizes = collections.Counter()
+    for r in out.collect():
+        sizes[r.shard] += len((r.text or "").encode()) + 8
+    assert len(sizes) == 5 and max(sizes.values()) - min(sizes.values()) < 2 * max(len((t or "").encode()) for _, t, *_ in corpus())
+    sharding.write_shards(empty.drop("shard"), str(tmp_path / "none"), shards=5)
+    with pytest.raises(ValueError):
+        sharding.write_shards(docs, str(tmp_path / "clash"))
+
+
+def test_shards_cut_a_group_of_any_size(spark):
+    """No rule depends on how large a group of equal texts is: sizes come near the mean whatever the groups."""
+    for group in (2, 40, 400):
+        df = spark.createDataFrame([(i, f"text {i // group:06d}") for i in range(2000)], "doc_id long, text string")
+        n = collections.Counter(r.shard for r in sharding.shard_by_bytes(df, shards=7).collect())
+        assert len(n) == 7 and max(n.values()) - min(n.values()) <= 1
+
+
+def test_shards_of_repeated_rows(spark):
+    df = spark.createDataFrame([(None, "same")] * 600 + [(None, None)] * 100, "doc_id string, text string")
+    n = collections.Counter(r.shard for r in sharding.shard_by_bytes(df, shards=4).collect())
+    assert set(n) == set(range(4)) and max(n.values()) - min(n.values()) < 70
+
+
 def test_shards_of_one_text(spark):
     df = spark.createDataFrame([(i, "same text") for i in range(500)], "doc_id long, text string")
     n = collections.Counter(r.shard for r in sharding.shard_by_bytes(df, shards=5).collect())
@@ -110,7 +142,7 @@ def test_mix(docs, empty):
     for i, s in source.items():
         sizes[s] += size[i]
     want = fill(dict(sizes))
-    mix = mixing.Mix(docs, block=16)
+    mix = mixing.Mix(docs, block=16, shard_blocks=8, whole=True)
     out = rows(mix.taken())
     assert out.keys() == size.keys()
     taken = collections.Counter()
@@ -119,12 +151,58 @@ def test_mix(docs, empty):
         assert r.target == pytest.approx(want[source[i]])
         taken[source[i]] += r.taken
     assert all(abs(taken[s] - want[s]) <= 16 for s in sizes)
-    assert {i: r.taken for i, r in rows(mixing.Mix(docs, block=16).taken()).items()} == {i: r.taken for i, r in out.items()}
+    again = rows(mixing.Mix(docs.repartition(2), block=16, shard_blocks=8).taken())
+    assert {i: tuple(r) for i, r in again.items()} == {i: tuple(r) for i, r in out.items()}
     words = collections.Counter()
     for r in mix.texts().collect():
         words[r.doc_id] += len(WORDS.findall(r.text))
     assert dict(words) == {i: r.taken for i, r in out.items() if r.taken}
-    assert mixing.Mix(empty).taken().count() == 0 and mixing.Mix(empty).texts().count() == 0
+    none = mixing.Mix(empty, whole=True)
+    assert none.taken().count() == 0 and none.texts().count() == 0 and none.blocks().count() == 0
+    with pytest.raises(ValueError):
+        mixing.Mix(docs).texts()
+
+
+def test_mix_shards(docs):
+    """Output shards: slots without gaps, counts that are those drawn, blocks that hold the words taken."""
+    mix = mixing.Mix(docs, block=16, shard_blocks=40, whole=True)
+    slots = mix.slots().collect()
+    by_shard, by_source = collections.defaultdict(list), collections.Counter()
+    for r in slots:
+        by_shard[r.shard].append(r.position)
+        by_source[r.sid, r.turn] += 1
+    assert all(sorted(p) == list(range(len(p))) for p in by_shard.values()) and set(by_shard) <= set(range(mix.shards)) and mix.shards > 3
+    plan = {(r.sid, r.turn): r.n for r in mix.turns.collect()}
+    assert dict(by_source) == plan
+    assert all(len({r.block for r in slots if (r.sid, r.turn) == k}) == n for k, n in plan.items())  # a permutation takes no block twice
+    counts = {(r.shard, r.source): r.slots for r in mix.shard_counts().collect()}
+    assert sum(counts.values()) == len(slots)
+    # chi-square of the draw: about one for each degree of freedom
+    total = collections.Counter()
+    for (_, s), n in counts.items():
+        total[s] += n
+    chi = sum((counts.get((k, s), 0) - n / mix.shards) ** 2 / (n / mix.shards) for s, n in total.items() for k in range(mix.shards))
+    assert 0.5 < chi / (len(total) * (mix.shards - 1)) < 1.6
+    text = {i: WORDS.findall(t or "") for i, t, *_ in corpus()}
+    source = {i: s for i, _, _, s, _ in corpus()}
+    held, taken = collections.Counter(), collections.Counter()
+    blocks = mix.blocks().collect()
+    assert sorted((r.shard, r.position) for r in blocks) == sorted((r.shard, r.position) for r in slots)
+    for r in blocks:
+        words = r.text.split(" ")
+        assert len(words) == r.n_words <= 16
+        held.update((r.source, w) for w in words)
+    first = {}
+    for r in mix.texts().collect():
+        taken.update((r.source, w) for w in WORDS.findall(r.text))
+    assert held == taken
+    for r in blocks:
+        for s, w in {(r.source, w) for w in r.text.split(" ")}:
+            first.setdefault((s, w), []).append((r.shard, r.position))
+    for i, r in rows(mix.taken()).items():
+        assert (r.shard is None) == (r.taken == 0)
+        if r.taken:
+            assert any((r.shard, r.position) in first[source[i], w] for w in text[i])
 
 
 def test_permutation(spark):
@@ -165,6 +243,20 @@ def test_near_duplicates(docs, empty):
     assert probminhash.NearDuplicates(empty).result().count() == 0
 
 
+def test_near_duplicates_with_repeated_tails(spark):
+    """Pairs of set Jaccard over 0.8, one text of which ends in a passage over and over."""
+    rnd = random.Random(9)
+    words = lambda k: ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(k)]
+    texts = []
+    for k in range(20):
+        head, tail = words(130), words(25)
+        texts += [" ".join(head + tail), " ".join(head[: len(head) - 2] + words(2) + tail * (10 + k))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = classes({i: shingle_set(t) for i, t in enumerate(texts)})
+    assert sum(want[2 * k + 1] == 2 * k for k in range(20)) == 20
+    assert {i: r.class_id for i, r in rows(probminhash.NearDuplicates(df).result()).items()} == want
+
+
 def test_near_duplicates_in_crowded_buckets(spark):
     """The last two texts are alike, but in all their buckets other texts have more company."""
     rnd = random.Random(4)
@@ -225,11 +317,11 @@ def removed(texts: dict) -> dict:
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_repeats(spark, seed):
+@pytest.mark.parametrize(("seed", "how"), [(1, {}), (2, {}), (3, {"part_chars": 200, "first_bits": 2})])
+def test_repeats(spark, seed, how):
     data = corpus(seed)
     df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
-    out = rows(anchors.remove_repeats(df))
+    out = rows(anchors.remove_repeats(df, **how))
     want = removed({i: t for i, t, *_ in data})
     assert {i: (r.n_words, r.n_removed, r.kept) for i, r in out.items()} == want
     assert any(n for _, n, _ in want.values())
@@ -284,6 +376,64 @@ def test_fingerprints(docs, empty):
     assert rows(imatch.fingerprint_neighbours(docs.where("doc_id = 20")))[20].near_next == 1
 
 
+def mixed(x: int) -> int:
+    from threadlens.llm.textarrays import mix64
+    import numpy as np
+
+    return int(mix64(np.array([x], dtype=np.uint64))[0])
+
+
+def test_fingerprints_by_sets(spark):
+    """Likenesses from the sets themselves: terms of the band, random subsets, and which intersections are equal."""
+    import numpy as np
+
+    from threadlens.llm.textarrays import Words, alnum_table
+
+    rnd = random.Random(8)
+    vocabulary = ["".join(rnd.choice("abcdeé0") for _ in range(rnd.randint(2, 6))) for _ in range(400)]
+    texts = [" ".join(rnd.choice(vocabulary[:rnd.randint(1, 400)]) for _ in range(rnd.choice([0, 1, 3, 30, 200]))) for _ in range(120)]
+    texts += [texts[7], texts[7] + " " + vocabulary[3], None, "zz9 zz8", "zz9 zz8", "", "É é", "word" * 9000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    lexicon = imatch.fit_lexicon(df)
+    split = lambda t: set(re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower()))
+
+    def term(word):
+        raw = np.frombuffer(word.encode(), dtype=np.uint8)
+        return int(Words(raw, np.array([0, len(raw)]), alnum_table()).hashes()[0])
+
+    n, df_of = len(texts), collections.Counter(w for t in texts for w in split(t or ""))
+    band = {w: term(w) for w, c in df_of.items() if max(2, 0.001 * n) <= c <= max(2, 0.1 * n)}
+    assert sorted(band.values()) == lexicon.terms.tolist() and len(band) > 50
+    level = {w: [int(lexicon.level[j][int(np.searchsorted(lexicon.terms, np.uint64(t)))]) for j in range(imatch.SUBSETS)] for w, t in band.items()}
+    for w, t in list(band.items())[:30]:  # a term is in level l or above with the chance 2 ** -l: trailing zeros of a scrambled hash
+        x = mixed((t + 1 * 1000003) % 2**64)
+        assert level[w][0] == min((x & -x).bit_length() - 1, imatch.LEVELS - 1)
+
+    def like(a: str, b: str) -> float:
+        sets = [{w for w in split(t) if w in band} for t in (a, b)]
+        if not all(sets):
+            return float(not any(sets) and split(a) == split(b))
+        lows = [min(max(math.floor(math.log2(len(s))) - 1, 0), imatch.LEVELS - imatch.SHOWN) for s in sets]
+        same = either = 0
+        for j in range(imatch.SUBSETS):
+            for at in range(max(lows), min(lows) + imatch.SHOWN):
+                x, y = ({w for w in s if level[w][j] >= at} for s in sets)
+                either += bool(x or y)
+                same += bool(x and x == y)
+        return same / either if either else 0.0
+
+    out = rows(imatch.fingerprint_neighbours(df, lexicon=lexicon))
+    plain = [t or "" for t in texts]
+    for k, t in enumerate(plain):
+        after = plain[(k + 1) % n]
+        changed = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        assert out[k].near_edited == pytest.approx(like(t, changed)) and out[k].near_next == pytest.approx(like(t, after)), k
+        assert imatch.likeness(out[k].fingerprint, out[k].edited_fingerprint) == out[k].near_edited
+        assert imatch.likeness(out[k].fingerprint, out[(k + 1) % n].fingerprint) == out[k].near_next
+    whole = rows(imatch.fingerprint_neighbours(df))
+    assert {k: tuple(r) for k, r in whole.items()} == {k: tuple(r) for k, r in out.items()}
+
+
 def within_one_word(a: list[str], b: list[str]) -> bool:
     if abs(len(a) - len(b)) > 1:
         return False
@@ -297,8 +447,8 @@ def test_lines(docs, empty):
     lines = [(i, n, WORDS.findall(x)) for i, t, *_ in corpus() if t is not None for n, x in enumerate(t.split("\n"))]
     want = {}
     for k, (i, n, w) in enumerate(lines):
-        exact = len(w) >= 5 and any(w == v for _, _, v in lines[:k])
-        near = not exact and len(w) >= 10 and any(v != w and len(v) >= 10 and within_one_word(w, v) for _, _, v in lines[:k])
+        exact = len(w) > 0 and any(w == v for _, _, v in lines[:k])
+        near = not exact and len(w) >= 5 and any(v != w and len(v) >= 5 and within_one_word(w, v) for _, _, v in lines[:k])
         # a near line's later equals go as exact; an equal of an earlier near one goes too
         want[i, n] = (exact, near)
     decided = line_dedup.LineDecisions(docs)
@@ -314,10 +464,25 @@ def test_lines(docs, empty):
 
 def test_line_edits(spark):
     base = [f"w{k}" for k in range(14)]
-    variants = {1: base, 2: base[:5] + base[6:], 3: base[:5] + ["new"] + base[5:], 4: base[:5] + ["other"] + base[6:], 5: base[:5] + ["a", "b"] + base[7:], 6: base[:9], 7: base[:8]}
+    variants = {1: base, 2: base[:5] + base[6:], 3: base[:5] + ["new"] + base[5:], 4: base[:5] + ["other"] + base[6:], 5: base[:5] + ["a", "b"] + base[7:], 6: base[:9], 7: base[:8], 8: base[:5], 9: ["x"] + base[1:5], 10: base[:4], 11: ["x"] + base[1:4], 12: base[:4], 13: ["日本語"], 14: ["日本語"], 15: []}
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in variants.items()], "doc_id long, text string")
     gone = {r.id for r in line_dedup.LineDecisions(df).lines.where("exact OR near").collect()}
-    assert gone == {2, 3, 4}  # 5 has two words changed; 6 and 7 are too short for an edit
+    assert gone == {2, 3, 4, 7, 9, 12, 14}  # 5 has two words changed; an edit of four words is too much
+
+
+def test_line_keys_of_many_lines(spark):
+    """Lines of the same words in other places, and lines whose parts are equal, have keys of their own."""
+    rnd = random.Random(3)
+    base = [f"w{k}" for k in range(8)]
+    texts = {"\n".join(" ".join(rnd.sample(base, rnd.randint(5, 8))) for _ in range(30)) for _ in range(20)}
+    data = list(enumerate(sorted(texts)))
+    lines = [(i, n, x.split(" ")) for i, t in data for n, x in enumerate(t.split("\n"))]
+    want = set()
+    for k, (i, n, w) in enumerate(lines):
+        if any(within_one_word(w, v) for _, _, v in lines[:k]):
+            want.add((i, n))
+    out = line_dedup.LineDecisions(spark.createDataFrame(data, "doc_id long, text string")).lines.where("exact OR near")
+    assert {(r.id, r.line_no) for r in out.collect()} == want and 0 < len(want) < len(lines)
 
 
 def test_digests(docs, empty, spark, tmp_path):
@@ -337,6 +502,17 @@ def test_digests(docs, empty, spark, tmp_path):
     assert out == {1000: (first["x"], False), 1001: (1001, True), 1002: (1001, False)}
     assert again.rows().count() == len(first) + 1
     assert again.add(empty).count() == 0
+    before = sorted(map(tuple, again.rows().collect()))
+    again.compact()
+    assert (again.version, again.buckets) == (1, 64) and sorted(map(tuple, again.rows().collect())) == before
+    reopened = digest_index.DigestIndex(spark, str(tmp_path / "index"))
+    assert (reopened.version, reopened.buckets) == (1, 64)
+    assert {i: (r.keep_id, r.kept) for i, r in rows(reopened.add(late)).items()} == {1000: (first["x"], False), 1001: (1001, False), 1002: (1001, False)}
+    with pytest.raises(ValueError):
+        reopened.add(late.withColumn("doc_id", late["doc_id"].cast("string")))
+    reopened.close()
+    assert reopened.table not in {t.name for t in spark.catalog.listTables()}
+    assert [digest_index.buckets_for(n) for n in (0, 1, 64_000_000, 64_000_001, 10**15)] == [64, 64, 64, 128, 65_536]
 
 
 def test_personal_data(spark, empty):
@@ -373,6 +549,19 @@ def test_iban_before_other_words(number, after):
     assert (5, 5 + len(number)) in found and len(found) == 1 + ("WEST" in after)
 
 
+def test_national_numbers_and_secrets():
+    found = lambda t: [(k, t[a:b]) for k, a, b, _ in pii.spans(t) if k not in pii.BASE_KINDS]
+    assert found("NIR 1 84 12 76 451 089 46, DNI 12345678Z, NIE X1234567L") == [("national_id", "1 84 12 76 451 089 46"), ("national_id", "12345678Z"), ("national_id", "X1234567L")]
+    assert not found("1 84 12 76 451 089 47 12345678A X1234567T order 12345678Z")
+    assert found("her SSN is 219-09-9999") == [("ssn", "219-09-9999")] and not found("219-09-9999") and not found("SSN 000-12-3456 666-12-3456 912-12-3456 123-00-1234")
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    assert found(f'é token = "{key}" and') == [("secret", key)] and found(f"API_KEY:{key}") == [("secret", key)]
+    assert not found(f"commit {key}") and not found("password = aaaaaaaaaaaaaaaa1") and not found("token = wholly-unlikely-words")
+    aws, pem = "AKIA" + "ABCDEFGH" + "23456789", "-----BEGIN RSA PRIVATE KEY-----"
+    assert found(f"use {aws}. {pem}") == [("secret", aws), ("secret", pem)] and not found(f"for example {aws}")
+    assert pii.random_looking(key) and not pii.random_looking("a1" * 20)
+
+
 def test_iban_and_context():
     good, bad = "GB82 WEST 1234 5698 7654 32", "GB83 WEST 1234 5698 7654 32"
     assert [(k, t) for k, a, b, _ in pii.spans(f"é {good}.") for t in [f"é {good}."[a:b]] if k == "iban"] == [("iban", good)]
@@ -399,6 +588,61 @@ def test_languages(spark, empty):
     assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h in held.items())
 
 
+def test_languages_by_brute_force(spark):
+    """Profiles, distances and scores from plain counts, equal distances included."""
+    rnd = random.Random(12)
+    letters = {"aa": "abcdeé", "bb": "defghß", "cc": "abcdeé"}  # two languages alike
+    data = []
+    for i in range(90):
+        lang = sorted(letters)[i % 3]
+        text = " ".join("".join(rnd.choice(letters[lang]) for _ in range(rnd.randint(1, 5))) for _ in range(rnd.randint(0, 25)))
+        data.append((i, rnd.choice([text, text.upper(), text + " 12, x-y\n"]), None if i % 7 == 0 else lang))
+    data += [(i + 100, t, "dd" if g == "bb" else None) for i, t, g in data[:60]] + [(300, None, "aa"), (301, "", "ee")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+
+    def counts(text):
+        out = collections.Counter()
+        for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            padded = f" {word} "
+            out.update(word)
+            out.update(padded[k : k + 2] for k in range(len(padded) - 1))
+            out.update(padded[k : k + 3] for k in range(len(padded) - 2))
+        return out
+
+    code = lambda gram: sum(ord(c) << 21 * (len(gram) - 1 - k) for k, c in enumerate(gram))
+    ranked = lambda c, k: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], code(x[0])))[:k]]
+    total = collections.defaultdict(collections.Counter)
+    for _, t, g in data:
+        if g:
+            total[g].update(counts(t))
+    profiles = {g: ranked(c, 30) for g, c in total.items() if c}
+    model = langid.fit(df, size=30)
+    assert model.languages == sorted(profiles) == ["aa", "bb", "cc", "dd"]
+    out = rows(langid.predict(df, model))
+    tied = 0
+    for i, t, _ in data:
+        top = ranked(counts(t), langid.COMPARED)
+        if not top:
+            assert (out[i].lang_pred, out[i].score) == ("und", 0.0)
+            continue
+        apart = {g: sum(min(abs(p.index(x) - k), 30) if x in p else 30 for k, x in enumerate(top)) for g, p in profiles.items()}
+        best = min(sorted(apart), key=apart.get)
+        tied += list(apart.values()).count(apart[best]) > 1
+        assert out[i].lang_pred == best and out[i].score == pytest.approx(1 - apart[best] / (30 * len(top)))
+    same = langid.Profiles({"z": model_codes(profiles["aa"], code), "b": model_codes(profiles["aa"], code)})
+    assert same.predict("abc")[0] == "b"
+
+
+def model_codes(grams, code):
+    return [code(g) for g in grams]
+
+
+def test_fit_sample_is_bounded(spark):
+    df = spark.createDataFrame([(i, "abc", "xx") for i in range(4000)] + [(i, "de", "yy") for i in range(50)], "doc_id long, text string, lang string")
+    n = collections.Counter(r.lang for r in langid.chosen_rows(df, rows=500).collect())
+    assert 400 < n["xx"] < 600 and n["yy"] == 50
+
+
 def test_language_ngrams():
     codes = langid.ngram_codes("Ab, c")
     one = [c for c in codes if c < 1 << 21]
@@ -413,8 +657,8 @@ def test_repeated_rows(docs):
     n = twice.count()
     answers = {
         "shards": sharding.shard_by_bytes(twice, shards=4).drop("slot", "shard"),
-        "mix": mixing.Mix(twice, block=16).taken().drop("taken"),
-        "near": probminhash.NearDuplicates(twice).result(),
+        "mix": mixing.Mix(twice, block=16).taken().drop("taken", "shard", "position"),
+        "near": probminhash.NearDuplicates(twice).result().drop("kept"),
         "repeats": anchors.remove_repeats(twice),
         "bpe": bpe.encode_decode(twice),
         "lines": line_dedup.LineDecisions(twice).texts().select("doc_id", "text", "_n_lines", "_n_exact", "_n_near"),
@@ -432,3 +676,115 @@ def test_repeated_rows(docs):
     assert imatch.fingerprint_neighbours(twice).count() == n
     alone = {r.doc_id: (r.text, r._n_exact, r._n_near) for r in line_dedup.LineDecisions(docs).texts().collect()}
     assert {r.doc_id: (r.text, r._n_exact, r._n_near) for r in answers["lines"].collect()} == alone
+    sets = {i: shingle_set(t) for i, t, *_ in corpus()}
+    groups = len({c for i, c in classes(sets).items() if sets[i]}) + sum(2 - (i % 3 > 0) for i, x in sets.items() if not x)
+    assert answers["near"].count() == n and probminhash.NearDuplicates(twice).result().where("kept").count() == groups
+    mix = mixing.Mix(twice, block=16, whole=True)
+    taken, words = collections.Counter(), collections.Counter()
+    for r in mix.taken().collect():
+        taken[r.doc_id] += r.taken
+    for r in mix.texts().collect():
+        words[r.doc_id] += len(WORDS.findall(r.text))
+    assert +taken == +words
+
+
+def awkward() -> list[tuple]:
+    """Rows whose ids are null or shared, with texts equal and not."""
+    texts = [t for _, t, *_ in corpus(5, 40)]
+    return [(None if k % 3 == 0 else k % 10, t, ["s", None][k % 2]) for k, t in enumerate(texts)] + [(None, texts[20], "s"), (None, texts[20], "s"), (1, texts[21], "s"), (2, texts[21], "s")]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_null_and_shared_ids(spark, kind):
+    data = [(i if i is None or kind == "long" else f"id {i}", t, s) for i, t, s in awkward()]
+    df = spark.createDataFrame(data, f"doc_id {kind}, text string, source string").repartition(3)
+    n = len(data)
+    texts = {k: t for k, (_, t, _) in enumerate(data)}
+    many = lambda df, *c: collections.Counter(tuple(r[x] for x in c) for r in df.collect())
+    # substring dedup: each row by its own text
+    want = collections.Counter((data[k][0], *v) for k, v in removed(texts).items())
+    assert many(anchors.remove_repeats(df), "doc_id", "n_words", "n_removed", "kept") == want
+    # near-dedup: classes of texts, one row of each stays
+    class_of = classes({k: shingle_set(t) for k, t in texts.items()})
+    size = collections.Counter(class_of.values())
+    least = {c: min((data[k][0] for k in texts if class_of[k] == c and data[k][0] is not None), default=None) for c in size}
+    near = probminhash.NearDuplicates(df)
+    assert many(near.result(), "doc_id", "class_id", "class_size") == collections.Counter((data[k][0], least[c] if size[c] > 1 else data[k][0], size[c]) for k, c in class_of.items())
+    stays = near.kept_rows().collect()
+    assert near.result().where("kept").count() == len(stays) == len(size)
+    assert {tuple(sorted(shingle_set(r.text))) for r in stays} == {tuple(sorted(shingle_set(t))) for k, t in texts.items() if class_of[k] == k}
+    # exact dedup
+    norm = {k: re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for k, t in texts.items()}
+    keep = {t: min((data[k][0] for k in texts if norm[k] == t and data[k][0] is not None), default=None) for t in norm.values()}
+    group = collections.Counter(norm.values())
+    assert many(digest_index.exact_dedup(df), "doc_id", "keep_id", "group_size") == collections.Counter((data[k][0], keep[t], group[t]) for k, t in norm.items())
+    # line dedup: rows by id (null first), then text hash; lines within a row in order
+    order = {(r.id, r.text): r.th for r in df.selectExpr("doc_id AS id", "text", "xxhash64(text) AS th").collect()}
+    ranked = sorted({(i, t) for i, t, _ in data if t is not None}, key=lambda x: (x[0] is not None, x[0] or 0, order[x]) if kind == "long" else (x[0] is not None, x[0] or "", order[x]))
+    lines = sorted(((ranked.index((i, t)), i, t, j, tuple(WORDS.findall(x))) for i, t in ranked for j, x in enumerate(t.split("\n"))), key=lambda x: (x[1] is not None, x[1] or (0 if kind == "long" else ""), x[3], x[0]))
+    exact, seen = collections.Counter(), set()
+    for _, i, t, j, w in lines:
+        exact[i, t] += bool(w) and w in seen
+        seen.add(w)
+    got = collections.Counter()
+    decided = line_dedup.LineDecisions(df)
+    for r in decided.per_document().collect():
+        got[r.id, r.n_exact] += 1
+    assert got == collections.Counter((i, exact[i, t]) for i, t in ranked)
+    assert decided.texts().count() == n
+    # the others answer every row
+    placed = sharding.shard_by_bytes(df, shards=4).collect()
+    slots = collections.defaultdict(list)
+    for r in placed:
+        slots[r.shard].append(r.slot)
+    assert len(placed) == n and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    mix = mixing.Mix(df, block=16, whole=True)
+    assert sum(r.taken for r in mix.taken().collect()) == sum(len(WORDS.findall(r.text)) for r in mix.texts().collect()) and mix.taken().count() == n
+    assert many(bpe.encode_decode(df), "doc_id") == many(pii.find_pii(df), "doc_id") == many(langid.predict(df, langid.Profiles({})), "doc_id") == many(df, "doc_id")
+    by_text = collections.defaultdict(set)
+    prints = imatch.fingerprint_neighbours(df).collect()
+    assert collections.Counter(r.doc_id for r in prints) == collections.Counter(i for i, *_ in data)
+    for r in prints:
+        by_text[r.fingerprint].add(r.n_chars)
+    assert all(len(v) == 1 for f, v in by_text.items() if not f.startswith("w:"))
+
+
+def test_very_long_texts(spark):
+    """A text of some megabytes beside its near copy and short ones, in every operator."""
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(13)
+    vocabulary = ["".join(rnd.choice("abcdeéß") for _ in range(rnd.randint(2, 8))) for _ in range(3000)]
+    words = [rnd.choice(vocabulary) for _ in range(300_000)]
+    long = "\n".join(" ".join(words[k : k + 20]) for k in range(0, len(words), 20))
+    near = long.replace(words[500], "other", 3) + "\nmail a.b@c.de +1 (017) 555-5036"
+    texts = [long, near, "a short text", None, "x" * 2_500_000, " ".join(words[100:160])]
+    df = spark.createDataFrame([(i, t, "s", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    assert [r.class_id for r in probminhash.NearDuplicates(df).result().orderBy("doc_id").collect()] == [0, 0, 2, 3, 4, 5]
+    want = removed(dict(enumerate(texts)))
+    assert {i: (r.n_words, r.n_removed, r.kept) for i, r in rows(anchors.remove_repeats(df)).items()} == want
+    tokenizer = Tokenizer.from_file(bpe.default_path())
+    coded = rows(bpe.encode_decode(df))
+    assert all(list(coded[i].ids) == tokenizer.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts))
+    lines = rows(line_dedup.LineDecisions(df).texts())
+    seen, kept = set(), {}
+    for i, t in enumerate(texts):
+        kept[i] = [] if t is None else [x for x in t.split("\n") if x not in seen]
+        seen.update(kept[i])
+    assert all(lines[i].text == "\n".join(kept[i]) for i in (0, 2, 4)) and lines[1]._n_exact + lines[1]._n_near >= len(words) // 20 - 3
+    assert [(k, near[a:b]) for k, a, b, _ in rows(pii.find_pii(df))[1].spans] == [("email", "a.b@c.de"), ("phone", "+1 (017) 555-5036")]
+    mix = mixing.Mix(df, whole=True)
+    assert {r.doc_id: r["size"] for r in mix.taken().collect()} == {i: len(WORDS.findall(t or "")) for i, t in enumerate(texts)}
+    assert sum(len(WORDS.findall(r.text)) for r in mix.texts().collect()) == sum(r.taken for r in mix.taken().collect())
+    assert {i: r.n_chars for i, r in rows(imatch.fingerprint_neighbours(df)).items()} == {i: len(t or "") for i, t in enumerate(texts)}
+    assert all(r.group_size == 1 for r in digest_index.exact_dedup(df).collect())
+    assert sharding.shard_by_bytes(df, shards=3).count() == 6 and langid.predict(df, langid.fit(df)).count() == 6
+
+
+def test_tokenizer_files_of_other_forms_are_refused(docs):
+    import public_tokenizers
+
+    with pytest.raises(ValueError):
+        bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    with pytest.raises(ValueError):
+        bpe.encode_decode(docs, keep=("ids",))
