@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.llm.common import save
+from threadlens.llm.common import save, scratch
 from threadlens.llm.textarrays import U, Words, mix64, rolling, slices, space_table, text_buffers, window_starts
 
 WINDOW = 35
@@ -191,8 +191,9 @@ def _exchange(rows: DataFrame, send: Callable, bits: int, width: int, wide: bool
     sent = rows.mapInArrow(send(first, first_width), SENT)
     if then:
         sent = sent.repartition(1 << first, "part").mapInArrow(_deal(then, first_width, width, wide), SENT)
-    answered = save(sent.groupBy("part").applyInArrow(_answered(width, wide), "row long, place int"), label)
-    return save(answered.groupBy("row").agg(F.array_sort(F.collect_list("place")).alias("places")), f"{label}-by-text")
+    with scratch(rows.sparkSession):
+        answered = save(sent.groupBy("part").applyInArrow(_answered(width, wide), "row long, place int"), label)
+        return save(answered.groupBy("row").agg(F.array_sort(F.collect_list("place")).alias("places")), f"{label}-by-text", outlive=1)
 
 
 def _words(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Words, np.ndarray]]:

@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 
-#: Holds while tables are saved: the shuffle files of a writing job go as soon as it ends.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Hold while tables are saved: the shuffle files of a writing job go as soon as it ends, and Arrow batches are small.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 _lock = threading.Lock()
-_saving = {"now": 0, "before": "false"}
+_saving: dict = {"now": 0, "before": {}}
+#: Folders of the tables saved within each of this thread's open scratch scopes.
+_scopes = threading.local()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,12 +46,13 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 @contextmanager
-def _cleaning(spark: SparkSession) -> Iterator[None]:
-    """Cleanup of shuffle files, on from the first of several concurrent saves to the end of the last."""
+def _settings(spark: SparkSession) -> Iterator[None]:
+    """``_SETTINGS``, from the first of several concurrent saves to the end of the last."""
     with _lock:
         if _saving["now"] == 0:
-            _saving["before"] = spark.conf.get(_CLEANUP, "false")
-            spark.conf.set(_CLEANUP, "true")
+            _saving["before"] = {k: spark.conf.get(k, None) for k in _SETTINGS}
+            for k, v in _SETTINGS.items():
+                spark.conf.set(k, v)
         _saving["now"] += 1
     try:
         yield
@@ -57,19 +60,38 @@ def _cleaning(spark: SparkSession) -> Iterator[None]:
         with _lock:
             _saving["now"] -= 1
             if _saving["now"] == 0:
-                spark.conf.set(_CLEANUP, _saving["before"])
+                for k, v in _saving["before"].items():
+                    spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def save(df: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables saved in this block are deleted at its end, but for those that outlive it."""
+    stack = _scopes.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for path in stack.pop():
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def save(df: DataFrame, label: str, outlive: int = 0) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
+    Within ``scratch`` blocks the table goes with the innermost, or with the one around the ``outlive`` innermost, if any.
+
     Cuts lineage, computes shared parts once, survives lost executors, and gives the planner real
     sizes: both sides of a later join are then plain scans, whose skew adaptive execution splits.
     The shuffle files of the writing job are dropped as soon as it ends.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    with _cleaning(spark):
+    stack = _scopes.__dict__.get("stack", [])
+    if len(stack) > outlive:
+        stack[-1 - outlive].append(path)
+    with _settings(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlens.llm.common import WORD_CLASS, boxed, save, unboxed
+from threadlens.llm.common import WORD_CLASS, boxed, save, scratch, unboxed
 
 #: Least likeness of lines, as the share of words that an edit leaves; both must have the words for it.
 SIMILAR = 0.8
@@ -72,7 +72,8 @@ class LineDecisions:
         first = F.struct("id", "line_no", "th", "n", "halves")
         distinct = self.slim.where("n > 0").groupBy("h1", "h2").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("copies"))
         self.distinct = save(distinct.select("h1", "h2", "copies", "first.*"), "distinct-lines")
-        near = save(self._near(), "near-lines")
+        with scratch(docs.sparkSession):
+            near = save(self._near(), "near-lines", outlive=1)
         flagged = (
             self.distinct.select("h1", "h2", "copies", F.col("id").alias("first_id"), F.col("th").alias("first_th"), F.col("line_no").alias("first_no"))
             .join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
@@ -157,7 +158,7 @@ class LineDecisions:
 
     def cut(self) -> DataFrame:
         """(row, kept, changed, n_lines, n_exact, n_near): whole rows with what is left of their texts."""
-        decided = save(self.per_document(), "line-decisions").withColumnsRenamed({"id": "_id", "th": "_th"})
+        decided = save(self.per_document(), "line-decisions", outlive=1).withColumnsRenamed({"id": "_id", "th": "_th"})
         docs = boxed(self.docs, id=F.col(self.id_col), th=F.xxhash64(F.col(self.text_col).cast("string")))
         joined = docs.join(decided, docs["id"].eqNullSafe(decided["_id"]) & (docs["th"] == decided["_th"]), "left")
         # places that stay, by one pass over a set of those that go; a text is split once

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlens.llm.common import SPACE_CLASS, WORD_CLASS, boxed, save, unboxed
+from threadlens.llm.common import SPACE_CLASS, WORD_CLASS, boxed, save, scratch, unboxed
 
 #: Words of a block, and blocks of an output shard on average.
 BLOCK, SHARD_BLOCKS = 128, 4096
@@ -92,11 +92,16 @@ class Mix:
         self.rows = boxed(docs, number=F.monotonically_increasing_id())
         if whole:
             self.rows = save(self.rows, "numbered")
+        with scratch(self.spark):
+            self._pack(id_col, text_col, source_col, shard_blocks)
+
+    def _pack(self, id_col: str, text_col: str, source_col: str, shard_blocks: int) -> None:
+        block = self.block
         field = lambda c: F.col("row").getField(c)
         text = field(text_col).cast("string")
         sized = save(self.rows.select("number", field(id_col).alias("id"), field(source_col).alias("source"), n_words(text).alias("size"), F.xxhash64(text).alias("th")), "words")
         rows = sized.count()
-        self.sources = save(targets(sized), "sources")
+        self.sources = save(targets(sized), "sources", outlive=1)
         size, target = F.col("source_size"), F.col("target")
         turns = F.when(size > 0, F.floor(target / size)).otherwise(0).cast("long")
         rest = F.round(target).cast("long") - turns * size
@@ -106,7 +111,7 @@ class Mix:
         known = sized.join(self.sources.select("sid", F.col("source").alias("_s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
         known = known.withColumn("bucket", F.pmod(F.xxhash64("id", "th"), F.lit(buckets)))
         in_bucket = Window.partitionBy("sid", "bucket").orderBy("id", "th", "size", "number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        known = save(known.withColumn("to_here", F.sum("size").over(in_bucket)).drop("th", "source"), "packed")
+        known = save(known.withColumn("to_here", F.sum("size").over(in_bucket)).drop("th", "source"), "packed", outlive=1)
 
         def so_far(c: str, by: list[str], order: str) -> Column:
             return F.coalesce(F.sum(c).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -115,7 +120,7 @@ class Mix:
         sums = save(sums, "bucket-sums")
         groups = sums.groupBy("sid", "group").agg(F.sum("held").alias("held")).select("sid", "group", so_far("held", ["sid"], "group").alias("base"))
         within = sums.select("sid", "bucket", "group", so_far("held", ["sid", "group"], "bucket").alias("inner"))
-        offsets = save(within.join(groups, ["sid", "group"]).select("sid", "bucket", (F.col("base") + F.col("inner")).alias("offset")), "offsets")
+        offsets = save(within.join(groups, ["sid", "group"]).select("sid", "bucket", (F.col("base") + F.col("inner")).alias("offset")), "offsets", outlive=1)
         #: number, id, sid, size, source_size, target, start: each document's first word in its source's stream
         self.packed = known.join(offsets, ["sid", "bucket"]).withColumn("start", F.col("offset") + F.col("to_here") - F.col("size"))
         turns = plan.where("blocks > 0").withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns"))))

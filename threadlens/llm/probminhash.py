@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.llm.common import boxed, save, unboxed
+from threadlens.llm.common import boxed, save, scratch, unboxed
 from threadlens.llm.components import components
 from threadlens.llm.textarrays import U, Words, alnum_table, mix64, rolling, slices, text_buffers, window_starts
 
@@ -93,7 +93,7 @@ def band_keys(signature: np.ndarray, width: int = BAND) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(number, id, th, digest, has_words, bands, short) from (number, id, th, text)."""
+    """(number, id, rk, digest, has_words, bands, short) from (number, id, rk, text)."""
     for batch in batches:
         data, off = text_buffers(batch.column(3))
         for a, b in slices(off, 1 << 20):
@@ -107,19 +107,22 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 short = pa.FixedSizeBinaryArray.from_buffers(pa.binary(COMPONENTS), d - c, [None, pa.py_buffer(np.ascontiguousarray(mix64(signature).astype(np.uint8)))])
                 yield pa.RecordBatch.from_arrays(
                     [*(x.slice(c, d - c) for x in batch.columns[:3]), pa.array(digest.view(np.int64)), pa.array(has), rows, short.cast(pa.binary())],
-                    ["number", "id", "th", "digest", "has_words", "bands", "short"],
+                    ["number", "id", "rk", "digest", "has_words", "bands", "short"],
                 )
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, shingles) from (id, text), of texts whose words have the digest ``id``."""
     for batch in batches:
         data, off = text_buffers(batch.column(1))
+        nodes = batch.column(0).to_numpy(zero_copy_only=False).view(U)
         for a, b in slices(off, 1 << 20):
-            text, value, _, _ = shingles(data[off[a] : off[b]], off[a : b + 1] - off[a])
+            text, value, _, digest = shingles(data[off[a] : off[b]], off[a : b + 1] - off[a])
             ends = np.searchsorted(text, np.arange(b - a + 1))
             raw = value.view(np.uint8).tobytes()  # each text's shingles ascend
             sets = [raw[8 * ends[i] : 8 * ends[i + 1]] for i in range(b - a)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], ["id", "shingles"])
+            made = pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], ["id", "shingles"])
+            yield made.filter(pa.array(digest == nodes[a:b]))
 
 
 def _by_size(batch: pa.RecordBatch, *columns: int, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
@@ -184,29 +187,40 @@ class NearDuplicates:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR):
         self.docs, self.id_col, self.text_col, self.similar = docs, id_col, text_col, similar
         self.id_type = docs.schema[id_col].dataType.simpleString()
-        text = self._text(F.col(text_col))
-        rows = docs.select(F.monotonically_increasing_id().alias("number"), F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-        sketched = rows.mapInArrow(_sketch, f"number long, id {self.id_type}, th long, digest long, has_words boolean, bands array<long>, short binary")
-        self.sketches = save(sketched, "sketches")
-        worded = self.sketches.where("has_words")
-        # of equal word sequences, the row with the least id (null last), then the least text hash; (id, th) numbers but repeated rows
-        first = F.struct(F.col("id").isNull().alias("none"), "id", "th", "number")
-        #: one row for each distinct word sequence
-        self.texts = save(worded.groupBy("digest").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("copies")), "texts")
-        firsts = self.texts.select(F.col("first.number").alias("number"))
-        distinct = worded.join(firsts, "number", "left_semi").select(F.col("digest").alias("node"), "id", "th", "bands", "short")
-        distinct = save(distinct, "distinct-texts")
-        bands = distinct.select(F.col("node").alias("id"), F.explode("bands").alias("key"))
+        #: number, id, rk, digest and has_words of each row; of each distinct word sequence its first row and its copies; (id, class) of those with a link
+        self.rows, self.texts, self.classes = None, None, None
+        with scratch(docs.sparkSession):
+            self._compare()
+
+    def _compare(self) -> None:
+        text = self._text(F.col(self.text_col))
+        rows = self.docs.select(F.monotonically_increasing_id().alias("number"), F.col(self.id_col).alias("id"), self._row_key(F.col(self.id_col), text).alias("rk"), text.alias("text"))
+        with scratch(self.docs.sparkSession):
+            sketched = rows.mapInArrow(_sketch, f"number long, id {self.id_type}, rk long, digest long, has_words boolean, bands array<long>, short binary")
+            sketches = save(sketched, "sketches")
+            self.rows = save(sketches.drop("bands", "short"), "rows", outlive=2)
+            # of equal word sequences, the row with the least id (null last), then the least hash and number
+            first = F.struct(F.col("id").isNull().alias("none"), "id", "rk", "number")
+            self.texts = save(self.rows.where("has_words").groupBy("digest").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("copies")), "texts", outlive=2)
+            firsts = self.texts.select(F.col("first.number").alias("number"))
+            distinct = sketches.join(firsts, "number", "left_semi").select(F.col("digest").alias("id"), "bands", "short")
+            distinct = save(distinct, "distinct-texts", outlive=1)
+        # from here on, ``id`` is the digest of a distinct text
+        bands = distinct.select("id", F.explode("bands").alias("key"))
         crowded = save(bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "crowded")
         met = save(bands.join(crowded, "key"), "crowded-bands")
-        # from here on, ``id`` is the digest of a distinct text
         company = save(met.groupBy("id").agg(F.sum("n").alias("company")), "candidates")
         self.bands = met.select("id", "key").join(company, "id")
-        found = save(distinct.join(company.select(F.col("id").alias("node")), "node", "left_semi").select("node", F.col("id").alias("_id"), F.col("th").alias("_th"), "short"), "candidate-rows")
-        self.short = found.select(F.col("node").alias("id"), "short")
-        named = rows.join(found.drop("short"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
+        self.short = save(distinct.select("id", "short").join(company, "id", "left_semi"), "signatures")
+        wanted = self.texts.select(F.col("digest").alias("node"), F.col("first.rk").alias("_rk")).join(company.select(F.col("id").alias("node")), "node", "left_semi")
+        named = rows.select("rk", "text").join(save(wanted, "candidate-rows"), F.col("rk") == F.col("_rk"))
         self.sets = save(named.select("node", "text").mapInArrow(_shingle_sets, "id long, shingles binary").dropDuplicates(["id"]), "shingle-sets")
-        self.classes = self._classes()
+        self.classes = save(self._classes(), "classes", outlive=1)
+        del self.bands, self.short, self.sets, self.links
+
+    @staticmethod
+    def _row_key(id_column: Column, text: Column) -> Column:
+        return F.xxhash64(id_column, text)
 
     @staticmethod
     def _text(column: Column) -> Column:
@@ -298,16 +312,17 @@ class NearDuplicates:
         return classes.select(F.col("node").alias("id"), F.col("component").alias("class"))
 
     def decisions(self) -> DataFrame:
-        """One row per input row: id, th (hash of its lower-case text), class_id (the smallest id of its class),
-        class_size and kept: is it the class's first row, by id (null last), text hash and number."""
-        named = self.texts.join(self.classes, self.texts["digest"] == self.classes["id"], "left").select("digest", F.coalesce("class", "digest").alias("class"), "first", "copies")
-        named = save(named, "named")
-        sizes = save(named.groupBy("class").agg(F.sum("copies").alias("size"), F.min("first").alias("first")).where("size > 1"), "class-sizes")
-        named = save(named.select("digest", "class").join(sizes, "class").select("digest", F.col("first.id").alias("least"), F.col("first.number").alias("stays"), "size"), "sized")
-        slim = self.sketches.select("number", "id", "th", "digest", "has_words")
+        """One row per input row: id, rk (hash of id and lower-case text), class_id (the smallest id of its class),
+        class_size and kept: is it the class's first row, by id (null last), hash and number."""
+        with scratch(self.docs.sparkSession):
+            named = self.texts.join(self.classes, self.texts["digest"] == self.classes["id"], "left").select("digest", F.coalesce("class", "digest").alias("class"), "first", "copies")
+            named = save(named, "named")
+            sizes = save(named.groupBy("class").agg(F.sum("copies").alias("size"), F.min("first").alias("first")).where("size > 1"), "class-sizes")
+            sized = named.select("digest", "class").join(sizes, "class").select("digest", F.col("first.id").alias("least"), F.col("first.number").alias("stays"), "size")
+            sized = save(sized, "sized", outlive=1)
         grouped = F.col("has_words") & F.col("size").isNotNull()
-        return slim.join(named, "digest", "left").select(
-            "id", "th",
+        return self.rows.join(sized, "digest", "left").select(
+            "id", "rk",
             F.when(grouped, F.col("least")).otherwise(F.col("id")).alias("class_id"),
             F.when(grouped, F.col("size")).otherwise(1).cast("long").alias("class_size"),
             (~grouped | (F.col("stays") == F.col("number"))).alias("kept"),
@@ -319,12 +334,12 @@ class NearDuplicates:
 
     def kept_rows(self) -> DataFrame:
         """The rows of ``docs``, whole, one of each class. Of repeated rows (same id and text) of a class, one stays."""
-        per_row = self.decisions().groupBy("id", "th").agg(F.max("kept").alias("kept"), F.max("class_size").alias("class_size"), F.count(F.lit(1)).alias("n"))
-        cut = save(per_row.where("NOT kept OR (n > 1 AND class_size > 1)").select(F.col("id").alias("_id"), F.col("th").alias("_th"), "kept"), "near-copies")
-        rows = boxed(self.docs, id=F.col(self.id_col), th=F.xxhash64(self._text(F.col(self.text_col))))
-        same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))
+        per_row = self.decisions().groupBy("rk").agg(F.max("kept").alias("kept"), F.max("class_size").alias("class_size"), F.count(F.lit(1)).alias("n"))
+        cut = save(per_row.where("NOT kept OR (n > 1 AND class_size > 1)").select(F.col("rk").alias("_rk"), "kept"), "near-copies", outlive=1)
+        rows = boxed(self.docs, rk=self._row_key(F.col(self.id_col), self._text(F.col(self.text_col))))
+        same = F.col("rk") == F.col("_rk")
         alone = rows.join(cut, same, "left_anti")
         repeated = cut.where("kept")
         if not repeated.isEmpty():  # none, where ids are unique
-            alone = alone.unionByName(rows.join(repeated, same, "left_semi").dropDuplicates(["id", "th"]))
+            alone = alone.unionByName(rows.join(repeated, same, "left_semi").dropDuplicates(["rk"]))
         return alone.select(*unboxed(alone, self.docs.columns))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlens.llm import anchors, bpe, digest_index, imatch, langid, line_dedup, mixing, pii, probminhash, sharding
-from threadlens.llm.common import documents
+from threadlens.llm.common import documents, scratch
 
 
 def _sha256(text: Column) -> Column:
@@ -54,7 +54,8 @@ def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = line_dedup.LineDecisions(documents(spark, sf_dir)).cut()
+    with scratch(spark):
+        cut = line_dedup.LineDecisions(documents(spark, sf_dir)).cut()
     text = F.when(F.col("changed"), F.col("kept")).otherwise(F.coalesce(F.col("row.text"), F.lit("")))
     return cut.select("row.doc_id", "n_lines", "n_exact", "n_near", _sha256(text).alias("kept_sha256"))
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from threadlens.llm.common import boxed, save, unboxed
+from threadlens.llm.common import boxed, save, scratch, unboxed
 
 LEAST_ID = -(1 << 63)
 #: Rows that a range is meant to hold, and the most ranges: what the driver holds of a table grows no further.
@@ -100,6 +100,11 @@ def shard_by_bytes(
     rows each get a slot, in any order among themselves; an empty table gives an empty result; other
     columns are ignored.
     """
+    with scratch(docs.sparkSession):
+        return _shard_by_bytes(docs, shards, id_col, text_col, ranges_per_shard, samples_per_range, overfull, seed)
+
+
+def _shard_by_bytes(docs: DataFrame, shards: int, id_col: str, text_col: str, ranges_per_shard: int, samples_per_range: int, overfull: float, seed: int) -> DataFrame:
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     slim = save(
@@ -147,11 +152,12 @@ def shard_by_bytes(
     middle = 2 * (F.col("size_before") + F.col("to_here")) - F.col("size")
     placed = save(
         placed.select(
-            "id", "h", "size", "crc", "key_id", "salt",
+            "id", "h", "size", "crc",
             F.least(F.floor(middle * shards / F.lit(max(2 * total, 1))), F.lit(shards - 1)).cast("int").alias("shard"),
             (F.col("rows_before") + F.col("rn") - 1).alias("place"),
         ),
         "placed",
+        outlive=1,
     )
     starts = {r.shard: r.start for r in placed.groupBy("shard").agg(F.min("place").alias("start")).collect()}
     start = F.element_at(F.array(*[F.lit(starts.get(s, 0)).cast("long") for s in range(shards)]), F.col("shard") + 1)
