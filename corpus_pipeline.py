@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlens.llm import bpe, langid, line_dedup, mixing, probminhash
-from threadlens.llm.common import documents, save, unboxed
+from threadlens.llm.common import documents, save, scratch, unboxed
 
 #: Texts whose n-grams are further than this from every language's profile (1: as the profile) are no language.
 LEAST_SCORE = 0.2
@@ -36,7 +36,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Null and empty texts stay as they are; of equal lines the one of the least (doc_id, line number) stays, null ids first.
     """
-    cut = line_dedup.LineDecisions(docs).cut()
+    with scratch(spark):
+        cut = line_dedup.LineDecisions(docs).cut()
     left = cut.where(~(F.col("changed") & (F.coalesce("kept", F.lit("")) == "")))
     text = F.when(F.col("changed"), F.col("kept")).otherwise(F.col("row").getField("text"))
     return left.select(*unboxed(left, docs.columns, text=text, n_chars=_n_chars(text)))
@@ -47,7 +48,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and wordless texts are classes of their own and stay.
     """
-    return probminhash.NearDuplicates(docs).kept_rows()
+    with scratch(spark):
+        return probminhash.NearDuplicates(docs).kept_rows()
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
