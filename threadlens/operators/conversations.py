@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadlens.functions.text import agrees, bigrams, disagrees
+from threadlens.operators.tree import positions
+
 
 def drop_last_time(actions: DataFrame) -> DataFrame:
     """Without the actions at a conversation's last time."""
@@ -32,6 +37,71 @@ def turns(messages: DataFrame) -> DataFrame:
     return merged.withColumn("gap", seconds(F.col("start")) - seconds(before))
 
 
+def turn_pairs(messages: DataFrame, words: Callable[[Column], Column], stopwords: tuple[str, ...]) -> DataFrame:
+    """Each turn but a conversation's first against the turn before it: (conversation_id, turn_no, agree, disagree,
+    n_repeated_content, n_repeated_stop, gap).
+
+    Repeated words are counted as often as the turn uses them. ``words`` cuts a text into words. Where
+    ``messages`` has part-of-speech tags (pos, an array), n_repeated_pos_bigram counts equal tag pairs as well.
+    """
+    tagged = "pos" in messages.columns
+    conv = Window.partitionBy("conversation_id").orderBy("ts", "id")
+    new = F.when(F.col("user_text").eqNullSafe(F.lag("user_text").over(conv)) & F.lag("id").over(conv).isNotNull(), 0).otherwise(1)
+    numbered = messages.withColumn("_new", new).withColumn("turn_no", F.sum("_new").over(conv.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1)
+    said = F.array_sort(F.collect_list(F.struct("ts", "id", "content", *(["pos"] if tagged else []))))
+    turn = numbered.groupBy("conversation_id", "turn_no").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), said.alias("said"))
+    turn = turn.withColumn("words", F.flatten(F.transform("said", lambda x: words(x["content"]))))
+    order = Window.partitionBy("conversation_id").orderBy("turn_no")
+    turn = turn.withColumns({"_was": F.lag("words").over(order), "_ended": F.lag("end").over(order)})
+    if tagged:
+        turn = turn.withColumn("pairs", F.flatten(F.transform("said", lambda x: bigrams(x["pos"]))))
+        turn = turn.withColumn("_pairs", F.lag("pairs").over(order))
+    stop = F.array(*map(F.lit, stopwords))
+    count = lambda now, keep: F.size(F.filter(now, keep)).cast("long")
+    seconds = lambda c: F.unix_timestamp(c.cast("timestamp"))
+    return turn.where("_was IS NOT NULL").select(
+        "conversation_id", "turn_no", F.exists("said", lambda x: agrees(x["content"])).alias("agree"), F.exists("said", lambda x: disagrees(x["content"])).alias("disagree"),
+        count("words", lambda w: F.array_contains("_was", w) & ~F.array_contains(stop, w)).alias("n_repeated_content"),
+        count("words", lambda w: F.array_contains("_was", w) & F.array_contains(stop, w)).alias("n_repeated_stop"),
+        *([count("pairs", lambda w: F.array_contains("_pairs", w)).alias("n_repeated_pos_bigram")] if tagged else []),
+        (seconds(F.col("start")) - seconds(F.col("_ended"))).alias("gap"),
+    )
+
+
+def last_comments(actions: DataFrame, n: int = 1, by_user: bool = True) -> DataFrame:
+    """The ``n`` latest comments of each user of a conversation, or of the conversation."""
+    keys = ["conversation_id", "user_text"] if by_user else ["conversation_id"]
+    order = Window.partitionBy(*keys).orderBy(F.desc("ts"), F.desc("id"))
+    return actions.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
+
+
+def responses(actions: DataFrame) -> DataFrame:
+    """(id, conversation_id, n_responses): how many comments answer each, 0 where none does."""
+    n = actions.where("reply_to IS NOT NULL").groupBy(F.col("reply_to").alias("_to")).agg(F.count(F.lit(1)).alias("n"))
+    return actions.join(n, F.col("id") == F.col("_to"), "left").select("id", "conversation_id", F.coalesce("n", F.lit(0)).alias("n_responses"))
+
+
+def question_pairs(actions: DataFrame, asks: Column) -> DataFrame:
+    """(conversation_id, n_questions, n_answered, pair_00 .. pair_11): questions, those with an answer, and replies by whether
+    reply (first digit) and parent (second) are questions."""
+    marked = actions.withColumn("_asks", asks.cast("int"))
+    answers = reply_pairs(marked, ["_asks"])
+    kinds = answers.groupBy("conversation_id").agg(*[F.count(F.when((F.col("_asks") == a) & (F.col("to__asks") == b), 1)).alias(f"pair_{a}{b}") for a in (0, 1) for b in (0, 1)])
+    answered = responses(actions).select(F.col("id").alias("_id"), "n_responses")
+    totals = marked.join(answered, F.col("id") == F.col("_id")).groupBy("conversation_id").agg(
+        F.sum("_asks").cast("long").alias("n_questions"), F.count(F.when((F.col("_asks") == 1) & (F.col("n_responses") > 0), 1)).alias("n_answered")
+    )
+    return totals.join(kinds, "conversation_id", "left").fillna(0)
+
+
+def attacker_spoke_before(actions: DataFrame) -> DataFrame:
+    """(conversation_id, user_text, spoke_before): the user of a conversation's last action, and whether they took part before its last time."""
+    last = actions.groupBy("conversation_id").agg(F.max(F.struct("ts", "id", "user_text")).alias("x")).select("conversation_id", "x.user_text", F.col("x.ts").alias("_end"))
+    own = F.col("user_text").eqNullSafe(F.col("_user")) & (F.col("ts") < F.col("_end"))
+    joined = actions.join(last.withColumnRenamed("user_text", "_user"), "conversation_id")
+    return joined.groupBy("conversation_id", F.col("_user").alias("user_text")).agg(F.max(own).alias("spoke_before"))
+
+
 def own_previous(actions: DataFrame, columns: list[str]) -> DataFrame:
     """``actions`` with ``prev_<column>`` of the same user's latest strictly earlier action in the conversation."""
     mine = Window.partitionBy("conversation_id", "user_text").orderBy("ts")
@@ -68,25 +138,12 @@ def network(actions: DataFrame) -> DataFrame:
     )
 
 
-def depths(actions: DataFrame, most: int = 1000) -> DataFrame:
-    """(id, conversation_id, root, depth) by following replies from the roots, level by level.
+def depths(actions: DataFrame) -> DataFrame:
+    """(id, conversation_id, root, depth) by following replies from the roots.
 
-    Each level is one join on ids; the loop ends when a level is empty. A reply to an unknown comment
-    is a root. Comments on a reply cycle have no root and are left out.
+    A reply to an unknown comment is a root, as is the first comment of a circle of replies.
     """
-    known = actions.select(F.col("id").alias("_known"))
-    edges = actions.select("id", "conversation_id", "reply_to").join(known, F.col("reply_to") == F.col("_known"), "left")
-    edges = edges.select("id", "conversation_id", F.col("_known").alias("reply_to"))
-    spark = actions.sparkSession
-    edges.createOrReplaceTempView("_thread_edges")
-    return spark.sql(
-        f"""
-        WITH RECURSIVE walk(id, conversation_id, root, depth) MAX RECURSION LEVEL {most} AS (
-            SELECT id, conversation_id, id, 0 FROM _thread_edges WHERE reply_to IS NULL
-            UNION ALL
-            SELECT e.id, e.conversation_id, w.root, w.depth + 1 FROM _thread_edges e JOIN walk w ON e.reply_to = w.id
-        ) SELECT id, conversation_id, root, depth FROM walk"""
-    )
+    return positions(actions).drop("dfs_index", "is_final")
 
 
 def deepest(actions: DataFrame) -> DataFrame:
@@ -111,14 +168,15 @@ def participants(actions: DataFrame) -> DataFrame:
 
 
 def last_participant_profile(users: DataFrame, aspect: str) -> DataFrame:
-    """How the last participant of a conversation stands among the others on an aspect: New Comer, No Gap, Max, Min or Middle.
+    """How the last participant of a conversation stands among the others on an aspect: Anonymous, New Comer, Bot, No Gap, Max, Min or Middle.
 
-    ``users`` has conversation_id, user_text, is_last, is_new and the aspect.
+    ``users`` has conversation_id, user_text, is_last, is_new and the aspect; where it has them, anonymous and bot.
     """
     conv = Window.partitionBy("conversation_id")
     ranged = users.withColumn("_lo", F.min(aspect).over(conv)).withColumn("_hi", F.max(aspect).over(conv)).where("is_last")
+    is_a = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in users.columns else F.lit(False)
     kind = (
-        F.when(F.col("is_new"), "New Comer").when(F.col("_lo") == F.col("_hi"), "No Gap").when(F.col(aspect) == F.col("_hi"), "Max")
+        F.when(is_a("anonymous") | F.col("user_text").isNull(), "Anonymous").when(F.col("is_new"), "New Comer").when(is_a("bot"), "Bot").when(F.col("_lo") == F.col("_hi"), "No Gap").when(F.col(aspect) == F.col("_hi"), "Max")
         .when(F.col(aspect) == F.col("_lo"), "Min").otherwise("Middle")
     )
     return ranged.select("conversation_id", "user_text", kind.alias("profile"))
@@ -163,25 +221,6 @@ def live_tree(actions: DataFrame) -> DataFrame:
 def dfs_order(actions: DataFrame) -> DataFrame:
     """(id, conversation_id, depth, dfs_index, is_final): comments in depth-first order of the reply tree.
 
-    Children stand in comment order: by time, then the numeric parts of the id. The order is a sort of
-    zero-padded paths; is_final marks the greatest index.
+    Children stand in comment order: by time, then the numeric parts of the id.
     """
-    from threadlens.schemas import comment_order
-
-    spark = actions.sparkSession
-    siblings = Window.partitionBy("conversation_id", "reply_to").orderBy(*comment_order(F.col("ts"), F.col("id")))
-    known = actions.select(F.col("id").alias("_known"))
-    edges = actions.join(known, F.col("reply_to") == F.col("_known"), "left").select("id", "conversation_id", "ts", F.col("_known").alias("reply_to"))
-    edges = edges.withColumn("step", F.lpad(F.row_number().over(siblings).cast("string"), 8, "0"))
-    edges.createOrReplaceTempView("_dfs_edges")
-    paths = spark.sql(
-        """
-        WITH RECURSIVE walk(id, conversation_id, path, depth) MAX RECURSION LEVEL 1000 AS (
-            SELECT id, conversation_id, step, 0 FROM _dfs_edges WHERE reply_to IS NULL
-            UNION ALL
-            SELECT e.id, e.conversation_id, concat(w.path, '.', e.step), w.depth + 1 FROM _dfs_edges e JOIN walk w ON e.reply_to = w.id
-        ) SELECT id, conversation_id, path, depth FROM walk"""
-    )
-    conv = Window.partitionBy("conversation_id")
-    indexed = paths.withColumn("dfs_index", (F.row_number().over(conv.orderBy("path")) - 1).cast("long"))
-    return indexed.select("id", "conversation_id", "depth", "dfs_index", (F.col("dfs_index") == F.max("dfs_index").over(conv)).alias("is_final"))
+    return positions(actions).drop("root")
