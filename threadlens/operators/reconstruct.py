@@ -16,8 +16,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from threadlens.functions.text import clean_html
@@ -28,6 +30,8 @@ from threadlens.schemas import ACTION, ERROR, PAGE_STATE
 REMEMBER = (10, 1000)
 #: A removed comment longer than this that turns up in an insertion has been moved.
 MOVE_LEAST = 10
+#: What marks a comment that starts anew at the margin though it answers the one before.
+OUTDENT = "[OUTDENT: "
 #: Revisions after which deleted texts of the batch before are forgotten.
 RELOAD = 100
 
@@ -63,11 +67,15 @@ class Page:
 
     def check(self) -> None:
         """Comments start at 0, ascend, and lie within the text."""
-        starts = [c.start for c in self.comments]
-        if self.text and (not starts or starts[0] != 0):
-            raise AssertionError("the first comment must start at 0")
-        if starts != sorted(set(starts)) or (starts and starts[-1] >= max(len(self.text), 1)):
-            raise AssertionError("comments must ascend within the text")
+        check(self.text, self.comments)
+
+
+def check(text: str, comments: list[Comment]) -> None:
+    starts = [c.start for c in comments]
+    if text and (not starts or starts[0] != 0):
+        raise AssertionError("the first comment must start at 0")
+    if starts != sorted(set(starts)) or (starts and starts[-1] >= max(len(text), 1)):
+        raise AssertionError("comments must ascend within the text")
 
 
 def heading(line: str) -> bool:
@@ -126,7 +134,23 @@ class Fold:
         }
 
     def apply(self, rev: dict) -> list[dict]:
-        """Actions of one revision, whose ``text`` is clean; the page then stands at that revision."""
+        """Actions of one revision, whose ``text`` is clean; the page then stands at that revision.
+
+        A revision that breaks the page's invariants leaves the page as it was.
+        """
+        p, out = self.page, []
+        title, deleted, older = p.title, dict(p.deleted), dict(p.older_deleted)
+        try:
+            self._apply(rev, out)
+        except AssertionError:
+            p.title, p.deleted, p.older_deleted = title, deleted, older
+            for action in out:
+                for known in (p.conversations, p.ancestors, p.authors):
+                    known.pop(action["id"], None)
+            raise
+        return out
+
+    def _apply(self, rev: dict, out: list[dict]) -> None:
         p, new = self.page, rev["text"] or ""
         p.title = rev.get("page_title") or p.title
         old, ops = p.text, diff(p.text, new)
@@ -172,7 +196,6 @@ class Fold:
                     kept[near].append((x, y))
                 else:
                     additions.append((x, y, at))
-        out: list[dict] = []
         # moved comments: removed here and found in an addition
         free = list(additions)
         deletions = [op for op in ops if op.name == "delete"]
@@ -247,7 +270,7 @@ class Fold:
                 indent = indentation(text)
                 comments.append(Comment(start, "", indent))
                 action_id = f"{rev['rev_id']}.{x}.{p.comments[k].start}"
-                action = self._action("MODIFICATION", text, action_id, rev, p.comments[k].id, self._reply(comments, len(comments) - 1, indent), indent)
+                action = self._action("MODIFICATION", text, action_id, rev, p.comments[k].id, self._reply(comments, len(comments) - 1, self._outdented(comments, text, indent)), indent)
             elif kind == "restored":
                 parent, indent = known[text]
                 comments.append(Comment(start, "", indent))
@@ -259,18 +282,22 @@ class Fold:
                 indent = indentation(text)
                 comments.append(Comment(start, "", indent))
                 action_id = f"{rev['rev_id']}.{x}.{places.get(x, x)}"
-                action = self._action("CREATION" if indent == -1 else "ADDITION", text, action_id, rev, None, self._reply(comments, len(comments) - 1, indent), indent)
+                reply = self._reply(comments, len(comments) - 1, self._outdented(comments, text, indent))
+                action = self._action("CREATION" if indent == -1 else "ADDITION", text, action_id, rev, None, reply, indent)
             comments[-1].id = action_id
             out.append(action)
+        comments = comments if new else []
+        check(new, comments)
         p.text, p.comments, p.rev_id, p.timestamp = new, comments, rev["rev_id"], rev.get("timestamp")
-        if not new:
-            p.comments = []
-        p.check()
         p.seen += 1
         if p.seen % RELOAD == 0:
             p.older_deleted, p.deleted = p.deleted, {}
         self._prune()
-        return out
+
+    @staticmethod
+    def _outdented(comments: list[Comment], text: str, indent: int) -> int:
+        """The indentation that a comment answers from: one that says it is outdented answers the comment before it."""
+        return indent + comments[-2].indent + 1 if OUTDENT in text and len(comments) > 1 else indent
 
     @staticmethod
     def _reply(comments: list[Comment], k: int, indent: int) -> str | None:
@@ -289,26 +316,40 @@ class Fold:
                 del known[i]
 
 
+class PageFold:
+    """Takes the revisions of one page in order, one at a time, until one breaks the page."""
+
+    def __init__(self, page: Page, stop: int | None = None):
+        self.page, self.fold, self.stop, self.stopped, self.taken = page, Fold(page), stop, False, set()
+
+    def take(self, rev: dict) -> Iterator[tuple[str, dict]]:
+        """(tag, row): the actions of a revision, or the error row at which the page stops. Revisions that the page
+        already has, repeated ones, and those from a logged error on are passed over."""
+        key = (rev.get("timestamp") or "", rev["rev_id"])
+        if self.stopped or rev["rev_id"] in self.taken or key <= (self.page.timestamp or "", self.page.rev_id) or (self.stop is not None and rev["rev_id"] >= self.stop):
+            return
+        self.taken.add(rev["rev_id"])
+        try:
+            for action in self.fold.apply(rev):
+                yield "action", action
+        except AssertionError:
+            self.stopped = True
+            yield "error", {"page_id": self.page.page_id, "rev_id": rev["rev_id"]}
+
+
 def fold_page(page: Page, revisions: list[dict]) -> Iterator[tuple[str, dict]]:
     """(tag, row) of one page: actions, then its state, or an error row at which the page stops.
 
     Revisions are taken by (timestamp, id); those the page already has are passed over.
     """
-    fold = Fold(page)
+    fold = PageFold(page)
     for rev in sorted(revisions, key=lambda r: (r.get("timestamp") or "", r["rev_id"])):
-        if (rev.get("timestamp") or "", rev["rev_id"]) <= (page.timestamp or "", page.rev_id):
-            continue
-        try:
-            for action in fold.apply(rev):
-                yield "action", action
-        except AssertionError:
-            yield "error", {"page_id": page.page_id, "rev_id": rev["rev_id"]}
-            break
+        yield from fold.take(rev)
     yield "state", state_row(page)
 
 
 def state_row(p: Page) -> dict:
-    deleted = [{"text": t, "id": i, "indent": n} for d in (p.older_deleted, p.deleted) for t, (i, n) in d.items()]
+    deleted = [{"text": t, "id": i, "indent": n, "older": older} for older, d in ((True, p.older_deleted), (False, p.deleted)) for t, (i, n) in d.items()]
     return {
         "page_id": p.page_id, "page_title": p.title, "rev_id": p.rev_id, "timestamp": p.timestamp, "text": p.text,
         "actions": [{"at": c.start, "id": c.id, "indent": c.indent} for c in p.comments], "deleted": deleted, "conversations": dict(p.conversations),
@@ -318,53 +359,104 @@ def state_row(p: Page) -> dict:
 
 def page_of(row: dict) -> Page:
     pairs = lambda m: dict(m) if m is not None else {}
+    deleted = row["deleted"] if row["deleted"] is not None else []
+    remembered = lambda older: {d["text"]: (d["id"], int(d["indent"])) for d in deleted if bool(d["older"]) == older}
     return Page(
         row["page_id"], row["page_title"], row["text"] or "", int(row["rev_id"]), row["timestamp"],
         [Comment(int(a["at"]), a["id"], int(a["indent"])) for a in (row["actions"] if row["actions"] is not None else [])],
-        {d["text"]: (d["id"], int(d["indent"])) for d in (row["deleted"] if row["deleted"] is not None else [])}, {},
-        pairs(row["conversations"]), pairs(row["ancestors"]),
+        remembered(False), remembered(True), pairs(row["conversations"]), pairs(row["ancestors"]),
         {k: [(a["user_id"], a["user_text"]) for a in v] for k, v in pairs(row["authors"]).items()}, int(row["seen"]),
     )
 
 
-
 def _output_schema() -> StructType:
     inner = lambda ddl: StructType.fromDDL(ddl)
     return StructType().add("tag", "string").add("action", inner(ACTION)).add("state", inner(PAGE_STATE)).add("error", inner(ERROR))
 
 
-def _rows(tagged: Iterator[tuple[str, dict]]) -> pd.DataFrame:
-    rows = [{"tag": t, "action": None, "state": None, "error": None} | {t: r} for t, r in tagged]
-    return pd.DataFrame(rows, columns=["tag", "action", "state", "error"])
+#: Rows put into one Arrow batch of output.
+OUTPUT_ROWS = 500
 
 
-def reconstruct(revisions: DataFrame, states: DataFrame | None = None, errors: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(actions, states, errors) of all pages.
+def tagged(revisions: DataFrame, states: DataFrame | None = None, errors: DataFrame | None = None) -> DataFrame:
+    """(tag, action, state, error): the rows of all three outputs of ``reconstruct`` in one table.
 
-    One shuffle on the page brings revisions and states together, full outer: a page without new
-    revisions keeps its state. Pages with a logged error pass through unchanged. The three outputs come from one pass; the
-    caller that wants all of them persists or writes the returned tables' common parent once (they share it).
+    Revisions and saved states meet by one shuffle on the page and are sorted within it; the fold then reads
+    them as a stream, so that a task holds a page's state and a batch of revisions, however long the page.
+    Of revisions that share an id the earliest is taken. A page is passed over from its least logged error on.
     """
-    columns = ["rev_id", "timestamp", "text", "user_id", "user_text", "page_id", "page_title"]
-    clean = revisions.select(*columns).withColumn("text", clean_html(F.col("text"))).dropDuplicates(["page_id", "rev_id"])
+    rev = "struct<rev_id:bigint,timestamp:string,text:string,user_id:string,user_text:string,page_title:string>"
+    fields = ["rev_id", "timestamp", "text", "user_id", "user_text", "page_title"]
+    state_type = StructType.fromDDL(PAGE_STATE)
+    clean = revisions.withColumn("text", clean_html(F.col("text")))
+    news = clean.select(
+        "page_id", F.lit(1).alias("kind"), "timestamp", F.col("rev_id").cast("long").alias("rev_id"),
+        F.struct(*fields).cast(rev).alias("rev"), F.lit(None).cast(state_type).alias("state"), F.lit(None).cast("long").alias("stop"),
+    )
+    known = lambda page, kind, state, stop: page.select("page_id", F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("timestamp"), F.lit(None).cast("long").alias("rev_id"), F.lit(None).cast(rev).alias("rev"), state.alias("state"), stop.alias("stop"))
+    if states is not None:
+        news = news.unionByName(known(states, 0, F.struct(*state_type.names).cast(state_type), F.lit(None).cast("long")))
     if errors is not None:
-        clean = clean.join(errors.select("page_id", F.col("rev_id").alias("_stop")), "page_id", "left").where("_stop IS NULL OR rev_id < _stop").drop("_stop")
+        least = errors.groupBy("page_id").agg(F.min("rev_id").cast("long").alias("stop"))
+        news = news.unionByName(known(least, 0, F.lit(None).cast(state_type), F.col("stop")))
     schema = _output_schema()
-    if states is None:
-
-        def alone(pdf: pd.DataFrame) -> pd.DataFrame:
-            return _rows(fold_page(Page(pdf["page_id"].iloc[0]), _revisions(pdf)))
-
-        out = clean.groupBy("page_id").applyInPandas(alone, schema)
-    else:
-
-        def together(new: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-            page = page_of(state.iloc[0].to_dict()) if len(state) else Page(new["page_id"].iloc[0])
-            return _rows(fold_page(page, _revisions(new)))
-
-        out = clean.groupBy("page_id").cogroup(states.groupBy("page_id")).applyInPandas(together, schema)
-    out = out.persist()
-    return tuple(out.where(F.col("tag") == t).select(f"{t}.*") for t in ("action", "state", "error"))
+    arrow = to_arrow_schema(schema)
+
+    def rows(out: list[tuple[str, dict]]) -> pa.RecordBatch:
+        maps = ("conversations", "ancestors", "authors")
+        flat = lambda t, r: {**r, **{m: list(r[m].items()) for m in maps}} if t == "state" else r
+        return pa.RecordBatch.from_pylist([{"tag": t, "action": None, "state": None, "error": None} | {t: flat(t, r)} for t, r in out], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page_id, state, stop, fold, out = None, None, None, None, []
+
+        def done() -> list[tuple[str, dict]]:
+            if fold is not None and (fold.taken or state is not None):
+                return [("state", state_row(fold.page))]
+            return [("state", state_row(page_of(state)))] if state is not None else []
+
+        for batch in batches:
+            for i in range(len(batch)):
+                row = {n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+                if row["page_id"] != page_id:
+                    out += done()
+                    page_id, state, stop, fold = row["page_id"], None, None, None
+                if row["kind"] == 0:
+                    state, stop = row["state"] or state, row["stop"] if row["stop"] is not None else stop
+                    continue
+                if fold is None:
+                    fold = PageFold(page_of(state) if state is not None else Page(page_id), stop)
+                out += fold.take(row["rev"])
+                if len(out) >= OUTPUT_ROWS:
+                    yield rows(out)
+                    out = []
+        out += done()
+        if out:
+            yield rows(out)
+
+    by_page = news.where("page_id IS NOT NULL").repartition("page_id").sortWithinPartitions("page_id", "kind", "timestamp", "rev_id", F.xxhash64("rev"))
+    return by_page.mapInArrow(run, schema)
+
+
+class Reconstruction(tuple):
+    """(actions, states, errors), which share one persisted table until ``close``."""
+
+    shared: DataFrame
+
+    def close(self) -> None:
+        self.shared.unpersist()
+
+
+def reconstruct(revisions: DataFrame, states: DataFrame | None = None, errors: DataFrame | None = None) -> Reconstruction:
+    """(actions, states, errors) of all pages, from one pass: see ``tagged``.
+
+    A page without new revisions keeps its state. The three outputs share one persisted table; call
+    ``close`` on the result once they are written.
+    """
+    out = tagged(revisions, states, errors).persist()
+    made = Reconstruction(out.where(F.col("tag") == t).select(f"{t}.*") for t in ("action", "state", "error"))
+    made.shared = out
+    return made
 
 
 def _revisions(pdf: pd.DataFrame) -> list[dict]:

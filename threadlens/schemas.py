@@ -18,7 +18,7 @@ ACTION = (
 )
 PAGE_STATE = (
     "page_id string, page_title string, rev_id bigint, timestamp string, text string, actions array<struct<at:int,id:string,indent:int>>, "
-    "deleted array<struct<text:string,id:string,indent:int>>, conversations map<string,string>, ancestors map<string,string>, "
+    "deleted array<struct<text:string,id:string,indent:int,older:boolean>>, conversations map<string,string>, ancestors map<string,string>, "
     f"authors map<string,array<{AUTHOR}>>, seen int"
 )
 ERROR = "page_id string, rev_id bigint"
