@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadlens.functions.stats import running_sums
+
 
 def majority(labels: DataFrame, unit: str, label: str, strict: bool = False) -> DataFrame:
     """(unit, n, mean, positive): the mean of 0/1 labels is a half or more (``strict``: more). Negative labels (not sure) are left out."""
@@ -47,8 +49,10 @@ def krippendorff_alpha(labels: DataFrame, unit: str, label: str, interval: bool
     o = coincidences(labels, unit, label)
     apart = (F.col("c") - F.col("k")) * (F.col("c") - F.col("k")) if interval else F.when(F.col("c") == F.col("k"), 0).otherwise(1)
     margin = o.groupBy("c").agg(F.sum("o").alias("n"))
-    other = margin.select(F.col("c").alias("k"), F.col("n").alias("nk"))
-    expected = margin.join(other).agg(F.sum(F.col("n") * F.col("nk") * apart).alias("e"))  # over label values
+    n, c = F.col("n"), F.col("c")
+    # the sum over all pairs of label values, from single sums
+    pairs = 2 * (F.sum(n) * F.sum(n * c * c) - F.sum(n * c) * F.sum(n * c)) if interval else F.sum(n) * F.sum(n) - F.sum(n * n)
+    expected = margin.agg(pairs.alias("e"))
     seen = o.agg(F.sum(F.col("o") * apart).alias("d"), F.sum("o").alias("total"))
     return seen.join(expected).select((1 - (F.col("total") - 1) * F.col("d") / F.when(F.col("e") != 0, F.col("e"))).alias("alpha"))
 
@@ -69,12 +73,40 @@ def at_thresholds(scored: DataFrame, score: str, truth: Column, thresholds: list
 def break_even(scored: DataFrame, score: str, truth: Column) -> DataFrame:
     """One row (threshold, precision, recall): where precision and recall are closest, from running counts over distinct scores."""
     per = scored.groupBy(F.col(score).alias("threshold")).agg(F.count(F.when(truth, 1)).alias("hits"), F.count(F.lit(1)).alias("n"))
-    down = Window.orderBy(F.desc("threshold"))  # over distinct scores
-    run = per.select("threshold", F.sum("hits").over(down).alias("hits"), F.sum("n").over(down).alias("n"), F.sum("hits").over(Window.partitionBy()).alias("all"))
+    run = running_sums(per, "threshold", ["hits", "n"], descending=True).select("threshold", F.col("hits_to").alias("hits"), F.col("n_to").alias("n"))
+    run = run.join(F.broadcast(per.agg(F.sum("hits").alias("all"))))  # one row
     rates = run.select("threshold", (F.col("hits") / F.col("n")).alias("precision"), (F.col("hits") / F.when(F.col("all") > 0, F.col("all"))).alias("recall"))
     return rates.orderBy(F.abs(F.col("precision") - F.col("recall")), F.desc("threshold")).limit(1)
 
 
+def reliability_matrix(labels: DataFrame, unit: str, coder: str, label: str, coders: list[str]) -> DataFrame:
+    """One row a unit with a column for each coder: the label they gave, null where they gave none."""
+    return labels.groupBy(unit).agg(*[F.min(F.when(F.col(coder) == c, F.col(label))).alias(c) for c in coders])
+
+
+def label_members(units: DataFrame, conversations: DataFrame, unit: str, members: str) -> DataFrame:
+    """(unit, conversation_id): the conversations that hold an action of a unit. ``units`` lists action ids in the array
+    column ``members``; ``conversations`` has (conversation_id, id)."""
+    named = units.select(unit, F.explode(members).alias("id")).distinct()
+    return named.join(conversations.select("id", "conversation_id"), "id").select(unit, "conversation_id").distinct()
+
+
+def with_matched(rows: DataFrame, matched: str, key: str) -> DataFrame:
+    """Rows whose matched counterpart is present as well."""
+    there = rows.select(F.col(key).alias("_there")).distinct()
+    return rows.join(there, F.col(matched) == F.col("_there"), "left_semi")
+
+
+def pair_accuracy(labels: DataFrame, truth: DataFrame, unit: str, label: str, page: str) -> DataFrame:
+    """(page, accuracy): the share of a page's units whose crowd label, a mean above a half, is the true one.
+
+    ``labels``: (unit, label of 0 or 1); ``truth``: (unit, page, bad: 0 or 1).
+    """
+    said = majority(labels, unit, label, strict=True).select(unit, F.col("positive").cast("int").alias("said"))
+    right = truth.join(said, unit).withColumn("right", (F.col("said") == F.col("bad")).cast("double"))
+    return right.groupBy(page).agg(F.avg("right").alias("accuracy"))
+
+
 def cross_counts(rows: DataFrame, a: Column, b: Column) -> DataFrame:
     """One row (a, b, both, only_a) of counts."""
     count = lambda c, name: F.count(F.when(c, 1)).alias(name)

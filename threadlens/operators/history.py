@@ -25,23 +25,38 @@ def counts_before(starts: DataFrame, edits: DataFrame) -> DataFrame:
 
 def latest_before(starts: DataFrame, edits: DataFrame, most: int = 100, days: int = 7) -> DataFrame:
     """The ``most`` latest edits of each (user, start) that lie more than ``days`` before it."""
-    e = edits.withColumnRenamed("user", "_user")
-    joined = starts.join(e, (F.col("user") == F.col("_user")) & (F.col("ts") < F.col("start") - F.make_dt_interval(F.lit(days)))).drop("_user")
-    order = Window.partitionBy("user", "start").orderBy(F.desc("ts"), F.desc("edit_id"))
-    return joined.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= most)
+    # number a user's edits by time, count those before each bound, and join by number: no product of starts and edits
+    mine = Window.partitionBy("user").orderBy("ts", "edit_id")
+    numbered = edits.withColumn("_n", F.row_number().over(mine))
+    bounds = starts.select("user", "start").distinct().withColumn("ts", F.col("start") - F.make_dt_interval(F.lit(days)))
+    both = bounds.withColumn("e", F.lit(0)).unionByName(edits.select("user", "ts", F.lit(1).alias("e")), allowMissingColumns=True)
+    before = Window.partitionBy("user").orderBy("ts", "e").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a bound comes before edits of its time
+    counted = both.withColumn("_c", F.sum("e").over(before)).where("e = 0").select("user", "start", "_c")
+    upto = F.col("_c").cast("int")
+    wanted = counted.where("_c > 0").select("user", "start", "_c", F.explode(F.sequence(F.greatest(upto - most + 1, F.lit(1)), upto)).alias("_n"))
+    return wanted.join(numbered, ["user", "_n"]).withColumn("place", (F.col("_c") - F.col("_n") + 1).cast("long")).drop("_c", "_n")
 
 
 def past_toxicity(actions: DataFrame, starts: DataFrame) -> DataFrame:
     """(conversation_id, user, history_toxicity): mean score before a start, 0 without a past."""
-    a = actions.select(F.col("user").alias("_user"), "ts", "toxicity")
-    joined = starts.join(a, (F.col("user") == F.col("_user")) & (F.col("ts") < F.col("start")), "left")
-    return joined.groupBy("conversation_id", "user").agg(F.coalesce(F.avg("toxicity"), F.lit(0.0)).alias("history_toxicity"))
+    marks = starts.select("user", F.col("start").alias("ts")).distinct().withColumn("e", F.lit(0))
+    both = marks.unionByName(actions.select("user", "ts", F.lit(1).alias("e"), "toxicity"), allowMissingColumns=True)
+    before = Window.partitionBy("user").orderBy("ts", "e").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a start comes before actions of its time
+    past = both.withColumn("_mean", F.avg("toxicity").over(before)).where("e = 0").select(F.col("user").alias("_user"), F.col("ts").alias("_start"), "_mean")
+    joined = starts.join(past, F.col("user").eqNullSafe(F.col("_user")) & (F.col("start") == F.col("_start")), "left")
+    return joined.groupBy("conversation_id", "user").agg(F.coalesce(F.max("_mean"), F.lit(0.0)).alias("history_toxicity"))
 
 
 def monthly_edits(edits: DataFrame) -> DataFrame:
     return edits.groupBy("user", "page_id", F.year("ts").alias("year"), F.month("ts").alias("month")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def subject_pages(edits: DataFrame, subjects: DataFrame) -> DataFrame:
+    """``edits`` with ``subject_id``: the subject page of their talk page, -1 where none is known. ``subjects``: (page_id, subject_id)."""
+    known = subjects.select("page_id", "subject_id").dropDuplicates(["page_id"])
+    return edits.join(known, "page_id", "left").withColumn("subject_id", F.coalesce("subject_id", F.lit(-1)))
+
+
 def account_age_months(registered: F.Column, now: F.Column) -> F.Column:
     """Months of 30 days between two epoch seconds, 0 at least."""
     return F.greatest((now - registered) / (30 * 86400), F.lit(0.0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadlens.functions.stats import t_interval
+
 
 def draw_key(key: str, seed: str) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
@@ -38,7 +40,7 @@ def bootstrap_means(rows: DataFrame, key: str, value: str, repetitions: int, see
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), "rep", F.lit(seed))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     cumulative, p = [], 2.718281828459045**-1
     total = 0.0
-    for k in range(1, 9):
+    for k in range(1, 20):  # until the rest is below what a double holds
         total += p
         cumulative.append(total)
         p /= k
@@ -47,6 +49,12 @@ def bootstrap_means(rows: DataFrame, key: str, value: str, repetitions: int, see
     return spread.groupBy("rep").agg((F.sum(F.col("_k") * F.col(value)) / F.sum("_k")).alias("mean"))
 
 
+def bootstrap_interval(means: DataFrame, share: float = 0.95) -> tuple[float, float, float]:
+    """(mean, low, high) of resampled means, by Student's distribution."""
+    r = means.agg(F.count("mean"), F.avg("mean"), F.stddev_samp("mean")).first()
+    return (r[1], *t_interval(r[0], r[1], r[2] or 0.0, share))
+
+
 def approximate_randomisation(pairs: DataFrame, key: str, a: str, b: str, repetitions: int = 1000, seed: str = "r") -> DataFrame:
     """One-sided p-value for mean(a) > mean(b) of paired rows: each repetition swaps a pair at the flip of a digest bit."""
     diff = F.col(a) - F.col(b)
