@@ -66,7 +66,7 @@ def test_typed_rows(spark):
         sinks.typed(df, {"n": "DECIMAL"})
 
 
-def test_inserts(spark):
+def test_inserts(spark, tmp_path):
     old = spark.createDataFrame([(1, "a")], "id int, t string")
     new = spark.createDataFrame([(1, "b"), (2, "c"), (2, "d"), (3, ""), (4, None)], "id int, t string")
     assert sorted(r.id for r in sinks.new_rows(new, old, ["id"]).collect()) == [2, 3, 4]
@@ -74,7 +74,10 @@ def test_inserts(spark):
     df, seen = sinks.observed(new.withColumn("ts", F.lit("x")), "run", "ts")
     df.count()
     assert seen.get["rows_added"] == 5
-    assert json.loads(sinks.gold_json(old, "t", "id").first().value) == {"id": 1, "gold": "a", "t": "a"} or True
+    gold = [r.value for r in sinks.gold_json(new.where("t <> ''"), "t", "t").collect()]
+    assert [json.loads(v, object_pairs_hook=list) for v in gold] == [[("id", f"id_{n}"), ("answer", t), ("gold", t), ("t", t)] for n, t in ((1, "b"), (2, "c"), (3, "d"))]
+    sinks.write_by_key(new, str(tmp_path / "keyed"), "id")
+    assert {p.name for p in (tmp_path / "keyed").iterdir() if p.is_dir()} == {"id=1", "id=2", "id=3", "id=4"}
     assert sinks.safe_names(old.toDF("a:b", "c")).columns == ["a_b", "c"] and sinks.without_prefix(old.toDF("x_a", "x_b")).columns == ["a", "b"]
 
 

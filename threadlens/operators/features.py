@@ -33,7 +33,7 @@ def conversation_features(
     """
     rows = per_comment(drop_last_time(actions), lexicons, stopwords)
     conv = Window.partitionBy("conversation_id")
-    p = F.col("toxicity") / F.sum("toxicity").over(conv)
+    p = F.col("toxicity") / F.nullif(F.sum("toxicity").over(conv), F.lit(0.0))
     n = F.count(F.lit(1)).over(conv)
     rows = rows.withColumn("_h", F.when((p > 0) & (n > 1), p * F.log(p) / F.log(n.cast("double"))).otherwise(0.0))
     any_of = [F.max(F.col(c)).alias(c) for c in ("has_thank", "has_greeting", "has_marks", "do_start", "you_start", "all_caps", "is_question", "agrees", "disagrees")]
@@ -73,9 +73,10 @@ def conversation_features(
 
 def ngram_document_frequency(actions: DataFrame, words: F.Column, above: int) -> DataFrame:
     """(ngram, df) of uni- and bigrams that more than ``above`` conversations have."""
-    grams = F.array_union(words, t.bigrams(words))
-    spread = actions.select("conversation_id", F.explode(grams).alias("ngram")).distinct()
-    return spread.groupBy("ngram").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > above)
+    # a conversation's n-grams are made distinct in one row, so that only counts are shuffled by n-gram
+    rows = actions.select("conversation_id", F.array_union(words, t.bigrams(words)).alias("grams"))
+    merged = rows.groupBy("conversation_id").agg(F.array_distinct(F.flatten(F.collect_list("grams"))).alias("grams"))
+    return merged.select(F.explode("grams").alias("ngram")).groupBy("ngram").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > above)
 
 
 def max_normalised(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -92,3 +93,85 @@ def user_entropy(values: DataFrame, value: str, start: float = 0.001) -> DataFra
     p, n = F.col("x") / F.sum("x").over(conv), F.count(F.lit(1)).over(conv)
     term = x.withColumn("_t", F.when(n > 1, p * F.log(p) / F.log(n.cast("double"))).otherwise(F.lit(None)))
     return term.groupBy("conversation_id").agg((1 + F.sum("_t")).alias("entropy"))
+
+
+def policy_intervention(actions: DataFrame) -> DataFrame:
+    """(conversation_id, has_policy_intervention): whether any link of a conversation's comments is to a policy on vandalism or harassment."""
+    marks = t.feature_text(F.col("content"))
+    links = F.concat(marks["external_link"], marks["wiki_link"])
+    named = F.exists(links, lambda x: F.lower(x).rlike("vandal|harass"))
+    return actions.groupBy("conversation_id").agg(F.max(F.coalesce(named, F.lit(False))).alias("has_policy_intervention"))
+
+
+#: Sentiments over the first count as positive, under the second as negative.
+POSITIVE, NEGATIVE = 0.5, -0.5
+
+
+def polarity(actions: DataFrame, score: str = "sentiment", politeness: str | None = None, asks: F.Column | None = None) -> DataFrame:
+    """``actions`` with is_positive and is_negative by a sentiment score, and is_polite: a request with a politeness of a half or more."""
+    out = actions.withColumns({"is_positive": F.coalesce(F.col(score) > POSITIVE, F.lit(False)), "is_negative": F.coalesce(F.col(score) < NEGATIVE, F.lit(False))})
+    return out if politeness is None else out.withColumn("is_polite", F.coalesce(asks & (F.col(politeness) >= 0.5), F.lit(False)))
+
+
+def any_of(actions: DataFrame, columns: list[str]) -> DataFrame:
+    """(conversation_id, has_<x>): whether any comment is ``is_<x>``."""
+    return actions.groupBy("conversation_id").agg(*[F.max(c).alias(c.replace("is_", "has_", 1)) for c in columns])
+
+
+def polarity_changes(actions: DataFrame, score: str = "sentiment") -> DataFrame:
+    """How comments differ in polarity from the same user's comment before, and replies from what they answer, by conversation."""
+    rows = polarity(actions, score)
+    mine = own_previous(rows, ["is_positive", "is_negative", score]).where("prev_is_negative IS NOT NULL")
+    now, was = lambda c: F.col(f"is_{c}"), lambda c: F.col(f"prev_is_{c}")
+    own = mine.groupBy("conversation_id").agg(
+        F.max(now("negative") & ~was("negative")).alias("negative_increase"), F.max(~now("negative") & was("negative")).alias("negative_decrease"),
+        F.max(now("positive") & ~was("positive")).alias("positive_increase"), F.max(~now("positive") & was("positive")).alias("positive_decrease"),
+        F.max(now("negative") & was("negative")).alias("consecutive_negative"), F.max(F.col(score) - F.col(f"prev_{score}")).alias("max_polarity_gap"),
+    )
+    answers = reply_pairs(rows, ["is_positive", "is_negative"])
+    replies = answers.groupBy("conversation_id").agg(
+        F.max("is_negative").alias("has_negative_reply"), F.avg(F.col("is_negative").cast("double")).alias("negative_reply_share"),
+        F.max(F.col("is_negative") & F.col("to_is_positive")).alias("negative_to_positive"), F.max(F.col("is_positive") & F.col("to_is_negative")).alias("positive_to_negative"),
+    )
+    return own.join(replies, "conversation_id", "full")
+
+
+def noun_features(actions: DataFrame, tokens: str = "tokens", tags: str = "pos") -> DataFrame:
+    """(conversation_id, nouns_over_tokens, most_nouns, least_nouns): distinct nouns by supplied part-of-speech tags (NN and its kin),
+    over all tokens, and their number by user at most and at least."""
+    pairs = F.filter(F.arrays_zip(F.col(tokens).alias("w"), F.col(tags).alias("t")), lambda x: x["t"].startswith("NN"))
+    rows = actions.select("conversation_id", "user_text", F.size(tokens).alias("n"), F.transform(pairs, lambda x: x["w"]).alias("nouns"))
+    by_user = rows.groupBy("conversation_id", "user_text").agg(F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("nouns"))).alias("nouns"))
+    return by_user.groupBy("conversation_id").agg(
+        (F.size(F.array_distinct(F.flatten(F.collect_list("nouns")))) / F.nullif(F.sum("n"), F.lit(0))).alias("nouns_over_tokens"),
+        F.max(F.size("nouns")).alias("most_nouns"), F.min(F.size("nouns")).alias("least_nouns"),
+    )
+
+
+def question_types(questions: DataFrame, kind: str, kinds: int = 8) -> DataFrame:
+    """(conversation_id, question_type0 ..): whether any question is of each kind; the kind is that of the nearest cluster, given from outside."""
+    return questions.groupBy("conversation_id").agg(*[F.max(F.coalesce(F.col(kind) == k, F.lit(False))).alias(f"question_type{k}") for k in range(kinds)])
+
+
+def nearest_kind(distances: F.Column) -> F.Column:
+    """The place of the least of an array of distances, from 0; the first of equal ones."""
+    return F.array_position(distances, F.array_min(distances)) - 1
+
+
+def aspect_features(users: DataFrame, aspects: list[str], start: float = 0.001) -> DataFrame:
+    """Per conversation: greatest, least, gap and entropy of each aspect over users that are no bots, and has_anon, has_bot, has_blocked.
+
+    ``users``: conversation_id, user, anonymous, bot, blocked and the aspects (null counts as 0).
+    """
+    conv = Window.partitionBy("conversation_id", "bot")
+    x = lambda a: F.coalesce(F.col(a).cast("double"), F.lit(0.0))
+    p = lambda a: (x(a) + start) / F.sum(x(a) + start).over(conv)
+    n = F.count(F.lit(1)).over(conv)
+    term = lambda a: F.when(n > 1, p(a) * F.log(p(a)) / F.log(n.cast("double")))
+    rows = users.withColumn("bot", F.coalesce("bot", F.lit(False))).withColumns({f"_{a}": term(a) for a in aspects})
+    human = lambda c: F.when(~F.col("bot"), c)
+    parts = []
+    for a in aspects:
+        parts += [F.max(human(x(a))).alias(f"max_{a}"), F.min(human(x(a))).alias(f"min_{a}"), (F.max(human(x(a))) - F.min(human(x(a)))).alias(f"gap_{a}"), (1 + F.sum(human(F.col(f"_{a}")))).alias(f"entropy_{a}")]
+    has = [F.max(F.coalesce(F.col(c), F.lit(False))).alias(f"has_{short}") for c, short in (("anonymous", "anon"), ("bot", "bot"), ("blocked", "blocked"))]
+    return rows.groupBy("conversation_id").agg(*parts, *has)

@@ -57,3 +57,19 @@ def context_upto(actions: DataFrame, comment_id: str) -> DataFrame:
     """The conversation of a comment up to and with its time."""
     one = actions.where(F.col("id") == comment_id).select("conversation_id", F.col("ts").alias("until"))
     return actions.join(one, "conversation_id").where("ts <= until").drop("until")
+
+
+def of_length(actions: DataFrame, column: str, above: int, below: int) -> DataFrame:
+    """Replies whose text is longer than ``above`` and shorter than ``below``; a target written as the text ``null`` is none."""
+    return actions.where((F.length(column) > above) & (F.length(column) < below) & (F.col("reply_to") != "null"))
+
+
+def of_pages(revisions: DataFrame, pages: DataFrame) -> DataFrame:
+    """Revisions of the pages named in the table ``pages`` (chunk, page_id)."""
+    return revisions.join(pages.select("page_id").distinct(), "page_id", "left_semi")
+
+
+def enriched(changes: DataFrame, comments: DataFrame) -> DataFrame:
+    """Changes, whose ids may be negative, with text and time of their revision; those without either go."""
+    known = comments.where("comment IS NOT NULL AND timestamp IS NOT NULL").select(F.col("rev_id").alias("_rev"), "comment", "timestamp")
+    return changes.join(known, F.abs("rev_id") == F.col("_rev")).drop("_rev")

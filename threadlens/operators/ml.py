@@ -8,9 +8,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import CountVectorizer, MaxAbsScaler, RegexTokenizer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadlens.functions import text as t
+
 
 def _bare(model: PipelineModel) -> PipelineModel:
     """The model without its training summary: that holds the training table, which tasks neither need nor can always be sent."""
@@ -57,3 +60,44 @@ def top_coefficients(names: list[str], coefficients: list[float], n: int = 10) -
     """The ``n`` greatest and the ``n`` least weights."""
     ranked = sorted(zip(names, coefficients, strict=True), key=lambda x: (-x[1], x[0]))
     return ranked[:n], ranked[::-1][:n]
+
+
+def grid_search(rows: DataFrame, features: list[str], label: str, group: str, grid: list[float], folds: int = 5) -> tuple[float, dict[float, float]]:
+    """(best, accuracy by value): the regularisation of a logistic regression with the best accuracy over folds of whole groups, chosen by a hash."""
+    fold = F.pmod(F.xxhash64(group), F.lit(folds))
+    data = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(rows.fillna(0, features)).withColumn("_fold", fold).persist()
+    right, n = dict.fromkeys(grid, 0), 0
+    for k in range(folds):
+        train, test = data.where(F.col("_fold") != k), data.where(F.col("_fold") == k)
+        if test.isEmpty() or train.select(label).distinct().count() < 2:
+            continue
+        n += test.count()
+        for c in grid:
+            model = _bare(Pipeline(stages=[LogisticRegression(labelCol=label, regParam=c, maxIter=30)]).fit(train))
+            right[c] += model.transform(test).where(F.col("prediction") == F.col(label)).count()
+    data.unpersist()
+    accuracy = {c: right[c] / n if n else math.nan for c in grid}
+    return max(grid, key=lambda c: (accuracy[c], -grid.index(c))), accuracy
+
+
+def politeness_scorer(requests: DataFrame, text: str, score: str, vocabulary: int = 20_000) -> PipelineModel:
+    """A model of polite requests from scored ones (polite: a score above 0): words, word pairs and politeness strategies into a logistic
+    regression. ``politeness_scores`` applies it."""
+    stages = [
+        CountVectorizer(inputCol="_grams", outputCol="_words", vocabSize=vocabulary, minDF=2, binary=True),
+        VectorAssembler(inputCols=["_words", "_strategies"], outputCol="features"),
+        LogisticRegression(labelCol="_polite", maxIter=30, regParam=0.02),
+    ]
+    return _bare(Pipeline(stages=stages).fit(_politeness_columns(requests, text).withColumn("_polite", (F.col(score) > 0).cast("double"))))
+
+
+def _politeness_columns(rows: DataFrame, text: str) -> DataFrame:
+    words = t.tokens(F.col(text))
+    strategies = F.array(*[c.cast("double") for c in t.politeness(F.col(text)).values()])
+    return rows.withColumns({"_grams": F.array_union(words, t.bigrams(words)), "_strategies": array_to_vector(strategies)})
+
+
+def politeness_scores(model: PipelineModel, rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with ``politeness``: the chance that a text is polite."""
+    said = model.transform(_politeness_columns(rows, text))
+    return said.select(*rows.columns, vector_to_array("probability")[1].alias("politeness"))

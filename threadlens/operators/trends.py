@@ -84,8 +84,39 @@ def page_type_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy(kind.alias("kind")).agg(F.count(F.when(~gone, 1)).alias("toxic"), F.count(F.when(gone, 1)).alias("detoxed"))
 
 
+def deletion_lag(created: Column, removed: Column) -> Column:
+    """How long a comment stood, from two epoch seconds."""
+    s = removed - created
+    return F.when(s <= 86400, "day").when(s <= 7 * 86400, "week").when(s <= 30 * 86400, "month").when(s <= 365 * 86400, "year").otherwise("more")
+
+
 def deletion_lags(deleted: DataFrame) -> DataFrame:
     """Count of deletions by how long the comment stood; ``deleted`` has created and removed times."""
-    s = F.unix_timestamp("removed") - F.unix_timestamp("created")
-    lag = F.when(s <= 86400, "day").when(s <= 7 * 86400, "week").when(s <= 30 * 86400, "month").when(s <= 365 * 86400, "year").otherwise("more")
+    lag = deletion_lag(F.unix_timestamp("created"), F.unix_timestamp("removed"))
     return deleted.groupBy(lag.alias("lag")).agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Scores, categories and descriptions of a month's rows, in order.
+SLICE_SCORES = ["toxicity", "flirtation", "threat", "identity_attack", "insult", "sexually_explicit", "profanity", "severe_toxicity"]
+SLICE = [
+    *SLICE_SCORES, "category1", "sub_category1", "category2", "sub_category2", "category3", "sub_category3",
+    "page_id", "page_title", "id", "rev_id", "user_text", "timestamp", "content", "cleaned_content", "type",
+]
+
+
+def month_slice(actions: DataFrame, start: Column, end: Column, above: float = 0.8) -> DataFrame:
+    """The columns of ``SLICE``, for toxic actions from ``start`` to ``end``, both included."""
+    return actions.where(F.col("timestamp").between(start, end) & (F.col("toxicity") > above)).select(*SLICE)
+
+
+def client_rows(revisions: DataFrame, reverted: DataFrame) -> DataFrame:
+    """(row): [1, attack, 1 if reverted else 0] of each revision, as clients draw them."""
+    marks = reverted.select(F.col("rev_id").alias("_r")).distinct()
+    joined = revisions.join(marks, F.col("rev_id") == F.col("_r"), "left")
+    return joined.select("rev_id", F.array(F.lit(1.0), F.col("attack").cast("double"), F.col("_r").isNotNull().cast("double")).alias("row"))
+
+
+def category_facet(rows: DataFrame, value: str, alive: bool = True) -> DataFrame:
+    """Rows one of whose six categories and sub-categories is ``value``; ``alive`` leaves deletions out."""
+    found = rows.where(F.lit(value).isin(*[F.col(f"{s}category{i}") for i in (1, 2, 3) for s in ("", "sub_")]))
+    return found.where("type IS NULL OR type <> 'DELETION'") if alive else found

@@ -84,6 +84,19 @@ def list_files(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").load(pattern).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
 
 
+def list_dumps(files: DataFrame, pattern: str = r"pages-meta-history.*\.bz2$") -> DataFrame:
+    """The page-history dumps among files, as ``list_files`` or a status file lists them (path, bytes), in the order of their names."""
+    return files.where(F.col("path").rlike(pattern)).orderBy("path")
+
+
+def read_dump_status(spark: SparkSession, path: str, job: str = "metahistorybz2dump") -> DataFrame:
+    """(path, bytes) of the files that a dump's JSON status names for a job."""
+    schema = "jobs map<string,struct<files:map<string,struct<size:bigint,url:string>>>>"
+    status = spark.read.schema(schema).json(path, multiLine=True)
+    files = status.select(F.explode(F.col("jobs")[job]["files"]).alias("name", "f"))
+    return files.select(F.coalesce("f.url", "name").alias("path"), F.col("f.size").alias("bytes"))
+
+
 def scores_of_pages(scores: DataFrame, mapping: DataFrame) -> DataFrame:
     """Sharded score rows with the (conversation, user) that their id stands for."""
     return scores.join(mapping, "id")

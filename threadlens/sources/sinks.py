@@ -92,6 +92,19 @@ def observed(df: DataFrame, name: str, time_column: str) -> tuple[DataFrame, Obs
 
 
 def gold_json(df: DataFrame, answer: str, order: str) -> DataFrame:
-    """Annotation rows as JSON documents: sequential id_N by ``order``, the gold answer copied to two fields."""
+    """Annotation rows as JSON documents: sequential id_N by ``order``, the other columns, and the gold answer in the two
+    fields ``answer`` and ``gold``. A column ``id`` gives way to the sequential one."""
     n = F.row_number().over(Window.orderBy(order))  # gold questions are a hand-made list
-    return df.withColumn("id", F.concat(F.lit("id_"), n)).withColumn("gold", F.col(answer)).select(F.to_json(F.struct("id", "gold", *df.columns)).alias("value"))
+    rest = [c for c in df.columns if c not in ("id", "answer", "gold")]
+    numbered = df.select(F.concat(F.lit("id_"), n).alias("id"), F.col(answer).alias("answer"), F.col(answer).alias("gold"), *rest)
+    return numbered.select(F.to_json(F.struct("*")).alias("value"))
+
+
+def write_by_key(df: DataFrame, path: str, key: str) -> None:
+    """One folder for each value of a key, its rows together."""
+    df.repartition(key).write.partitionBy(key).mode("append").json(path)
+
+
+def chunk_number(key: list[Column], size: int) -> Column:
+    """The number of the chunk of ``size`` rows, in the order of ``key`` within a partition column that callers put first."""
+    return F.floor((F.row_number().over(Window.partitionBy(key[0]).orderBy(*key[1:])) - 1) / size).cast("long")

@@ -53,6 +53,22 @@ def run_available(stream: DataFrame, step: Callable[[DataFrame, int], None], che
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def in_time_order(revisions: DataFrame, time_column: str, step: Callable[[DataFrame, int], None], checkpoint: str, late: str) -> StreamingQuery:
+    """Hand the revisions of a stream to ``step`` in batches that never go back in time: rows wait until the
+    watermark, ``late`` behind the newest row, has passed them; ``step`` gets them by time within each page.
+
+    Rows that come later than the watermark are dropped.
+    """
+    names = revisions.columns
+    hour = F.window(time_column, late)  # a page's rows of one span are what a task gathers
+    held = revisions.withWatermark(time_column, late).groupBy(hour, "page_id").agg(F.collect_list(F.struct(*names)).alias("rows"))
+    return (
+        held.select(F.inline("rows"))
+        .writeStream.foreachBatch(lambda batch, n: step(batch.sortWithinPartitions("page_id", time_column), n))
+        .outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
 def hourly_range(now: F.Column) -> tuple[F.Column, F.Column]:
     """[two hours ago, one hour ago), both at the full hour."""
     hour = F.date_trunc("hour", now)
