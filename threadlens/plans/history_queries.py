@@ -20,7 +20,7 @@ flagged AS (
 @query(f"""WITH {SPANS} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS total, count(*) FILTER (attack >= 0.75) AS toxic,
     count(*) FILTER (attack >= 0.75 AND reverted) AS toxic_reverted, round(count(*) FILTER (attack >= 0.75) / count(*), 6) AS toxic_share
     FROM flagged GROUP BY 1""")
-def flagship_revert_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flagship_revert_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reverts.daily_reverts(revisions(spark, sf_dir)).withColumn("day", F.col("day").cast("string"))
 
 
@@ -239,7 +239,7 @@ def prefix_after_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MATCHES = f"""{BAD}, s AS ({STATS.format('bad')}), {BEFORE}, bs AS (SELECT * FROM s JOIN b USING (conversation_id) WHERE users_before = users), {PREFIX},
-gs AS (SELECT * FROM prefixes WHERE end_time > start_time AND after_max < 0.5 AND users > 1),
+gs AS (SELECT * FROM prefixes WHERE end_time > start_time AND after_max < 0.4 AND users > 1),
 matches AS (SELECT bs.conversation_id AS bad_id, gs.conversation_id AS good_id, bs.page_id, bs.length, gs.end_time AS good_end,
     CAST(abs(epoch(bs.start_time)::BIGINT - epoch(gs.start_time)::BIGINT) AS BIGINT) AS start_delta, CAST(abs(epoch(bs.end_time)::BIGINT - epoch(gs.end_time)::BIGINT) AS BIGINT) AS end_delta
     FROM bs JOIN gs ON bs.page_id = gs.page_id AND bs.length = gs.length WHERE abs(bs.before_max - gs.before_max) < 0.2 AND bs.users = gs.users)"""
@@ -247,7 +247,7 @@ matches AS (SELECT bs.conversation_id AS bad_id, gs.conversation_id AS good_id,
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = _bad_stats(spark, sf_dir).where("users_before = users")
-    good = cohort.prefixes(cohort.good_conversations(scored(spark, sf_dir))).where("end_time > start_time AND after_max < 0.5 AND users > 1")
+    good = cohort.prefixes(cohort.good_conversations(scored(spark, sf_dir))).where(F.col("after_max") < cohort.CALM_AFTER).where("end_time > start_time AND users > 1")
     return cohort.candidate_matches(bad, good)
 
 
@@ -271,6 +271,14 @@ def matched_good_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.good_conversations(scored(spark, sf_dir)).join(best, "conversation_id").where("ts <= good_end").select("bad_id", "id", "ts")
 
 
+@query(f"""WITH {MATCHES}, one AS (SELECT *, row_number() OVER (PARTITION BY good_id ORDER BY start_delta, end_delta, bad_id, good_end) AS n FROM matches),
+    two AS (SELECT *, row_number() OVER (PARTITION BY bad_id ORDER BY start_delta, end_delta, good_id, good_end) AS m FROM one WHERE n = 1)
+    SELECT t.good_id, b.id, b.ts, b.attack_time AS end_time FROM two t JOIN bad b ON b.conversation_id = t.bad_id WHERE m = 1""")
+def matched_bad_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = cohort.best_matches(_matches(spark, sf_dir)).select("good_id", F.col("bad_id").alias("conversation_id"))
+    return cohort.bad_conversations(scored(spark, sf_dir)).join(best, "conversation_id").select("good_id", "id", "ts", F.col("attack_time").alias("end_time"))
+
+
 # --- lookups ---
 
 

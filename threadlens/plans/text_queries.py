@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlens.functions import text as t
-from threadlens.operators import agreement, conversations, coordination, features, pov, reconstruct, scoring, snapshot, trends
+from threadlens.operators import agreement, conversations, coordination, features, pov, reconstruct, scoring, snapshot, tree, trends
 from threadlens.plans.registry import query
 from threadlens.sources.views import COMMENTS, comments, table
 
@@ -166,11 +166,12 @@ def sentence_diff_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {COMMENTS}, a AS (SELECT conversation_id, turn, content, list_distinct({TOKENS.format('content')}) AS t, {TOKENS.format('content')} AS w FROM comments)
     SELECT x.conversation_id, x.turn AS old_turn, y.turn AS new_turn FROM a x JOIN a y ON x.conversation_id = y.conversation_id AND x.turn < y.turn
-    WHERE x.content <> y.content AND len(x.w) >= 3 AND len(list_intersect(x.t, y.t)) / greatest(len(x.t), 1) >= 0.3 AND len(list_intersect(x.t, y.t)) / greatest(len(y.t), 1) >= 0.3""")
+    WHERE x.turn = y.turn - 1 AND x.content <> y.content AND len(x.w) >= 3 AND len(list_intersect(x.t, y.t)) / greatest(len(x.t), 1) >= 0.3 AND len(list_intersect(x.t, y.t)) / greatest(len(y.t), 1) >= 0.3""")
 def fuzzy_sentence_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments that are much like the one before them; ``revised_sentences`` holds sentences to the reference bound."""
     c = comments(spark, sf_dir).select("conversation_id", "turn", "content")
-    a, b = c.toDF("conversation_id", "old_turn", "old"), c.toDF("conversation_id", "new_turn", "new")
-    return a.join(b, "conversation_id").where("old_turn < new_turn").where(t.fuzzy_match(F.col("old"), F.col("new"), least=0.3)).drop("old", "new")
+    pairs = pov.with_former(c, "conversation_id", ["turn"], "content").where("former IS NOT NULL")
+    return pairs.where(t.fuzzy_match(F.col("former"), F.col("content"), least=0.3)).select("conversation_id", (F.col("turn") - 1).alias("old_turn"), F.col("turn").alias("new_turn"))
 
 
 @query("""WITH c AS (SELECT doc_id, doc_id // 50 AS page, doc_id % 7 = 0 AS changed FROM documents),
@@ -317,6 +318,19 @@ def live_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.live_tree(_log(spark, sf_dir))
 
 
+@query(f"""WITH {COMMENTS}, a AS (SELECT id, conversation_id, turn, {ACTIONS} AS type, count(*) OVER (PARTITION BY conversation_id) AS n FROM comments),
+    c AS (SELECT *, CASE turn WHEN 1 THEN n <= 2 OR n >= 5 WHEN 6 THEN n <= 7 ELSE true END AS present,
+        CASE WHEN turn = 1 AND n = 3 THEN 2 WHEN turn = 1 AND n = 4 THEN NULL WHEN turn = 6 AND n = 8 THEN 7 ELSE turn END AS version,
+        CASE turn WHEN 1 THEN 0 WHEN 2 THEN CASE WHEN n >= 5 THEN 1 ELSE 0 END WHEN 5 THEN 2 WHEN 6 THEN 5 WHEN 7 THEN 5 END AS up,
+        CASE turn WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN CASE WHEN n >= 5 THEN 2 ELSE 1 END WHEN 5 THEN 3 ELSE 4 END AS depth FROM a WHERE type NOT IN ('DELETION', 'RESTORATION')),
+    p AS (SELECT *, CASE WHEN present THEN row_number() OVER (PARTITION BY conversation_id, present ORDER BY turn) - 1 END AS place, count(*) FILTER (present) OVER (PARTITION BY conversation_id) AS m FROM c)
+    SELECT id, conversation_id, present, conversation_id || '.' || version || '.' || version AS latest, CASE WHEN present THEN conversation_id || '.' || up || '.' || up END AS parent,
+        turn = 0 AS is_root, CASE WHEN present THEN CAST(depth AS BIGINT) END AS depth, place AS dfs_index, coalesce(place = m - 1, false) AS is_final,
+        turn = max(turn) OVER (PARTITION BY conversation_id) AS is_latest FROM p""")
+def comment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.comment_tree(_log(spark, sf_dir)).withColumn("depth", F.col("depth").cast("long"))
+
+
 @query()
 def snapshot_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.snapshots(_log(spark, sf_dir)).drop("ts")
@@ -327,7 +341,7 @@ def snapshot_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT conversation_id, count(*) AS no_comments, CAST(max(n) AS BIGINT) AS max_len, CAST(min(n) AS BIGINT) AS min_len, round(avg(n), 6) AS avg_len, round(max(toxicity), 6) AS max_toxicity, max(q) AS is_question FROM r GROUP BY 1""")
 def conversation_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = comments(spark, sf_dir).withColumn("toxicity", (F.col("turn") * 37 % 100) / 100)
-    f = features.conversation_features(rows, MARKERS)
+    f = features.conversation_features(rows)
     r = lambda c: F.round(c, 6).alias(c)
     return f.select("conversation_id", "no_comments", F.col("max_len").cast("long").alias("max_len"), F.col("min_len").cast("long").alias("min_len"), r("avg_len"), r("max_toxicity"), "is_question")
 
@@ -478,14 +492,12 @@ def word_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- further functions ---
 
 _any = lambda p, of="lower(text)": f"len(list_filter({SENTENCES.format(of)}, lambda x: regexp_matches(x, '{sql_q(p)}'))) > 0"
-NAMED = ("please", "gratitude", "apology", "hedge", "subjunctive", "direct_start")
 POSITIVE, NEGATIVE = ["of", "to", "and", "est", "le"], ["the", "in", "der", "de"]
 
 
-@query(f"SELECT conv_id, turn, {', '.join(f'{_any(t.POLITE[n])} AS {n}' for n in NAMED)} FROM conversations WHERE regexp_full_match(text, '[ -~\\n]*')")
+@query(f"SELECT conv_id, turn, {', '.join(f'{_any(p)} AS {n}' for n, p in t.POLITE.items())} FROM conversations")
 def politeness_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = t.politeness(F.col("text"))
-    return table(spark, sf_dir, "conversations").where(F.col("text").rlike(r"^[ -~\n]*$")).select("conv_id", "turn", *[found[n].alias(n) for n in NAMED])
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", *[c.alias(n) for n, c in t.politeness(F.col("text")).items()])
 
 
 @query(f"SELECT conv_id, turn, contains(text, '?') OR {_any('^(' + '|'.join(t.POLAR) + ') ')} AS is_request FROM conversations")
@@ -493,12 +505,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", t.is_request(F.col("text")).alias("is_request"))
 
 
-@query(f"""WITH {DOCS}, w AS (SELECT doc_id, unnest({TOKENS.format('text')}) AS w FROM d), s AS (SELECT doc_id, sum(CASE WHEN w IN ({', '.join(f"'{x}'" for x in POSITIVE)}) THEN 1
-    WHEN w IN ({', '.join(f"'{x}'" for x in NEGATIVE)}) THEN -1 ELSE 0 END) AS t FROM w GROUP BY 1) SELECT doc_id, round(coalesce(t, 0) / sqrt(coalesce(t, 0) * coalesce(t, 0) + 15), 6) AS sentiment FROM d LEFT JOIN s USING (doc_id)
-    WHERE NOT regexp_matches(lower(text), '(^|[^a-z0-9''])(not|no)([^a-z0-9'']|$)')""")
+@query(f"""WITH {DOCS}, u AS (SELECT doc_id, unnest({TOKENS.format('text')}) AS w, unnest(range(len({TOKENS.format('text')}))) AS i FROM d),
+    w AS (SELECT doc_id, w, CASE WHEN lag(w) OVER (PARTITION BY doc_id ORDER BY i) IN ('not', 'no') THEN -1 ELSE 1 END AS side FROM u), s AS (SELECT doc_id, sum(side * CASE WHEN w IN ({', '.join(f"'{x}'" for x in POSITIVE)}) THEN 1
+    WHEN w IN ({', '.join(f"'{x}'" for x in NEGATIVE)}) THEN -1 ELSE 0 END) AS t FROM w GROUP BY 1) SELECT doc_id, round(coalesce(t, 0) / sqrt(coalesce(t, 0) * coalesce(t, 0) + 15), 6) AS sentiment FROM d LEFT JOIN s USING (doc_id)""")
 def sentiment_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = _docs(spark, sf_dir).where(~F.lower("text").rlike("(^|[^a-z0-9'])(not|no)([^a-z0-9']|$)"))
-    return plain.select("doc_id", F.round(t.sentiment(F.col("text"), POSITIVE, NEGATIVE), 6).alias("sentiment"))
+    return _docs(spark, sf_dir).select("doc_id", F.round(t.sentiment(F.col("text"), POSITIVE, NEGATIVE), 6).alias("sentiment"))
 
 
 @query("SELECT event_id, json_keys(props)[1] AS first_key FROM events")
