@@ -135,3 +135,68 @@ def test_history(spark):
     assert history.monthly_edits(actions.withColumn("page_id", F.lit(1))).count() == 2
     n = features.max_normalised(actions.select("toxicity", F.lit(0.0).alias("z")), ["toxicity", "z"])
     assert sorted(round(r.toxicity, 3) for r in n.collect()) == [0.556, 1.0]
+
+
+def test_tests_of_significance(spark):
+    assert stats.t_quantile(0.975, 19) == pytest.approx(2.0930, abs=1e-3) and stats.t_quantile(0.025, 4) == pytest.approx(-2.7764, abs=1e-3)
+    assert stats.t_interval(20, 3.0, 1.0) == pytest.approx((3 - 2.093 / math.sqrt(20), 3 + 2.093 / math.sqrt(20)), abs=1e-3)
+    assert stats.binomial_p(8, 10) == pytest.approx(0.109375) and stats.binomial_p(5, 10) == pytest.approx(1.0)
+    pairs = spark.createDataFrame([(float(a), float(b)) for a, b in zip([125, 115, 130, 140, 140, 115, 140, 125, 140, 135], [110, 122, 125, 120, 140, 124, 123, 137, 135, 145])], "a double, b double")
+    assert stats.signed_rank_z(pairs, "a", "b") == pytest.approx(4.5 / math.sqrt(71.125))  # ranks 27 against 18, one tie of two
+    mean, low, high = sampling.bootstrap_interval(spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "mean double"))
+    assert mean == 2 and low == pytest.approx(2 - 4.3027 / math.sqrt(3), abs=1e-3) and high > 4
+    runs = stats.running_sums(spark.createDataFrame([(float(v), 1) for v in range(500)], "v double, n long"), "v", ["n"], descending=True, pieces=7)
+    assert {r.v: r.n_to for r in runs.collect()} == {float(v): 500 - v for v in range(500)}
+
+
+def test_models_chosen_and_politeness(spark):
+    rows = spark.range(120).select((F.col("id") % 2).cast("int").alias("label"), F.floor(F.col("id") / 2).alias("pair"), (F.col("id") % 2 + F.rand(3) * 0.2).alias("x"))
+    best, accuracy = ml.grid_search(rows, ["x"], "label", "pair", [0.01, 100.0], folds=2)
+    assert best == 0.01 and accuracy[0.01] > 0.9
+    texts = spark.createDataFrame([("Could you please help me? Thanks!", 0.9), ("Why did you do that. You must stop.", -0.8)] * 20, "t string, s double")
+    scores = ml.politeness_scores(ml.politeness_scorer(texts, "t", "s"), texts.distinct(), "t")
+    assert {r.t[0]: r.politeness > 0.5 for r in scores.collect()} == {"C": True, "W": False}
+
+
+def test_lookups_in_batches(spark):
+    df = spark.createDataFrame([(i % 60, None if i % 4 else "there") for i in range(120)] + [(None, "")], "id long, text string").repartition(1)
+
+    def fetch(keys):
+        assert len(keys) <= 50
+        return {k: {"name": f"n{k}", "age": k} for k in keys if k % 2 == 0}
+
+    out = scoring.looked_up(df, "id", fetch, "name string, age long").collect()
+    assert len(out) == 121 and all((r.name, r.age) == ((f"n{r.id}", r.id) if r.id is not None and r.id % 2 == 0 else (None, None)) for r in out)
+    again = scoring.refetched(df, "text", "id", lambda keys: {k: "found" for k in keys if k < 30}).collect()
+    assert all(r.text == ("there" if r.text == "there" else "found" if r.id is not None and r.id < 30 else r.text) for r in again) and any(r.text == "found" for r in again)
+
+
+def test_scorers_wait_and_try_again():
+    import pandas as pd
+
+    waits, calls = [], []
+
+    class Flaky(scoring.WordScorer):
+        def score_batch(self, texts):
+            calls.append(len(texts))
+            if len(calls) == 1:
+                raise OSError("too many requests")
+            return super().score_batch(texts)
+
+    limited = scoring.RateLimited(Flaky({"x": {"a"}}), 10, wait=waits.append)
+    assert limited.score_batch(pd.Series(["a b"])).x.tolist() == [1.0] and len(calls) == 2 and len(waits) == 2 and limited.models == ("x",)
+
+
+def test_dump_listings(spark, tmp_path):
+    status = {"jobs": {"metahistorybz2dump": {"files": {"w-pages-meta-history1.xml.bz2": {"size": 5, "url": "/d/w-pages-meta-history1.xml.bz2"}, "md5.txt": {"size": 1, "url": "/d/md5.txt"}}}, "other": {"files": {}}}}
+    (tmp_path / "status.json").write_text(json.dumps(status))
+    assert [tuple(r) for r in readers.list_dumps(readers.read_dump_status(spark, str(tmp_path / "status.json"))).collect()] == [("/d/w-pages-meta-history1.xml.bz2", 5)]
+
+
+def test_templates_of_any_depth(spark):
+    from threadlens.functions import text as t
+
+    df = spark.createDataFrame([("a {{x|{{y|{{z|{{w}}}}}}}} b",), ("no template",), ("{{open",), ("}} {{q}}",), (None,)], "x string")
+    assert [r[0] for r in df.select(t.strip_wiki(F.col("x"))).collect()] == ["a  b", "no template", "{{open", "}} ", None]
+    long = df.select(*t.guarded(F.col("x"), t.clean_comment, 12)).collect()
+    assert [r[1] for r in long] == [True, False, False, False, False] and long[0][0].startswith("a {{")

@@ -57,3 +57,31 @@ def test_pages_in_a_stream(spark, tmp_path):
     assert q.exception() is None
     batch, _, _ = reconstruct.reconstruct(spark.createDataFrame(rows, schema))
     assert sorted(r.id for r in spark.table("actions").collect()) == sorted(r.id for r in batch.collect())
+
+
+def test_batches_in_time_order(spark, tmp_path):
+    """Rows are handed on in windows that the watermark has passed; rows that come too late are dropped."""
+    files = [[("p", 3), ("p", 1), ("q", 2)], [("p", 200), ("p", 100)], [("q", 5), ("p", 400)]]
+    for n, rows in enumerate(files):
+        df = spark.createDataFrame(rows, "page_id string, m long").selectExpr("page_id", "timestamp_seconds(60 * m) AS ts", "m").coalesce(1)
+        df.write.mode("append").parquet(str(tmp_path / "in"))
+        for f in sorted((tmp_path / "in").glob("*.parquet"), key=lambda p: p.stat().st_mtime)[n:]:
+            import os
+
+            os.utime(f, (1_600_000_000 + n, 1_600_000_000 + n))
+    seen = []
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = events.in_time_order(stream, "ts", lambda batch, n: seen.append(sorted(r.m for r in batch.collect())), str(tmp_path / "check"), "30 minutes")
+    q.awaitTermination(120)
+    assert q.exception() is None
+    flat = [x for rows in seen for x in rows]
+    assert flat == sorted(flat) and len(seen) > 1 and {1, 2, 3} <= set(flat) <= {1, 2, 3, 5, 100, 200, 400}
+
+
+def test_redelivered_and_late_events(spark, tmp_path):
+    rows = [(1, 0), (1, 0), (2, 5), (3, 200), (4, 1)]
+    spark.createDataFrame(rows, "id long, m long").selectExpr("id", "timestamp_seconds(60 * m + 86400) AS ts").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long, ts timestamp").parquet(str(tmp_path / "in"))
+    q = events.once_each(stream, ["id"], "ts").writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r.id for r in spark.table("once").collect()) == [1, 2, 3, 4]
