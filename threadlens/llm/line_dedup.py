@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlens.llm.common import WORD_CLASS, boxed, save, scratch, unboxed
+from threadlens.llm.common import boxed, save, scratch, unboxed
 
 #: Least likeness of lines, as the share of words that an edit leaves; both must have the words for it.
 SIMILAR = 0.8
@@ -22,8 +22,17 @@ SIMILAR = 0.8
 EDIT_WORDS = 5
 
 
+#: White space of the word rule but for the space and the line feed, which cuts lines.
+OTHER_SPACE = "\t\x0b\x0c\r"
+
+
 def _words(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(f"({WORD_CLASS}+)"), F.lit(1))
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a line without line feeds: cut at single spaces, which needs no pattern."""
+    other = F.lit(False)
+    for c in OTHER_SPACE:
+        other = other | line.contains(c)
+    spaced = F.when(other, F.translate(line, OTHER_SPACE, " " * len(OTHER_SPACE))).otherwise(line)
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def _half_keys(words: Column, n: Column) -> Column:
@@ -95,10 +104,15 @@ class LineDecisions:
         shared = save(keys.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half"), "shared-halves")
         suspects = save(keys.join(shared, "half", "left_semi").select("h1").distinct(), "suspects")
         suspects = save(long_lines.drop("halves", "copies").join(suspects, "h1", "left_semi"), "suspect-lines")
-        texts = _lines(self.docs, self.id_col, self.text_col)
-        keep = suspects.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("line_no").alias("_no"), "h1", "h2")
-        found = texts.join(keep, texts["id"].eqNullSafe(keep["_id"]) & (texts["th"] == keep["_th"]) & (texts["line_no"] == keep["_no"]))
-        found = save(found.select("h1", "h2", "id", "line_no", _words(F.col("line")).alias("words")).dropDuplicates(["h1", "h2"]), "suspect-words")
+        # a text's suspect lines are named in one row, so that texts move once and no other line does
+        named = suspects.groupBy("id", "th").agg(F.collect_list(F.struct("line_no", "h1", "h2")).alias("wanted")).withColumnsRenamed({"id": "_id", "th": "_th"})
+        text = F.col(self.text_col).cast("string")
+        texts = self.docs.select(F.col(self.id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+        texts = texts.join(named, texts["id"].eqNullSafe(named["_id"]) & (texts["th"] == named["_th"]))
+        pick = lambda lines: F.transform("wanted", lambda w: F.struct(w["h1"].alias("h1"), w["h2"].alias("h2"), w["line_no"].alias("line_no"), F.get(lines, w["line_no"]).alias("line")))
+        found = texts.select("id", F.explode(F.transform(F.array(F.split("text", "\n")), pick)[0]).alias("x"))
+        found = found.select("x.h1", "x.h2", "id", "x.line_no", _words(F.col("x.line")).alias("words"))
+        found = save(found.dropDuplicates(["h1", "h2"]), "suspect-words")
 
         at = lambda place: F.xxhash64("word", place)
         spread = found.select("h1", "h2", "id", "line_no", F.posexplode("words").alias("i", "word"))
