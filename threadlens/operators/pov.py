@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlens.functions.text import fuzzy_match, sentences
+from threadlens.functions.text import fuzzy_match, fuzzy_tokens, sentences, tokens
 
 
 def with_former(revisions: DataFrame, page: str, order: list[str], column: str) -> DataFrame:
@@ -32,8 +32,10 @@ def sentence_changes(pairs: DataFrame, key: str, column: str) -> DataFrame:
 
 def revised_sentences(changes: DataFrame, key: str) -> DataFrame:
     """(key, old, new): deleted and inserted sentences of one edit that match fuzzily."""
-    both = changes.select(key, F.explode("deletes").alias("old"), "inserts").select(key, "old", F.explode("inserts").alias("new"))
-    return both.where(fuzzy_match(F.col("old"), F.col("new")))
+    cut = lambda c: F.transform(c, lambda s: F.struct(s.alias("s"), tokens(s).alias("t")))  # noqa: E731  a sentence is cut once, not once a pair
+    both = changes.select(key, F.explode(cut("deletes")).alias("a"), cut("inserts").alias("inserts")).where(F.size("a.t") >= 3)
+    both = both.select(key, "a", F.explode("inserts").alias("b"))
+    return both.where(fuzzy_tokens(F.col("a.s"), F.col("a.t"), F.col("b.s"), F.col("b.t"))).select(key, F.col("a.s").alias("old"), F.col("b.s").alias("new"))
 
 
 def context(sentence_rows: DataFrame, key: str, place: str, changed: str, reach: int = 3, compat: bool = False) -> DataFrame:

@@ -129,9 +129,12 @@ def cues_of_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("conversation_id", F.round("toxicity_entropy", 6).alias("toxicity_entropy"), *flags)
 
 
-@query(f"""WITH {COMMENTS} SELECT id, CAST(place AS BIGINT) AS place, sentence FROM (SELECT id, unnest({SENTENCES.format('content')}) AS sentence, unnest(range(len({SENTENCES.format('content')}))) AS place FROM comments) WHERE ends_with(sentence, '?')""")
+@query(f"""WITH {DOCS} SELECT doc_id, CAST(place AS BIGINT) AS place, md5(sentence) AS sentence FROM (SELECT doc_id, unnest({SENTENCES.format("replace(text, ', ', '? ')")}) AS sentence,
+    unnest(range(len({SENTENCES.format("replace(text, ', ', '? ')")}))) AS place FROM d) WHERE ends_with(sentence, '?')""")
 def question_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comments(spark, sf_dir).select("id", F.inline(t.questions(F.col("content"))))
+    """Commas stand for question marks, of which the texts have none."""
+    asked = t.questions(F.replace(F.col("text"), F.lit(", "), F.lit("? ")))
+    return _docs(spark, sf_dir).select("doc_id", F.inline(asked)).withColumn("sentence", F.md5("sentence"))
 
 
 @query("SELECT doc_id % 50 AS conversation_id, " + ", ".join(f"bool_or(doc_id % 9 = {k}) AS question_type{k}" for k in range(8)) + " FROM documents GROUP BY 1")
@@ -266,10 +269,10 @@ def revised_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.md5("old").alias("old"), F.md5("new").alias("new"))
 
 
-@query("""WITH r AS (SELECT doc_id % 30 AS rev_id, doc_id, 'the ' || source || ' has some words here' AS sentence FROM documents)
+@query("""WITH r AS (SELECT doc_id % 31 AS rev_id, doc_id, 'the ' || source || ' has some words here' AS sentence FROM documents)
     SELECT a.rev_id, count(*) AS n FROM r a JOIN r b ON a.rev_id = b.rev_id AND a.doc_id % 2 = 0 AND b.doc_id % 2 = 1 AND a.sentence <> b.sentence GROUP BY 1""")
 def fuzzy_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").selectExpr("doc_id % 30 AS rev_id", "doc_id", "concat('the ', source, ' has some words here') AS sentence")
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id % 31 AS rev_id", "doc_id", "concat('the ', source, ' has some words here') AS sentence")
     return pov.fuzzy_revisions(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1")).groupBy("rev_id").agg(F.count(F.lit(1)).alias("n"))
 
 

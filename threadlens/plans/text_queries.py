@@ -166,12 +166,12 @@ def sentence_diff_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {COMMENTS}, a AS (SELECT conversation_id, turn, content, list_distinct({TOKENS.format('content')}) AS t, {TOKENS.format('content')} AS w FROM comments)
     SELECT x.conversation_id, x.turn AS old_turn, y.turn AS new_turn FROM a x JOIN a y ON x.conversation_id = y.conversation_id AND x.turn < y.turn
-    WHERE x.turn = y.turn - 1 AND x.content <> y.content AND len(x.w) >= 3 AND len(list_intersect(x.t, y.t)) / greatest(len(x.t), 1) >= 0.3 AND len(list_intersect(x.t, y.t)) / greatest(len(y.t), 1) >= 0.3""")
+    WHERE x.turn = y.turn - 1 AND x.content <> y.content AND len(x.w) >= 3 AND len(list_intersect(x.t, y.t)) / greatest(len(x.t), 1) >= 0.1 AND len(list_intersect(x.t, y.t)) / greatest(len(y.t), 1) >= 0.1""")
 def fuzzy_sentence_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comments that are much like the one before them; ``revised_sentences`` holds sentences to the reference bound."""
     c = comments(spark, sf_dir).select("conversation_id", "turn", "content")
     pairs = pov.with_former(c, "conversation_id", ["turn"], "content").where("former IS NOT NULL")
-    return pairs.where(t.fuzzy_match(F.col("former"), F.col("content"), least=0.3)).select("conversation_id", (F.col("turn") - 1).alias("old_turn"), F.col("turn").alias("new_turn"))
+    return pairs.where(t.fuzzy_match(F.col("former"), F.col("content"), least=0.1)).select("conversation_id", (F.col("turn") - 1).alias("old_turn"), F.col("turn").alias("new_turn"))
 
 
 @query("""WITH c AS (SELECT doc_id, doc_id // 50 AS page, doc_id % 7 = 0 AS changed FROM documents),
