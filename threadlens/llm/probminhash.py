@@ -213,7 +213,8 @@ class NearDuplicates:
         self.bands = met.select("id", "key").join(company, "id")
         self.short = save(distinct.select("id", "short").join(company, "id", "left_semi"), "signatures")
         wanted = self.texts.select(F.col("digest").alias("node"), F.col("first.rk").alias("_rk")).join(company.select(F.col("id").alias("node")), "node", "left_semi")
-        named = rows.select("rk", "text").join(save(wanted, "candidate-rows"), F.col("rk") == F.col("_rk"))
+        # a merge join at every size: candidates grow with the rows, so a plan that broadcasts them would not last
+        named = rows.select("rk", "text").join(save(wanted, "candidate-rows").hint("merge"), F.col("rk") == F.col("_rk"))
         self.sets = save(named.select("node", "text").mapInArrow(_shingle_sets, "id long, shingles binary").dropDuplicates(["id"]), "shingle-sets")
         self.classes = save(self._classes(), "classes", outlive=1)
         del self.bands, self.short, self.sets, self.links
