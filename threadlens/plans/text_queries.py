@@ -331,9 +331,18 @@ def comment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.comment_tree(_log(spark, sf_dir)).withColumn("depth", F.col("depth").cast("long"))
 
 
-@query()
+_CLEAN = r"regexp_replace(regexp_replace(regexp_replace(ltrim(regexp_replace(coalesce({}, ''), '[\t\n\r]', ' ', 'g')), '^[:*]+', '', 'g'), '\[(REPLYTO|MENTION|OUTDENT): [^\]]*\]', '', 'g'), '\[(EXTERNAL_LINK|WIKI_LINK): ', '', 'g')"
+
+
+@query(f"""WITH {COMMENTS}, a AS (SELECT *, count(*) OVER (PARTITION BY conversation_id) AS n, turn % 5 AS k, turn - turn % 5 AS b FROM comments),
+    c AS (SELECT a.*, m.content AS new_content, m.user_text AS new_user FROM a LEFT JOIN comments m ON a.k = 1 AND m.conversation_id = a.conversation_id AND m.turn = a.b + 2 WHERE a.k < 2)
+    SELECT CAST(conversation_id AS VARCHAR) AS conversation_id, id, {_CLEAN.format("coalesce(new_content, content)")} AS content, coalesce(new_user, user_text) AS user_text, reply_to,
+        CASE WHEN k = 0 OR n <= b + 2 THEN 'added' WHEN n = b + 3 THEN 'changed' WHEN n = b + 4 THEN 'removed' ELSE 'restored' END AS status,
+        array_to_string(list_transform(range(turn, CASE WHEN k = 0 THEN turn + 1 ELSE least(n, b + 5) END), lambda t: conversation_id || '.' || t || '.' || t), ',') AS versions,
+        CAST(CASE turn WHEN 0 THEN -1 WHEN 1 THEN 0 WHEN 5 THEN 1 ELSE 2 END AS BIGINT) AS relative_replyTo FROM c""")
 def snapshot_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshot.snapshots(_log(spark, sf_dir)).drop("ts")
+    out = snapshot.snapshots(_log(spark, sf_dir)).drop("ts")
+    return out.withColumns({"versions": F.array_join("versions", ","), "relative_replyTo": F.col("relative_replyTo").cast("long")})
 
 
 @query(rf"""WITH {COMMENTS}, l AS (SELECT *, max(ts) OVER (PARTITION BY conversation_id) AS last FROM comments),
@@ -466,7 +475,14 @@ def page_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- reconstruction and scoring ---
 
 
-@query()
+@query(r"""WITH RECURSIVE l AS (SELECT conv_id, turn, trim(regexp_replace(repeat(':', CAST(turn AS INT)) || replace(text, chr(10), ' '), '<[^>]*>', '', 'g')) AS line FROM conversations),
+    h AS (SELECT *, length(regexp_extract(line, '^(=+)', 1)) > 0 AND length(regexp_extract(line, '^(=+)', 1)) = length(regexp_extract(line, '(=+)$', 1)) AND length(regexp_extract(line, '^(=+)', 1)) < length(line) AS heading,
+        coalesce(sum(length(line) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM l WHERE line <> ''),
+    o AS (SELECT conv_id, turn, heading, CASE WHEN heading THEN -1 ELSE length(regexp_extract(line, '^([:*]*)', 1)) END AS indent, (conv_id * 1000 + turn) || '.' || CAST(place AS BIGINT) || '.' || CAST(place AS BIGINT) AS id FROM h),
+    r AS (SELECT c.*, (SELECT arg_max(p.turn, p.turn) FROM o p WHERE p.conv_id = c.conv_id AND p.turn < c.turn AND p.indent < c.indent) AS up FROM o c),
+    w AS (SELECT conv_id, turn, id AS conversation_id FROM r WHERE up IS NULL UNION ALL SELECT r.conv_id, r.turn, w.conversation_id FROM r JOIN w ON w.conv_id = r.conv_id AND w.turn = r.up)
+    SELECT r.id, CASE WHEN r.heading THEN 'CREATION' ELSE 'ADDITION' END AS type, CAST(r.conv_id AS VARCHAR) AS page_id, CAST(NULL AS VARCHAR) AS parent_id, p.id AS "replyTo_id", w.conversation_id,
+        CAST(r.indent AS BIGINT) AS indentation, r.conv_id * 1000 + r.turn AS rev_id FROM r LEFT JOIN o p ON p.conv_id = r.conv_id AND p.turn = r.up JOIN w ON w.conv_id = r.conv_id AND w.turn = r.turn""")
 def reconstruct_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation's growing transcript as the revisions of one page."""
     from pyspark.sql import Window
@@ -479,7 +495,7 @@ def reconstruct_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("user_id"), F.col("role").alias("user_text"), F.col("conv_id").cast("string").alias("page_id"), F.lit("Talk").alias("page_title"),
     )
     actions, _, _ = reconstruct.reconstruct(revisions)
-    return actions.select("id", "type", "page_id", "parent_id", "replyTo_id", "conversation_id", "indentation", "rev_id")
+    return actions.select("id", "type", "page_id", "parent_id", "replyTo_id", "conversation_id", F.col("indentation").cast("long").alias("indentation"), "rev_id")
 
 
 @query(rf"""SELECT conv_id, turn, round(CASE WHEN len(regexp_extract_all(lower(text), '[a-z'']+')) = 0 THEN 0.0
