@@ -62,7 +62,7 @@ class DigestIndex:
         )
 
     def _note(self, version: int, buckets: int, id_type: str) -> None:
-        row = self.spark.createDataFrame([(version, buckets, id_type)], "version int, buckets int, id_type string")
+        row = self.spark.range(1).select(F.lit(version).alias("version"), F.lit(buckets).alias("buckets"), F.lit(id_type).alias("id_type"))
         row.coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
 
     def rows(self) -> DataFrame:
