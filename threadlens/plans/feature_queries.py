@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -480,17 +482,14 @@ def inserted_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS "start", event_type, count(*) AS n FROM events GROUP BY 1, 2""")
 def streaming_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream, counted by hour; the counts are read from the stream's own table."""
-    import tempfile
-
     from threadlens.streaming.events import windowed_counts
 
     batch = spark.read.parquet(f"{sf_dir}/events.parquet")
     stream = spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    name = f"hourly_{abs(hash((sf_dir, id(stream))))}"
-    counts = windowed_counts(stream, "ts", "1 hour", by=["event_type"])
-    q = counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{folder}/{name}").start()
-    q.awaitTermination()
+    folder, name = spark.conf.get("spark.checkpoint.dir", None), f"hourly_{uuid.uuid4().hex}"
+    writer = windowed_counts(stream, "ts", "1 hour", by=["event_type"]).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
+    writer = writer.option("checkpointLocation", f"{folder.rstrip('/')}/{name}") if folder else writer
+    writer.start().awaitTermination()
     return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
