@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import zlib
 
 import pytest
 
@@ -133,3 +134,94 @@ def test_stages_on_awkward_tables(spark):
     assert texts.count(data[20][1]) == 1 and texts.count(None) == sum(t is None for _, t, *_ in data)
     assert all(r.text and WORDS.findall(r.text) and r.n_chars == len(r.text) for r in left["mix_sources"])
     assert any(r.source is None for r in left["mix_sources"])
+
+
+def table(spark, folder=SF):
+    return {r.doc_id: r for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+
+
+def sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_shard_query(spark):
+    docs, sizes, slots = table(spark), collections.Counter(), collections.defaultdict(list)
+    for r in registered()["op1_shard"](spark, SF).collect():
+        raw = (docs[r.doc_id].text or "").encode()
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(raw) + 8, zlib.crc32(raw), "bytes", None)
+        sizes[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and sum(map(len, slots.values())) == len(docs) and set(slots) <= set(range(24))
+    most = max(len((d.text or "").encode()) for d in docs.values()) + 8
+    assert max(abs(sizes[s] - sum(sizes.values()) / 24) for s in range(24)) <= most
+
+
+def test_mix_query(spark):
+    from test_rows import WORDS, fill
+
+    docs, sizes, taken = table(spark), collections.Counter(), collections.Counter()
+    for d in docs.values():
+        sizes[d.source] += len(WORDS.findall(d.text or ""))
+    want = fill(dict(sizes))
+    for r in registered()["op2_mix"](spark, SF).collect():
+        d = docs[r.doc_id]
+        assert r["size"] == len(WORDS.findall(d.text or "")) and r.source_size == sizes[d.source] and r.target == pytest.approx(want[d.source]) and 0 <= r.taken <= 2 * r["size"]
+        taken[d.source] += r.taken
+    assert all(abs(taken[s] - want[s]) <= 128 for s in sizes)
+
+
+def test_bpe_query(spark):
+    from tokenizers import Tokenizer
+
+    from threadlens.llm import bpe
+
+    tokenizer, docs = Tokenizer.from_file(bpe.default_path()), table(spark)
+    for r in registered()["op5_bpe"](spark, SF).collect():
+        ids = tokenizer.encode(docs[r.doc_id].text or "", add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(tokenizer.decode(ids, skip_special_tokens=False)))
+
+
+def test_fingerprint_query(spark):
+    from threadlens.llm import imatch
+
+    docs = table(spark)
+    order, out = sorted(docs), {r.doc_id: r for r in registered()["op6_imatch"](spark, SF).collect()}
+    by_text = collections.defaultdict(set)
+    for k, i in enumerate(order):
+        after = order[(k + 1) % len(order)]
+        text, following = docs[i].text or "", docs[after].text or ""
+        half = len(text) // 2
+        assert (out[i].n_chars, out[i].edited_sha256) == (len(text), sha(text[: len(text) - half] + following[:half]))
+        assert out[i].near_next == imatch.likeness(out[i].fingerprint, out[after].fingerprint) and out[i].near_edited == imatch.likeness(out[i].fingerprint, out[i].edited_fingerprint)
+        by_text[text].add(out[i].fingerprint)
+    assert all(len(v) == 1 for v in by_text.values())
+
+
+def test_personal_data_query(spark):
+    from test_rows import base_spans
+
+    from threadlens.llm import pii
+
+    docs, names = table(spark, "/root/testdata/sf0.01"), pii.BASE_KINDS
+    some = 0
+    for r in registered()["op9_pii"](spark, "/root/testdata/sf0.01").collect():
+        found = [(names[k], a, b) for a, k, b in base_spans(docs[r.doc_id].text or "")]
+        count = collections.Counter(k for k, *_ in found)
+        assert [r[f"n_{k}"] for k in names] == [count[k] for k in names]
+        assert r.base_sha256 == sha(",".join(f"{k}:{a}:{b}" for k, a, b in found))
+        assert {f"{k}:{a}:{b}" for k, a, b in found} <= set(r.spans.split(","))
+        some += len(found)
+    assert some > 30
+
+
+def test_language_query(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = table(spark, folder)
+    right = n = 0
+    for r in registered()["op10_langid"](spark, folder).collect():
+        d = docs[r.doc_id]
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1
+        assert (r.lang_pred == "und") == (not any(c.isalpha() for c in d.text or ""))
+        if r.held_out and d.lang is not None and len(d.text or "") > 100:
+            n, right = n + 1, right + (r.lang_pred == d.lang)
+    assert n > 50 and right / n > 0.95
