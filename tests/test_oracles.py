@@ -8,12 +8,12 @@ import os
 import duckdb
 import pytest
 
-from threadlens.plans import feature_queries, history_queries, text_queries
+from threadlens.plans import feature_queries, history_queries, source_queries, text_queries
 from threadlens.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-assert feature_queries and history_queries and text_queries
+assert feature_queries and history_queries and source_queries and text_queries
 
 
 @pytest.fixture(scope="module")

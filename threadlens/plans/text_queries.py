@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadlens.functions import text as t
@@ -484,18 +484,19 @@ def page_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT r.id, CASE WHEN r.heading THEN 'CREATION' ELSE 'ADDITION' END AS type, CAST(r.conv_id AS VARCHAR) AS page_id, CAST(NULL AS VARCHAR) AS parent_id, p.id AS "replyTo_id", w.conversation_id,
         CAST(r.indent AS BIGINT) AS indentation, r.conv_id * 1000 + r.turn AS rev_id FROM r LEFT JOIN o p ON p.conv_id = r.conv_id AND p.turn = r.up JOIN w ON w.conv_id = r.conv_id AND w.turn = r.turn""")
 def reconstruct_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A conversation's growing transcript as the revisions of one page."""
-    from pyspark.sql import Window
+    actions, _, _ = reconstruct.reconstruct(transcript_revisions(spark, sf_dir))
+    return actions.select("id", "type", "page_id", "parent_id", "replyTo_id", "conversation_id", F.col("indentation").cast("long").alias("indentation"), "rev_id")
+
 
+def transcript_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation's growing transcript as the revisions of one page."""
     so_far = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     line = F.concat(F.expr("repeat(':', CAST(turn AS INT))"), F.regexp_replace("text", "\n", " "))
     pages = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.array_join(F.collect_list(line).over(so_far), "\n"), F.lit("\n")).alias("text"), "role")
-    revisions = pages.select(
+    return pages.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("rev_id"), F.format_string("2001-01-01T00:%02d:00Z", "turn").alias("timestamp"), "text",
         F.lit(None).cast("string").alias("user_id"), F.col("role").alias("user_text"), F.col("conv_id").cast("string").alias("page_id"), F.lit("Talk").alias("page_title"),
     )
-    actions, _, _ = reconstruct.reconstruct(revisions)
-    return actions.select("id", "type", "page_id", "parent_id", "replyTo_id", "conversation_id", F.col("indentation").cast("long").alias("indentation"), "rev_id")
 
 
 @query(rf"""SELECT conv_id, turn, round(CASE WHEN len(regexp_extract_all(lower(text), '[a-z'']+')) = 0 THEN 0.0

@@ -33,7 +33,7 @@ def read_dump(spark: SparkSession, path: str | list[str], namespaces: list[int]
     Pages of other namespaces go before their revisions are unfolded. The user is the name or else the
     address. ISO year and week of the timestamp are added; they name the shards that write_by_year makes.
     """
-    pages = spark.read.format("xml").option("rowTag", "page").schema(_DUMP_PAGE).load(path)
+    pages = spark.read.format("xml").option("rowTag", "page").option("ignoreSurroundingSpaces", "false").schema(_DUMP_PAGE).load(path)
     talk = pages.where(F.col("ns").isin(TALK_NAMESPACES if namespaces is None else namespaces))
     r = talk.select("title", "ns", F.col("id").alias("page_id"), F.explode("revision").alias("r"))
     ts = F.to_timestamp("r.timestamp", "yyyy-MM-dd'T'HH:mm:ssX")
