@@ -22,7 +22,7 @@ def _bare(model: PipelineModel) -> PipelineModel:
     return model
 
 
-def leave_pairs_out(rows: DataFrame, features: list[str], label: str, pair: str, folds: int = 5, c: float = 0.02) -> tuple[float, float]:
+def leave_pairs_out(rows: DataFrame, features: list[str], label: str, pair: str, folds: int = 5, c: float = 0.02, iterations: int = 100) -> tuple[float, float]:
     """(accuracy, standard error) of a linear SVM; both conversations of a pair are in one fold, chosen by a hash of the pair."""
     fold = F.pmod(F.xxhash64(pair), F.lit(folds))
     data = VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="keep").transform(rows.fillna(0, features)).withColumn("_fold", fold).persist()
@@ -31,7 +31,7 @@ def leave_pairs_out(rows: DataFrame, features: list[str], label: str, pair: str,
         train, test = data.where(F.col("_fold") != k), data.where(F.col("_fold") == k)
         if test.isEmpty() or train.select(label).distinct().count() < 2:
             continue
-        svm = _bare(Pipeline(stages=[MaxAbsScaler(inputCol="raw", outputCol="features"), LinearSVC(labelCol=label, regParam=c)]).fit(train))
+        svm = _bare(Pipeline(stages=[MaxAbsScaler(inputCol="raw", outputCol="features"), LinearSVC(labelCol=label, regParam=c, maxIter=iterations)]).fit(train))
         hit = svm.transform(test).agg(F.count(F.when(F.col("prediction") == F.col(label), 1)), F.count(F.lit(1))).first()
         right, n = right + hit[0], n + hit[1]
     data.unpersist()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,19 +34,23 @@ def stratified_sample(rows: DataFrame, key: str, score: str, zones: int, per_zon
     return strata
 
 
+def poisson_steps() -> list[float]:
+    """The cumulative chances of 0, 1, 2, ... at a mean of 1, until the rest is below what a double holds."""
+    steps, p, total = [], math.exp(-1), 0.0
+    for k in range(1, 20):
+        total += p
+        steps.append(total)
+        p /= k
+    return steps
+
+
 def bootstrap_means(rows: DataFrame, key: str, value: str, repetitions: int, seed: str = "b") -> DataFrame:
     """(rep, mean) of ``repetitions`` resamples in which each row has a Poisson(1) count, drawn by a digest.
 
     Poisson counts resample with replacement without a pass over row numbers.
     """
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), "rep", F.lit(seed))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    cumulative, p = [], 2.718281828459045**-1
-    total = 0.0
-    for k in range(1, 20):  # until the rest is below what a double holds
-        total += p
-        cumulative.append(total)
-        p /= k
-    count = sum((F.when(u >= c, 1).otherwise(0) for c in cumulative), F.lit(0))
+    count = sum((F.when(u >= c, 1).otherwise(0) for c in poisson_steps()), F.lit(0))
     spread = rows.where(F.col(value).isNotNull()).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repetitions)))).withColumn("_k", count)
     return spread.groupBy("rep").agg((F.sum(F.col("_k") * F.col(value)) / F.sum("_k")).alias("mean"))
 

@@ -514,3 +514,57 @@ def scores_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     scores, mapping = e.select("event_id", F.col("user_id").alias("id")), e.where("user_id % 2 = 0").select(F.col("user_id").alias("id"), F.col("user_id").alias("conversation")).distinct()
     return readers.scores_of_pages(scores, mapping).select("event_id", "conversation")
+
+
+# --- resamples and models ---
+
+_CUMULATIVE = "[" + ", ".join(f"{c!r}" for c in sampling.poisson_steps()) + "]"
+_U = "(('0x' || substr(md5({} || ':' || rep || ':{}'), 1, {}))::BIGINT)"
+
+
+@query(f"""WITH r AS (SELECT event_id, value, unnest(range(1, 11)) AS rep FROM events WHERE event_type = 'click'), k AS (SELECT rep, value, len(list_filter({_CUMULATIVE}, lambda c: {_U.format('event_id', 'b', 8)} / 4294967296.0 >= c)) AS k FROM r)
+    SELECT CAST(rep AS BIGINT) AS rep, round(sum(k * value) / sum(k), 6) AS mean FROM k GROUP BY 1""")
+def bootstrap_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clicks = table(spark, sf_dir, "events").where("event_type = 'click'")
+    return sampling.bootstrap_means(clicks, "event_id", "value", 10).select(F.col("rep").cast("long").alias("rep"), F.round("mean", 6).alias("mean"))
+
+
+@query(f"""WITH p AS (SELECT event_id, value - 250 AS d FROM events WHERE event_type = 'error'), r AS (SELECT event_id, d, unnest(range(1, 101)) AS rep FROM p),
+    s AS (SELECT rep, sum(CASE WHEN {_U.format('event_id', 'r', 1)} % 2 = 1 THEN -d ELSE d END) AS d FROM r GROUP BY 1) SELECT round((count(*) FILTER (d >= (SELECT sum(d) FROM p)) + 1) / (count(*) + 1), 6) AS p FROM s""")
+def randomisation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    errors = table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", "value", F.lit(250.0).alias("other"))
+    return sampling.approximate_randomisation(errors, "event_id", "value", "other", 100).withColumn("p", F.round("p", 6))
+
+
+def _separable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "CAST(doc_id % 2 AS INT) AS label", "doc_id DIV 2 AS pair", "doc_id % 2 + (doc_id % 10) / 100 AS x",
+        "concat('some words of ', source, CASE WHEN doc_id % 2 = 1 THEN ' awful' ELSE ' nice' END) AS said",
+    )
+
+
+@query("SELECT CAST(1.0 AS DOUBLE) AS accuracy, CAST(0.0 AS DOUBLE) AS error")
+def pairs_left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A linear SVM on two classes that one feature tells apart, pairs kept together."""
+    from threadlens.operators import ml
+
+    return spark.createDataFrame([ml.leave_pairs_out(_separable(spark, sf_dir), ["x"], "label", "pair", folds=2, iterations=10)], "accuracy double, error double")
+
+
+@query("SELECT CAST(1.0 AS DOUBLE) AS accuracy, CAST(1.0 AS DOUBLE) AS auc, CAST(greatest(avg(doc_id % 2), 1 - avg(doc_id % 2)) AS DOUBLE) AS baseline FROM documents")
+def text_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bag-of-words model on texts that one word tells apart."""
+    from threadlens.operators import ml
+
+    rows = _separable(spark, sf_dir)
+    q = ml.quality(ml.text_classifier(rows, "said", "label"), rows, "label")
+    return spark.createDataFrame([(q["accuracy"], q["auc"], q["baseline"])], "accuracy double, auc double, baseline double")
+
+
+@query("SELECT CAST(0.01 AS DOUBLE) AS best, CAST(1.0 AS DOUBLE) AS accuracy")
+def regularisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two regularisations, of which one is far too strong for any but the more frequent class."""
+    from threadlens.operators import ml
+
+    best, accuracy = ml.grid_search(_separable(spark, sf_dir), ["x"], "label", "pair", [0.01, 1e6], folds=2)
+    return spark.createDataFrame([(best, accuracy[best])], "best double, accuracy double")
