@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from threadlens.llm.textarrays import pieces
 
 #: Bytes of words and their ids that a worker remembers at most; beyond, the memory is emptied and filled anew.
-REMEMBERED_BYTES = 48_000_000
+REMEMBERED_BYTES = 72_000_000
 #: Bytes of text encoded, and ids put into one Arrow batch, at most, but for one longer text.
 SLICE, BATCH_IDS = 1 << 20, 200_000
 

@@ -36,16 +36,19 @@ _NIR = re.compile(r"(?<![A-Za-z0-9])[12] ?[0-9]{2} ?(?:0[1-9]|1[0-2]) ?(?:[0-9]{
 _DNI = re.compile(r"(?<![A-Za-z0-9])[0-9XYZ][0-9]{7}-?[A-Z](?![A-Za-z0-9])", re.ASCII)
 _SSN = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}([ -])[0-9]{2}\1[0-9]{4}(?![0-9A-Za-z-])", re.ASCII)
 #: A value given to a key word, as in ``api_key = "..."``.
-_ASSIGNED = re.compile(
-    r"""(?<![A-Za-z0-9])(?:api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|secret|token|password|passwd|pwd)["']?[ \t]{0,3}[:=][ \t]{0,3}["']?([A-Za-z0-9_+/=.~-]{16,})""",
-    re.ASCII | re.IGNORECASE,
-)
+_GIVEN = re.compile(r"[:=]")
+_KEY = re.compile(r"""(?<![A-Za-z0-9])(?:api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|secret|token|password|passwd|pwd)["']?[ \t]{0,3}\Z""", re.ASCII | re.IGNORECASE)
+_VALUE = re.compile(r"""[ \t]{0,3}["']?([A-Za-z0-9_+/=.~-]{16,})""", re.ASCII)
+#: Characters before a sign that a key word, with what may stand after it, takes at most, and one more.
+KEY_CHARS = 19
 #: Tokens of well-known forms: cloud access keys, code host and chat tokens, signed web tokens, private keys.
 _KNOWN = re.compile(
     r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}"
     r"|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
     re.ASCII,
 )
+#: What every such token holds, one or another.
+_KNOWN_PARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "eyJ", "PRIVATE KEY")
 #: Bits a character, from which an assigned value counts as random.
 LEAST_ENTROPY = 3.0
 _ALNUM = re.compile(r"[A-Za-z0-9]", re.ASCII)
@@ -164,8 +167,12 @@ def random_looking(value: str) -> bool:
 
 
 def _secrets(text: str) -> Iterator[tuple[int, int]]:
-    found = [m.span() for m in _KNOWN.finditer(text)]
-    found += [m.span(1) for m in _ASSIGNED.finditer(text) if random_looking(m[1])] if "=" in text or ":" in text else []
+    found = [m.span() for m in _KNOWN.finditer(text)] if any(p in text for p in _KNOWN_PARTS) else []
+    for sign in _GIVEN.finditer(text):
+        at = sign.start()
+        value = _VALUE.match(text, at + 1) if _KEY.search(text[max(0, at - KEY_CHARS) : at]) else None
+        if value and random_looking(value[1]):
+            found.append(value.span(1))
     done = 0
     for start, end in sorted(found, key=lambda x: (x[0], -x[1])):
         if start >= done:
