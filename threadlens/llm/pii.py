@@ -168,11 +168,14 @@ def random_looking(value: str) -> bool:
 
 def _secrets(text: str) -> Iterator[tuple[int, int]]:
     found = [m.span() for m in _KNOWN.finditer(text)] if any(p in text for p in _KNOWN_PARTS) else []
+    end = 0
     for sign in _GIVEN.finditer(text):
         at = sign.start()
-        value = _VALUE.match(text, at + 1) if _KEY.search(text[max(0, at - KEY_CHARS) : at]) else None
-        if value and random_looking(value[1]):
-            found.append(value.span(1))
+        value = _VALUE.match(text, at + 1) if at >= end and _KEY.search(text[max(end, at - KEY_CHARS) : at]) else None
+        if value:
+            end = value.end()  # a value is looked at once
+            if random_looking(value[1]):
+                found.append(value.span(1))
     done = 0
     for start, end in sorted(found, key=lambda x: (x[0], -x[1])):
         if start >= done:
