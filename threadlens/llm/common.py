@@ -73,8 +73,19 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in stack.pop():
-            there = spark._jvm.org.apache.hadoop.fs.Path(path)
-            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a saved table."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def save_at(df: DataFrame, path: str) -> None:
+    """Write ``df`` under a folder of ``fresh_path``."""
+    with _settings(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
 
 
 def save(df: DataFrame, label: str, outlive: int = 0) -> DataFrame:
@@ -91,8 +102,7 @@ def save(df: DataFrame, label: str, outlive: int = 0) -> DataFrame:
     stack = _scopes.__dict__.get("stack", [])
     if len(stack) > outlive:
         stack[-1 - outlive].append(path)
-    with _settings(spark):
-        df.write.option("compression", "zstd").parquet(path)
+    save_at(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,13 +1,14 @@
-"""The registered corpus queries: each applies its operator to the whole ``documents`` table."""
+"""The registered corpus queries: each applies its operator to the whole of its table."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import anchors, bpe, digest_index, imatch, langid, line_dedup, mixing, pii, probminhash, sharding
+from threadlens.llm import anchors, bpe, digest_index, fim, imatch, kmeans, langid, line_dedup, mixing, pii, probminhash, sharding
 from threadlens.llm.common import documents, scratch
 
 
@@ -82,6 +83,18 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.transform(documents(spark, sf_dir))
+    text = fim.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", _sha256(F.col("output")).alias("output_sha256"), _sha256(text).alias("restored_sha256"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kmeans.Clustering(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in found.centroids]
+    return found.assigned().select("*", found.by_cluster(digests, "string").alias("centroid_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard": op1_shard,
     "op2_mix": op2_mix,
@@ -93,10 +106,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_pii": op9_pii,
     "op10_langid": op10_langid,
+    "op11_fim": op11_fim,
+    "op12_centroids": op12_centroids,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+
+def _rounds_of_k_means(rounds: int = 10) -> str:
+    """Plain rounds over whole tables: centroids c0, c1, ... and the assignments a0, a1, ... to them."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+            d{i} AS MATERIALIZED (SELECT x.r, c.c, sum((x.x - c.x) * (x.x - c.x)) AS d FROM x JOIN c{i} c USING (i) GROUP BY 1, 2),
+            a{i} AS MATERIALIZED (SELECT r, d AS distance, c FROM d{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)""")
+        if i < rounds:
+            steps.append(f"""
+            c{i + 1} AS MATERIALIZED (SELECT c, i, coalesce((s - ((s % n) + n) % n) // n, old) AS x
+                FROM (SELECT c.c, c.i, any_value(c.x) AS old, sum(x.x) AS s, nullif(count(x.x), 0) AS n FROM c{i} c LEFT JOIN a{i} a ON a.c = c.c LEFT JOIN x ON x.r = a.r AND x.i = c.i GROUP BY 1, 2))""")
+    return f"""
+        WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
+                WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+            x AS MATERIALIZED (SELECT r, unnest(range(1, 65)) AS i, CAST(floor(1024 * CAST(unnest(embedding) AS DOUBLE)) AS HUGEINT) AS x FROM v),
+            c0 AS MATERIALIZED (SELECT c, i, x FROM x JOIN (SELECT r, row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)), embedding) - 1 AS c FROM v QUALIFY c < 8) USING (r)),
+            {",".join(steps)},
+            sha AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY 1)
+        SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+            CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+        FROM a{rounds} JOIN v USING (r) JOIN sha USING (c)
+    """
+
+
 ORACLES: dict[str, str] = {
     "op3_near_dedup": r"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents),
@@ -146,4 +186,15 @@ ORACLES: dict[str, str] = {
              g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
     """,
+    "op11_fim": """
+        WITH h AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        r AS (SELECT *, list_transform(range(4), lambda i: CAST('0x' || substring(h, 8 * i + 1, 8) AS BIGINT)) AS r FROM h),
+        c AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+            CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 90 THEN 'plain' WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM r),
+        p AS (SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1, n - b) AS suffix FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+            sha256(t) AS restored_sha256 FROM p
+    """,
+    "op12_centroids": _rounds_of_k_means(),
 }
