@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import anchors, bpe, digest_index, fim, imatch, kmeans, langid, line_dedup, mixing, pii, probminhash, sharding
+from threadlens.llm import anchors, bpe, digest_index, extraction, fim, imatch, kmeans, langid, line_dedup, mixing, pii, probminhash, sharding
 from threadlens.llm.common import documents, scratch
 
 
@@ -95,6 +95,11 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.assigned().select("*", found.by_cluster(digests, "string").alias("centroid_sha256"))
 
 
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return extraction.extract(pages, extraction.fit(pages))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard": op1_shard,
     "op2_mix": op2_mix,
@@ -108,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_langid": op10_langid,
     "op11_fim": op11_fim,
     "op12_centroids": op12_centroids,
+    "op13_main_text": op13_main_text,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
