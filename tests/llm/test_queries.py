@@ -19,6 +19,7 @@ COLUMNS = {
     "op8": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
     "op9": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
     "op10": ["doc_id", "held_out", "lang_pred", "score"],
+    "op11": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
 }
 
 
@@ -38,7 +39,7 @@ def test_columns(spark, op):
 
 def test_every_operator_is_registered():
     names = registered()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
 
 
 def test_pipeline(spark):

@@ -22,7 +22,7 @@ LONG_MAX = (1 << 63) - 1
 #: Largest finite float; a component beyond it counts as not finite.
 FLOAT_MAX = 3.4028234663852886e38
 #: Sums travel as so many limbs of so many bits, of which the last is signed.
-_LIMBS, _LIMB_BITS = 4, 40
+_LIMBS, _LIMB_BITS = 8, 40
 _MASK = (1 << _LIMB_BITS) - 1
 #: Bounds are moved apart by this share at every step, far more than what float arithmetic can lose.
 _SLACK = 1e-12
