@@ -272,6 +272,57 @@ def test_near_duplicates_in_crowded_buckets(spark):
     assert {i: r.class_id for i, r in rows(probminhash.NearDuplicates(df).result()).items()} == want
 
 
+@pytest.mark.parametrize("own", [(80, 80), (30, 70)])
+def test_pages_of_one_template(spark, monkeypatch, own):
+    """Pages that share a template but are too far apart meet in pairs that grow no faster than they do; the classes stay right."""
+    joined, met_rows, plain = {}, {}, probminhash.by_sizes
+    rnd = random.Random(4)
+    words = lambda k: ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(k)]
+    template = words(400)
+    for n in (40, 160):
+
+        def counted(met, similar, n=n):
+            short, long, on = plain(met, similar)
+            joined[n], met_rows[n] = short.join(long, on).count(), met.count()
+            return short, long, on
+
+        monkeypatch.setattr(probminhash, "by_sizes", counted)
+        texts = [" ".join(template + words(rnd.randint(*own))) for _ in range(n)]
+        near = probminhash.NearDuplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+        want = classes({i: shingle_set(t) for i, t in enumerate(texts)})
+        assert {i: r.class_id for i, r in rows(near.result()).items()} == want
+        linked = [tuple(r) for r in near.pairs().collect()]
+        assert {i for a, b, _ in linked for i in (a, b)} == {i for i, c in want.items() if collections.Counter(want.values())[c] > 1}
+        assert all(want[a] == want[b] and j >= 0.8 for a, b, j in linked)
+    if own != (30, 70):  # no links at all
+        assert met_rows[160] >= 3 * met_rows[40] > 0 and joined[160] <= 8 * met_rows[160]
+
+
+def test_prefix_join_by_brute_force(spark):
+    """The exact join alone, over all texts as one class each: every link, none other."""
+    rnd = random.Random(12)
+    pool = ["".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(60)]
+    texts = []
+    for _ in range(25):
+        base = [rnd.choice(pool) for _ in range(rnd.randint(3, 150))]
+        for _ in range(6):
+            other = list(base)
+            for _ in range(rnd.randint(0, 2)):
+                other[rnd.randrange(len(other))] = rnd.choice(pool)
+            texts.append(" ".join(other[rnd.randint(0, 3) :] + [rnd.choice(pool) for _ in range(rnd.randint(0, 4))]))
+    texts = list(dict.fromkeys(texts))
+    near = probminhash.NearDuplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    digest = {r.digest: r.first.id for r in near.texts.collect()}
+    named = spark.createDataFrame(list(enumerate(texts)), "id long, text string").join(near.texts.selectExpr("digest AS node", "first.id AS id"), "id")
+    near.sets = named.select("node", "text").mapInArrow(probminhash._shingle_sets, "id long, shingles binary")
+    near._links = lambda pairs: pairs
+    found = near._rest(near.texts.selectExpr("digest AS id", "1L AS key", "digest AS class"))
+    pairs = {tuple(sorted((digest[r.a], digest[r.b]))) for r in found.collect()}
+    sets = [shingle_set(t) for t in texts]
+    want = {(i, j) for i, j in itertools.combinations(digest.values(), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert {tuple(sorted(p)) for p in want} <= pairs and len(want) > 30
+
+
 def test_near_duplicates_with_other_repeats(spark):
     """Copies that repeat a passage more or less often have nearly equal shingle sets."""
     rnd = random.Random(6)

@@ -32,6 +32,8 @@ HUBS = 6
 FEW = 100
 #: Share of agreeing components from which a pair is verified: pairs at 0.8 fail it less than once in 10^11.
 LIKELY = 0.5
+#: Bands of sizes for each doubling of them.
+BANDS_OF_SIZES = 16
 _GOLDEN = U(0x9E3779B97F4A7C15)
 
 
@@ -168,6 +170,25 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(jaccard)], ["a", "b", "jaccard"])
 
 
+def by_sizes(met: DataFrame, similar: float) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The rows of ``met`` (s, id, class, n, place, main) as the shorter and as the longer text of a pair, and the columns to join them on.
+
+    A row comes once for each band of sizes that its partner can have, and not at all where it can have none.
+    Of two rows of a key at most one is of its largest class (``main``): the shorter one, the longer one, or neither.
+    """
+    share = F.lit(similar / (1 + similar))
+    # a partner of more shingles than this could not share enough
+    met = met.withColumn("reach", (F.col("n") - F.col("place") + 1 + F.lit(1e-6)) / share - F.col("n"))
+    band = lambda n: F.floor(F.log2(F.greatest(n, F.lit(1.0))) * F.lit(BANDS_OF_SIZES)).cast("int")
+    kinds = lambda main, other: F.explode(F.when(F.col("main"), F.array(F.lit(main))).otherwise(F.array(F.lit(other), F.lit(2))))
+    longest = F.least(F.col("n") / F.lit(similar) + 1e-6, F.col("reach"))
+    short = met.where(F.col("reach") >= F.col("n")).withColumn("long_band", F.explode(F.sequence(band(F.col("n")), band(longest))))
+    least, most = F.col("n") * F.lit(similar) - 1e-6, F.least(F.col("n"), F.col("reach"))
+    long = met.where(most >= least).withColumn("short_band", F.explode(F.sequence(band(least), band(most))))
+    short = short.withColumn("kind", kinds(0, 1)).withColumn("short_band", band(F.col("n")))
+    return short, long.withColumn("kind", kinds(1, 0)).withColumn("long_band", band(F.col("n"))), ["s", "kind", "short_band", "long_band"]
+
+
 class NearDuplicates:
     """Classes of near-duplicate documents: connected by links of Jaccard similarity ``similar`` or more
     over distinct shingles of five words (lower case, runs of letters and digits).
@@ -217,7 +238,7 @@ class NearDuplicates:
         named = rows.select("rk", "text").join(save(wanted, "candidate-rows").hint("merge"), F.col("rk") == F.col("_rk"))
         self.sets = save(named.select("node", "text").mapInArrow(_shingle_sets, "id long, shingles binary").dropDuplicates(["id"]), "shingle-sets")
         self.classes = save(self._classes(), "classes", outlive=1)
-        del self.bands, self.short, self.sets, self.links
+        del self.bands, self.short, self.sets
 
     @staticmethod
     def _row_key(id_column: Column, text: Column) -> Column:
@@ -256,22 +277,25 @@ class NearDuplicates:
     def _rest(self, open_rows: DataFrame) -> DataFrame:
         """The links between classes among the texts of ``open_rows`` (id, key, class), by a prefix join.
 
-        At the first key that two texts share, no more than what follows it in both can be shared, which
-        bounds the pairs. A bucket's largest class is held against the others only, never against itself.
+        At the first key that two texts share, no more than what follows it in both can be shared. So a key's
+        place bounds the sizes of its text's partners from above, and ``similar`` bounds them from below. Both
+        bounds are in the join's key, as bands of sizes: the shorter text's and the longer one's. As the shorter
+        of two, a text needs its first ninth only (at 0.8), so pages of one template that are too far
+        apart to be links meet nowhere, however many they are. A key's largest class is held against the others
+        only, never against itself.
         """
         keys = save(self._rare_keys(save(open_rows.select("id", "class").distinct(), "open-texts")), "rare-keys")
         sizes = save(keys.groupBy("s", "class").agg(F.count(F.lit(1)).alias("c")), "key-classes")
         largest = sizes.groupBy("s").agg(F.max(F.struct("c", "class"))["class"].alias("largest"), F.count(F.lit(1)).alias("classes"))
         largest = save(largest.where("classes > 1").select("s", "largest"), "mixed-keys")
-        met = save(keys.join(largest, "s"), "mixed-rows")
-        x = met.select("s", *[F.col(c).alias(f"x_{c}") for c in ("id", "class", "n", "place", "largest")])
-        y = met.where("class <> largest").select("s", *[F.col(c).alias(f"y_{c}") for c in ("id", "class", "n", "place")])
-        most = 1 + F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
-        able = most >= (F.col("x_n") + F.col("y_n")) * F.lit(self.similar / (1 + self.similar)) - F.lit(1e-6)
-        once = (F.col("x_class") == F.col("x_largest")) | (F.col("x_id") < F.col("y_id"))
-        pairs = x.join(y, "s").where((F.col("x_class") != F.col("y_class")) & once & able)
-        pairs = pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
-        return self._links(save(pairs.distinct(), "rest-pairs"))
+        met = save(keys.join(largest, "s").select("s", "id", "class", "n", "place", (F.col("class") == F.col("largest")).alias("main")), "mixed-rows")
+        short, long, on = by_sizes(met, self.similar)
+        named = lambda side, prefix: side.select(*on, *[F.col(c).alias(f"{prefix}_{c}") for c in ("id", "class", "n", "reach")])
+        ordered = F.struct("x_n", "x_id") < F.struct("y_n", "y_id")
+        able = (F.col("x_n") <= F.col("y_reach")) & (F.col("y_n") <= F.col("x_reach")) & (F.col("x_n") >= F.col("y_n") * F.lit(self.similar) - 1e-6)
+        pairs = named(short, "x").join(named(long, "y"), on).where((F.col("x_class") != F.col("y_class")) & ordered & able)
+        pairs = save(pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct(), "rest-pairs")
+        return self._links(pairs)
 
     def _classes(self) -> DataFrame:
         """(id, class) of the distinct texts that have a link."""
@@ -307,7 +331,7 @@ class NearDuplicates:
             if not found.isEmpty():
                 links = found if links is None else links.unionByName(found)
                 classes = components(links.select("a", "b"))
-        self.links = links
+        self.links = None if links is None else save(links, "class-links", outlive=1)
         if classes is None:
             return self.texts.select(F.col("digest").alias("id"), F.col("digest").alias("class")).limit(0)
         return classes.select(F.col("node").alias("id"), F.col("component").alias("class"))
@@ -333,6 +357,14 @@ class NearDuplicates:
         """One row per input row: id_col, class_id, class_size and kept."""
         return self.decisions().select(F.col("id").alias(self.id_col), "class_id", "class_size", "kept")
 
+    def pairs(self) -> DataFrame:
+        """(a, b, jaccard): ids of the first rows of two texts, for links that hold the classes together; with ``result``,
+        which names every row's class, they say why a row is in it."""
+        first = self.texts.select("digest", F.col("first.id").alias("first_id"))
+        links = self.links if self.links is not None else first.select(F.col("digest").alias("a"), F.col("digest").alias("b"), F.lit(1.0).alias("jaccard")).limit(0)
+        x, y = first.select(F.col("digest").alias("a"), F.col("first_id").alias("x")), first.select(F.col("digest").alias("b"), F.col("first_id").alias("y"))
+        return links.join(x, "a").join(y, "b").select(F.col("x").alias("a"), F.col("y").alias("b"), "jaccard")
+
     def kept_rows(self) -> DataFrame:
         """The rows of ``docs``, whole, one of each class. Of repeated rows (same id and text) of a class, one stays."""
         per_row = self.decisions().groupBy("rk").agg(F.max("kept").alias("kept"), F.max("class_size").alias("class_size"), F.count(F.lit(1)).alias("n"))
