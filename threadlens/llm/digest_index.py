@@ -1,7 +1,8 @@
 """Exact dedup against a persistent digest index: a table bucketed and sorted by digest.
 
 New rows are grouped by digest, the groups are held against the index by a sort-merge anti-join,
-and only digests that the index lacks are appended to it. The index side of each join is read
+and only digests that the index lacks are appended to it, with the name of their batch: a batch that is added
+again after a crash gets the decisions it would have got at first. The index side of each join is read
 bucket by bucket and is never shuffled. An index that has grown by many appends is compacted into one
 sorted file a bucket, and into more buckets if its rows ask for them.
 """
@@ -10,12 +11,13 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm.common import SPACE_CLASS, fresh_path, save
+from threadlens.llm.common import SPACE_CLASS, fresh_path, remove, save
 
 #: Digests that a bucket is meant to hold (some 40 MB), and the fewest and most buckets of an index.
 BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 1_000_000, 64, 65_536
@@ -57,7 +59,7 @@ class DigestIndex:
         folder = f"{self.path}/v{version}"
         self.table = f"digest_index_{hashlib.sha1(folder.encode()).hexdigest()[:16]}"
         self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id {id_type}) USING parquet "
+            f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id {id_type}, batch STRING) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{folder}'"
         )
 
@@ -73,9 +75,10 @@ class DigestIndex:
 
     def compact(self) -> None:
         """Write the index anew: one sorted file a bucket, as many buckets as its rows ask for. The version
-        is noted last, so that an index whose compaction fails stays as it was."""
+        is noted last, so that an index whose compaction fails stays as it was; what a failed one left goes first."""
         rows, old = self.rows(), self.table
         buckets, id_type, version = max(self.buckets, buckets_for(rows.count())), self.id_type, self.version + 1
+        remove(self.spark, f"{self.path}/v{version}")
         self._open(version, buckets, id_type)
         self._append(rows)
         self._note(version, buckets, id_type)
@@ -86,7 +89,7 @@ class DigestIndex:
         if self.table:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
         """Decide every row of ``docs`` and append the new texts to the index.
 
         Returns one row per input row: id_col, keep_id, group_size, kept, digest. Of equal texts the
@@ -97,7 +100,12 @@ class DigestIndex:
         kept or all dropped; an empty table gives an empty result; other columns are ignored. A hot text is
         counted in each task before rows move, and its rows are given their decision by a join whose skew
         adaptive execution splits.
+
+        ``batch`` names the call. Texts that the index has from a call of the same name count as new again,
+        so a call that died anywhere, even in the midst of its append, can be made again and loses nothing.
+        Without a name each call is a batch of its own: then what an earlier call added, this one drops.
         """
+        batch = batch or uuid.uuid4().hex
         slim = save(docs.select(F.col(id_col).alias("id"), digest(F.col(text_col).cast("string")).alias("digest")), "digests")
         id_type = slim.schema["id"].dataType.simpleString()
         if self.table is None:
@@ -106,22 +114,23 @@ class DigestIndex:
             self._note(0, buckets, id_type)
         elif id_type != self.id_type:
             raise ValueError(f"ids of this index are of type {self.id_type}, not {id_type}")
-        groups = slim.groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-        known = self.rows().select(F.col("digest").alias("known"), "keep_id", F.lit(True).alias("old")).hint("merge")
-        found = save(
-            groups.join(known, groups["digest"] == known["known"], "left").select("digest", "n", "first_id", "keep_id", F.coalesce("old", F.lit(False)).alias("old")), "digest-groups"
-        )
-        fresh = found.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
-        self._append(fresh.select("digest", F.col("first_id").alias("keep_id")))
-        decided = found.select("digest", F.when(F.col("old"), F.col("keep_id")).otherwise(F.col("first_id")).alias("keep_id"), F.col("n").alias("group_size"), "old")
-        # a row of the index is none of this call's, whatever its id
+        groups = save(slim.groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")), "digest-groups")
+        fresh = save(groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti"), "new-digests")
+        known = groups.join(fresh.select("digest"), "digest", "left_anti")
+        decided = fresh.select("digest", F.col("first_id").alias("keep_id"), F.col("n").alias("group_size"), F.lit(False).alias("old"))
+        if not known.isEmpty():  # only then is there an id to look up
+            index = self.rows().select("digest", "keep_id", (F.col("batch") != batch).alias("old")).hint("merge")
+            found = known.select("digest", F.col("n").alias("group_size")).join(index, "digest").select("digest", "keep_id", "group_size", "old")
+            decided = decided.unionByName(save(found, "known-digests"))
+        self._append(fresh.select("digest", F.col("first_id").alias("keep_id"), F.lit(batch).alias("batch")))
+        # a row of another call is none of this call's, whatever its id
         kept = ~F.col("old") & F.col("keep_id").eqNullSafe(F.col("id"))
         return slim.join(decided, "digest").select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), "digest")
 
 
-def exact_dedup(docs: DataFrame, path: str | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, path: str | None = None, batch: str | None = None) -> DataFrame:
     """``docs`` held against the index at ``path``, or against a new one in the shared folder."""
     index = DigestIndex(docs.sparkSession, path or fresh_path(docs.sparkSession, "index"))
-    decided = index.add(docs)
+    decided = index.add(docs, batch=batch)
     index.close()  # what is decided stands in tables of its own
     return decided
