@@ -177,12 +177,9 @@ def test_mix_shards(docs):
     assert all(len({r.block for r in slots if (r.sid, r.turn) == k}) == n for k, n in plan.items())  # a permutation takes no block twice
     counts = {(r.shard, r.source): r.slots for r in mix.shard_counts().collect()}
     assert sum(counts.values()) == len(slots)
-    # chi-square of the draw: about one for each degree of freedom
-    total = collections.Counter()
-    for (_, s), n in counts.items():
-        total[s] += n
-    chi = sum((counts.get((k, s), 0) - n / mix.shards) ** 2 / (n / mix.shards) for s, n in total.items() for k in range(mix.shards))
-    assert 0.5 < chi / (len(total) * (mix.shards - 1)) < 1.6
+    # shards of fixed length, but the last
+    lengths = collections.Counter(r.shard for r in slots)
+    assert [lengths[k] for k in range(mix.shards)] == [40] * (mix.shards - 1) + [len(slots) - 40 * (mix.shards - 1)]
     text = {i: WORDS.findall(t or "") for i, t, *_ in corpus()}
     source = {i: s for i, _, _, s, _ in corpus()}
     held, taken = collections.Counter(), collections.Counter()
@@ -205,6 +202,25 @@ def test_mix_shards(docs):
             assert any((r.shard, r.position) in first[source[i], w] for w in text[i])
 
 
+def test_shard_counts_follow_the_law(spark):
+    """Counts of sources over many shards: the mean and spread of a multinomial draw given the totals."""
+    df = spark.createDataFrame([(i, "w " * 640, f"s{i % 3}") for i in range(900)], "doc_id long, text string, source string")
+    for seed in (5, 6):
+        mix = mixing.Mix(df, block=16, shard_blocks=256, seed=seed)
+        counts = {(r.shard, r.source): r.slots for r in mix.shard_counts().collect()}
+        total = collections.Counter()
+        for (_, s), n in counts.items():
+            total[s] += n
+        n, full = sum(total.values()), mix.shards - 1
+        assert n == mix.total and full > 100
+        for s, k in total.items():
+            p = k / n
+            spread = 256 * p * (1 - p) * (n - 256) / (n - 1)
+            got = [counts.get((shard, s), 0) for shard in range(full)]
+            assert abs(sum(got) / full - 256 * p) < 5 * math.sqrt(spread / full)
+            assert 0.6 < sum((x - 256 * p) ** 2 for x in got) / full / spread < 1.6
+
+
 def test_permutation(spark):
     from pyspark.sql import functions as F
 
@@ -566,6 +582,44 @@ def test_digests(docs, empty, spark, tmp_path):
     assert [digest_index.buckets_for(n) for n in (0, 1, 64_000_000, 64_000_001, 10**15)] == [64, 64, 64, 128, 65_536]
 
 
+def test_batches_can_be_added_again(docs, spark, tmp_path, monkeypatch):
+    """A batch that died before, in the midst of, or after its append gives, added again, what it would have given."""
+    index_of = lambda name: digest_index.DigestIndex(spark, str(tmp_path / name), buckets=4)
+    early = spark.createDataFrame([(5000, "x"), (5001, "only early")], "doc_id long, text string")
+    late = spark.createDataFrame([(1000, "x"), (1001, "brand new"), (1002, "brand  new"), (1003, None), (1001, "brand new"), (1004, "more")], "doc_id long, text string")
+    plain = index_of("plain")
+    plain.add(early, batch="a")
+    want = sorted(map(str, plain.add(late, batch="b").collect()))
+    state = sorted(map(str, plain.rows().collect()))
+    append = digest_index.DigestIndex._append
+    for name, share in (("before", None), ("midst", "hex(digest) < '8'"), ("after", "true")):
+        index = index_of(name)
+        index.add(early, batch="a")
+
+        def dies(self, digests, share=share):
+            if share:
+                append(self, digests.where(share))
+            raise OSError("the driver is lost")
+
+        monkeypatch.setattr(digest_index.DigestIndex, "_append", dies)
+        with pytest.raises(OSError):
+            index.add(late, batch="b")
+        monkeypatch.setattr(digest_index.DigestIndex, "_append", append)
+        for _ in range(2):
+            again = index_of(name)
+            assert sorted(map(str, again.add(late, batch="b").collect())) == want
+            assert sorted(map(str, again.rows().collect())) == state
+        assert not any(r.kept for r in again.add(late, batch="c").collect())
+    # a compaction that died leaves nothing behind that the next one would take for rows
+    monkeypatch.setattr(digest_index.DigestIndex, "_note", lambda self, *_: dies(self, again.rows(), None))
+    with pytest.raises(OSError):
+        again.compact()
+    monkeypatch.undo()
+    again = index_of("after")
+    again.compact()
+    assert sorted(map(str, again.rows().collect())) == state
+
+
 def base_spans(t: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base kinds, by the contract's patterns alone."""
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")

@@ -1,9 +1,9 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
-The words of each source are packed into blocks of fixed length. Output shards of fixed length draw their
-counts of each source multinomially (given each source's total, so that totals meet their targets), the
-slots that a source gets go through that source's pseudorandom permutation of block numbers, and blocks
-are joined to slots by number.
+The words of each source are packed into blocks of fixed length. Output shards of fixed length (but the last)
+draw their counts of each source multinomially, given each source's total, so that totals meet their
+targets: one pseudorandom arrangement of all slots, cut into shards, is that draw. The slots that a source
+gets go through that source's pseudorandom permutation of block numbers, and blocks are joined to slots by number.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from threadlens.llm.common import SPACE_CLASS, WORD_CLASS, boxed, save, scratch, unboxed
 
-#: Words of a block, and blocks of an output shard on average.
+#: Words of a block, and blocks of an output shard; the last shard may have fewer.
 BLOCK, SHARD_BLOCKS = 128, 4096
 WEIGHTS = (3, 1, 2)
 #: Share of all words that the mix takes, and how often at most a source is repeated.
@@ -126,40 +126,38 @@ class Mix:
         turns = plan.where("blocks > 0").withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns"))))
         last = F.col("turn") == F.col("turns")
         count = F.when(last, F.ceil(F.col("rest") / F.lit(block))).otherwise(F.col("blocks")).cast("long")
-        #: which slots there are: n in each turn through a source
-        self.turns = turns.withColumn("n", count).where("n > 0").select("sid", "turn", "n", "blocks", "rest", last.alias("last"))
-        total = self.turns.agg(F.sum("n")).first()[0] or 0
-        self.shards, self._parts = max(1, math.ceil(total / shard_blocks)), max(2 * self.spark.sparkContext.defaultParallelism, math.ceil(total / 100_000))
+        #: which slots there are: n in each turn through a source, numbered from ``base`` among all
+        before = Window.orderBy("sid", "turn").rowsBetween(Window.unboundedPreceding, -1)  # over sources and turns, not rows
+        self.turns = turns.withColumn("n", count).where("n > 0").select("sid", "turn", "n", "blocks", "rest", last.alias("last"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+        self.total, self.shard_blocks = self.turns.agg(F.sum("n")).first()[0] or 0, shard_blocks
+        self.shards, self._parts = max(1, math.ceil(self.total / shard_blocks)), max(2 * self.spark.sparkContext.defaultParallelism, math.ceil(self.total / 100_000))
 
-    def draws(self) -> DataFrame:
-        """(shard, sid, turn, slot, block, upto): each slot with the output shard that drew it, and its block.
+    def slots(self) -> DataFrame:
+        """(shard, position, sid, turn, slot, block, upto): each slot with its place in the output shards, and its block.
 
-        The slots of a source fall to the shards at random and independently, so a shard's counts of the
-        sources are a multinomial draw given each source's total. The slot's number in its turn goes through
-        the turn's permutation of the source's blocks; ``upto`` words of the block are taken.
+        The places of all slots are a pseudorandom arrangement, and every ``shard_blocks`` places are a shard.
+        So a shard's counts of the sources are drawn without replacement from the totals that the targets
+        ask for: a multinomial draw given those totals. A slot's number in its turn goes through the turn's
+        permutation of the source's blocks; ``upto`` words of the block are taken.
         """
         size = F.lit(self.block).cast("long")
         chunks = _spread(self.turns, "n", CHUNK, "c").repartition(self._parts, F.xxhash64("sid", "turn", "c"))
         slots = chunks.withColumn("slot", F.explode(F.sequence(F.col("c"), F.least(F.col("c") + CHUNK, F.col("n")) - 1)))
         upto = F.when(F.col("last"), F.least(size, F.col("rest") - F.col("slot") * self.block)).otherwise(size)
-        return slots.select(
-            F.pmod(F.xxhash64(F.lit(self.seed + 1), "sid", "turn", "slot"), F.lit(self.shards)).cast("int").alias("shard"),
+        placed = slots.select(
             "sid", "turn", "slot",
+            permuted(F.col("base") + F.col("slot"), F.lit(max(1, self.total)).cast("long"), F.xxhash64(F.lit(self.seed + 1))).alias("place"),
             permuted(F.col("slot"), F.col("blocks"), F.xxhash64(F.lit(self.seed), "sid", "turn")).alias("block"),
             upto.alias("upto"),
         )
+        per = F.lit(self.shard_blocks).cast("long")
+        return placed.select(F.floor(F.col("place") / per).cast("int").alias("shard"), (F.col("place") % per).alias("position"), "sid", "turn", "slot", "block", "upto")
 
     def shard_counts(self) -> DataFrame:
         """(shard, source, slots): how many blocks each output shard drew from each source."""
-        counts = self.draws().groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("slots"))
+        counts = self.slots().groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("slots"))
         return counts.join(self.sources.select("sid", "source"), "sid").select("shard", "source", "slots")
 
-    def slots(self) -> DataFrame:
-        """The slots of ``draws`` with their ``position`` in the shard, from 0, in the order of a hash: a shard is
-        ``shard_blocks`` slots on average, so that each is ordered by itself."""
-        order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(self.seed + 2), "sid", "turn", "slot"), "sid", "turn", "slot")
-        return self.draws().withColumn("position", F.row_number().over(order).cast("long") - 1)
-
     def _spans(self) -> DataFrame:
         """Each document's part [lo, hi) of each block it lies in, in words of its source's stream."""
         b = F.lit(self.block).cast("long")
