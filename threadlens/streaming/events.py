@@ -1,15 +1,16 @@
-"""Live events: filtered streams, hourly micro-batches, windowed counts, and incremental pages."""
+"""Live events: filtered streams, micro-batches that append and flag, and windowed counts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from threadlens.operators.reverts import with_reverted
+from threadlens.sources.ledger import Ledger
 from threadlens.sources.readers import events_from_json
 from threadlens.sources.sinks import new_rows, valid_rows
 
@@ -32,68 +33,42 @@ def once_each(events: DataFrame, key: list[str], time: str, late: str = "1 hour"
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark(key)
 
 
-def append_and_flag(table: str, required: list[str], key: list[str], flagged: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch step: valid rows whose key the table lacks are appended, then the pages that the
-    batch touched are flagged anew into ``flagged``."""
+class LiveRevisions:
+    """Revisions that micro-batches add to a ledger, with the flags of their pages.
 
-    def step(batch: DataFrame, _: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        rows = valid_rows(batch, required)
-        exists = spark.catalog.tableExists(table)
-        fresh = new_rows(rows, spark.table(table), key) if exists else rows.dropDuplicates(key)
-        fresh.write.mode("append").saveAsTable(table)
-        touched = rows.select("page_id").distinct()
-        with_reverted(spark.table(table).join(touched, "page_id", "left_semi")).where("reverted").drop("reverted").write.mode("overwrite").saveAsTable(flagged)
+    A step appends the valid rows whose key the ledger lacks and flags the pages that it touched anew, in one
+    commit; the flags of other pages stay. Rows lie in buckets of pages, and a step reads those buckets
+    that its pages are in. A batch that is given again, before or after its commit, changes nothing more.
+    """
 
-    return step
+    def __init__(self, spark: SparkSession, path: str, schema: str, required: list[str], key: list[str], buckets: int = 64):
+        self.ledger, self.schema, self.required, self.key = Ledger(spark, path, buckets), schema, required, key
+
+    def step(self, batch: DataFrame, number: int) -> None:
+        """A ``foreachBatch`` step; ``batch`` has the columns of the schema, page_id, sha1 and ts among them."""
+        if self.ledger.has(number):
+            return
+        rows = valid_rows(batch.select(*StructType.fromDDL(self.schema).names), [*self.required, "page_id"]).persist()
+        try:
+            touched = [r[0] for r in rows.select(self.ledger.bucket("page_id")).distinct().collect()]  # ``buckets`` at most
+            pages = rows.select("page_id").distinct()
+            held = self.ledger.read("rows", self.schema, touched).join(pages, "page_id", "left_semi").select(*rows.columns)
+            fresh = new_rows(rows, held, self.key).select(*rows.columns)
+            flags = with_reverted(held.unionByName(fresh)).where("reverted").drop("reverted")
+            version = F.lit(number).cast("long").alias("version")
+            self.ledger.write(number, {"rows": (fresh, "page_id"), "flags": (flags.select("*", version), "page_id"), "pages": (pages.select("page_id", version), "page_id")})
+        finally:
+            rows.unpersist()
+
+    def revisions(self) -> DataFrame:
+        return self.ledger.read("rows", self.schema)
+
+    def reverted(self) -> DataFrame:
+        """The reverted rows, as the last batch that touched each page flagged them."""
+        last = self.ledger.read("pages", "page_id string, version long").groupBy("page_id").agg(F.max("version").alias("version"))
+        return self.ledger.read("flags", f"{self.schema}, version long").join(last, ["page_id", "version"], "left_semi").drop("version")
 
 
 def run_available(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Process what is there in micro-batches, then stop."""
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def in_time_order(revisions: DataFrame, time_column: str, step: Callable[[DataFrame, int], None], checkpoint: str, late: str) -> StreamingQuery:
-    """Hand the revisions of a stream to ``step`` in batches that never go back in time: rows wait until the
-    watermark, ``late`` behind the newest row, has passed them; ``step`` gets them by time within each page.
-
-    Rows that come later than the watermark are dropped.
-    """
-    names = revisions.columns
-    hour = F.window(time_column, late)  # a page's rows of one span are what a task gathers
-    held = revisions.withWatermark(time_column, late).groupBy(hour, "page_id").agg(F.collect_list(F.struct(*names)).alias("rows"))
-    return (
-        held.select(F.inline("rows"))
-        .writeStream.foreachBatch(lambda batch, n: step(batch.sortWithinPartitions("page_id", time_column), n))
-        .outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-
-
-def hourly_range(now: F.Column) -> tuple[F.Column, F.Column]:
-    """[two hours ago, one hour ago), both at the full hour."""
-    hour = F.date_trunc("hour", now)
-    return hour - F.expr("INTERVAL 2 HOURS"), hour - F.expr("INTERVAL 1 HOUR")
-
-
-ACTION_COLUMNS = "page_id string, id string, type string, content string, rev_id bigint, parent_id string, replyTo_id string, conversation_id string, indentation int"
-
-
-def reconstruct_stream(revisions: DataFrame) -> DataFrame:
-    """Actions of pages whose revisions arrive in time order: a page's state is one JSON text between batches.
-
-    ``revisions`` is a stream with rev_id, timestamp, text (clean), user_id, user_text, page_id, page_title.
-    """
-    import json
-
-    from threadlens.operators.reconstruct import Page, _revisions, fold_page, page_of, state_row
-
-    names = [c.split(" ")[0] for c in ACTION_COLUMNS.split(", ")]
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        page = page_of(json.loads(state.get[0])) if state.exists else Page(key[0])
-        new = pd.concat(list(batches))
-        actions = [r for tag, r in fold_page(page, _revisions(new)) if tag == "action"]
-        state.update((json.dumps(state_row(page)),))
-        yield pd.DataFrame([{n: a[n] for n in names} for a in actions], columns=names)
-
-    return revisions.groupBy("page_id").applyInPandasWithState(run, ACTION_COLUMNS, "state string", "append", "NoTimeout")
