@@ -200,3 +200,79 @@ def test_templates_of_any_depth(spark):
     assert [r[0] for r in df.select(t.strip_wiki(F.col("x"))).collect()] == ["a  b", "no template", "{{open", "}} ", None]
     long = df.select(*t.guarded(F.col("x"), t.clean_comment, 12)).collect()
     assert [r[1] for r in long] == [True, False, False, False, False] and long[0][0].startswith("a {{")
+
+
+def dump_of(rnd, pages):
+    """(XML, rows that are to be read): pages of three namespaces, revisions up to some kilobytes."""
+    from xml.sax.saxutils import escape
+
+    out, want, number = [], [], 0
+    for p in range(pages):
+        ns, revisions = rnd.choice([1, 3, 0]), []
+        for k in range(rnd.randint(0, 12)):
+            number += 1
+            text = "".join(rnd.choice("abc <&>\"é\n") for _ in range(rnd.randint(1, 9000))) + "."
+            who = f"<username>u&amp;{k}</username><id>{k}</id>" if k % 2 else "<ip>1.2.3.4</ip>"
+            note = f"<comment>{escape(text[:9])}.</comment>" if k % 3 else ""
+            revisions.append(f"    <revision>\n      <id>{number}</id>\n<timestamp>2005-03-01T10:00:00Z</timestamp><contributor>{who}</contributor>{note}<text xml:space=\"preserve\">{escape(text)}</text>\n    </revision>\n")
+            if ns != 0:
+                want.append((number, str(p), f"Talk:{p} & x", f"u&{k}" if k % 2 else "1.2.3.4", str(k) if k % 2 else None, text))
+        out.append(f"  <page>\n    <title>Talk:{p} &amp; x</title>\n    <ns>{ns}</ns>\n    <id>{p}</id>\n" + "".join(revisions) + "  </page>\n")
+    return ("<mediawiki>\n <siteinfo><base>x</base></siteinfo>\n" + "".join(out) + "</mediawiki>\n").encode(), want
+
+
+def test_dumps_are_split_and_streamed(spark, tmp_path):
+    """Whatever the splits, every revision once, and the rows of the reader that takes a page at a time."""
+    import bz2
+    import random
+
+    from threadlens.sources import dumps
+
+    xml, want = dump_of(random.Random(3), 30)
+    files = {"a.xml.bz2": bz2.compress(xml, 1), "b.xml": xml, "two.xml.bz2": bz2.compress(xml[: len(xml) // 2], 1) + bz2.compress(xml[len(xml) // 2 :], 9)}
+    columns = ["rev_id", "page_id", "page_title", "user_text", "user_id", "text"]
+    for name, content in files.items():
+        path = tmp_path / name
+        path.write_bytes(content)
+        for split in (len(content), 50_001):
+            got = dumps.stream_dump(spark, str(path), [1, 3], split)
+            assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want)
+        texts = dumps.bz2_texts if name.endswith("bz2") else dumps.plain_texts
+        one = [r for a in range(0, len(content), 9973) for r in dumps.dump_rows(texts(str(path), a, min(a + 9973, len(content))), frozenset((1, 3)))]
+        assert sorted(r[12] for r in one) == sorted(r[0] for r in want)
+    plain = readers.read_dump(spark, str(tmp_path / "a.xml.bz2"), [1, 3])
+    streamed = dumps.stream_dump(spark, str(tmp_path / "a.xml.bz2"), [1, 3], 100_000)
+    assert sorted(streamed.columns) == sorted(plain.columns)
+    assert sorted(map(str, streamed.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+    (tmp_path / "none.xml").write_text("<mediawiki></mediawiki>")
+    assert dumps.stream_dump(spark, str(tmp_path / "none.xml")).count() == 0
+
+
+def test_twenty_thousand_revisions_of_one_page_in_fifty_megabytes(tmp_path):
+    """A page of 10,000 revisions of 10 kB and 10,000 of 50 kB, read in a process that may grow by 50 MB."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys, bz2
+from threadlens.sources import dumps
+def texts():
+    yield b"<mediawiki><page><title>Talk:x</title><ns>1</ns><id>7</id>", True
+    for i in range(20000):
+        yield f"<revision><id>{i}</id><timestamp>2005-03-01T10:00:00Z</timestamp><contributor><ip>1</ip></contributor><text>{'x' * (10000 if i < 10000 else 50000)}</text></revision>".encode(), True
+    yield b"</page></mediawiki>", True
+first = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n = sum(1 for r in dumps.dump_rows(texts(), frozenset((1,))))
+print(n, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - first)
+path = sys.argv[1]
+with bz2.open(path, "wb", 1) as f:
+    for text, _ in texts():
+        f.write(text)
+first = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n = sum(1 for r in dumps.dump_rows(dumps.bz2_texts(path, 0, 1 << 40), frozenset((1,))))
+print(n, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - first)
+"""
+    out = subprocess.run([sys.executable, "-c", code, str(tmp_path / "big.xml.bz2")], capture_output=True, text=True, timeout=600)
+    counts = [tuple(map(int, line.split())) for line in out.stdout.splitlines() if line.strip()]
+    assert [n for n, _ in counts] == [20_000, 20_000], out.stderr
+    assert all(grown <= 50_000 for _, grown in counts)

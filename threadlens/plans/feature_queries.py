@@ -27,20 +27,16 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 _agrees = f"((starts_with(lower(content), 'sure ') OR starts_with(lower(content), 'true ')) AND NOT contains(content, '?')) OR regexp_matches(lower(content), '{sql_q(t.whole(t.AGREE))}')"
 
 
-@query(f"""WITH {COMMENTS}, x AS (SELECT *, {TOKENS.format('content')} AS w, lag({TOKENS.format('content')}) OVER o AS was, lag(ts) OVER o AS former FROM comments WINDOW o AS (PARTITION BY conversation_id ORDER BY turn)),
-    same AS (SELECT conversation_id FROM (SELECT conversation_id, user_text = lag(user_text) OVER (PARTITION BY conversation_id ORDER BY turn) AS again FROM comments) WHERE again)
-    SELECT conversation_id, CAST(turn AS BIGINT) AS turn_no, {_agrees} AS agree, regexp_matches(lower(content), '{sql_q(t.whole(t.DISAGREE))}') AS disagree,
+@query(f"""WITH {COMMENTS}, m AS (SELECT *, {TOKENS.format('content')} AS w, coalesce(user_text IS DISTINCT FROM lag(user_text) OVER o OR lag(id) OVER o IS NULL, true) AS fresh FROM comments WINDOW o AS (PARTITION BY conversation_id ORDER BY ts, id)),
+    n AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY conversation_id ORDER BY ts, id) - 1 AS turn_no FROM m),
+    g AS (SELECT conversation_id, turn_no, min(ts) AS ts, max(ts) AS ended, flatten(list(w ORDER BY ts, id)) AS w, bool_or({_agrees}) AS agree, bool_or(regexp_matches(lower(content), '{sql_q(t.whole(t.DISAGREE))}')) AS disagree FROM n GROUP BY 1, 2),
+    x AS (SELECT *, lag(w) OVER o AS was, lag(ended) OVER o AS former FROM g WINDOW o AS (PARTITION BY conversation_id ORDER BY turn_no))
+    SELECT conversation_id, CAST(turn_no AS BIGINT) AS turn_no, agree, disagree,
     CAST(len(list_filter(w, lambda v: list_contains(was, v) AND NOT list_contains({STOP}, v))) AS BIGINT) AS n_repeated_content,
     CAST(len(list_filter(w, lambda v: list_contains(was, v) AND list_contains({STOP}, v))) AS BIGINT) AS n_repeated_stop,
-    CAST(epoch(ts)::BIGINT - epoch(former)::BIGINT AS BIGINT) AS gap FROM x WHERE was IS NOT NULL AND conversation_id NOT IN (SELECT conversation_id FROM same)""")
+    CAST(epoch(ts)::BIGINT - epoch(former)::BIGINT AS BIGINT) AS gap FROM x WHERE was IS NOT NULL""")
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of conversations whose users take turns message by message; the SQL leaves out the others as they merge messages."""
-    pairs = conversations.turn_pairs(comments(spark, sf_dir), t.tokens, features.STOPWORDS)
-    from pyspark.sql import Window
-
-    rows = comments(spark, sf_dir)
-    again = rows.withColumn("_a", F.col("user_text") == F.lag("user_text").over(Window.partitionBy("conversation_id").orderBy("turn"))).where("_a")
-    return pairs.join(again.select("conversation_id").distinct(), "conversation_id", "left_anti").withColumn("turn_no", F.col("turn_no").cast("long"))
+    return conversations.turn_pairs(comments(spark, sf_dir), t.tokens, features.STOPWORDS).withColumn("turn_no", F.col("turn_no").cast("long"))
 
 
 @query(f"WITH {COMMENTS} SELECT conversation_id, user_text, arg_max(id, turn) AS id FROM comments GROUP BY 1, 2")
@@ -201,11 +197,16 @@ def policy_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 MARKED = "'=: ' || role || ' [REPLYTO: ' || role || '] see [WIKI_LINK: P' || turn || '] and [EXTERNAL_LINK: http://x.org/' || turn || '] [OUTDENT: 3][MENTION: Ann] end ='"
 
 
-@query("""SELECT conv_id, turn, 'role ' || turn || ' replyto see wiki_link and external_link mention end' AS "text", 'role' AS replyto, 'P' || turn AS wiki_link, 'http://x.org/' || turn AS external_link, 'Ann' AS mention FROM conversations""")
+@query(r"""WITH l AS (SELECT conv_id, turn, role, array_to_string(list_filter(list_transform(string_split(':*' || role || ' [REPLYTO: ' || role || '] ' || text || chr(10) || chr(10) || ' [WIKI_LINK: P' || turn || '] and [EXTERNAL_LINK: http://x.org/' || turn || '] [OUTDENT: 3][MENTION: Ann] end', chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS x FROM conversations),
+    p AS (SELECT *, regexp_replace(x, '^[:*]+', '') AS y FROM l)
+    SELECT conv_id, turn, role AS replyto, 'P' || turn AS wiki_link, 'http://x.org/' || turn AS external_link, 'Ann' AS mention, md5(regexp_replace(replace(replace(replace(replace(replace(y, '[REPLYTO: ' || role || ']', 'replyto'), '[WIKI_LINK: P' || turn || ']', 'wiki_link'),
+    '[EXTERNAL_LINK: http://x.org/' || turn || ']', 'external_link'), '[OUTDENT: 3]', ''), '[MENTION: Ann]', 'mention'), ' +', ' ', 'g')) AS "text" FROM p""")
 def feature_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.expr("concat('= \\n:*role ', turn, ' [REPLYTO: role] see [WIKI_LINK: P', turn, '] and [EXTERNAL_LINK: http://x.org/', turn, '] [OUTDENT: 3][MENTION: Ann] end =')")
-    found = t.feature_text(F.regexp_replace(raw, "^= \n", "="))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.trim(found["text"]).alias("text"), *[F.array_join(found[c], "|").alias(c) for c in ("replyto", "wiki_link", "external_link", "mention")])
+    """Every text of the table, whole, among the marks that features are cut from."""
+    raw = F.expr("concat(':*', role, ' [REPLYTO: ', role, '] ', text, '\\n\\n [WIKI_LINK: P', turn, '] and [EXTERNAL_LINK: http://x.org/', turn, '] [OUTDENT: 3][MENTION: Ann] end')")
+    found = t.feature_text(raw)
+    text = F.md5(F.regexp_replace(found["text"], " +", " ")).alias("text")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text, *[F.array_join(found[c], "|").alias(c) for c in ("replyto", "wiki_link", "external_link", "mention")])
 
 
 # --- sentences and text ---
@@ -218,10 +219,11 @@ def running_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.size(s).cast("long").alias("n"), F.md5(F.array_join(s, "|")).alias("cut"))
 
 
-@query(r"""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text || chr(10) || 'end' WHEN 1 THEN '=== t ==' || chr(10) || text || chr(10) || 'end' ELSE text || chr(10) || '= x' || chr(10) || 'end' END AS plain FROM conversations WHERE NOT regexp_matches(text, '(^|\n)=')""")
+@query(r"""WITH l AS (SELECT conv_id, turn, string_split(CASE turn % 3 WHEN 0 THEN '== h ==' || chr(10) || text || chr(10) || 'end' WHEN 1 THEN '=== t ==' || chr(10) || text || chr(10) || 'end' ELSE text || chr(10) || '= x' || chr(10) || 'end' END, chr(10)) AS l FROM conversations)
+    SELECT conv_id, turn, array_to_string(list_filter(l, lambda x: length(regexp_extract(x, '^(=+)', 1)) = 0 OR length(regexp_extract(x, '^(=+)', 1)) <> length(regexp_extract(x, '(=+)$', 1))), chr(10)) AS plain FROM l""")
 def without_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.expr("CASE turn % 3 WHEN 0 THEN concat('== h ==\\n', text, '\\nend') WHEN 1 THEN concat('=== t ==\\n', text, '\\nend') ELSE concat(text, '\\n= x\\nend') END")
-    return table(spark, sf_dir, "conversations").where(~F.col("text").rlike("(^|\n)=")).select("conv_id", "turn", t.without_headings(raw).alias("plain"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", t.without_headings(raw).alias("plain"))
 
 
 @query("SELECT conv_id, turn, replace(role || ' ' || text || '  x', chr(10), ' ') AS plain FROM conversations")
@@ -522,18 +524,17 @@ _CUMULATIVE = "[" + ", ".join(f"{c!r}" for c in sampling.poisson_steps()) + "]"
 _U = "(('0x' || substr(md5({} || ':' || rep || ':{}'), 1, {}))::BIGINT)"
 
 
-@query(f"""WITH r AS (SELECT event_id, value, unnest(range(1, 11)) AS rep FROM events WHERE event_type = 'click'), k AS (SELECT rep, value, len(list_filter({_CUMULATIVE}, lambda c: {_U.format('event_id', 'b', 8)} / 4294967296.0 >= c)) AS k FROM r)
+@query(f"""WITH r AS (SELECT event_id, value, unnest(range(1, 11)) AS rep FROM events), k AS (SELECT rep, value, len(list_filter({_CUMULATIVE}, lambda c: {_U.format('event_id', 'b', 8)} / 4294967296.0 >= c)) AS k FROM r)
     SELECT CAST(rep AS BIGINT) AS rep, round(sum(k * value) / sum(k), 6) AS mean FROM k GROUP BY 1""")
 def bootstrap_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clicks = table(spark, sf_dir, "events").where("event_type = 'click'")
-    return sampling.bootstrap_means(clicks, "event_id", "value", 10).select(F.col("rep").cast("long").alias("rep"), F.round("mean", 6).alias("mean"))
+    return sampling.bootstrap_means(table(spark, sf_dir, "events"), "event_id", "value", 10).select(F.col("rep").cast("long").alias("rep"), F.round("mean", 6).alias("mean"))
 
 
-@query(f"""WITH p AS (SELECT event_id, value - 250 AS d FROM events WHERE event_type = 'error'), r AS (SELECT event_id, d, unnest(range(1, 101)) AS rep FROM p),
+@query(f"""WITH p AS (SELECT event_id, value - 250 AS d FROM events), r AS (SELECT event_id, d, unnest(range(1, 101)) AS rep FROM p),
     s AS (SELECT rep, sum(CASE WHEN {_U.format('event_id', 'r', 1)} % 2 = 1 THEN -d ELSE d END) AS d FROM r GROUP BY 1) SELECT round((count(*) FILTER (d >= (SELECT sum(d) FROM p)) + 1) / (count(*) + 1), 6) AS p FROM s""")
 def randomisation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    errors = table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", "value", F.lit(250.0).alias("other"))
-    return sampling.approximate_randomisation(errors, "event_id", "value", "other", 100).withColumn("p", F.round("p", 6))
+    pairs = table(spark, sf_dir, "events").select("event_id", "value", F.lit(250.0).alias("other"))
+    return sampling.approximate_randomisation(pairs, "event_id", "value", "other", 100).withColumn("p", F.round("p", 6))
 
 
 def _separable(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlens.operators import reconstruct, scoring
 from threadlens.plans.registry import ORACLES, query
+from threadlens.plans import history_queries
 from threadlens.plans.text_queries import transcript_revisions
 from threadlens.sources import readers, sinks
 from threadlens.sources.views import table
 
+assert history_queries  # imported for the SQL that it registers
+
 
 def _folder(spark: SparkSession) -> str:
     """A new folder where driver and executors share files: under ``spark.checkpoint.dir``, or else the warehouse."""
@@ -73,21 +76,42 @@ def key_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.json(path).groupBy(F.col("user_id").cast("long").alias("user_id")).agg(F.count("event_id").alias("n"))
 
 
-@query("""SELECT conv_id * 100 + turn AS rev_id, CAST(conv_id AS VARCHAR) AS page_id, 'Talk:' || conv_id AS page_title, CASE WHEN turn % 2 = 0 THEN role ELSE '1.2.3.' || turn END AS user_text,
-    CASE WHEN turn % 2 = 0 THEN CAST(turn AS VARCHAR) END AS user_id, regexp_replace(text, '[^a-z ]', '', 'g') || '.' AS text, CAST(2005 AS BIGINT) AS year FROM conversations WHERE conv_id % 2 = 0""")
-def xml_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations written as pages of a history dump, every other one of a namespace that is not read."""
-    path = _folder(spark)
+DUMP = """SELECT conv_id * 100 + turn AS rev_id, CAST(conv_id AS VARCHAR) AS page_id, 'Talk:' || conv_id AS page_title, CASE WHEN turn % 2 = 0 THEN role ELSE '1.2.3.' || turn END AS user_text,
+    CASE WHEN turn % 2 = 0 THEN CAST(turn AS VARCHAR) END AS user_id, coalesce(text, '') || ' <&> .' AS text, CAST(2005 AS BIGINT) AS year FROM conversations WHERE conv_id % 2 = 0"""
+
+
+def _write_dump(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Conversations, their texts whole, as pages of a history dump, every other one of a namespace that is not read; a root for each file."""
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     who = F.expr("CASE WHEN turn % 2 = 0 THEN concat('<username>', role, '</username><id>', turn, '</id>') ELSE concat('<ip>1.2.3.', turn, '</ip>') END")
-    plain = F.concat(F.regexp_replace("text", "[^a-z ]", ""), F.lit("."))
-    rev = F.concat(F.lit("<revision><id>"), F.col("conv_id") * 100 + F.col("turn"), F.lit("</id><timestamp>2005-03-01T10:00:00Z</timestamp><contributor>"), who, F.lit('</contributor><text>'), plain, F.lit("</text></revision>"))
-    pages = _turns(spark, sf_dir).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", rev.alias("r")))), lambda x: x["r"]), "").alias("revs"))
+    text = escaped(F.concat(F.coalesce("text", F.lit("")), F.lit(" <&> .")))
+    rev = F.concat(F.lit("<revision><id>"), F.col("conv_id") * 100 + F.col("turn"), F.lit("</id><timestamp>2005-03-01T10:00:00Z</timestamp><contributor>"), who, F.lit('</contributor><text xml:space="preserve">'), text, F.lit("</text></revision>"))
+    pages = _turns(spark, sf_dir).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", rev.alias("r")))), lambda x: x["r"]), "\n").alias("revs"))
     page = F.concat(F.lit("<mediawiki><page><title>Talk:"), "conv_id", F.lit("</title><ns>"), F.col("conv_id") % 2 * 99 + 1, F.lit("</ns><id>"), "conv_id", F.lit("</id>"), "revs", F.lit("</page></mediawiki>"))
-    pages.select(page.alias("value")).write.option("compression", "bzip2").option("maxRecordsPerFile", 1).text(path)  # a dump has one root a file
-    out = readers.read_dump(spark, path, [1])
+    pages.select(page.alias("value")).write.option("compression", "bzip2").option("maxRecordsPerFile", 1).text(path)
+
+
+def _dump_columns(out: DataFrame) -> DataFrame:
     return out.select("rev_id", "page_id", "page_title", "user_text", "user_id", "text", F.col("year").cast("long").alias("year"))
 
 
+@query(DUMP)
+def xml_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    _write_dump(spark, sf_dir, path)
+    return _dump_columns(readers.read_dump(spark, path, [1]))
+
+
+@query(DUMP)
+def xml_dump_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same dump by the reader that splits files and holds one revision at a time."""
+    from threadlens.sources.dumps import stream_dump
+
+    path = _folder(spark)
+    _write_dump(spark, sf_dir, path)
+    return _dump_columns(stream_dump(spark, path, [1]))
+
+
 @query("SELECT 'w' || doc_id AS word, CAST(doc_id % 5 AS BIGINT) AS code FROM documents WHERE doc_id % 5 IN (1, 3)")
 def category_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark)
@@ -105,19 +129,21 @@ def word_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("category", F.size("words").cast("long").alias("n"))
 
 
-@query("SELECT CAST(3 AS BIGINT) AS files, true AS sized")
+@query("SELECT count(*) AS rows, true AS listed, true AS sized FROM orders")
 def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark)
-    for k in range(3):
-        spark.range(5).select(F.col("id").cast("string")).coalesce(1).write.text(f"{path}/d{k}")
-    found = readers.list_files(spark, f"{path}/*/part-*")
-    return found.agg(F.count(F.lit(1)).alias("files"), F.min(F.col("bytes") > 0).alias("sized"))
+    """The files of a table, with the rows that each holds: every row is in a file that is listed."""
+    path = f"{sf_dir}/orders.parquet"
+    plain = lambda c: F.regexp_replace(c, "^[a-z]+:/*", "/")
+    found = readers.list_files(spark, path).select(plain(F.col("path")).alias("path"), "bytes")
+    held = spark.read.parquet(path).groupBy(plain(F.col("_metadata.file_path")).alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    both = held.join(found, "path", "full")
+    return both.agg(F.sum("n").alias("rows"), F.min(F.col("n").isNotNull() & F.col("bytes").isNotNull()).alias("listed"), F.min(F.col("bytes") > 0).alias("sized"))
 
 
-@query("SELECT count(*) AS rows_added, min(ts) AS start_time, max(ts) AS end_time FROM events WHERE event_type = 'click'")
+@query("SELECT count(*) AS rows_added, min(ts) AS start_time, max(ts) AS end_time FROM events")
 def job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log row of a run that writes events."""
-    df, seen = sinks.observed(table(spark, sf_dir, "events").where("event_type = 'click'"), f"run-{uuid.uuid4().hex}", "ts")
+    df, seen = sinks.observed(table(spark, sf_dir, "events"), f"run-{uuid.uuid4().hex}", "ts")
     df.write.json(_folder(spark))
     got = seen.get
     return spark.createDataFrame([(got["rows_added"], got["start_time"], got["end_time"])], "rows_added bigint, start_time timestamp_ntz, end_time timestamp_ntz")
@@ -159,21 +185,99 @@ def reconstruct_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _actions(spark.read.parquet(f"{path}/actions").unionByName(then[0]))
 
 
+def _ended(writer, path: str) -> None:
+    """Run a stream to its end, its checkpoint and its files below a folder."""
+    q = writer.option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
 @query(ORACLES["reconstruct_actions"])
 def reconstruct_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same actions from a stream of two batches of revisions, each page's state kept between them."""
-    from threadlens.streaming.events import reconstruct_stream
+    """The same actions from a stream: revisions come in three batches dealt by a hash, so out of order, then one that moves the watermark."""
+    from threadlens.functions.text import clean_html
+    from threadlens.streaming.pages import reconstruct_stream, state_on_disk
 
     revisions, path = transcript_revisions(spark, sf_dir), _folder(spark)
-    for part in ("rev_id % 1000 < 3", "rev_id % 1000 >= 3"):
-        revisions.where(part).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    for part in range(3):
+        revisions.where(F.pmod(F.xxhash64("rev_id"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    over = spark.createDataFrame([(0, "2002-01-01T00:00:00Z", "x", "u", "end", "T")], "rev_id long, timestamp string, text string, user_text string, page_id string, page_title string")
+    over.withColumn("user_id", F.lit(None).cast("string")).select(*revisions.columns).coalesce(1).write.mode("append").parquet(f"{path}/in")
     clean = spark.readStream.schema(revisions.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    from threadlens.functions.text import clean_html
-
-    actions = reconstruct_stream(clean.withColumn("text", clean_html(F.col("text"))))
-    q = actions.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return _actions(spark.read.parquet(f"{path}/out"))
+    with state_on_disk(spark):
+        _ended(reconstruct_stream(clean.withColumn("text", clean_html(F.col("text")))).writeStream.format("parquet").option("path", f"{path}/out").partitionBy("tag"), path)
+    out = spark.read.parquet(f"{path}/out").where("page_id <> 'end'")
+    return _actions(out.where(out["tag"] != "state"))
+
+
+@query("SELECT event_id, user_id, CASE WHEN event_id % 10 = 0 AND ts < TIMESTAMP '2024-01-20' THEN 'late' ELSE 'row' END AS tag FROM events")
+def time_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by time within each user over all batches; some of them come after the watermark has passed them."""
+    from threadlens.streaming.pages import in_time_order, state_on_disk
+
+    path, late = _folder(spark), "event_id % 10 = 0 AND ts < TIMESTAMP '2024-01-20'"
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("user_id"), F.col("ts").cast("timestamp").alias("ts"))
+    parts = [e.where(f"NOT ({late}) AND ts {side} TIMESTAMP '2024-01-16'").orderBy(F.xxhash64("event_id")) for side in ("<", ">=")]
+    over = e.limit(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit("end").alias("user_id"), F.lit("2024-06-01").cast("timestamp").alias("ts"))
+    for part in (*parts, e.where(late), over):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    with state_on_disk(spark):
+        _ended(in_time_order(stream, "user_id", "ts", "event_id", "7 days").writeStream.format("parquet").option("path", f"{path}/out"), path)
+    return spark.read.parquet(f"{path}/out").where("event_id >= 0").select("event_id", F.col("user_id").cast("long").alias("user_id"), "tag")
+
+
+@query("""SELECT event_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, false AS malformed FROM events UNION ALL SELECT NULL, CAST(date_trunc('day', ts) AS TIMESTAMP), true FROM events GROUP BY 2""")
+def feed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events asked for by day from files that stand for a service, by a query that is stopped in mid-month and started
+    again; each day has a malformed line."""
+    import calendar
+
+    from threadlens.sources import feed
+    from threadlens.sources.shared import files_under, located
+
+    path, day = _folder(spark), F.unix_seconds(F.date_trunc("day", F.col("ts").cast("timestamp"))).alias("day")
+    e = table(spark, sf_dir, "events")
+    first = e.groupBy(day).agg(F.min("event_id").alias("event_id"))
+    lines = e.select(day, F.to_json(F.struct("event_id")).alias("value")).unionByName(first.select("day", F.lit("{broken").alias("value")))
+    lines.repartition("day").write.partitionBy("day").text(f"{path}/service")
+
+    def fetch(start: int, end: int) -> list[str]:
+        store = located(path)[0]
+        return [line for name, _ in files_under(f"{path}/service/day={start}") for line in store.open_input_stream(located(name)[1]).read().decode().splitlines()]
+
+    since, until = calendar.timegm((2024, 1, 1, 0, 0, 0)), calendar.timegm((2024, 2, 3, 0, 0, 0))
+    for now in (calendar.timegm((2024, 1, 15, 13, 0, 0)), until):
+        asked = feed.parsed_events(feed.read_feed(spark, fetch, since, width=86400, behind=86400, clock=lambda now=now: now), schema="event_id long")
+        _ended(asked.select("event.event_id", "window_start", F.col("malformed").isNotNull().alias("malformed")).writeStream.format("parquet").option("path", f"{path}/out"), path)
+    return spark.read.parquet(f"{path}/out").select("event_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "malformed")
+
+
+@query(ORACLES["reverted_rows"].replace("rev_id, page_id, ts, sha1, attack, author, user_id FROM", "rev_id, page_id, sha1 FROM"))
+def live_reverted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisions that come in three micro-batches, the second of them twice; rows and flags of a batch are published together."""
+    from threadlens.sources.views import revisions
+    from threadlens.streaming.events import LiveRevisions
+
+    rows = revisions(spark, sf_dir).select("rev_id", F.col("page_id").cast("string").alias("page_id"), "sha1", "ts")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    live = LiveRevisions(spark, _folder(spark), schema, ["rev_id", "sha1"], ["rev_id"], buckets=16)
+    for number, part in ((0, 0), (1, 1), (1, 1), (2, 2)):
+        live.step(rows.where(F.pmod(F.xxhash64("rev_id"), F.lit(3)) == part), number)
+    kind = revisions(spark, sf_dir).schema["page_id"].dataType
+    return live.reverted().select("rev_id", F.col("page_id").cast(kind).alias("page_id"), "sha1")
+
+
+@query("SELECT event_id, event_type, value FROM events")
+def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream into a ledger, a batch a manifest."""
+    from threadlens.sources.ledger import Ledger
+
+    path, e = _folder(spark), table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    for n in (0, 1):
+        e.where(f"event_id % 2 = {n}").write.mode("append").parquet(f"{path}/in")
+    ledger = Ledger(spark, f"{path}/ledger", buckets=8)
+    ledger.stream(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), "events", f"{path}/checkpoint", key="event_type").awaitTermination()
+    return ledger.read("events", "event_id bigint, event_type string, value double")
 
 
 @query("""WITH l AS (SELECT conv_id, turn, trim(regexp_replace(repeat(':', CAST(turn AS INT)) || replace(text, chr(10), ' '), '<[^>]*>', '', 'g')) AS line FROM conversations)
@@ -191,10 +295,14 @@ def daily_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("windows"))
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events")
+@query("SELECT event_id, user_id, event_type FROM events")
 def redelivered_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event three times over, kept once by its key."""
-    first = Window.partitionBy("user_id", "event_type").orderBy("event_id")
-    e = table(spark, sf_dir, "events").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    again = e.unionByName(e).unionByName(e)
-    return sinks.new_rows(again, e.limit(0), ["user_id", "event_type"]).select("user_id", "event_type")
+    """Every event three times over, in three batches of a stream, kept once by its key."""
+    from threadlens.streaming.events import once_each
+
+    path, e = _folder(spark), table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    for _ in range(3):
+        e.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    _ended(once_each(stream, ["event_id"], "ts", "60 days").writeStream.format("parquet").option("path", f"{path}/out"), path)
+    return spark.read.parquet(f"{path}/out").select("event_id", "user_id", "event_type")
