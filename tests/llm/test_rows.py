@@ -459,7 +459,7 @@ def test_fingerprints_by_sets(spark):
     rnd = random.Random(8)
     vocabulary = ["".join(rnd.choice("abcdeé0") for _ in range(rnd.randint(2, 6))) for _ in range(400)]
     texts = [" ".join(rnd.choice(vocabulary[:rnd.randint(1, 400)]) for _ in range(rnd.choice([0, 1, 3, 30, 200]))) for _ in range(120)]
-    texts += [texts[7], texts[7] + " " + vocabulary[3], None, "zz9 zz8", "zz9 zz8", "", "É é", "word" * 9000]
+    texts += [texts[7], texts[7] + " " + vocabulary[3], None, "zz9 zz8", "zz9 zz8", "", "É é", "word" * 9000, "\ua7c0b \ua7c0c", "\ua7c1b \ua7c1c"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     lexicon = imatch.fit_lexicon(df)
     split = lambda t: set(re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower()))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.llm.common import save
-from threadlens.llm.textarrays import SLICE_BYTES, U, Words, alnum_table, mix64, pieces, slices, text_buffers
+from threadlens.llm.textarrays import SLICE_BYTES, U, Words, alnum_table, mix64, pieces, slices
 
 #: Terms of the lexicon occur in at least and at most these shares of all documents (idf from 2.3 to 6.9).
 #: A corpus with d distinct terms a document on average has d / LEAST_SHARE such terms at most, whatever its size.
@@ -40,16 +40,23 @@ def _distinct_terms(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.nd
     return t[new], h[new]
 
 
+def lower_words(texts: list[str | None]) -> Words:
+    """The words of texts in lower case, as Python lowers them: terms are counted and looked up alike."""
+    raw = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
+    off = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+    return Words(np.frombuffer(b"".join(raw), dtype=np.uint8), off, alnum_table())
+
+
 def document_frequencies(texts: DataFrame) -> DataFrame:
-    """(term, df) over all rows of a one-column table of lower-case texts. Terms are 64-bit hashes of
-    words; each task sums its own before rows move."""
+    """(term, df) over all rows of a one-column table of texts. Terms are 64-bit hashes of words in lower case;
+    each task sums its own before rows move."""
 
     def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         terms, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         return terms, np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(terms)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, parts, held = alnum_table(), [], 0
+        parts, held = [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
             terms, n = merged(parts)
@@ -57,9 +64,8 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(terms[i : i + 100_000].view(np.int64)), pa.array(n[i : i + 100_000])], ["term", "n"])
 
         for batch in batches:
-            data, off = text_buffers(batch.column(0))
-            for a, b in slices(off):
-                words = Words(data[off[a] : off[b]], off[a : b + 1] - off[a], table)
+            for piece in pieces(batch, 0):
+                words = lower_words(piece.column(0).to_pylist())
                 _, h = _distinct_terms(words, words.hashes())
                 terms, n = np.unique(h, return_counts=True)
                 parts.append((terms, n))
@@ -108,9 +114,7 @@ class Fingerprints:
     """Fingerprints of consecutive texts: hashes[text, subset, level], 0 for an empty intersection."""
 
     def __init__(self, texts: list[str], lexicon: Lexicon):
-        raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
-        off = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-        words = Words(np.frombuffer(b"".join(raw), dtype=np.uint8), off, alnum_table())
+        words = lower_words(texts)
         hashes, text = words.hashes(), words.text_of_word()
         at, number = lexicon.find(hashes)
         pairs = np.unique(text[at] * np.int64(max(len(lexicon.terms), 1)) + number)  # sorted distinct terms of each text
@@ -188,7 +192,7 @@ def _parts(sizes: list[int]) -> Iterator[tuple[int, int]]:
 def fit_lexicon(docs: DataFrame, text_col: str = "text", least: float = LEAST_SHARE, most: float = MOST_SHARE) -> Lexicon:
     """The lexicon over all rows of ``docs``."""
     n = docs.count()
-    df = document_frequencies(docs.select(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
+    df = document_frequencies(docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     band = save(df.where((F.col("df") >= max(2, least * n)) & (F.col("df") <= max(2, most * n))).select("term"), "lexicon")
     terms = band.toPandas()["term"].to_numpy()
     return Lexicon(terms)
