@@ -16,7 +16,7 @@ STANDING = (
 
 
 def replay(actions: list[dict]) -> Iterator[dict]:
-    """Comments after all actions, by (time, first two id parts as text): each with the ids of its versions.
+    """Comments after all actions, by (time, null first, and the first two id parts as text): each with the ids of its versions.
 
     A modification keeps its comment's place and, if a bot made it, its author; one whose comment is
     unknown becomes an addition. Removed comments stay with the status removed.
@@ -24,7 +24,7 @@ def replay(actions: list[dict]) -> Iterator[dict]:
     shown: dict[str, dict] = {}
     key_of: dict[str, str] = {}
     parts = lambda a: (a["id"].split(".") + ["", ""])[:2]
-    for a in sorted(actions, key=lambda a: (a["ts"], *parts(a))):
+    for a in sorted(actions, key=lambda a: (not pd.isna(a["ts"]), 0 if pd.isna(a["ts"]) else a["ts"], *parts(a))):
         parent = key_of.get(a["parent_id"]) if a["parent_id"] else None
         kind = a["type"]
         if kind == "MODIFICATION" and parent is None:
