@@ -306,3 +306,104 @@ def redelivered_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     _ended(once_each(stream, ["event_id"], "ts", "60 days").writeStream.format("parquet").option("path", f"{path}/out"), path)
     return spark.read.parquet(f"{path}/out").select("event_id", "user_id", "event_type")
+
+
+def _events_in(spark: SparkSession, sf_dir: str, path: str, parts: list[str]) -> DataFrame:
+    """Events as a stream of files, one for each condition, then one event that moves the watermark past all others."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    over = e.limit(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), F.lit("2024-06-01").cast("timestamp").alias("ts"))
+    for part in (*[e.where(p) for p in parts], over):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+
+@query("""WITH m AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 3 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM m)
+    SELECT user_id, CAST(min(ts) AS TIMESTAMP) AS "start", CAST(max(ts) + INTERVAL 3 HOUR AS TIMESTAMP) AS "end", count(*) AS n FROM s GROUP BY user_id, no""")
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a stream whose two batches overlap in time, so that sessions merge across them."""
+    from threadlens.streaming.events import session_counts
+
+    path = _folder(spark)
+    stream = _events_in(spark, sf_dir, path, ["event_id % 2 = 0", "event_id % 2 = 1"])
+    _ended(session_counts(stream, "ts", "3 hours", ["user_id"], "60 days").writeStream.format("parquet").option("path", f"{path}/out"), path)
+    out = spark.read.parquet(f"{path}/out").where("user_id >= 0")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query("""SELECT CAST(s AS TIMESTAMP) AS "start", count(*) AS n FROM (SELECT time_bucket(INTERVAL 2 HOUR, ts) - INTERVAL 2 HOUR * unnest(range(3)) AS s FROM events) GROUP BY 1""")
+def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of six hours, one every two."""
+    from threadlens.streaming.events import sliding_counts
+
+    path = _folder(spark)
+    stream = _events_in(spark, sf_dir, path, ["event_id % 2 = 0", "event_id % 2 = 1"])
+    _ended(sliding_counts(stream, "ts", "6 hours", "2 hours", "60 days").writeStream.format("parquet").option("path", f"{path}/out"), path)
+    return spark.read.parquet(f"{path}/out").where("start < '2024-05-01'").select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("""SELECT 'late' AS kind, event_id AS key, CAST(1 AS BIGINT) AS n FROM events WHERE event_id % 10 = 0 AND ts < TIMESTAMP '2024-01-20'
+    UNION ALL SELECT 'counted', CAST(epoch(date_trunc('day', ts)) AS BIGINT), count(*) FROM events WHERE NOT (event_id % 10 = 0 AND ts < TIMESTAMP '2024-01-20') GROUP BY 2""")
+def late_and_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts of a stream's rows that come in time, and, in a table of their own, the rows that come too late for them."""
+    from threadlens.streaming.events import split_late, windowed_counts
+    from threadlens.streaming.pages import state_on_disk
+
+    path, late = _folder(spark), "event_id % 10 = 0 AND ts < TIMESTAMP '2024-01-20'"
+    stream = _events_in(spark, sf_dir, path, [f"NOT ({late})", late])
+    with state_on_disk(spark):
+        _ended(split_late(stream, "user_id", "ts", "7 days").writeStream.format("parquet").option("path", f"{path}/split").partitionBy("tag"), path)
+    split = spark.read.parquet(f"{path}/split").where("event_id >= 0")
+    counted = windowed_counts(split.where("tag = 'row'"), "ts", "1 day").select(F.lit("counted").alias("kind"), F.unix_seconds("start").alias("key"), "n")
+    return counted.unionByName(split.where("tag = 'late'").select(F.lit("late").alias("kind"), F.col("event_id").alias("key"), F.lit(1).cast("long").alias("n")))
+
+
+@query("SELECT user_id, event_id FROM events")
+def paged_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events from files that stand for a service, seven to a page, three pages a round."""
+    from threadlens.sources.lookups import PagedLookup
+    from threadlens.sources.shared import files_under, located
+
+    path, e = _folder(spark), table(spark, sf_dir, "events").select("user_id", "event_id")
+    e.select("user_id", F.col("event_id").cast("string").alias("value")).repartition("user_id").write.partitionBy("user_id").text(f"{path}/service")
+
+    def fetch(key: str, token: str | None) -> tuple[list[dict], str | None]:
+        store, start = located(path)[0], int(token or 0)
+        ids = [line for name, _ in files_under(f"{path}/service/user_id={key}") for line in store.open_input_stream(located(name)[1]).read().decode().splitlines()]
+        return [{"event_id": int(x)} for x in ids[start : start + 7]], str(start + 7) if start + 7 < len(ids) else None
+
+    found = PagedLookup(e.select("user_id"), "user_id", fetch, "event_id long", f"{path}/rounds", pages=3)
+    return found.rows().select(F.col("key").cast("long").alias("user_id"), "event_id")
+
+
+@query(r"""SELECT doc_id, CASE WHEN doc_id % 97 = 5 THEN 'error' WHEN doc_id = (SELECT min(doc_id) FROM documents) THEN 'time' ELSE 'ok' END AS outcome,
+    CASE WHEN doc_id % 97 <> 5 AND doc_id <> (SELECT min(doc_id) FROM documents) THEN CAST(len(regexp_extract_all(coalesce(text, ''), '[a-z]+')) AS BIGINT) END AS n FROM documents""")
+def guarded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of letters of every text, counted under guard; some calls fail, and one never ends."""
+    from threadlens.operators.guards import guarded
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    first = docs.agg(F.min("doc_id")).first()[0]
+    marked = docs.withColumn("text", F.concat(F.when(F.col("doc_id") == first, F.lit("T")).when(F.col("doc_id") % 97 == 5, F.lit("E")).otherwise(F.lit("K")), F.col("text")))
+
+    def count(text: str) -> int:
+        import re
+
+        if text[0] == "E":
+            raise ValueError("a broken text")
+        if text[0] == "T":
+            re.match(r"(a+)+$", "a" * 60 + "!")  # takes ages
+        return len(re.findall("[a-z]+", text[1:]))
+
+    return guarded(marked, "text", count, "long", seconds=3.0, name="n").select("doc_id", "outcome", "n")
+
+
+@query("SELECT s_suppkey, length(s_name) AS n FROM supplier")
+def rated_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers sent in tens to a service, at no more than forty calls a second from all tasks together."""
+    from threadlens.operators.guards import at_rate
+
+    def call(rows: list[dict]) -> list[dict]:
+        return [{"s_suppkey": r["s_suppkey"], "n": len(r["s_name"])} for r in rows]
+
+    return at_rate(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), call, "s_suppkey long, n long", 40, tasks=2, size=10)

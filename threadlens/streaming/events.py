@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
 from threadlens.operators.reverts import with_reverted
@@ -28,6 +29,49 @@ def windowed_counts(events: DataFrame, time: str, width: str, late: str = "10 mi
     return counts.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *(by or []), "n")
 
 
+def sliding_counts(events: DataFrame, time: str, width: str, slide: str, late: str = "10 minutes", by: list[str] | None = None) -> DataFrame:
+    """Counts of windows of one width that begin every ``slide``; an event is in each that holds it."""
+    w = F.window(time, width, slide)
+    counts = events.withWatermark(time, late).groupBy(w, *(by or [])).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *(by or []), "n")
+
+
+def session_counts(events: DataFrame, time: str, gap: str, by: list[str], late: str = "10 minutes") -> DataFrame:
+    """Sessions of each ``by``: events with less than ``gap`` to the one before are in one, from its first event to ``gap`` after its last."""
+    w = F.session_window(time, gap)
+    counts = events.withWatermark(time, late).groupBy(w, *by).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *by, "n")
+
+
+class _Late(StatefulProcessor):
+    """Tags each row by whether it is older than the watermark when it comes; keeps nothing."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        pass
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        for part in rows:
+            yield pd.DataFrame({"tag": ["late" if due < mark else "row" for due in part["due"]], "row": part["row"]})
+
+    def close(self) -> None:
+        pass
+
+
+def split_late(events: DataFrame, key: str, time: str, late: str = "10 minutes") -> DataFrame:
+    """(tag, columns of ``events``): a stream's rows, those that come after the watermark has passed them with the tag
+    ``late``, the others with ``row``.
+
+    Spark's own windows drop late rows without a trace, a batch later than the watermark moves. Written with
+    ``partitionBy("tag")`` and counted from the part ``row``, every row is either counted or among the late
+    ones. Needs ``pages.state_on_disk``; rows without a time are dropped.
+    """
+    marked = events.where(F.col(time).isNotNull()).withWatermark(time, late)
+    sent = marked.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.unix_millis(F.col(time)).alias("due"), F.to_json(F.struct(*events.columns)).alias("row"))
+    out = sent.groupBy("key").transformWithStateInPandas(_Late(), "tag string, row string", "append", "EventTime")
+    return out.select("tag", F.from_json("row", events.schema).alias("row")).select("tag", "row.*")
+
+
 def once_each(events: DataFrame, key: list[str], time: str, late: str = "1 hour") -> DataFrame:
     """Re-delivered events are dropped within the watermark."""
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark(key)
