@@ -572,3 +572,77 @@ def label_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frequent_author_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return pov.author_overlap(e.where("event_type = 'click'"), e.where("event_type = 'view'"), "user_id")
+
+
+# --- trained models of text ---
+
+_ENDS = r"""t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r\f]+'), lambda x: x <> '') AS w FROM documents),
+    c AS (SELECT doc_id, unnest(list_transform(w, lambda x: regexp_replace(regexp_replace(x, '^[^\p{L}\p{N}]+', ''), '["''”’»)\]]+$', ''))) AS core, unnest(range(len(w))) AS pos FROM t),
+    k AS (SELECT *, CASE WHEN regexp_matches(core, '^[\p{N}.,]*\p{N}[\p{N}.,]*$') THEN '##' ELSE lower(regexp_replace(core, '[.!?…,;:]+$', '')) END AS word,
+        CASE WHEN regexp_matches(core, '[!?]$') THEN 'stop' WHEN regexp_matches(core, '(^|[^.])\.$') THEN 'period' END AS ends FROM c),
+    n AS (SELECT *, lead(word) OVER o AS next, coalesce(regexp_matches(lead(core) OVER o, '^\p{Lu}'), false) AS upper FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+    words AS (SELECT word, count(*) FILTER (ends = 'period') AS n_period, count(*) AS n FROM k GROUP BY 1),
+    e AS (SELECT CAST(sum(n) AS DOUBLE) AS total, CAST(sum(n_period) AS DOUBLE) AS periods FROM words),
+    f AS (SELECT word, n_period, n - n_period AS n_plain, length(replace(word, '.', '')) AS letters, periods / total AS p FROM words, e WHERE regexp_matches(word, '^(\p{L}+\.)*\p{L}+$') AND n_period > 0),
+    scores AS (SELECT word, n_period, n_plain, -2 * (n_period * ln(p) + CASE WHEN n_plain > 0 THEN n_plain * ln(1 - p) ELSE 0 END - n_period * ln(0.99) - n_plain * ln(0.01)) * exp(-letters) * (length(word) - letters + 1) * pow(letters, -n_plain) AS score FROM f),
+    short AS (SELECT word FROM scores WHERE score >= 0.3)"""
+
+
+def _following(a: str, least: float) -> str:
+    """SQL of the words (ab times after any of a) that follow more often than they occur."""
+    part = lambda x, p: f"CASE WHEN {x} > 0 THEN {x} * ln({p}) ELSE 0 END"
+    same = " + ".join([part("ab", "b / total"), part("(a - ab)", "(1 - b / total)"), part("(b - ab)", "b / total"), part("(total - a - b + ab)", "(1 - b / total)")])
+    other = " + ".join([part("ab", "ab / a"), part("(a - ab)", "(1 - ab / a)"), part("(b - ab)", "(b - ab) / greatest(total - a, 1)"), part("(total - a - b + ab)", "(1 - (b - ab) / greatest(total - a, 1))")])
+    return f"""SELECT word FROM (SELECT x.next AS word, CAST(ab AS DOUBLE) AS ab, CAST(n AS DOUBLE) AS b, CAST((SELECT sum(ab) FROM {a}) AS DOUBLE) AS a, total FROM {a} x JOIN words w ON w.word = x.next, e)
+        WHERE ab * total > b * a AND regexp_matches(word, '^\\p{{L}}') AND -2 * (({same}) - ({other})) >= {least}"""
+
+
+_STARTS = rf"""{_ENDS},
+    breaks AS (SELECT next, count(*) AS ab FROM n WHERE ends = 'period' AND next IS NOT NULL AND word <> '##' AND length(word) > 1 AND word NOT IN (SELECT word FROM short) GROUP BY 1),
+    numbers AS (SELECT next, count(*) AS ab FROM n WHERE ends = 'period' AND next IS NOT NULL AND word = '##' GROUP BY 1),
+    starters AS ({_following('breaks', 30.0)}), followers AS ({_following('numbers', 7.88)})"""
+
+
+@query(f"WITH {_ENDS} SELECT word, n_period, n_plain, round(score, 4) AS score FROM scores")
+def abbreviation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much each word of all texts behaves like an abbreviation."""
+    from threadlens.operators.splitter import Splitter
+
+    return Splitter(table(spark, sf_dir, "documents").select("text")).scores.withColumn("score", F.round("score", 4))
+
+
+@query(f"""WITH {_STARTS}, cuts AS (SELECT doc_id, count(*) AS n FROM n WHERE ends IS NOT NULL AND next IS NOT NULL AND CASE WHEN ends = 'stop' THEN true WHEN word = '##' THEN upper AND next NOT IN (SELECT word FROM followers)
+        WHEN word IN (SELECT word FROM short) OR (length(word) = 1 AND regexp_matches(word, '\\p{{L}}')) THEN upper AND next IN (SELECT word FROM starters) ELSE true END GROUP BY 1)
+    SELECT doc_id, CASE WHEN len(w) > 0 THEN coalesce(n, 0) + 1 ELSE 0 END AS n FROM t LEFT JOIN cuts USING (doc_id)""")
+def trained_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of sentences of every text, by a splitter trained on all of them."""
+    from threadlens.operators.splitter import Splitter
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return Splitter(docs).split(docs, "doc_id").select("doc_id", F.size("sentences").cast("long").alias("n"))
+
+
+def _way(j: int, i: int, pairs: list[list[float]]) -> str:
+    return f"s{i} + ({pairs[i][j]!r})"
+
+
+_CALM = {"first": [-0.5, -0.9], "pairs": [[-0.2, -1.7], [-1.1, -0.4]], "seen": {"view": [-0.6, -1.9], "click": [-1.2, -1.4], "purchase": [-2.5, -0.7]}, "other": [-3.0, -2.2]}
+
+
+def _own(j: int) -> str:
+    return "CASE event_type " + " ".join(f"WHEN '{w}' THEN ({c[j]!r})" for w, c in _CALM["seen"].items()) + f" ELSE ({_CALM['other'][j]!r}) END"
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+    v AS (SELECT user_id, place, n, {_CALM['first'][0]} + {_own(0)} AS s0, {_CALM['first'][1]} + {_own(1)} AS s1, '0' AS p0, '1' AS p1 FROM o WHERE place = 1
+        UNION ALL SELECT o.user_id, o.place, o.n, greatest({_way(0, 0, _CALM['pairs'])}, {_way(0, 1, _CALM['pairs'])}) + {_own(0)}, greatest({_way(1, 0, _CALM['pairs'])}, {_way(1, 1, _CALM['pairs'])}) + {_own(1)},
+            CASE WHEN {_way(0, 0, _CALM['pairs'])} >= {_way(0, 1, _CALM['pairs'])} THEN p0 ELSE p1 END || '0', CASE WHEN {_way(1, 0, _CALM['pairs'])} >= {_way(1, 1, _CALM['pairs'])} THEN p0 ELSE p1 END || '1' FROM v JOIN o ON o.user_id = v.user_id AND o.place = v.place + 1)
+    SELECT user_id, CASE WHEN s0 >= s1 THEN p0 ELSE p1 END AS path FROM v WHERE place = n""")
+def likeliest_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likeliest hidden states of each user's whole sequence of events, under a given model."""
+    from threadlens.operators.tagger import Tagger
+
+    words = spark.createDataFrame(list(_CALM["seen"].items()), "word string, chances array<double>")
+    tagger = Tagger(["0", "1"], _CALM["first"], _CALM["pairs"], words, _CALM["other"])
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]).alias("words"))
+    return tagger.tag(rows).select("user_id", F.array_join("tags", "").alias("path"))
