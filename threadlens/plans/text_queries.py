@@ -623,18 +623,18 @@ def trained_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _way(j: int, i: int, pairs: list[list[float]]) -> str:
-    return f"s{i} + ({pairs[i][j]!r})"
+    return f"s{i} + ({pairs[i][j]!r}e0)"
 
 
 _CALM = {"first": [-0.5, -0.9], "pairs": [[-0.2, -1.7], [-1.1, -0.4]], "seen": {"view": [-0.6, -1.9], "click": [-1.2, -1.4], "purchase": [-2.5, -0.7]}, "other": [-3.0, -2.2]}
 
 
 def _own(j: int) -> str:
-    return "CASE event_type " + " ".join(f"WHEN '{w}' THEN ({c[j]!r})" for w, c in _CALM["seen"].items()) + f" ELSE ({_CALM['other'][j]!r}) END"
+    return "CASE event_type " + " ".join(f"WHEN '{w}' THEN ({c[j]!r}e0)" for w, c in _CALM["seen"].items()) + f" ELSE ({_CALM['other'][j]!r}e0) END"
 
 
 @query(f"""WITH RECURSIVE o AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place, count(*) OVER (PARTITION BY user_id) AS n FROM events),
-    v AS (SELECT user_id, place, n, {_CALM['first'][0]} + {_own(0)} AS s0, {_CALM['first'][1]} + {_own(1)} AS s1, '0' AS p0, '1' AS p1 FROM o WHERE place = 1
+    v AS (SELECT user_id, place, n, {_CALM['first'][0]}e0 + {_own(0)} AS s0, {_CALM['first'][1]}e0 + {_own(1)} AS s1, '0' AS p0, '1' AS p1 FROM o WHERE place = 1
         UNION ALL SELECT o.user_id, o.place, o.n, greatest({_way(0, 0, _CALM['pairs'])}, {_way(0, 1, _CALM['pairs'])}) + {_own(0)}, greatest({_way(1, 0, _CALM['pairs'])}, {_way(1, 1, _CALM['pairs'])}) + {_own(1)},
             CASE WHEN {_way(0, 0, _CALM['pairs'])} >= {_way(0, 1, _CALM['pairs'])} THEN p0 ELSE p1 END || '0', CASE WHEN {_way(1, 0, _CALM['pairs'])} >= {_way(1, 1, _CALM['pairs'])} THEN p0 ELSE p1 END || '1' FROM v JOIN o ON o.user_id = v.user_id AND o.place = v.place + 1)
     SELECT user_id, CASE WHEN s0 >= s1 THEN p0 ELSE p1 END AS path FROM v WHERE place = n""")
