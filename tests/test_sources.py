@@ -115,7 +115,8 @@ def test_samples_and_statistics(spark):
 
 def test_models(spark):
     rows = spark.range(120).select(F.col("id"), (F.col("id") % 2).cast("int").alias("label"), F.floor(F.col("id") / 2).alias("pair"), (F.col("id") % 2 + F.rand(3) * 0.2).alias("x"), F.rand(5).alias("noise"))
-    accuracy, error = ml.leave_pairs_out(rows, ["x", "noise"], "label", "pair", folds=2)
+    accuracy, error, tested, skipped = ml.leave_pairs_out(rows, ["x", "noise"], "label", "pair", folds=2)
+    assert tested + skipped == rows.count()
     assert accuracy > 0.9 and error < 0.1
     texts = rows.select("label", F.when(F.col("label") == 1, "awful words here").otherwise("nice words here").alias("t"))
     q = ml.quality(ml.text_classifier(texts, "t", "label"), texts, "label")

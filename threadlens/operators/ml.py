@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import CountVectorizer, MaxAbsScaler, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlens.functions import text as t
@@ -22,21 +23,45 @@ def _bare(model: PipelineModel) -> PipelineModel:
     return model
 
 
-def leave_pairs_out(rows: DataFrame, features: list[str], label: str, pair: str, folds: int = 5, c: float = 0.02, iterations: int = 100) -> tuple[float, float]:
-    """(accuracy, standard error) of a linear SVM; both conversations of a pair are in one fold, chosen by a hash of the pair."""
-    fold = F.pmod(F.xxhash64(pair), F.lit(folds))
-    data = VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="keep").transform(rows.fillna(0, features)).withColumn("_fold", fold).persist()
-    right, n = 0, 0
-    for k in range(folds):
-        train, test = data.where(F.col("_fold") != k), data.where(F.col("_fold") == k)
-        if test.isEmpty() or train.select(label).distinct().count() < 2:
+def fold_of(pair: str, folds: int) -> Column:
+    """The fold of a pair, by a digest: every row of a pair is in one."""
+    return F.conv(F.substring(F.md5(F.col(pair).cast("string")), 1, 8), 16, 10).cast("long") % folds
+
+
+def fold_counts(rows: DataFrame, label: str, pair: str, folds: int = 5) -> DataFrame:
+    """(fold, n, positives, trained, baseline): each fold's rows, whether the rest has both classes to train on, and how often
+    the rest's more frequent class (of equal ones, the positive) is right in the fold."""
+    per = rows.groupBy(fold_of(pair, folds).alias("fold")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("positives"))
+    every = per.agg(F.sum("n").alias("all_n"), F.sum("positives").alias("all_positives"))  # one row
+    rest, up = F.col("all_n") - F.col("n"), F.col("all_positives") - F.col("positives")
+    right = F.when(2 * up >= rest, F.col("positives")).otherwise(F.col("n") - F.col("positives"))
+    return per.crossJoin(F.broadcast(every)).select("fold", "n", "positives", ((up > 0) & (up < rest)).alias("trained"), (right / F.col("n")).alias("baseline"))
+
+
+class LeftOut(NamedTuple):
+    """Accuracy with its standard error over the rows tested, and the rows of folds that had a single class to train on."""
+
+    accuracy: float
+    error: float
+    tested: int
+    skipped: int
+
+
+def leave_pairs_out(rows: DataFrame, features: list[str], label: str, pair: str, folds: int = 5, c: float = 0.02, iterations: int = 100) -> LeftOut:
+    """Accuracy of a linear SVM over folds of whole pairs, chosen by a digest of the pair. The rows of a fold whose rest
+    has a single class can't be tested; ``skipped`` says how many they are, and they are no part of the accuracy."""
+    data = VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="keep").transform(rows.fillna(0, features)).withColumn("_fold", fold_of(pair, folds)).persist()
+    right, n, skipped = 0, 0, 0
+    for r in sorted(fold_counts(rows, label, pair, folds).collect(), key=lambda r: r.fold):
+        if not r.trained:
+            skipped += r.n
             continue
-        svm = _bare(Pipeline(stages=[MaxAbsScaler(inputCol="raw", outputCol="features"), LinearSVC(labelCol=label, regParam=c, maxIter=iterations)]).fit(train))
-        hit = svm.transform(test).agg(F.count(F.when(F.col("prediction") == F.col(label), 1)), F.count(F.lit(1))).first()
-        right, n = right + hit[0], n + hit[1]
+        svm = _bare(Pipeline(stages=[MaxAbsScaler(inputCol="raw", outputCol="features"), LinearSVC(labelCol=label, regParam=c, maxIter=iterations)]).fit(data.where(F.col("_fold") != r.fold)))
+        said = svm.transform(data.where(F.col("_fold") == r.fold))
+        right, n = right + said.where(F.col("prediction") == F.col(label)).count(), n + r.n
     data.unpersist()
     p = right / n if n else math.nan
-    return p, math.sqrt(p * (1 - p) / n) if n else math.nan
+    return LeftOut(p, math.sqrt(p * (1 - p) / n) if n else math.nan, n, skipped)
 
 
 def text_classifier(train: DataFrame, text: str, label: str, vocabulary: int = 20_000, least_df: int = 2) -> PipelineModel:

@@ -438,6 +438,11 @@ def tagged(revisions: DataFrame, states: DataFrame | None = None, errors: DataFr
     return by_page.mapInArrow(run, schema)
 
 
+def only(kind: str, revisions: DataFrame, states: DataFrame | None = None, errors: DataFrame | None = None) -> DataFrame:
+    """One output of ``reconstruct`` (action, state or error) where the others aren't wanted: nothing is persisted."""
+    return tagged(revisions, states, errors).where(F.col("tag") == kind).select(f"{kind}.*")
+
+
 class Reconstruction(tuple):
     """(actions, states, errors), which share one persisted table until ``close``."""
 

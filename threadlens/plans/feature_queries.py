@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from threadlens.functions import stats, time
 from threadlens.functions import text as t
 from threadlens.operators import agreement, conversations, features, history, lookup, pov, sampling, scoring, trends
-from threadlens.plans.registry import query
+from threadlens.plans.registry import ORACLES, query
 from threadlens.plans.text_queries import DOCS, PAIRS, SENTENCES, STOP, TOKENS, _docs, _pairs, sql_q
 from threadlens.sources import readers, sinks
 from threadlens.sources.views import COMMENTS, REVISIONS, comments, revisions, table
@@ -549,7 +549,7 @@ def pairs_left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A linear SVM on two classes that one feature tells apart, pairs kept together."""
     from threadlens.operators import ml
 
-    return spark.createDataFrame([ml.leave_pairs_out(_separable(spark, sf_dir), ["x"], "label", "pair", folds=2, iterations=10)], "accuracy double, error double")
+    return spark.createDataFrame([ml.leave_pairs_out(_separable(spark, sf_dir), ["x"], "label", "pair", folds=2, iterations=10)[:2]], "accuracy double, error double")
 
 
 @query("SELECT CAST(1.0 AS DOUBLE) AS accuracy, CAST(1.0 AS DOUBLE) AS auc, CAST(greatest(avg(doc_id % 2), 1 - avg(doc_id % 2)) AS DOUBLE) AS baseline FROM documents")
@@ -569,3 +569,70 @@ def regularisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     best, accuracy = ml.grid_search(_separable(spark, sf_dir), ["x"], "label", "pair", [0.01, 1e6], folds=2)
     return spark.createDataFrame([(best, accuracy[best])], "best double, accuracy double")
+
+
+_LABELLED = "SELECT d.doc_id, d.source, coalesce(d.text, '') AS text, l.toxic FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic IS NOT NULL"
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents with features of their texts."""
+    labels = table(spark, sf_dir, "labels").where("toxic IS NOT NULL").select("doc_id", "toxic")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text")).join(labels, "doc_id")
+    words = F.size(F.split("text", " "))
+    return docs.withColumns({"length": F.length("text").cast("double"), "words": words.cast("double"), "questions": (F.length("text") - F.length(F.replace("text", F.lit("?"), F.lit("")))).cast("double")})
+
+
+_FOLDS = f"""l AS ({_LABELLED}), f AS (SELECT *, CAST('0x' || substr(md5(source), 1, 8) AS BIGINT) % 5 AS fold FROM l),
+    p AS (SELECT fold, count(*) AS n, CAST(sum(toxic) AS BIGINT) AS positives FROM f GROUP BY 1), e AS (SELECT sum(n) AS all_n, sum(positives) AS up FROM p),
+    r AS (SELECT fold, n, positives, up - positives > 0 AND up - positives < all_n - n AS trained, round(CASE WHEN 2 * (up - positives) >= all_n - n THEN positives ELSE n - positives END / n, 6) AS baseline FROM p, e)"""
+
+
+@query(f"WITH {_FOLDS} SELECT * FROM r")
+def label_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds of labelled documents, a source in one: their rows, classes, and the accuracy of the more frequent class."""
+    from threadlens.operators import ml
+
+    return ml.fold_counts(_labelled(spark, sf_dir), "toxic", "source").withColumn("baseline", F.round("baseline", 6))
+
+
+@query(f"WITH {_FOLDS} SELECT CAST(coalesce(sum(n) FILTER (trained), 0) AS BIGINT) AS tested, CAST(coalesce(sum(n) FILTER (NOT trained), 0) AS BIGINT) AS skipped, true AS sound FROM r")
+def toxic_sources_left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A linear SVM over features of the texts, sources left out in turn: rows tested and skipped, and whether its accuracy is a share."""
+    from threadlens.operators import ml
+
+    left = ml.leave_pairs_out(_labelled(spark, sf_dir), ["length", "words", "questions"], "toxic", "source", iterations=10)
+    return spark.createDataFrame([(left.tested, left.skipped, 0.0 <= left.accuracy <= 1.0)], "tested bigint, skipped bigint, sound boolean")
+
+
+_RANKS = "avg(rank) OVER (PARTITION BY {0}) FROM (SELECT *, row_number() OVER (ORDER BY {0}) AS rank FROM {1})"
+
+
+@query(f"""WITH g AS (SELECT event_type, count(*) AS n, sum(value) AS s, sum(value * value) AS q FROM events GROUP BY 1),
+    f AS (SELECT sum(n) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b, count(*) AS k FROM g),
+    d AS (SELECT value - 250 AS d, abs(value - 250) AS size FROM events WHERE value <> 250),
+    w AS (SELECT d, size, {_RANKS.format('size', 'd').replace('avg(rank) OVER (PARTITION BY size)', 'avg(rank) OVER (PARTITION BY size) AS r')}),
+    ties AS (SELECT sum(c * c * c - c) AS t FROM (SELECT CAST(count(*) AS DOUBLE) AS c FROM d GROUP BY size)),
+    u AS (SELECT event_type, {_RANKS.format('value', 'events').replace('avg(rank) OVER (PARTITION BY value)', 'avg(rank) OVER (PARTITION BY value) AS r')}),
+    m AS (SELECT CAST(count(*) FILTER (event_type = 'click') AS DOUBLE) AS a, CAST(count(*) AS DOUBLE) AS n, sum(r) FILTER (event_type = 'click') AS ranks FROM u),
+    b AS (SELECT CAST(count(*) FILTER (user_id % 2 = 0) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n FROM events),
+    o AS (SELECT lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + n * ln(0.5) AS l, lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + n * ln(0.5) AS seen FROM (SELECT k, n, unnest(range(CAST(n AS BIGINT) + 1)) AS i FROM b))
+    SELECT 'f' AS test, round(((b - s * s / n) / (k - 1)) / ((q - b) / (n - k)), 5) AS value FROM f
+    UNION ALL SELECT 'signed rank', round((sum(r) FILTER (d > 0) - count(*) * (count(*) + 1) / 4) / sqrt(CAST(count(*) AS DOUBLE) * (count(*) + 1) * (2 * count(*) + 1) / 24 - any_value(t) / 48), 5) FROM w, ties
+    UNION ALL SELECT 'rank sum', round((ranks - a * (a + 1) / 2 - a * (n - a) / 2) / sqrt(a * (n - a) * (n + 1) / 12), 5) FROM m
+    UNION ALL SELECT 'binomial', round(least(1, sum(exp(l)) FILTER (l <= seen + 1e-7)), 5) FROM o""")
+def significance_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analysis of variance, Wilcoxon's, Mann and Whitney's and the binomial test, over all events."""
+    e = table(spark, sf_dir, "events").select("event_type", "user_id", "value", F.lit(250.0).alias("other"), (F.col("event_type") == "click").alias("click"))
+    n = e.agg(F.count(F.when(F.col("user_id") % 2 == 0, 1)), F.count(F.lit(1))).first()
+    found = [
+        ("f", stats.f_statistic(e, "event_type", "value")), ("signed rank", stats.signed_rank_z(e, "value", "other")),
+        ("rank sum", stats.rank_sum_z(e, "click", "value")), ("binomial", stats.binomial_p(n[0], n[1])),
+    ]
+    return spark.createDataFrame([(name, round(x, 5)) for name, x in found], "test string, value double")
+
+
+@query(ORACLES["bootstrap_means"].replace("SELECT CAST(rep AS BIGINT) AS rep, round(sum(k * value) / sum(k), 6) AS mean FROM k GROUP BY 1", "m AS (SELECT sum(k * value) / sum(k) AS mean FROM k GROUP BY rep) SELECT round(avg(mean), 5) AS mean, round(avg(mean) - 2.2621571627409915 * stddev_samp(mean) / sqrt(10), 5) AS low, round(avg(mean) + 2.2621571627409915 * stddev_samp(mean) / sqrt(10), 5) AS high FROM m").replace("AS k FROM r)", "AS k FROM r),", 1))
+def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and confidence interval of the values of all events, from ten resamples."""
+    mean, low, high = sampling.bootstrap_interval(sampling.bootstrap_means(table(spark, sf_dir, "events"), "event_id", "value", 10))
+    return spark.createDataFrame([tuple(round(x, 5) for x in (mean, low, high))], "mean double, low double, high double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,15 +14,25 @@ from threadlens.plans.registry import ORACLES, query
 from threadlens.plans import history_queries
 from threadlens.plans.text_queries import transcript_revisions
 from threadlens.sources import readers, sinks
+from threadlens.sources.shared import files_under, located
 from threadlens.sources.views import table
 
 assert history_queries  # imported for the SQL that it registers
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder where driver and executors share files: under ``spark.checkpoint.dir``, or else the warehouse."""
+    """A new folder where driver and executors share files: under ``spark.checkpoint.dir``, or else the warehouse.
+    Results are read from it lazily, so it is deleted when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/threadlens-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/threadlens-{uuid.uuid4().hex}"
+    atexit.register(_remove, path)
+    return path
+
+
+def _remove(path: str) -> None:
+    with contextlib.suppress(OSError, ValueError):  # it may be gone, or in storage that only Spark reaches
+        store, at = located(path)
+        store.delete_dir(at)
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,8 +193,8 @@ def reconstruct_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, df in zip(("actions", "states"), first, strict=False):
         df.write.parquet(f"{path}/{name}")
     first.close()
-    then = reconstruct.reconstruct(revisions.where("rev_id % 1000 >= 3"), spark.read.parquet(f"{path}/states"))
-    return _actions(spark.read.parquet(f"{path}/actions").unionByName(then[0]))
+    then = reconstruct.only("action", revisions.where("rev_id % 1000 >= 3"), spark.read.parquet(f"{path}/states"))
+    return _actions(spark.read.parquet(f"{path}/actions").unionByName(then))
 
 
 def _ended(writer, path: str) -> None:
@@ -233,7 +245,6 @@ def feed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     import calendar
 
     from threadlens.sources import feed
-    from threadlens.sources.shared import files_under, located
 
     path, day = _folder(spark), F.unix_seconds(F.date_trunc("day", F.col("ts").cast("timestamp"))).alias("day")
     e = table(spark, sf_dir, "events")
@@ -284,7 +295,7 @@ def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT CAST(conv_id AS VARCHAR) AS page_id, max(conv_id * 1000 + turn) AS rev_id, coalesce(string_agg(line || chr(10), '' ORDER BY turn) FILTER (line <> ''), '') AS text FROM l GROUP BY 1""")
 def last_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's text and revision, as the states of a reconstruction hold them."""
-    return reconstruct.reconstruct(transcript_revisions(spark, sf_dir))[1].select("page_id", "rev_id", "text")
+    return reconstruct.only("state", transcript_revisions(spark, sf_dir)).select("page_id", "rev_id", "text")
 
 
 @query("SELECT min(n) AS least, max(n) AS most, count(*) AS windows FROM (SELECT count(*) AS n FROM events GROUP BY date_trunc('day', ts), event_type)")
@@ -362,7 +373,6 @@ def late_and_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paged_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events from files that stand for a service, seven to a page, three pages a round."""
     from threadlens.sources.lookups import PagedLookup
-    from threadlens.sources.shared import files_under, located
 
     path, e = _folder(spark), table(spark, sf_dir, "events").select("user_id", "event_id")
     e.select("user_id", F.col("event_id").cast("string").alias("value")).repartition("user_id").write.partitionBy("user_id").text(f"{path}/service")

@@ -484,7 +484,7 @@ def page_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT r.id, CASE WHEN r.heading THEN 'CREATION' ELSE 'ADDITION' END AS type, CAST(r.conv_id AS VARCHAR) AS page_id, CAST(NULL AS VARCHAR) AS parent_id, p.id AS "replyTo_id", w.conversation_id,
         CAST(r.indent AS BIGINT) AS indentation, r.conv_id * 1000 + r.turn AS rev_id FROM r LEFT JOIN o p ON p.conv_id = r.conv_id AND p.turn = r.up JOIN w ON w.conv_id = r.conv_id AND w.turn = r.turn""")
 def reconstruct_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    actions, _, _ = reconstruct.reconstruct(transcript_revisions(spark, sf_dir))
+    actions = reconstruct.only("action", transcript_revisions(spark, sf_dir))
     return actions.select("id", "type", "page_id", "parent_id", "replyTo_id", "conversation_id", F.col("indentation").cast("long").alias("indentation"), "rev_id")
 
 
