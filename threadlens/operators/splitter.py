@@ -14,18 +14,23 @@ _CLOSING = "[\"'”’»)\\]]+$"
 
 
 def _tokens(texts: DataFrame, text: str, keep: list[Column]) -> DataFrame:
-    """(columns kept, pos, core, word, ends, next, next_upper): tokens between white space, one row each, with the one after."""
+    """(columns kept, pos, core, word, ends, next, next_upper): tokens between white space, one row each; what comes next
+    is worked out for those only that end with a stop. Most tokens are letters alone, which one look settles."""
     words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), _SPACE), lambda x: x != "")
-    core_of = lambda x: F.regexp_replace(F.regexp_replace(x, r"^[^\p{L}\p{N}]+", ""), _CLOSING, "")
-    word_of = lambda c: F.when(c.rlike(r"^[\p{N}.,]*\p{N}[\p{N}.,]*$"), F.lit(NUMBER)).otherwise(F.lower(F.regexp_replace(c, r"[.!?…,;:]+$", "")))
-    cores = F.transform(words, core_of)
     # zipped with itself moved by one: a lambda that looked at the whole array would work it out again for each word
-    pairs = F.arrays_zip(cores.alias("core"), F.slice(cores, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))).alias("after"))
-    rows = texts.select(*keep, F.posexplode(pairs).alias("pos", "x")).select("*", "x.core", "x.after").drop("x")
-    return rows.select(
-        "*", word_of(F.col("core")).alias("word"), word_of(F.col("after")).alias("next"), F.coalesce(F.col("after").rlike(r"^\p{Lu}"), F.lit(False)).alias("next_upper"),
-        F.when(F.col("core").rlike(r"[!?]$"), "stop").when(F.col("core").rlike(r"(^|[^.])\.$"), "period").alias("ends"),
-    )
+    pairs = F.arrays_zip(words.alias("token"), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))).alias("after"))
+    rows = texts.select(*keep, F.posexplode(pairs).alias("pos", "x")).select("*", "x.token", "x.after").drop("x")
+    plain = lambda x: x.rlike(r"^\p{L}+$")
+    core_of = lambda x: F.when(plain(x), x).otherwise(F.regexp_replace(F.regexp_replace(x, r"^[^\p{L}\p{N}]+", ""), _CLOSING, ""))
+    word_of = lambda c: (
+        F.when(plain(c), F.lower(c)).when(c.rlike(r"^[\p{N}.,]*\p{N}[\p{N}.,]*$"), F.lit(NUMBER)).otherwise(F.lower(F.regexp_replace(c, r"[.!?…,;:]+$", "")))
+    )
+    cut = rows.withColumn("core", core_of(F.col("token"))).drop("token")
+    ends = F.when(F.col("core").rlike(r"[!?]$"), "stop").when(F.col("core").rlike(r"(^|[^.])\.$"), "period")
+    ended = cut.withColumns({"word": word_of(F.col("core")), "ends": F.when(~plain(F.col("core")), ends)})
+    after = F.when(F.col("ends").isNotNull(), core_of(F.col("after")))
+    known = ended.withColumn("after", after)
+    return known.withColumns({"next": word_of(F.col("after")), "next_upper": F.coalesce(F.col("after").rlike(r"^\p{Lu}"), F.lit(False))}).drop("after")
 
 
 def _log(count: Column, chance: Column) -> Column:
