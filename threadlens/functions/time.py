@@ -15,6 +15,11 @@ def epoch_seconds(text: Column, pattern: str = "yyyy-MM-dd HH:mm:ss 'UTC'") -> C
     return F.unix_timestamp(F.to_timestamp(text, pattern))
 
 
+def nearest_second(ts: Column) -> Column:
+    """Epoch seconds of a timestamp, with or without a zone: the nearest whole one, of two equally near the even one."""
+    return F.rint(F.unix_micros(ts.cast("timestamp")) / 1_000_000).cast("long")
+
+
 def with_offset(text: Column) -> Column:
     """``yyyy-MM-dd HH:mm:ss+HH`` as epoch seconds: the offset is taken off; without one it is UTC."""
     base = F.unix_timestamp(F.to_timestamp(F.substring(text, 1, 19), "yyyy-MM-dd HH:mm:ss"))

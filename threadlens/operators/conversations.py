@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlens.functions.text import agrees, bigrams, disagrees
+from threadlens.functions.time import nearest_second
 from threadlens.operators.tree import positions
 
 
@@ -33,8 +34,7 @@ def turns(messages: DataFrame) -> DataFrame:
         F.sum(F.size(F.split(F.trim("content"), r"\s+"))).cast("long").alias("words"),
     )
     before = F.lag("end").over(Window.partitionBy("conversation_id").orderBy("turn_no"))
-    seconds = lambda c: F.unix_timestamp(c.cast("timestamp"))
-    return merged.withColumn("gap", seconds(F.col("start")) - seconds(before))
+    return merged.withColumn("gap", nearest_second(F.col("start")) - nearest_second(before))
 
 
 def turn_pairs(messages: DataFrame, words: Callable[[Column], Column], stopwords: tuple[str, ...]) -> DataFrame:
@@ -58,13 +58,12 @@ def turn_pairs(messages: DataFrame, words: Callable[[Column], Column], stopwords
         turn = turn.withColumn("_pairs", F.lag("pairs").over(order))
     stop = F.array(*map(F.lit, stopwords))
     count = lambda now, keep: F.size(F.filter(now, keep)).cast("long")
-    seconds = lambda c: F.unix_timestamp(c.cast("timestamp"))
     return turn.where("_was IS NOT NULL").select(
         "conversation_id", "turn_no", F.exists("said", lambda x: agrees(x["content"])).alias("agree"), F.exists("said", lambda x: disagrees(x["content"])).alias("disagree"),
         count("words", lambda w: F.array_contains("_was", w) & ~F.array_contains(stop, w)).alias("n_repeated_content"),
         count("words", lambda w: F.array_contains("_was", w) & F.array_contains(stop, w)).alias("n_repeated_stop"),
         *([count("pairs", lambda w: F.array_contains("_pairs", w)).alias("n_repeated_pos_bigram")] if tagged else []),
-        (seconds(F.col("start")) - seconds(F.col("_ended"))).alias("gap"),
+        (nearest_second(F.col("start")) - nearest_second(F.col("_ended"))).alias("gap"),
     )
 
 
@@ -161,7 +160,7 @@ def participants(actions: DataFrame) -> DataFrame:
     base = base.withColumn("share", F.round(F.col("utterances") / total, 6))
     pairs = reply_pairs(actions, ["user_text", "ts"])
     received = pairs.groupBy("conversation_id", F.col("to_user_text").alias("user_text")).agg(F.countDistinct("reply_to").alias("replied"))
-    seconds = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.col("to_ts").cast("timestamp"))
+    seconds = nearest_second(F.col("ts")) - nearest_second(F.col("to_ts"))
     gaps = pairs.groupBy("conversation_id", "user_text").agg(F.sum(seconds).alias("reply_seconds"), F.max(seconds).alias("longest_gap"))
     keys = ["conversation_id", "user_text"]
     return base.join(received, keys, "left").join(gaps, keys, "left").fillna(0, ["replied"])

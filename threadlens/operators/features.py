@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlens.functions import text as t
+from threadlens.functions.time import nearest_second
 from threadlens.operators.conversations import drop_last_time, own_previous, reply_pairs
 
 #: A short default; callers with a fuller list pass it.
@@ -59,7 +60,7 @@ def conversation_features(
         F.avg(gap).alias("mean_toxicity_gap"),
     )
     answers = reply_pairs(rows, ["content_tokens", "stop_tokens", "is_question", "ts"])
-    seconds = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.col("to_ts").cast("timestamp"))
+    seconds = nearest_second(F.col("ts")) - nearest_second(F.col("to_ts"))
     replies = answers.groupBy("conversation_id").agg(
         F.max(overlap("content_tokens", "to_content_tokens")).alias("content_adoption"),
         F.max(overlap("stop_tokens", "to_stop_tokens")).alias("stop_adoption"),

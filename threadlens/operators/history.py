@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadlens.functions.time import nearest_second
+
 
 def counts_before(starts: DataFrame, edits: DataFrame) -> DataFrame:
-    """(user, start, n_before, n_week): edits strictly before a start, and those of the seven days before it.
+    """(user, start, n_before, n_week): edits strictly before a start, and those of the seven days before it, by the nearest seconds.
 
     ``starts``: (user, start); ``edits``: (user, ts). Edits and starts of a user are merged in time order
     and counted by one window, so that a user with a long past costs a sort, not a product.
     """
     marks = starts.select("user", F.col("start").alias("ts"), F.lit(0).alias("e")).distinct()
     both = marks.unionByName(edits.select("user", "ts", F.lit(1).alias("e")))
-    seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    seconds = nearest_second(F.col("ts"))
     order = Window.partitionBy("user").orderBy(seconds)
     before = order.rangeBetween(Window.unboundedPreceding, -1)
     week = order.rangeBetween(-7 * 86400 + 1, -1)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadlens.functions import text as t
+from threadlens.functions.time import nearest_second
 from threadlens.operators import agreement, conversations, coordination, features, pov, reconstruct, scoring, snapshot, tree, trends
 from threadlens.plans.registry import query
 from threadlens.sources.views import COMMENTS, comments, table
@@ -234,8 +235,7 @@ def turns_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     ON p.conversation_id = c.conversation_id AND p.user_text = c.user_text AND p.ts < c.ts GROUP BY c.id, c.ts""")
 def last_self_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversations.own_previous(comments(spark, sf_dir), ["ts"])
-    s = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
-    return rows.select("id", F.coalesce(s("ts") - s("prev_ts"), F.lit(-1)).alias("gap"))
+    return rows.select("id", F.coalesce(nearest_second(F.col("ts")) - nearest_second(F.col("prev_ts")), F.lit(-1)).alias("gap"))
 
 
 @query(f"WITH {COMMENTS} SELECT r.id, r.user_text, p.user_text AS to_user_text FROM comments r JOIN comments p ON r.reply_to = p.id")
