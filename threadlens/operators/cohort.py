@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadlens.functions.time import nearest_second
+
 ATTACK, CALM, CALM_AFTER = 0.6, 0.6, 0.4
 
 
@@ -105,7 +107,7 @@ def candidate_matches(bad: DataFrame, good: DataFrame, gap: float = 0.2) -> Data
     and that have equally many users. ``bad`` has before-attack columns joined to its stats."""
     b = bad.select("page_id", "length", F.col("conversation_id").alias("bad_id"), F.col("start_time").alias("bs"), F.col("end_time").alias("be"), F.col("before_max").alias("bm"), F.col("users").alias("bu"))
     g = good.select("page_id", "length", F.col("conversation_id").alias("good_id"), F.col("start_time").alias("gs"), F.col("end_time").alias("ge"), F.col("before_max").alias("gm"), F.col("users").alias("gu"))
-    seconds = lambda x, y: F.abs(F.unix_timestamp(F.col(x).cast("timestamp")) - F.unix_timestamp(F.col(y).cast("timestamp")))
+    seconds = lambda x, y: F.abs(nearest_second(F.col(x)) - nearest_second(F.col(y)))
     joined = b.join(g, ["page_id", "length"]).where((F.abs(F.col("bm") - F.col("gm")) < gap) & (F.col("bu") == F.col("gu")))
     return joined.select("bad_id", "good_id", "page_id", "length", F.col("ge").alias("good_end"), seconds("bs", "gs").alias("start_delta"), seconds("be", "ge").alias("end_delta"))
 
