@@ -60,9 +60,13 @@ def sentence_origin(revisions: DataFrame, page: str, order: str, column: str) ->
 
 
 def fuzzy_revisions(rejected: DataFrame, improved: DataFrame, key: str = "rev_id", column: str = "sentence") -> DataFrame:
-    """Rejected and improved sentences of one revision that match."""
-    a, b = rejected.select(key, F.col(column).alias("old")), improved.select(key, F.col(column).alias("new"))
-    return a.join(b, key).where(fuzzy_match(F.col("old"), F.col("new")))
+    """(key, old, new, n): rejected and improved sentences of one revision that match, each pair of texts once; n pairs of rows have it.
+
+    Copies are counted before the join, which costs the pairs of different sentences only.
+    """
+    once = lambda df, name: df.groupBy(key, F.col(column).alias(name)).agg(F.count(F.lit(1)).alias(f"_{name}"))
+    both = once(rejected, "old").join(once(improved, "new"), key).where(fuzzy_match(F.col("old"), F.col("new")))
+    return both.select(key, "old", "new", (F.col("_old") * F.col("_new")).alias("n"))
 
 
 def author_overlap(first: DataFrame, second: DataFrame, author: str, least: int = 20) -> DataFrame:

@@ -277,7 +277,7 @@ def revised_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT a.rev_id, count(*) AS n FROM r a JOIN r b ON a.rev_id = b.rev_id AND a.doc_id % 2 = 0 AND b.doc_id % 2 = 1 AND a.sentence <> b.sentence GROUP BY 1""")
 def fuzzy_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").selectExpr("doc_id % 31 AS rev_id", "doc_id", "concat('the ', source, ' has some words here') AS sentence")
-    return pov.fuzzy_revisions(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1")).groupBy("rev_id").agg(F.count(F.lit(1)).alias("n"))
+    return pov.fuzzy_revisions(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1")).groupBy("rev_id").agg(F.sum("n").alias("n"))
 
 
 @query(f"WITH {PAIRS} SELECT doc_id FROM p WHERE former IS NOT NULL AND abs(length(former) - length(text)) < 100 AND contains(text, 'er')")
