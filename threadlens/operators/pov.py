@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+from itertools import chain
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlens.functions.text import fuzzy_match, fuzzy_tokens, sentences, tokens
+from threadlens.functions.text import fuzzy_match, sentences
+
+_WORD = re.compile("[a-z0-9']+")
+#: Pairs in one Arrow batch.
+PAIRS = 5000
 
 
 def with_former(revisions: DataFrame, page: str, order: list[str], column: str) -> DataFrame:
@@ -30,12 +40,50 @@ def sentence_changes(pairs: DataFrame, key: str, column: str) -> DataFrame:
     )
 
 
+def fuzzy_pairs(olds: list[str], news: list[str], least: float = 0.6, tokens_least: int = 3) -> Iterator[tuple[int, int]]:
+    """Places of the pairs that ``fuzzy_match`` finds, without comparing all of them.
+
+    Sentences that share ``least`` of both sets have one of their rarest tokens in common, so that each is held
+    only against those that have one of the few tokens that it may miss and one more.
+    """
+    words = lambda s: _WORD.findall(s.lower())
+    cut = [words(s) for s in olds]
+    ours, theirs = {i: set(w) for i, w in enumerate(cut) if len(w) >= tokens_least}, [set(words(s)) for s in news]
+    often = Counter(chain.from_iterable(chain(ours.values(), theirs)))
+
+    def rare(found: set[str]) -> list[str]:
+        need = next((n for n in range(len(found) + 1) if n / max(len(found), 1) >= least), 0)
+        return sorted(found, key=lambda w: (often[w], w))[: len(found) - need + 1]
+
+    having = defaultdict(list)
+    for j, found in enumerate(theirs):
+        for w in rare(found):
+            having[w].append(j)
+    for i, found in ours.items():
+        for j in set(chain.from_iterable(having.get(w, ()) for w in rare(found))):
+            other = theirs[j]
+            if min(len(found), len(other)) / max(len(found), len(other)) >= least and len(found & other) / max(len(found), len(other)) >= least and olds[i] != news[j]:
+                yield i, j
+
+
 def revised_sentences(changes: DataFrame, key: str) -> DataFrame:
     """(key, old, new): deleted and inserted sentences of one edit that match fuzzily."""
-    cut = lambda c: F.transform(c, lambda s: F.struct(s.alias("s"), tokens(s).alias("t")))  # noqa: E731  a sentence is cut once, not once a pair
-    both = changes.select(key, F.explode(cut("deletes")).alias("a"), cut("inserts").alias("inserts")).where(F.size("a.t") >= 3)
-    both = both.select(key, "a", F.explode("inserts").alias("b"))
-    return both.where(fuzzy_tokens(F.col("a.s"), F.col("a.t"), F.col("b.s"), F.col("b.t"))).select(key, F.col("a.s").alias("old"), F.col("b.s").alias("new"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, olds, news, kind = [], [], [], batch.schema.field(0).type
+            for k, deletes, inserts in zip(batch[0], batch[1], batch[2], strict=True):
+                deletes, inserts = deletes.as_py() or [], inserts.as_py() or []
+                for i, j in fuzzy_pairs(deletes, inserts):
+                    keys.append(k)
+                    olds.append(deletes[i])
+                    news.append(inserts[j])
+                    if len(keys) == PAIRS:
+                        yield pa.record_batch([pa.array(keys, kind), pa.array(olds, pa.string()), pa.array(news, pa.string())], [key, "old", "new"])
+                        keys, olds, news = [], [], []
+            yield pa.record_batch([pa.array(keys, kind), pa.array(olds, pa.string()), pa.array(news, pa.string())], [key, "old", "new"])
+
+    return changes.where((F.size("deletes") > 0) & (F.size("inserts") > 0)).select(key, "deletes", "inserts").mapInArrow(run, f"`{key}` {changes.schema[key].dataType.simpleString()}, old string, new string")
 
 
 def context(sentence_rows: DataFrame, key: str, place: str, changed: str, reach: int = 3, compat: bool = False) -> DataFrame:
