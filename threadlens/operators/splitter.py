@@ -13,24 +13,52 @@ _SPACE = "[ \\t\\n\\r\\f]+"
 _CLOSING = "[\"'”’»)\\]]+$"
 
 
-def _tokens(texts: DataFrame, text: str, keep: list[Column]) -> DataFrame:
-    """(columns kept, pos, core, word, ends, next, next_upper): tokens between white space, one row each; what comes next
-    is worked out for those only that end with a stop. Most tokens are letters alone, which one look settles."""
-    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), _SPACE), lambda x: x != "")
-    # zipped with itself moved by one: a lambda that looked at the whole array would work it out again for each word
-    pairs = F.arrays_zip(words.alias("token"), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))).alias("after"))
-    rows = texts.select(*keep, F.posexplode(pairs).alias("pos", "x")).select("*", "x.token", "x.after").drop("x")
-    plain = lambda x: x.rlike(r"^\p{L}+$")
-    core_of = lambda x: F.when(plain(x), x).otherwise(F.regexp_replace(F.regexp_replace(x, r"^[^\p{L}\p{N}]+", ""), _CLOSING, ""))
-    word_of = lambda c: (
-        F.when(plain(c), F.lower(c)).when(c.rlike(r"^[\p{N}.,]*\p{N}[\p{N}.,]*$"), F.lit(NUMBER)).otherwise(F.lower(F.regexp_replace(c, r"[.!?…,;:]+$", "")))
-    )
-    cut = rows.withColumn("core", core_of(F.col("token"))).drop("token")
+#: What a token may end with that ends a sentence; most tokens are told by it without a look at their core.
+_MAY_END = "[.!?][\"'”’»)\\]]*$"
+
+
+def _words(text: str) -> Column:
+    """Tokens between white space; a null text has none."""
+    return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), _SPACE), lambda x: x != "")
+
+
+def _core(token: Column) -> Column:
+    stripped = F.regexp_replace(F.regexp_replace(token, r"^[^\p{L}\p{N}]+", ""), _CLOSING, "")
+    return F.when(token.rlike(r"^\p{L}+$"), token).otherwise(stripped)
+
+
+def _word(core: Column) -> Column:
+    number = F.when(core.rlike(r"^[\p{N}.,]*\p{N}[\p{N}.,]*$"), F.lit(NUMBER))
+    return F.when(core.rlike(r"^\p{L}+$"), F.lower(core)).otherwise(number.otherwise(F.lower(F.regexp_replace(core, r"[.!?…,;:]+$", ""))))
+
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with further columns that are worked out once a row: conditions on plain ones are moved below them and work them out again."""
+    made = df.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_made"))
+    return made.select(*df.columns, *[F.col(f"_made.{n}").alias(n) for n in columns])
+
+
+def _read(tokens: DataFrame) -> DataFrame:
+    """``tokens`` with (word, ends) of each ``token``. It costs several patterns, so give each different token once."""
+    core = tokens.withColumn("core", _core(F.col("token")))
     ends = F.when(F.col("core").rlike(r"[!?]$"), "stop").when(F.col("core").rlike(r"(^|[^.])\.$"), "period")
-    ended = cut.withColumns({"word": word_of(F.col("core")), "ends": F.when(~plain(F.col("core")), ends)})
-    after = F.when(F.col("ends").isNotNull(), core_of(F.col("after")))
-    known = ended.withColumn("after", after)
-    return known.withColumns({"next": word_of(F.col("after")), "next_upper": F.coalesce(F.col("after").rlike(r"^\p{Lu}"), F.lit(False))}).drop("after")
+    return _once(core, word=_word(F.col("core")), ends=ends).drop("core")
+
+
+def _read_next(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with (word, ends, next, next_upper) of each (``token``, ``after``), those alone whose token ends with a stop."""
+    after = _read(pairs).where(F.col("ends").isNotNull()).withColumn("_after", _core(F.col("after")))
+    return _once(after, next=_word(F.col("_after")), next_upper=F.coalesce(F.col("_after").rlike(r"^\p{Lu}"), F.lit(False))).drop("_after")
+
+
+def _ended(texts: DataFrame, text: str, keep: list[Column]) -> DataFrame:
+    """(columns kept, token, after, pos): each token that may end a sentence, the token after it, and its place."""
+    rows = texts.select(*keep, F.explode(F.array(_words(text))).alias("w")).where(F.size("w") > 1)  # exploded, so that it is cut once
+    n = F.size("w") - 1
+    # zipped with itself moved by one: a lambda that looked at the whole array would work it out again for each word
+    zipped = F.arrays_zip(F.slice("w", F.lit(1), n).alias("token"), F.slice("w", F.lit(2), n).alias("after"), F.sequence(F.lit(0), n - 1).alias("pos"))
+    names = [c for c in rows.columns if c != "w"]
+    return rows.select(*names, F.explode(F.filter(zipped, lambda x: x["token"].rlike(_MAY_END))).alias("x")).select(*names, "x.token", "x.after", "x.pos")
 
 
 def _log(count: Column, chance: Column) -> Column:
@@ -53,14 +81,14 @@ class Splitter:
 
     ``scores`` (word, n_period, n_plain, score) has every word of letters that a period follows somewhere;
     ``abbreviations``, ``starters`` and ``followers`` (of numbers) have the words over the thresholds.
-    Null and empty texts say nothing. Each table is a few aggregates by word; hot words are counted in the
-    tasks before rows move.
+    Null and empty texts say nothing. Different tokens, and pairs of a stop and what comes after it, are counted first,
+    in the tasks before rows move; patterns look at each of them once.
     """
 
     def __init__(self, texts: DataFrame, text: str = "text"):
-        tokens = _tokens(texts, text, [])
-        period = F.count(F.when(F.col("ends") == "period", 1))
-        words = tokens.groupBy("word").agg(period.alias("n_period"), F.count(F.lit(1)).alias("n"))
+        tokens = _read(texts.select(F.explode(_words(text)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+        period = F.sum(F.when(F.col("ends") == "period", F.col("n")).otherwise(F.lit(0)))
+        words = tokens.groupBy("word").agg(period.alias("n_period"), F.sum("n").alias("n"))
         every = words.agg(F.sum("n").alias("total"), F.sum("n_period").alias("periods"))
         kind = words.where(F.col("word").rlike(r"^(\p{L}+\.)*\p{L}+$") & (F.col("n_period") > 0)).crossJoin(F.broadcast(every))  # one row
         plain = F.col("n") - F.col("n_period")
@@ -71,9 +99,9 @@ class Splitter:
         score = ratio * F.exp(-letters) * inner * F.pow(letters.cast("double"), -plain.cast("double"))
         self.scores = kind.select("word", "n_period", plain.alias("n_plain"), score.alias("score"))
         self.abbreviations = self.scores.where(F.col("score") >= ABBREVIATION).select("word")
-        ended = tokens.where((F.col("ends") == "period") & F.col("next").isNotNull())
+        ended = _read_next(_ended(texts, text, []).groupBy("token", "after").agg(F.count(F.lit(1)).alias("n"))).where(F.col("ends") == "period")
         known = self.abbreviations.select("word", F.lit(True).alias("short"))
-        after = ended.groupBy("word", "next").agg(F.count(F.lit(1)).alias("ab")).join(known, "word", "left")
+        after = ended.groupBy("word", "next").agg(F.sum("n").alias("ab")).join(known, "word", "left")
         breaks = after.where(F.col("short").isNull() & (F.col("word") != NUMBER) & (F.length("word") > 1))
         counts = words.select(F.col("word").alias("next"), F.col("n").alias("b"))
         self.starters = self._follow(breaks.groupBy("next").agg(F.sum("ab").alias("ab")), counts, every, STARTER)
@@ -96,17 +124,18 @@ class Splitter:
         that a small letter or a usual follower of numbers follows. Rows that are alike are split alike.
         """
         key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h")).alias("key")
-        ends = _tokens(texts, text, [key]).where("ends IS NOT NULL AND next IS NOT NULL").dropDuplicates(["key", "pos"])
+        ends = _ended(texts, text, [key])
+        kinds = _read_next(ends.select("token", "after").distinct())
         mark = lambda df, name, column: df.select(F.col("word").alias(column), F.lit(True).alias(name))
-        known = ends.join(mark(self.abbreviations, "short", "word"), "word", "left").join(mark(self.starters, "starts", "next"), "next", "left").join(mark(self.followers, "follows", "next"), "next", "left")
+        known = kinds.join(mark(self.abbreviations, "short", "word"), "word", "left").join(mark(self.starters, "starts", "next"), "next", "left").join(mark(self.followers, "follows", "next"), "next", "left")
         is_short = F.col("short").isNotNull() | ((F.length("word") == 1) & F.col("word").rlike(r"\p{L}"))
         cut = (
             F.when(F.col("ends") == "stop", True).when(F.col("word") == NUMBER, F.col("next_upper") & F.col("follows").isNull())
             .when(is_short, F.col("next_upper") & F.col("starts").isNotNull()).otherwise(True)
         )
-        cuts = known.where(cut).groupBy("key").agg(F.sort_array(F.collect_list("pos")).alias("cuts"))
-        words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), _SPACE), lambda x: x != "")
-        rows = texts.select(F.col(id_col), key, words.alias("words")).join(cuts, "key", "left")
+        ending = known.where(cut).select("token", "after")
+        cuts = ends.join(ending, ["token", "after"]).groupBy("key").agg(F.sort_array(F.collect_set("pos")).alias("cuts"))
+        rows = texts.select(F.col(id_col), key, _words(text).alias("words")).join(cuts, "key", "left")
         edges = F.concat(F.array(F.lit(-1)), F.coalesce("cuts", F.array().cast("array<int>")), F.array(F.size("words") - 1))
         spans = F.transform(F.sequence(F.lit(1), F.size("edges") - 1), lambda i: F.array_join(F.slice("words", F.get("edges", i - 1) + 2, F.get("edges", i) - F.get("edges", i - 1)), " "))
         return rows.withColumn("edges", edges).select(id_col, F.when(F.size("words") > 0, spans).otherwise(F.array().cast("array<string>")).alias("sentences"))
