@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from threadlens.functions.once import once
 from threadlens.functions.text import tokens
 
 
@@ -93,11 +94,13 @@ def categories(df: DataFrame, text: str, lists: dict[str, list[str]], least_toke
     A stand-in for an outside classifier of page texts. Texts of fewer than ``least_tokens`` words are sent
     twice over, as the outside one asks for; shares do not change by it.
     """
-    words = tokens(F.col(text))
-    words = F.when(F.size(words) < least_tokens, F.concat(words, words)).otherwise(words)
-    share = lambda has: F.size(F.filter("_w", lambda w: w.isin(*has))) / F.greatest(F.size("_w"), F.lit(1))
+    cut = once(df, _t=tokens(F.col(text)))
+    words = F.when(F.size("_t") < least_tokens, F.concat("_t", "_t")).otherwise(F.col("_t"))
+    listed = {w for has in lists.values() for w in has}
+    held = once(cut, _n=F.size(words), _w=F.filter(words, lambda w: w.isin(*listed))).drop("_t")  # the lists go over the few words that any of them has
+    share = lambda has: F.size(F.filter("_w", lambda w: w.isin(*has))) / F.greatest(F.col("_n"), F.lit(1))
     found = F.array(*[F.struct(F.lit(c).alias("category"), F.round(share(has), 6).alias("confidence")) for c, has in lists.items()])
-    return df.withColumn("_w", words).withColumn("categories", top_categories(F.filter(found, lambda x: x["confidence"] > 0), top)).drop("_w")
+    return once(held, categories=top_categories(F.filter(found, lambda x: x["confidence"] > 0), top)).drop("_n", "_w")
 
 
 def top_categories(found: Column, top: int = 3) -> Column:

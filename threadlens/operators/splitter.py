@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadlens.functions.once import once
+
 # The thresholds of the published method.
 ABBREVIATION, STARTER, COLLOCATION = 0.3, 30.0, 7.88
 NUMBER = "##"
@@ -32,23 +34,17 @@ def _word(core: Column) -> Column:
     return F.when(core.rlike(r"^\p{L}+$"), F.lower(core)).otherwise(number.otherwise(F.lower(F.regexp_replace(core, r"[.!?…,;:]+$", ""))))
 
 
-def _once(df: DataFrame, **columns: Column) -> DataFrame:
-    """``df`` with further columns that are worked out once a row: conditions on plain ones are moved below them and work them out again."""
-    made = df.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_made"))
-    return made.select(*df.columns, *[F.col(f"_made.{n}").alias(n) for n in columns])
-
-
 def _read(tokens: DataFrame) -> DataFrame:
     """``tokens`` with (word, ends) of each ``token``. It costs several patterns, so give each different token once."""
     core = tokens.withColumn("core", _core(F.col("token")))
     ends = F.when(F.col("core").rlike(r"[!?]$"), "stop").when(F.col("core").rlike(r"(^|[^.])\.$"), "period")
-    return _once(core, word=_word(F.col("core")), ends=ends).drop("core")
+    return once(core, word=_word(F.col("core")), ends=ends).drop("core")
 
 
 def _read_next(pairs: DataFrame) -> DataFrame:
     """``pairs`` with (word, ends, next, next_upper) of each (``token``, ``after``), those alone whose token ends with a stop."""
     after = _read(pairs).where(F.col("ends").isNotNull()).withColumn("_after", _core(F.col("after")))
-    return _once(after, next=_word(F.col("_after")), next_upper=F.coalesce(F.col("_after").rlike(r"^\p{Lu}"), F.lit(False))).drop("_after")
+    return once(after, next=_word(F.col("_after")), next_upper=F.coalesce(F.col("_after").rlike(r"^\p{Lu}"), F.lit(False))).drop("_after")
 
 
 def _ended(texts: DataFrame, text: str, keep: list[Column]) -> DataFrame:
