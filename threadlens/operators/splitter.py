@@ -3,6 +3,8 @@ begin sentences, and which follow numbers. All counts are over whole tables and
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,35 +80,67 @@ class Splitter:
     ``scores`` (word, n_period, n_plain, score) has every word of letters that a period follows somewhere;
     ``abbreviations``, ``starters`` and ``followers`` (of numbers) have the words over the thresholds.
     Null and empty texts say nothing. Different tokens, and pairs of a stop and what comes after it, are counted first,
-    in the tasks before rows move; patterns look at each of them once.
+    in the tasks before rows move; patterns look at each of them once. With a ``folder`` that driver and executors
+    share, each table is written there when it is first asked for, so that no text is counted again for the next
+    one, and the planner knows their sizes; without one they are plans.
     """
 
-    def __init__(self, texts: DataFrame, text: str = "text"):
-        tokens = _read(texts.select(F.explode(_words(text)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    def __init__(self, texts: DataFrame, text: str = "text", folder: str | None = None):
+        self.texts, self.text, self.folder = texts, text, folder
+
+    def _kept(self, name: str, df: DataFrame) -> DataFrame:
+        if self.folder is None:
+            return df
+        df.write.parquet(f"{self.folder}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    @cached_property
+    def words(self) -> DataFrame:
+        """(word, n_period, n): how often each word occurs, and with a period."""
+        tokens = _read(self.texts.select(F.explode(_words(self.text)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")))
         period = F.sum(F.when(F.col("ends") == "period", F.col("n")).otherwise(F.lit(0)))
-        words = tokens.groupBy("word").agg(period.alias("n_period"), F.sum("n").alias("n"))
-        every = words.agg(F.sum("n").alias("total"), F.sum("n_period").alias("periods"))
-        kind = words.where(F.col("word").rlike(r"^(\p{L}+\.)*\p{L}+$") & (F.col("n_period") > 0)).crossJoin(F.broadcast(every))  # one row
+        return self._kept("words", tokens.groupBy("word").agg(period.alias("n_period"), F.sum("n").alias("n")))
+
+    @cached_property
+    def _every(self) -> DataFrame:
+        return self._kept("every", self.words.agg(F.sum("n").alias("total"), F.sum("n_period").alias("periods")))
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        kind = self.words.where(F.col("word").rlike(r"^(\p{L}+\.)*\p{L}+$") & (F.col("n_period") > 0)).crossJoin(F.broadcast(self._every))  # one row
         plain = F.col("n") - F.col("n_period")
         p = F.col("periods") / F.col("total")
         ratio = -2 * (_log(F.col("n_period").cast("double"), p) + _log(plain.cast("double"), 1 - p) - _log(F.col("n_period").cast("double"), F.lit(0.99)) - _log(plain.cast("double"), F.lit(0.01)))
         letters = F.length(F.replace("word", F.lit("."), F.lit("")))
         inner = F.length("word") - letters + 1
         score = ratio * F.exp(-letters) * inner * F.pow(letters.cast("double"), -plain.cast("double"))
-        self.scores = kind.select("word", "n_period", plain.alias("n_plain"), score.alias("score"))
-        self.abbreviations = self.scores.where(F.col("score") >= ABBREVIATION).select("word")
-        ended = _read_next(_ended(texts, text, []).groupBy("token", "after").agg(F.count(F.lit(1)).alias("n"))).where(F.col("ends") == "period")
-        known = self.abbreviations.select("word", F.lit(True).alias("short"))
-        after = ended.groupBy("word", "next").agg(F.sum("n").alias("ab")).join(known, "word", "left")
-        breaks = after.where(F.col("short").isNull() & (F.col("word") != NUMBER) & (F.length("word") > 1))
-        counts = words.select(F.col("word").alias("next"), F.col("n").alias("b"))
-        self.starters = self._follow(breaks.groupBy("next").agg(F.sum("ab").alias("ab")), counts, every, STARTER)
-        self.followers = self._follow(after.where(F.col("word") == NUMBER).groupBy("next").agg(F.sum("ab").alias("ab")), counts, every, COLLOCATION)
-
-    @staticmethod
-    def _follow(after: DataFrame, counts: DataFrame, every: DataFrame, least: float) -> DataFrame:
+        return kind.select("word", "n_period", plain.alias("n_plain"), score.alias("score"))
+
+    @cached_property
+    def abbreviations(self) -> DataFrame:
+        return self._kept("abbreviations", self.scores.where(F.col("score") >= ABBREVIATION).select("word"))
+
+    @cached_property
+    def _after(self) -> DataFrame:
+        """(word, next, ab, short): how often a word with a period has another after it."""
+        pairs = _ended(self.texts, self.text, []).groupBy("token", "after").agg(F.count(F.lit(1)).alias("n"))
+        ended = _read_next(pairs).where(F.col("ends") == "period").groupBy("word", "next").agg(F.sum("n").alias("ab"))
+        return self._kept("after", ended.join(self.abbreviations.select("word", F.lit(True).alias("short")), "word", "left"))
+
+    @cached_property
+    def starters(self) -> DataFrame:
+        breaks = self._after.where(F.col("short").isNull() & (F.col("word") != NUMBER) & (F.length("word") > 1))
+        return self._kept("starters", self._follow(breaks, STARTER))
+
+    @cached_property
+    def followers(self) -> DataFrame:
+        return self._kept("followers", self._follow(self._after.where(F.col("word") == NUMBER), COLLOCATION))
+
+    def _follow(self, pairs: DataFrame, least: float) -> DataFrame:
         """(word, score) of words that follow a break, or a number, more often than they occur."""
-        one = after.agg(F.sum("ab").alias("a")).crossJoin(every)  # one row
+        after = pairs.groupBy("next").agg(F.sum("ab").alias("ab"))
+        counts = self.words.select(F.col("word").alias("next"), F.col("n").alias("b"))
+        one = after.agg(F.sum("ab").alias("a")).crossJoin(self._every)  # one row
         both = after.join(counts, "next").crossJoin(F.broadcast(one))
         score = likelihood(F.col("a"), F.col("b"), F.col("ab"), F.col("total"))
         often = F.col("ab") * F.col("total") > F.col("b") * F.col("a")
@@ -121,7 +155,7 @@ class Splitter:
         """
         key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h")).alias("key")
         ends = _ended(texts, text, [key])
-        kinds = _read_next(ends.select("token", "after").distinct())
+        kinds = _read_next(ends)
         mark = lambda df, name, column: df.select(F.col("word").alias(column), F.lit(True).alias(name))
         known = kinds.join(mark(self.abbreviations, "short", "word"), "word", "left").join(mark(self.starters, "starts", "next"), "next", "left").join(mark(self.followers, "follows", "next"), "next", "left")
         is_short = F.col("short").isNotNull() | ((F.length("word") == 1) & F.col("word").rlike(r"\p{L}"))
@@ -129,8 +163,7 @@ class Splitter:
             F.when(F.col("ends") == "stop", True).when(F.col("word") == NUMBER, F.col("next_upper") & F.col("follows").isNull())
             .when(is_short, F.col("next_upper") & F.col("starts").isNotNull()).otherwise(True)
         )
-        ending = known.where(cut).select("token", "after")
-        cuts = ends.join(ending, ["token", "after"]).groupBy("key").agg(F.sort_array(F.collect_set("pos")).alias("cuts"))
+        cuts = known.where(cut).groupBy("key").agg(F.sort_array(F.collect_set("pos")).alias("cuts"))
         rows = texts.select(F.col(id_col), key, _words(text).alias("words")).join(cuts, "key", "left")
         edges = F.concat(F.array(F.lit(-1)), F.coalesce("cuts", F.array().cast("array<int>")), F.array(F.size("words") - 1))
         spans = F.transform(F.sequence(F.lit(1), F.size("edges") - 1), lambda i: F.array_join(F.slice("words", F.get("edges", i - 1) + 2, F.get("edges", i) - F.get("edges", i - 1)), " "))

@@ -617,9 +617,10 @@ def abbreviation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trained_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number of sentences of every text, by a splitter trained on all of them."""
     from threadlens.operators.splitter import Splitter
+    from threadlens.plans.source_queries import _folder
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return Splitter(docs).split(docs, "doc_id").select("doc_id", F.size("sentences").cast("long").alias("n"))
+    return Splitter(docs, folder=_folder(spark)).split(docs, "doc_id").select("doc_id", F.size("sentences").cast("long").alias("n"))
 
 
 def _way(j: int, i: int, pairs: list[list[float]]) -> str:
