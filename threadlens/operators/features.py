@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlens.functions import text as t
+from threadlens.functions.once import once
 from threadlens.functions.time import nearest_second
 from threadlens.operators.conversations import drop_last_time, own_previous, reply_pairs
 
@@ -74,10 +75,9 @@ def conversation_features(
 
 def ngram_document_frequency(actions: DataFrame, words: F.Column, above: int) -> DataFrame:
     """(ngram, df) of uni- and bigrams that more than ``above`` conversations have."""
-    # a conversation's n-grams are made distinct in one row, so that only counts are shuffled by n-gram
-    rows = actions.select("conversation_id", F.array_union(words, t.bigrams(words)).alias("grams"))
-    merged = rows.groupBy("conversation_id").agg(F.array_distinct(F.flatten(F.collect_list("grams"))).alias("grams"))
-    return merged.select(F.explode("grams").alias("ngram")).groupBy("ngram").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > above)
+    # words, cut once, are brought together by conversation; its n-grams are made distinct in one row, so that only counts are shuffled by n-gram
+    rows = once(actions.select("conversation_id", words.alias("words")).groupBy("conversation_id").agg(F.collect_list("words").alias("lists")), grams=F.array_distinct(F.flatten(F.transform("lists", lambda w: F.concat(w, t.bigrams(w))))))
+    return rows.select(F.explode("grams").alias("ngram")).groupBy("ngram").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > above)
 
 
 def max_normalised(rows: DataFrame, columns: list[str]) -> DataFrame:
