@@ -43,6 +43,10 @@ def session_counts(events: DataFrame, time: str, gap: str, by: list[str], late:
     return counts.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *by, "n")
 
 
+#: Groups that ``split_late`` deals rows to.
+LATE_GROUPS = 1024
+
+
 class _Late(StatefulProcessor):
     """Tags each row by whether it is older than the watermark when it comes; keeps nothing."""
 
@@ -64,10 +68,11 @@ def split_late(events: DataFrame, key: str, time: str, late: str = "10 minutes")
 
     Spark's own windows drop late rows without a trace, a batch later than the watermark moves. Written with
     ``partitionBy("tag")`` and counted from the part ``row``, every row is either counted or among the late
-    ones. Needs ``pages.state_on_disk``; rows without a time are dropped.
+    ones. Needs ``pages.state_on_disk``; rows without a time are dropped. ``key`` deals the rows out, to
+    ``LATE_GROUPS`` groups at most, since a call for each key would cost more than its few rows.
     """
     marked = events.where(F.col(time).isNotNull()).withWatermark(time, late)
-    sent = marked.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.unix_millis(F.col(time)).alias("due"), F.to_json(F.struct(*events.columns)).alias("row"))
+    sent = marked.select(F.pmod(F.xxhash64(key), F.lit(LATE_GROUPS)).cast("string").alias("key"), F.unix_millis(F.col(time)).alias("due"), F.to_json(F.struct(*events.columns)).alias("row"))
     out = sent.groupBy("key").transformWithStateInPandas(_Late(), "tag string, row string", "append", "EventTime")
     return out.select("tag", F.from_json("row", events.schema).alias("row")).select("tag", "row.*")
 
