@@ -10,6 +10,7 @@ from __future__ import annotations
 import bz2
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 from xml.etree import ElementTree
 
 import numpy as np
@@ -26,6 +27,8 @@ from threadlens.sources.shared import files_under, located
 BLOCK_MARK, END_MARK = 0x314159265359, 0x177245385090
 #: Compressed bytes that a task owns, bytes read at once, and bytes of text put into one Arrow batch.
 SPLIT_BYTES, CHUNK, BATCH_BYTES = 32 << 20, 1 << 20, 4 << 20
+#: Bytes that opening a file counts for where small files are put into one task.
+OPEN_BYTES = 1 << 20
 PAGE, PAGE_END, REVISION, REVISION_END = b"<page>", b"</page>", b"<revision>", b"</revision>"
 ROW = "comment string, sha1 string, user_id string, user_text string, user_ip string, timestamp string, text string, format string, model string, page_id string, page_title string, page_namespace string, rev_id bigint"
 
@@ -182,9 +185,25 @@ def dump_rows(texts: Iterator[tuple[bytes, bool]], namespaces: frozenset[int]) -
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        super().__init__((path, start, end))
-        self.path, self.start, self.end = path, start, end
+    """What one task reads: (path, start, end) of each piece."""
+
+    def __init__(self, pieces: list[tuple[str, int, int]]):
+        super().__init__(pieces)
+        self.pieces = pieces
+
+
+def packed(pieces: list[tuple[str, int, int]], size: int) -> list[list[tuple[str, int, int]]]:
+    """Pieces in their order, as many together as make ``size`` bytes, where each counts ``OPEN_BYTES`` more for being opened."""
+    out: list[list[tuple[str, int, int]]] = []
+    room = 0
+    for piece in pieces:
+        cost = piece[2] - piece[1] + OPEN_BYTES
+        if not out or cost > room:
+            out.append([])
+            room = size
+        out[-1].append(piece)
+        room -= cost
+    return out
 
 
 class _DumpReader(DataSourceReader):
@@ -193,14 +212,15 @@ class _DumpReader(DataSourceReader):
 
     def partitions(self) -> list[_Part]:
         step = self.source.split
-        return [_Part(p, a, min(a + step, size)) for path in self.source.paths for p, size in files_under(path) for a in range(0, size, step)]
+        pieces = [(p, a, min(a + step, size)) for path in self.source.paths for p, size in files_under(path) for a in range(0, size, step)]
+        return [_Part(x) for x in packed(pieces, step)]
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
-        texts = (bz2_texts if partition.path.endswith(".bz2") else plain_texts)(partition.path, partition.start, partition.end)
         names = [c.split(" ")[0] for c in ROW.split(", ")]
         schema = pa.schema([(n, pa.int64() if n == "rev_id" else pa.string()) for n in names])
         rows, held = [], 0
-        for row in dump_rows(texts, self.source.namespaces):
+        every = (dump_rows((bz2_texts if path.endswith(".bz2") else plain_texts)(path, start, end), self.source.namespaces) for path, start, end in partition.pieces)
+        for row in chain.from_iterable(every):
             rows.append(row)
             held += sum(len(x) for x in row if isinstance(x, str))
             if held >= BATCH_BYTES or len(rows) >= 5000:
