@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -100,9 +100,23 @@ def gold_json(df: DataFrame, answer: str, order: str) -> DataFrame:
     return numbered.select(F.to_json(F.struct("*")).alias("value"))
 
 
-def write_by_key(df: DataFrame, path: str, key: str) -> None:
-    """One folder for each value of a key, its rows together."""
-    df.repartition(key).write.partitionBy(key).mode("append").json(path)
+def write_by_key(df: DataFrame, path: str, key: str, shards: int | None = None) -> None:
+    """One folder for each value of a key, its rows together; with ``shards``, so many folders at most.
+
+    A folder for each of many keys with few rows costs more than the rows. With ``shards`` keys are dealt to folders
+    ``key_shard=N`` by a hash, and a key's rows lie side by side in one file, where ``key_rows`` finds them.
+    """
+    if shards is None:
+        df.repartition(key).write.partitionBy(key).mode("append").json(path)
+        return
+    dealt = df.withColumn("key_shard", F.pmod(F.xxhash64(key), F.lit(shards)))
+    dealt.repartition("key_shard").sortWithinPartitions("key_shard", key).write.partitionBy("key_shard").mode("append").json(path)
+
+
+def key_rows(spark: SparkSession, path: str, schema: str, key: str, value: Column, shards: int) -> DataFrame:
+    """The rows of one key that ``write_by_key`` dealt to ``shards``, from its folder alone; ``value`` has the type of the key."""
+    rows = spark.read.schema(f"{schema}, key_shard bigint").json(path)
+    return rows.where((F.col("key_shard") == F.pmod(F.xxhash64(value), F.lit(shards))) & F.col(key).eqNullSafe(value)).drop("key_shard")
 
 
 def chunk_number(key: list[Column], size: int) -> Column:
