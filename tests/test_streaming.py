@@ -254,3 +254,35 @@ def test_redelivered_and_late_events(spark, tmp_path):
     q = events.once_each(stream, ["id"], "ts").writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.id for r in spark.table("once").collect()) == [1, 2, 3, 4]
+
+
+def test_waiting_rows_share_groups_and_blocks():
+    """Rows of thousands of keys wait as a few blocks of their group's state, each row was an element of its key's before; those due go out by time within their key."""
+    import pandas as pd
+
+    class Held(list):
+        put = lambda self, rows: self.__setitem__(slice(None), rows)
+        appendList, get = list.extend, list.copy
+
+    class Times:
+        mark = 0
+        timers: set = set()
+        registerTimer, listTimers = timers.add, timers.copy
+        getCurrentWatermarkInMs = classmethod(lambda cls: cls.mark)
+
+    made = pages.InTimeOrder()
+    made.handle, made.waiting = Times, Held()
+    rows = [(f"k{n % 3000}", 1 + (n * 7919) % 10_007, n, str(n)) for n in range(12_000)]
+    for at in (0, 6000):
+        assert not list(made.handleInputRows(("g",), iter([pd.DataFrame(rows[at : at + 6000], columns=["key", "due", "place", "row"])]), Times))
+    assert len(made.waiting) == 12
+    seen = []
+    for Times.mark in (4000, 4001, 20_000):
+        assert any(t <= Times.mark for t in Times.timers)
+        out = [r for f in made.handleExpiredTimer(("g",), Times, None) for r in f["row"]]
+        assert {int(r) for r in out} == {n for _, due, n, _ in rows if due <= Times.mark} - set(map(int, seen))
+        Times.timers.difference_update([t for t in Times.timers if t <= Times.mark])
+        seen += out
+    for k in ("k0", "k2999"):
+        assert [r for r in seen if rows[int(r)][0] == k] == [r[3] for r in sorted((r for r in rows if r[0] == k), key=lambda r: r[1:3])]
+    assert made.waiting == []
