@@ -99,12 +99,16 @@ def context(sentence_rows: DataFrame, key: str, place: str, changed: str, reach:
 def sentence_origin(revisions: DataFrame, page: str, order: str, column: str) -> DataFrame:
     """(page, sentence, first revision of each unbroken presence, last): who a sentence is due to.
 
-    A sentence that goes and comes back starts anew.
+    A sentence that goes and comes back starts anew. One sort by sentence finds the first and last revisions of each
+    presence; they are paired in its order, so that no table of all sentences is built in memory beside it.
     """
     numbered = revisions.withColumn("_n", F.row_number().over(Window.partitionBy(page).orderBy(order)))
     present = numbered.select(page, order, "_n", F.explode(F.array_distinct(sentences(F.col(column)))).alias("sentence"))
-    run = F.col("_n") - F.row_number().over(Window.partitionBy(page, "sentence").orderBy("_n"))
-    return present.withColumn("_run", run).groupBy(page, "sentence", "_run").agg(F.min(order).alias("first_rev"), F.max(order).alias("last_rev")).drop("_run")
+    rows, n = Window.partitionBy(page, "sentence").orderBy("_n"), F.col("_n")
+    begins, ends = F.coalesce(F.lag("_n").over(rows) < n - 1, F.lit(True)), F.coalesce(F.lead("_n").over(rows) > n + 1, F.lit(True))
+    edges = present.withColumn("_begins", begins).withColumn("_ends", ends).where("_begins OR _ends")
+    last = F.when(F.col("_ends"), F.col(order)).otherwise(F.lead(order).over(rows))
+    return edges.withColumn("last_rev", last).where("_begins").select(page, "sentence", F.col(order).alias("first_rev"), "last_rev")
 
 
 def fuzzy_revisions(rejected: DataFrame, improved: DataFrame, key: str = "rev_id", column: str = "sentence") -> DataFrame:
