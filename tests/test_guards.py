@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections import deque
 
 import pytest
 from hypothesis import given, settings
@@ -62,6 +63,42 @@ def test_one_rate_for_all_tasks(spark, tasks):
     assert calls[-1] - calls[0] >= 1.9
 
 
+@pytest.mark.parametrize("tasks", [1, 4])
+def test_a_short_interval_keeps_the_rate(spark, tasks):
+    """Tasks that agreed once an interval waited a second each time: 120 calls at 40 a second took 15 s."""
+
+    def call(rows):
+        at = time.time()
+        return [{"id": r["id"], "at": at} for r in rows]
+
+    got = guards.at_rate(spark.range(120), call, "id long, at double", 40, tasks=tasks, size=1, interval=0.2).collect()
+    assert sorted(r.id for r in got) == list(range(120))
+    calls = sorted(r.at for r in got)
+    assert max(sum(x <= y < x + 0.19 for y in calls) for x in calls) <= 8
+    assert 2.7 <= calls[-1] - calls[0] < 8
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=5), st.integers(1, 12), st.randoms(use_true_random=False))
+def test_the_rate_holds_when_shares_change(left, budget, luck):
+    """Tasks that agree at different moments, call after lags of any length and get other shares each time."""
+    n, made, turn = len(left), [], 0
+    clock, share, begun = [0.0] * n, [budget] * n, [deque(maxlen=budget) for _ in left]
+    while any(left):
+        wants = [min(w, 2 * budget) for w in left]
+        intervals, told = -(-sum(wants) // budget), max(clock)
+        before, share = share, guards.allotted([-(-w // intervals) for w in wants], budget, turn)
+        for i in range(n):
+            agreed = clock[i] = told + luck.choice([0.0, 0.4, 1.0])
+            for _ in range(min(wants[i], share[i] * intervals)):
+                clock[i] = max(clock[i] + luck.choice([0.0, 0.0, 0.1, 1.3]), guards.due(begun[i], share[i], before[i], agreed, 1.0))
+                begun[i].append(clock[i])
+                made.append(clock[i])
+                left[i] -= 1
+        turn += 1
+    assert all(sum(x <= y < x + 0.999 for y in made) <= budget for x in made)
+
+
 def test_paged_lookups_are_taken_up_again(spark, tmp_path):
     """Pages, answers to come back later, a key that fails and a run that dies: every row once, nothing asked for twice after a round is written."""
     folder = tmp_path / "asked"

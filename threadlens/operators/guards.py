@@ -5,6 +5,7 @@ from __future__ import annotations
 import multiprocessing
 import resource
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
 from itertools import islice
 
@@ -16,6 +17,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 OK, TIME, MEMORY, ERROR, DIED = "ok", "time", "memory", "error", "died"
+#: For how many intervals of the whole rate a task holds batches, so that tasks agree once in so many intervals at most.
+AHEAD = 10
 
 
 def _serve(call: Callable, connection, megabytes: int) -> None:
@@ -116,13 +119,26 @@ def allotted(wants: list[int], budget: int, turn: int) -> list[int]:
     return shares
 
 
+def due(begun: deque[float], share: int, before: int, agreed: float, pause: float) -> float:
+    """When a task may call next: ``share`` calls a pause, and ``before`` (its last share) until a pause after ``agreed``.
+
+    Until then calls that others made by their last shares may be less than a pause old.
+    """
+
+    def after(n: int) -> float:
+        return begun[-n] + pause if len(begun) >= n else 0.0
+
+    return max(after(share), min(agreed + pause, after(before)) if before else agreed + pause)
+
+
 def at_rate(rows: DataFrame, call: Callable[[list[dict]], list[dict]], schema: str, per_second: float, tasks: int = 4, size: int = 50, interval: float = 1.0) -> DataFrame:
     """What ``call`` makes of batches of ``size`` rows, with at most ``per_second`` calls a second in the whole job.
 
-    The tasks run in barrier mode: at the start of each interval they tell each other how many calls they
-    want, up to the interval's budget, and each takes its share of it, the same rule in every task. So the rate holds
-    whatever their number, and a task that has no rows leaves its share to the others. All ``tasks`` must
-    find a slot at once; a lost one makes Spark run the stage again. A task holds an interval's batches.
+    The tasks run in barrier mode: they tell each other how many calls they hold, up to ten intervals' budgets, and
+    share out an interval's budget, the same rule in every task, until those calls are made. In any interval a task
+    begins no more calls than its share, so the rate holds whatever their number, and a task that has no rows leaves
+    its share to the others. All ``tasks`` must find a slot at once; a lost one makes Spark run the stage again. A
+    task holds ten intervals' batches.
     """
     budget = max(1, int(per_second * interval))
     pause = max(interval, budget / per_second)
@@ -131,21 +147,22 @@ def at_rate(rows: DataFrame, call: Callable[[list[dict]], list[dict]], schema: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = BarrierTaskContext.get()
-        me, turn = context.partitionId(), 0
+        me, turn, share = context.partitionId(), 0, budget
         rows_in = (row for batch in batches for row in batch.to_pylist())
         parts = iter(lambda: list(islice(rows_in, size)), [])
         held: list[list[dict]] = []
-        due = 0.0
+        begun: deque[float] = deque(maxlen=budget)
         while True:
-            held += islice(parts, budget - len(held))
-            wants = [int(w) for w in context.allGather(str(len(held)))]  # may take a second, which counts towards the pause
+            held += islice(parts, AHEAD * budget - len(held))
+            wants = [int(w) for w in context.allGather(str(len(held)))]  # takes a second or more, however short the interval
             if not any(wants):
                 return
-            time.sleep(max(0.0, due - time.monotonic()))
-            due = time.monotonic() + pause
-            mine = allotted(wants, budget, turn)[me]
-            for part in held[:mine]:
+            agreed, intervals = time.monotonic(), -(-sum(wants) // budget)
+            before, share = share, allotted([-(-w // intervals) for w in wants], budget, turn)[me]
+            for part in held[: share * intervals]:
+                time.sleep(max(0.0, due(begun, share, before, agreed, pause) - time.monotonic()))
+                begun.append(time.monotonic())
                 yield pa.RecordBatch.from_pylist(call(part), schema=arrow)
-            held, turn = held[mine:], turn + 1
+            held, turn = held[share * intervals :], turn + 1
 
     return rows.repartition(tasks).mapInArrow(run, kinds, barrier=True)
