@@ -19,6 +19,8 @@ from pyspark.sql.types import StructType
 OK, TIME, MEMORY, ERROR, DIED = "ok", "time", "memory", "error", "died"
 #: For how many intervals of the whole rate a task holds batches, so that tasks agree once in so many intervals at most.
 AHEAD = 10
+#: Seconds that a pause is longer by: a call goes out a little after its task has noted it, one later than the next.
+LAG = 0.005
 
 
 def _serve(call: Callable, connection, megabytes: int) -> None:
@@ -141,7 +143,7 @@ def at_rate(rows: DataFrame, call: Callable[[list[dict]], list[dict]], schema: s
     task holds ten intervals' batches.
     """
     budget = max(1, int(per_second * interval))
-    pause = max(interval, budget / per_second)
+    pause = max(interval, budget / per_second) + LAG
     kinds = StructType.fromDDL(schema)
     arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in kinds])
 
